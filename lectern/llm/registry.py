@@ -7,6 +7,8 @@ from importlib import import_module
 #: Query name: module. A module has ``query(spark, sf_dir)`` and, where SQL can express the result, ``ORACLE``.
 MODULES = {
     "op1_audio_features": "audio",
+    "op2_token_ids": "token_ids",
+    "op3_shards": "shards",
 }
 
 
