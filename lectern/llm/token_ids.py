@@ -106,7 +106,9 @@ class Encoder:
     it. Other texts, and those that might hold a special token, go to the library as they are.
     """
 
-    ODD = re.compile("^ |  | \n|\n | $|[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -⁯　﻿]|<[|]")
+    #: White space other than the space and the line feed, and what else might be taken for it.
+    GAPS = "".join(chr(c) for c in (0, *range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2070), 0x3000, 0xFEFF))
+    ODD = re.compile(f"^ |  | \n|\n | $|[{re.escape(GAPS)}]|<[|]")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
