@@ -10,7 +10,6 @@ each holds one range of documents.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -31,8 +30,10 @@ END_ID = 2
 SELECT_BITS = 512
 #: Distinct pieces that a task remembers; the memory starts anew beyond it.
 MEMO_LIMIT = 1_000_000
-#: Text that is encoded at once, in characters.
-SLICE = 2 << 20
+#: Text that is encoded at once, in bytes.
+SLICE = 4 << 20
+#: Text in a file, in bytes; smaller inputs get a file for each core, of no less than the second.
+FILE_BYTES, LEAST_BYTES = 64 << 20, 8 << 20
 #: Documents that are read back at once.
 READ_DOCS = 2048
 MAGIC = b"LECTERN1"
@@ -98,17 +99,30 @@ class EliasFano:
         return cls(n, low_bits, *parts)
 
 
-class Encoder:
-    """The tokenizers library over texts, each distinct space-separated piece encoded once.
+def _powers(factor: int, n: int) -> np.ndarray:
+    """The first n powers of ``factor`` modulo 2**64."""
+    out = np.full(n, factor, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
 
-    A single space between two characters that are not white space always starts a new pre-token, so
-    a text with no other kind of gap is the concatenation of its pieces, each with the space before
-    it. Other texts, and those that might hold a special token, go to the library as they are.
+class Encoder:
+    """The tokenizers library over texts, each distinct piece of a task's texts encoded once.
+
+    A piece starts before white space that follows something else, and before ASCII punctuation that
+    follows an ASCII letter or digit: there a pre-token always starts, whatever stands around it. So a
+    text is the concatenation of its pieces' ids. Pieces are told apart by two polynomial hashes of 64
+    bits, computed for all bytes at once. Texts with other white space than the space and the line
+    feed, with letters beyond Latin Extended-A, or with what might be a special token go to the
+    library as they are.
     """
 
-    #: White space other than the space and the line feed, and what else might be taken for it.
-    GAPS = "".join(chr(c) for c in (0, *range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2070), 0x3000, 0xFEFF))
-    ODD = re.compile(f"^ |  | \n|\n | $|[{re.escape(GAPS)}]|<[|]")
+    #: Kinds of bytes: letters of several bytes, ASCII letters and digits, punctuation, white space, anything else.
+    WIDE, WORD, MARK, SPACE, ODD = range(5)
+    #: Odd multipliers of the two hashes.
+    FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+    #: Pieces that are handed to the library in one string.
+    JOINED = 256
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -116,43 +130,105 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        kind = np.full(256, self.ODD, np.uint8)
+        kind[33:127] = self.MARK
+        kind[[b for b in range(128) if chr(b).isalnum()]] = self.WORD
+        kind[[32, 10]] = self.SPACE
+        kind[[0xC3, 0xC4, 0xC5, *range(0x80, 0xC0)]] = self.WIDE
+        self.kind = kind
+        # Ids whose bytes start with a space or a line feed (written as these characters in byte-level vocabularies).
+        self.opens = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[0] in (chr(0x120), chr(0x10A))]] = True
+        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.flat, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))
-        self.memo.update(zip(pieces, range(len(self.memo), len(self.memo) + len(pieces)), strict=True))
-        self.flat = np.concatenate([self.flat, ids])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text (unsigned 32-bit)."""
-        plain = [not self.ODD.search(x) for x in texts]
-        pieces, counts = [], []
-        for text, ok in zip(texts, plain, strict=True):
-            own = text.replace(" ", "\0 ").split("\0") if ok else [text]
-            pieces += own
-            counts.append(len(own))
-        known = self.memo
-        if len(known) > MEMO_LIMIT:
+        self.hashes, self.checks, self.places = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
+
+    def _hash(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        if not self.powers or len(self.powers[0][0]) < len(data):
+            n = len(data) + SLICE
+            self.powers = [(_powers(f, n), _powers(pow(f, -1, 1 << 64), n)) for f in self.FACTORS]
+        out = []
+        for power, inverse in self.powers:
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
+            out.append((total[end] - total[start]) * inverse[start])
+        return out
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after another, and their counts."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _learn(self, hashes: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
+        """Pieces with one leading space or line feed are joined; an id that opens with it starts the next piece."""
+        joined = np.array([x[0] in " \n" and len(x) > 1 and x.count(" ") + x.count("\n") == 1 for x in pieces], bool)
+        counts = np.zeros(len(pieces), np.int64)
+        own = [x for x, ok in zip(pieces, joined, strict=True) if ok]
+        ids, _ = self._library(["".join(own[i : i + self.JOINED]) for i in range(0, len(own), self.JOINED)])
+        opens = np.flatnonzero(self.opens[ids])
+        counts[joined] = np.diff(np.append(opens, len(ids)))
+        rest, counts[~joined] = self._library([x for x, ok in zip(pieces, joined, strict=True) if not ok])
+        begin = np.empty(len(pieces), np.int64)
+        begin[joined] = len(self.flat) + np.cumsum(counts[joined]) - counts[joined]
+        begin[~joined] = len(self.flat) + len(ids) + np.cumsum(counts[~joined]) - counts[~joined]
+        self.flat = np.concatenate([self.flat, ids, rest])
+        keys = np.concatenate([self.hashes, hashes])
+        order = np.argsort(keys, kind="stable")
+        self.hashes, self.checks = keys[order], np.concatenate([self.checks, checks])[order]
+        self.places = np.concatenate([self.places, begin << 28 | counts])[order]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts (UTF-8), one after another, and how many each text has."""
+        if len(self.hashes) > MEMO_LIMIT:
             self._forget()
-            known = self.memo
-        if new := [x for x in dict.fromkeys(pieces) if x not in known]:
-            self._learn(new)
-        which = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
-        begin, lengths = self.at[which], self.at[which + 1] - self.at[which]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(begin - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        return np.split(ids, ends[np.cumsum(counts)[:-1] - 1]) if texts else []
-
-
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of about SLICE characters each, in order."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        kind = self.kind[data]
+        odd_bytes = (kind == self.ODD)
+        odd_bytes[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+        odd_at = np.flatnonzero(odd_bytes)
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(ends, odd_at, side="right")] = True
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = (kind[1:] == self.SPACE) & (kind[:-1] != self.SPACE) | (kind[1:] == self.MARK) & (kind[:-1] == self.WORD)
+        for k in np.flatnonzero(odd).tolist():
+            cut[ends[k] - sizes[k] : ends[k]] = False
+        filled = sizes > 0
+        cut[(ends - sizes)[filled]] = True
+        start = np.flatnonzero(cut[:-1])
+        end = np.append(start[1:], len(data))
+        hashes, checks = self._hash(data, start, end) if len(start) else (np.empty(0, np.uint64),) * 2
+
+        order = np.argsort(hashes)
+        same = np.ones(len(order), bool)
+        same[1:] = hashes[order][1:] != hashes[order][:-1]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(same) - 1
+        lead = order[same]  # a piece for each distinct hash
+        at = np.searchsorted(self.hashes, hashes[lead])
+        known = np.zeros(len(lead), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[lead][inside]
+        new = lead[~known]
+        if len(new):
+            raw = data.tobytes()
+            self._learn(hashes[new], checks[new], [raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, hashes[lead])
+        if not np.array_equal(self.checks[at][which], checks):
+            raise ValueError("two pieces share a hash")
+        place = self.places[at][which]
+        begin, counts = place >> 28, place & 0xFFFFFFF
+        stop = np.cumsum(counts)
+        ids = self.flat[np.repeat(begin - stop + counts, counts) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        text = np.searchsorted(ends, start, side="right")
+        return ids, np.bincount(text, counts, len(texts)).astype(np.int64)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, texts) of about SLICE bytes each, in order."""
     ids, texts, size = [], [], 0
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -172,15 +248,15 @@ def _write_file(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str,
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     name, own = f"{root}/ids-{part:08d}.bin", f"{root}/.ids-{part:08d}.{uuid.uuid4().hex}"
-    kind, end = f"<u{encoder.width}", np.array([end_id], np.uint32)
-    docs, lengths = [], []
+    kind = f"<u{encoder.width}"
+    docs, lengths = [], [np.zeros(1, np.int64)]
     with fs.open_output_stream(own) as out:
         for ids, texts in _sliced(batches):
             docs += ids
-            for got in encoder.encode(texts):
-                out.write(np.concatenate([got, end]).astype(kind).tobytes())
-                lengths.append(len(got) + 1)
-        bounds = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))])
+            got, counts = encoder.encode(texts)
+            out.write(np.insert(got.astype(kind), np.cumsum(counts), end_id).tobytes())
+            lengths.append(counts + 1)
+        bounds = np.cumsum(np.concatenate(lengths))
         known = [x for x in docs if x is not None]
         least = known[0] if known else 0
         sections = [EliasFano.of(bounds).to_bytes(), EliasFano.of(np.array([x - least for x in known], np.uint64)).to_bytes()]
@@ -250,8 +326,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     manifest. ``folder`` must be a place that driver and executors share. Only the two named columns
     are read, so others cannot clash.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    dealt = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
+    total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(1, -(-total // FILE_BYTES), min(-(-total // LEAST_BYTES), docs.sparkSession.sparkContext.defaultParallelism))
+    dealt = narrow.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     return written(dealt.mapInArrow(lambda it: _write_file(it, folder, vocabulary, end_id), FILES_DDL), "token-files", f"{folder}/manifest")
 
 
