@@ -31,7 +31,7 @@ SELECT_BITS = 512
 #: Distinct pieces that a task remembers; the memory starts anew beyond it.
 MEMO_LIMIT = 1_000_000
 #: Text that is encoded at once, in bytes.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Text in a file, in bytes; smaller inputs get a file for each core, of no less than the second.
 FILE_BYTES, LEAST_BYTES = 64 << 20, 8 << 20
 #: Documents that are read back at once.
@@ -148,7 +148,7 @@ class Encoder:
 
     def _hash(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         if not self.powers or len(self.powers[0][0]) < len(data):
-            n = len(data) + SLICE
+            n = len(data) * 5 // 4
             self.powers = [(_powers(f, n), _powers(pow(f, -1, 1 << 64), n)) for f in self.FACTORS]
         out = []
         for power, inverse in self.powers:
@@ -174,10 +174,10 @@ class Encoder:
         begin[joined] = len(self.flat) + np.cumsum(counts[joined]) - counts[joined]
         begin[~joined] = len(self.flat) + len(ids) + np.cumsum(counts[~joined]) - counts[~joined]
         self.flat = np.concatenate([self.flat, ids, rest])
-        keys = np.concatenate([self.hashes, hashes])
-        order = np.argsort(keys, kind="stable")
-        self.hashes, self.checks = keys[order], np.concatenate([self.checks, checks])[order]
-        self.places = np.concatenate([self.places, begin << 28 | counts])[order]
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.checks = np.insert(self.hashes, at, hashes[order]), np.insert(self.checks, at, checks[order])
+        self.places = np.insert(self.places, at, (begin << 28 | counts)[order])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts (UTF-8), one after another, and how many each text has."""
