@@ -10,6 +10,7 @@ MODULES = {
     "op2_token_ids": "token_ids",
     "op3_shards": "shards",
     "op5_simhash": "simhash",
+    "op6_neighbour_quality": "neighbours",
     "op8_mixture": "mixture",
     "op10_secrets": "secrets",
 }
