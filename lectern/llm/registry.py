@@ -9,6 +9,7 @@ MODULES = {
     "op1_audio_features": "audio",
     "op2_token_ids": "token_ids",
     "op3_shards": "shards",
+    "op4_top_k": "topk",
     "op5_simhash": "simhash",
     "op6_neighbour_quality": "neighbours",
     "op8_mixture": "mixture",
