@@ -13,6 +13,7 @@ MODULES = {
     "op5_simhash": "simhash",
     "op6_neighbour_quality": "neighbours",
     "op8_mixture": "mixture",
+    "op9_byte_bpe": "byte_bpe",
     "op10_secrets": "secrets",
 }
 
