@@ -12,6 +12,7 @@ MODULES = {
     "op4_top_k": "topk",
     "op5_simhash": "simhash",
     "op6_neighbour_quality": "neighbours",
+    "op7_subword_lattice": "lattice",
     "op8_mixture": "mixture",
     "op9_byte_bpe": "byte_bpe",
     "op10_secrets": "secrets",

@@ -102,6 +102,7 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], id_col: str, tex
 
     ``learn``: a boolean column; if given, each word carries how often it occurs in rows where it is true.
     """
+    counted = learn is not None
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), (F.lit(True) if learn is None else learn).alias("learn"))
 
@@ -116,10 +117,10 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], id_col: str, tex
                 learns.append(teaches)
                 size += len(text)
                 if size >= BLOCK_BYTES or len(words) >= BLOCK_WORDS:
-                    yield _block(first + number, parts, words, rows, ids, learns, learn is not None)
+                    yield _block(first + number, parts, words, rows, ids, learns, counted)
                     number, size, words, rows, ids, learns = number + 1, 0, _Numbers(), [], [], []
         if ids:
-            yield _block(first + number, parts, words, rows, ids, learns, learn is not None)
+            yield _block(first + number, parts, words, rows, ids, learns, counted)
 
     return written(narrow.mapInArrow(run, BLOCK_DDL), "word-blocks"), parts
 
