@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from lectern.llm.common import text_or_empty, written
 
 #: Text and distinct words of a block at most (a longer document is a block of its own).
-BLOCK_BYTES, BLOCK_WORDS = 24 << 20, 600_000
+BLOCK_BYTES, BLOCK_WORDS = 12 << 20, 300_000
+#: Rows of an Arrow batch that are Python objects at once.
+ROWS = 256
 
 BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("docs", pa.binary())])
 BLOCK_DDL = "block long, part int, words binary, docs binary"
@@ -79,10 +81,10 @@ def _block(number: int, parts: int, words: _Numbers, rows: list[np.ndarray], ids
     own = [w if isinstance(w, bytes) else w.encode() for w in words]
     part = np.fromiter((zlib.crc32(w) % parts for w in own), np.int64, len(own))
     order = np.argsort(part, kind="stable")
-    renumber = np.empty(len(own), np.int64)
-    renumber[order] = np.arange(len(own))
+    renumber = np.empty(len(own), np.int32)
+    renumber[order] = np.arange(len(own), dtype=np.int32)
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    seq = renumber[np.concatenate(rows)] if len(own) else np.empty(0, np.int64)
+    seq = renumber[np.concatenate(rows)] if len(own) else np.empty(0, np.int32)
     kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
     known = np.array([x is not None for x in ids], np.uint8)
     docs = pack(np.array([x or 0 for x in ids], np.int64), known, np.array(learns, np.uint8), lengths, seq.astype(kind))
@@ -97,6 +99,12 @@ def _block(number: int, parts: int, words: _Numbers, rows: list[np.ndarray], ids
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), BLOCK_SCHEMA, strict=True)], schema=BLOCK_SCHEMA)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for at in range(0, batch.num_rows, ROWS):
+        part = batch.slice(at, ROWS)
+        yield from zip(*(part.column(k).to_pylist() for k in range(part.num_columns)), strict=True)
+
+
 def split(docs: DataFrame, words_of: Callable[[str], Iterable], id_col: str, text_col: str, learn=None) -> tuple[DataFrame, int]:
     """The written blocks of ``docs`` and the number of parts.
 
@@ -110,7 +118,7 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], id_col: str, tex
         first = TaskContext.get().partitionId() << 32
         number, size, words, rows, ids, learns = 0, 0, _Numbers(), [], [], []
         for batch in batches:
-            for i, text, teaches in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for i, text, teaches in _rows(batch):
                 own = words_of(text)
                 rows.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
                 ids.append(i)
