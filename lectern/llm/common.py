@@ -59,6 +59,36 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def publish(folder: str, name: str, write) -> str:
+    """Writes the file ``name`` in a shared folder by ``write(stream)`` and returns its address.
+
+    It is written under a name of its own and moved at the end, so that no half file is ever seen; another
+    attempt of the same task may have put the same file there already.
+    """
+    import pyarrow.fs as pafs
+
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    own, final = f"{root}/.{name}.{uuid.uuid4().hex}", f"{root}/{name}"
+    with fs.open_output_stream(own) as out:
+        write(out)
+    try:
+        fs.move(own, final)
+    except OSError:
+        if fs.get_file_info(final).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(own)
+    return f"{folder}/{name}"
+
+
+def read_shared(uri: str) -> bytes:
+    import pyarrow.fs as pafs
+
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(path) as stream:
+        return stream.read()
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """``wanted`` as names that no column of ``df`` has (compared without case), by prefixing underscores."""
     have = {c.lower() for c in df.columns}

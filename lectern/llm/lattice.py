@@ -29,7 +29,7 @@ ADDED = 0.1
 #: Rounds of re-estimation; what every piece is counted besides.
 ROUNDS, PRIOR = 2, 0.01
 #: Cells of a lattice that are worked off at once.
-CELLS = 1 << 20
+CELLS = 1 << 17
 NONE = -1e30
 
 SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

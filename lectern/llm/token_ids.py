@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import in_batches, text_or_empty, work_dir, written
+from lectern.llm.common import in_batches, publish, text_or_empty, work_dir, written
 
 END_ID = 2
 #: Bits of the upper half of an Elias-Fano section that share one stored count.
@@ -243,41 +243,31 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
 
 
 def _write_file(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    """Writes one partition as one file, under a name of its own that is moved to the final one at the end."""
+    """Writes one partition as one file."""
+    first = next(batches, None)
+    if first is None:
+        return
     part, encoder = TaskContext.get().partitionId(), Encoder(vocabulary)
-    fs, root = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(root, recursive=True)
-    name, own = f"{root}/ids-{part:08d}.bin", f"{root}/.ids-{part:08d}.{uuid.uuid4().hex}"
-    kind = f"<u{encoder.width}"
-    docs, lengths = [], [np.zeros(1, np.int64)]
-    with fs.open_output_stream(own) as out:
-        for ids, texts in _sliced(batches):
-            docs += ids
+    kind, docs, totals = f"<u{encoder.width}", [], []
+
+    def write(out) -> None:
+        lengths = [np.zeros(1, np.int64)]
+        for ids, texts in _sliced(chain([first], batches)):
+            docs.extend(ids)
             got, counts = encoder.encode(texts)
             out.write(np.insert(got.astype(kind), np.cumsum(counts), end_id).tobytes())
             lengths.append(counts + 1)
         bounds = np.cumsum(np.concatenate(lengths))
+        totals.append(int(bounds[-1]))
         known = [x for x in docs if x is not None]
         least = known[0] if known else 0
         sections = [EliasFano.of(bounds).to_bytes(), EliasFano.of(np.array([x - least for x in known], np.uint64)).to_bytes()]
         for section in sections:
             out.write(section)
-        out.write(FOOTER.pack(MAGIC, encoder.width, len(docs), int(bounds[-1]), len(docs) - len(known), least, *map(len, sections)))
-    if not docs:
-        fs.delete_file(own)
-        return
-    _publish(fs, own, name)
-    yield pa.RecordBatch.from_pylist([{"part": part, "uri": folder + name[len(root) :], "n_docs": len(docs), "n_ids": int(bounds[-1])}], FILES_SCHEMA)
-
-
-def _publish(fs: pafs.FileSystem, own: str, name: str) -> None:
-    """Another attempt of the same task may have put the same file there already."""
-    try:
-        fs.move(own, name)
-    except OSError:
-        if fs.get_file_info(name).type == pafs.FileType.NotFound:
-            raise
-        fs.delete_file(own)
+        out.write(FOOTER.pack(MAGIC, encoder.width, len(docs), totals[0], len(docs) - len(known), least, *map(len, sections)))
+
+    uri = publish(folder, f"ids-{part:08d}.bin", write)
+    yield pa.RecordBatch.from_pylist([{"part": part, "uri": uri, "n_docs": len(docs), "n_ids": totals[0]}], FILES_SCHEMA)
 
 
 class TokenFile:

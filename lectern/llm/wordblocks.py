@@ -1,10 +1,10 @@
 """A corpus-wide shuffle of distinct words, with the documents kept as word numbers of their block.
 
 ``split`` cuts documents into blocks of bounded size. A block holds each document as a row of word
-numbers, and its distinct words dealt into parts by hash; both are compressed. ``by_word`` brings the
-words of a part together, over all blocks, so that each distinct word is worked on once, and
-``by_block`` brings what was found for them back to the block, where the documents are put together
-again. A frequent word is one entry a block and never a hot key, and a long document is only a longer
+numbers, in a file of the shared folder that is read where the block is put together, and its distinct
+words dealt into parts by hash; both are compressed. ``by_word`` brings the words of a part together,
+over all blocks, so that each distinct word is worked on once, and ``by_block`` brings what was found
+for them back to the block, where the documents are put together again. A frequent word is one entry a block and never a hot key, and a long document is only a longer
 row. Blocks are a written table, so that both shuffles start from it.
 """
 
@@ -19,15 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import text_or_empty, written
+from lectern.llm.common import publish, read_shared, text_or_empty, work_dir, written
 
 #: Text and distinct words of a block at most (a longer document is a block of its own).
-BLOCK_BYTES, BLOCK_WORDS = 12 << 20, 300_000
+BLOCK_BYTES, BLOCK_WORDS = 8 << 20, 200_000
 #: Rows of an Arrow batch that are Python objects at once.
 ROWS = 256
 
-BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("docs", pa.binary())])
-BLOCK_DDL = "block long, part int, words binary, docs binary"
+BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("docs", pa.string())])
+BLOCK_DDL = "block long, part int, words binary, docs string"
 FOUND_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("found", pa.binary())])
 FOUND_DDL = "block long, part int, found binary"
 
@@ -76,25 +76,28 @@ class _Numbers(dict):
         return n
 
 
-def _block(number: int, parts: int, words: _Numbers, rows: list[np.ndarray], ids: list, learns: list[bool], weights: bool) -> pa.RecordBatch:
-    """One row for the documents and one for each part with words; numbers follow parts, then first occurrence."""
+def _block(number: int, parts: int, words: _Numbers, rows: list[np.ndarray], ids: list, learns: list[bool], weights: bool, folder: str) -> pa.RecordBatch:
+    """One row for the documents' file and one for each part with words. Words are numbered by frequency, which packs best."""
     own = [w if isinstance(w, bytes) else w.encode() for w in words]
-    part = np.fromiter((zlib.crc32(w) % parts for w in own), np.int64, len(own))
-    order = np.argsort(part, kind="stable")
-    renumber = np.empty(len(own), np.int32)
-    renumber[order] = np.arange(len(own), dtype=np.int32)
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    seq = renumber[np.concatenate(rows)] if len(own) else np.empty(0, np.int32)
-    kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
+    seq = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    often = np.argsort(-np.bincount(seq, minlength=len(own)), kind="stable")
+    rank = np.empty(len(own), np.int32)
+    rank[often] = np.arange(len(own), dtype=np.int32)
+    own = [own[i] for i in often.tolist()]
+    seq = rank[seq]
+    part = np.fromiter((zlib.crc32(w) % parts for w in own), np.int64, len(own))
     known = np.array([x is not None for x in ids], np.uint8)
-    docs = pack(np.array([x or 0 for x in ids], np.int64), known, np.array(learns, np.uint8), lengths, seq.astype(kind))
+    docs = pack(np.array([x or 0 for x in ids], np.int64), known, lengths, part.astype(np.uint16 if parts < 1 << 16 else np.uint32), seq.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32))
     counts = np.bincount(seq[np.repeat(np.array(learns, bool), lengths)], minlength=len(own)) if weights else None
+    order = np.argsort(part, kind="stable")
     ends = np.searchsorted(part[order], np.arange(parts), side="right")
-    out = [(number, -1, None, docs)]
+    out = [(number, -1, None, publish(folder, f"docs-{number:016x}.bin", lambda stream: stream.write(docs)))]
     begin = 0
     for k, end in enumerate(ends.tolist()):
         if end > begin:
-            out.append((number, k, pack_words([own[i] for i in order[begin:end].tolist()], *([counts[begin:end]] if weights else [])), None))
+            mine = order[begin:end]
+            out.append((number, k, pack_words([own[i] for i in mine.tolist()], *([counts[mine]] if weights else [])), None))
         begin = end
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), BLOCK_SCHEMA, strict=True)], schema=BLOCK_SCHEMA)
 
@@ -110,7 +113,7 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], id_col: str, tex
 
     ``learn``: a boolean column; if given, each word carries how often it occurs in rows where it is true.
     """
-    counted = learn is not None
+    counted, folder = learn is not None, work_dir(docs.sparkSession, "word-block-docs")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), (F.lit(True) if learn is None else learn).alias("learn"))
 
@@ -125,10 +128,10 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], id_col: str, tex
                 learns.append(teaches)
                 size += len(text)
                 if size >= BLOCK_BYTES or len(words) >= BLOCK_WORDS:
-                    yield _block(first + number, parts, words, rows, ids, learns, counted)
+                    yield _block(first + number, parts, words, rows, ids, learns, counted, folder)
                     number, size, words, rows, ids, learns = number + 1, 0, _Numbers(), [], [], []
         if ids:
-            yield _block(first + number, parts, words, rows, ids, learns, counted)
+            yield _block(first + number, parts, words, rows, ids, learns, counted, folder)
 
     return written(narrow.mapInArrow(run, BLOCK_DDL), "word-blocks"), parts
 
@@ -148,8 +151,10 @@ def by_block(blocks: DataFrame, found: DataFrame, work: Callable, schema: pa.Sch
     """``work(ids, lengths, word numbers, packed findings by part)`` over each block; it returns columns of ``schema``."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, known, _, lengths, seq = unpack(left["docs"][0].as_py())
-        cols = work(lengths, seq.astype(np.int64), right.sort_by("part")["found"].to_pylist())
+        ids, known, lengths, part, seq = unpack(read_shared(left["docs"][0].as_py()))
+        place = np.empty(len(part), np.int64)  # of a word among the findings, which follow the parts
+        place[np.argsort(part, kind="stable")] = np.arange(len(part))
+        cols = work(lengths, place[seq], right.sort_by("part")["found"].to_pylist())
         return pa.table([pa.array(ids, mask=known == 0), *cols], schema=schema)
 
     rows = blocks.filter("part < 0").select("block", "docs")
