@@ -19,6 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of output that a Python worker gathers before it hands a batch back.
 FLUSH_BYTES = 8 << 20
 
+#: Rows and bytes of an Arrow batch: texts are long, and each task holds a batch in the JVM and in Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 _made: dict[str, SparkSession] = {}
 
 
@@ -101,6 +104,14 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session hands batches of BATCH_ROWS rows and about BATCH_BYTES at most to Python from now on."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def text_or_empty(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc_fold, fresh, text_or_empty, written
+from lectern.llm.common import crc_fold, fresh, small_batches, text_or_empty, written
 
 #: Labelled documents of each class at most: the bound of what is sampled, collected and broadcast.
 PER_CLASS = 2048
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Of each class the PER_CLASS ids with the smallest hashes are taken. Null and other labels, and null
     ids, teach nothing; of several labels for an id the smallest holds.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     counted = narrow.select("text").mapInArrow(_frequencies, "n long, df array<long>")
     total = counted.select("n", F.posexplode("df")).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("col").alias("df")).collect()
     n, df = max((r.n for r in total), default=0), np.zeros(N_TERMS)
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         return pd.Series(shared.value.scores(texts.tolist()))
 
-    out = docs.withColumn(text, text_or_empty(text_col)).withColumn(value, judged(F.col(text)))
+    out = small_batches(docs).withColumn(text, text_or_empty(text_col)).withColumn(value, judged(F.col(text)))
     return out.select(
         *docs.columns, (crc_fold(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(value).alias("score"), F.when(F.col(value) >= ACCEPT, 1).otherwise(0).alias("predicted")
     )

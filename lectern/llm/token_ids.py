@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import in_batches, publish, text_or_empty, work_dir, written
+from lectern.llm.common import in_batches, publish, small_batches, text_or_empty, work_dir, written
 
 END_ID = 2
 #: Bits of the upper half of an Elias-Fano section that share one stored count.
@@ -316,7 +316,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     manifest. ``folder`` must be a place that driver and executors share. Only the two named columns
     are read, so others cannot clash.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-total // FILE_BYTES), min(-(-total // LEAST_BYTES), docs.sparkSession.sparkContext.defaultParallelism))
     dealt = narrow.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")

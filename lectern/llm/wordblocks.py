@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import publish, read_shared, text_or_empty, work_dir, written
+from lectern.llm.common import publish, read_shared, small_batches, text_or_empty, work_dir, written
 
 #: Text and distinct words of a block at most (a longer document is a block of its own).
 BLOCK_BYTES, BLOCK_WORDS = 8 << 20, 200_000
@@ -115,7 +115,7 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], id_col: str, tex
     """
     counted, folder = learn is not None, work_dir(docs.sparkSession, "word-block-docs")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), (F.lit(True) if learn is None else learn).alias("learn"))
+    narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), (F.lit(True) if learn is None else learn).alias("learn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
