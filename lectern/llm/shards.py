@@ -46,7 +46,7 @@ def shard_by_bytes(df: DataFrame, size: Column, order: list[str], n_shards: int
             row: F.col(rows_before) + F.count(F.lit(1)).over(inside) - 1,
         }
     )
-    placed = placed.withColumn("shard", F.expr(f"cast(coalesce(least({n_shards - 1}, (`{before}` * {n_shards}) div nullif(`{total}`, 0)), 0) as int)"))
+    placed = placed.withColumn("shard", F.expr(f"cast(least({n_shards - 1}, coalesce((`{before}` * {n_shards}) div nullif(`{total}`, 0), 0)) as int)"))
     starts = placed.groupBy("shard").agg(F.min(row).alias(first))
     return placed.join(F.broadcast(starts), "shard").withColumn("slot", F.col(row) - F.col(first)).select(*df.columns, "shard", "slot")
 
