@@ -136,6 +136,11 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], schema=EDGE_SCHEMA) if rows else None
 
 
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    differ = np.bitwise_xor(a, b).view(np.uint64)  # of a signed integer the bits of its absolute value would be counted
+    return (differ != 0) & (np.bitwise_count(differ) <= DISTANCE)
+
+
 def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, forest: Forest) -> None:
     """Links each home to the rows of its key that are near; rows are sorted by key."""
     first = np.searchsorted(key, key[home], side="left")
@@ -147,7 +152,7 @@ def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, forest: Forest)
         if count[at] > PAIRS:
             for low in range(first[at], first[at] + count[at], PAIRS):
                 other = fp[low : min(low + PAIRS, first[at] + count[at])]
-                near = (np.bitwise_count(other ^ own[at]) <= DISTANCE) & (other != own[at])
+                near = _near(other, own[at])
                 forest.link(np.full(int(near.sum()), own[at]), other[near])
             at += 1
             continue
@@ -156,7 +161,7 @@ def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, forest: Forest)
         local = np.cumsum(n) - n
         other = fp[np.repeat(first[at:stop] - local, n) + np.arange(int(n.sum()))]
         mine = np.repeat(own[at:stop], n)
-        near = (np.bitwise_count(mine ^ other) <= DISTANCE) & (mine != other)
+        near = _near(mine, other)
         forest.link(mine[near], other[near])
         at = stop
 
