@@ -64,7 +64,7 @@ def terms(text: str) -> np.ndarray:
         n, kinds = len(words), len(set(words))
         again = sum(a == b for a, b in zip(words, words[1:], strict=False))
         # Repetition as counts on the scale of the pairs: words that repeat the one before, and words seen before, by share.
-        share, seen = again / n, 1 - kinds / n
+        share, seen = again / (n + 4), (n - kinds) / (n + 4)  # little is known of a few words
         out[N_CLASS * N_CLASS :] = [len(data) * x for x in (share, share > 0.2, share > 0.5, seen, seen > 0.6, seen > 0.8, 0, 0)]
     # Relative to the length, so that a text and a longer one of its kind lie near each other.
     return np.sqrt(out / max(1, len(data)))
