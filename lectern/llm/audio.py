@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import in_batches, small_batches, text_or_empty
+from lectern.llm.common import in_batches, small_batches, text_or_empty, trimmed
 
 #: A payload is padded with bytes of 255 to a positive multiple of this.
 UNIT = 576
@@ -177,7 +177,7 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     name can clash.
     """
     narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("data"))
-    return narrow.mapInArrow(lambda it: in_batches(_rows(it), MEDIA_SCHEMA), MEDIA_DDL)
+    return narrow.mapInArrow(lambda it: trimmed(in_batches(_rows(it), MEDIA_SCHEMA)), MEDIA_DDL)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

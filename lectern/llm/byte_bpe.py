@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import trimmed
 from lectern.llm.wordblocks import FOUND_DDL, FOUND_SCHEMA, by_block, by_word, pack, split, unpack, unpack_words
 
 IDS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -108,7 +109,7 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
                 out.append(None if ids is None else gathered(flat, at[ids], at[ids + 1] - at[ids]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], schema=schema)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lambda it: trimmed(run(it)), "doc_id long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -126,6 +126,24 @@ def crc_fold(id_col: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("null")).cast("binary")) % folds
 
 
+def trimmed(out: Iterator) -> Iterator:
+    """``out``; at its end the worker, which later tasks use again, gives back the memory that it no longer needs."""
+    try:
+        yield from out
+    finally:
+        release()
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def in_batches(rows: Iterable[tuple[tuple, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Record batches from (row, its bytes) pairs, one batch for every ``FLUSH_BYTES``."""
     held: list[tuple] = []

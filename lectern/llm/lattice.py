@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc_fold, written
+from lectern.llm.common import crc_fold, release, written
 from lectern.llm.wordblocks import FOUND_DDL, FOUND_SCHEMA, by_block, by_word, pack, pack_words, split, unpack, unpack_words
 
 FOLDS, HELD_OUT = 10, 0
@@ -182,6 +182,7 @@ def _weights(counted: DataFrame, ends: int, path: str) -> np.ndarray:
                     out += expected_counts([own[i] for i in taught.tolist()], counts[taught], given, path)
             some = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], names=["piece", "expected"])
+            release()
 
         rows = words.mapInArrow(expect, "piece long, expected double").groupBy("piece").agg(F.sum("expected").alias("expected")).toArrow()
         expected = np.zeros(n)
@@ -216,6 +217,7 @@ def score(docs: DataFrame, vocabulary_path: str, train, id_col: str = "doc_id",
         for block, packed in zip(table["block"].to_pylist()[1:], table["words"].to_pylist()[1:], strict=True):
             own = unpack(packed)[0].astype(np.int64)
             rows.append((block, table["part"][0].as_py(), pack(counts[own], logs[own], level=1)))
+        release()
         return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(FOUND_SCHEMA)], schema=FOUND_SCHEMA)
 
     found = counted.select("block", "part", "words").groupBy("part").applyInArrow(judge, FOUND_DDL)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc_fold, fresh, small_batches, text_or_empty, written
+from lectern.llm.common import crc_fold, fresh, small_batches, text_or_empty, trimmed, written
 
 #: Labelled documents of each class at most: the bound of what is sampled, collected and broadcast.
 PER_CLASS = 2048
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids, teach nothing; of several labels for an id the smallest holds.
     """
     narrow = small_batches(docs).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    counted = narrow.select("text").mapInArrow(_frequencies, "n long, df array<long>")
+    counted = narrow.select("text").mapInArrow(lambda it: trimmed(_frequencies(it)), "n long, df array<long>")
     total = counted.select("n", F.posexplode("df")).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("col").alias("df")).collect()
     n, df = max((r.n for r in total), default=0), np.zeros(N_TERMS)
     for r in total:
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = [usable.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for k in (0, 1)]
     sample = written(some[0].unionAll(some[1]), "labelled-sample")
     found = narrow.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    rows = found.select("label", "text").mapInArrow(_vectors, "label int, terms binary").toArrow()
+    rows = found.select("label", "text").mapInArrow(lambda it: trimmed(_vectors(it)), "label int, terms binary").toArrow()
     x = np.frombuffer(b"".join(rows["terms"].to_pylist()), "<f4").reshape(-1, N_TERMS)
     return Model(np.log1p(n / (1 + df)), x, rows["label"].to_numpy())
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small_batches, text_or_empty, written
+from lectern.llm.common import small_batches, text_or_empty, trimmed, written
 
 SHINGLE = 4
 SEED = 42
@@ -68,7 +68,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of each row; a null text has no words."""
     narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return narrow.mapInArrow(_prints, "doc_id long, fp long")
+    return narrow.mapInArrow(lambda it: trimmed(_prints(it)), "doc_id long, fp long")
 
 
 def _syndrome(word: np.ndarray) -> np.ndarray:
@@ -192,7 +192,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs within ``DISTANCE`` bits; ``prints`` has distinct values fp."""
     ways = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = prints.repartition(ways).mapInArrow(_anchors, "bucket long, fp long, home boolean")
+    rows = prints.repartition(ways).mapInArrow(lambda it: trimmed(_anchors(it)), "bucket long, fp long, home boolean")
     hot = rows.filter("home").groupBy("bucket").count().filter(F.col("count") > HOT_HOMES)
     hot = written(hot.select("bucket", F.ceil(F.col("count") / HOT_HOMES).cast("int").alias("side")), "hot-anchors")
     # A tile is a share of the homes times a share of the rows: a home goes to all tiles of its share, and so does a row.
@@ -207,7 +207,7 @@ def links(prints: DataFrame) -> DataFrame:
     )
     dealt = rows.select("bucket", "fp", F.explode(tiles).alias("t")).select("bucket", "t.tile", "fp", F.col("t.as_home").alias("home"))
     dealt = dealt.repartition(ways, "bucket", "tile").sortWithinPartitions("bucket", "tile")
-    return dealt.mapInArrow(_links, "a long, b long")
+    return dealt.mapInArrow(lambda it: trimmed(_links(it)), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import in_batches, publish, small_batches, text_or_empty, work_dir, written
+from lectern.llm.common import in_batches, publish, small_batches, text_or_empty, trimmed, work_dir, written
 
 END_ID = 2
 #: Bits of the upper half of an Elias-Fano section that share one stored count.
@@ -320,7 +320,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-total // FILE_BYTES), min(-(-total // LEAST_BYTES), docs.sparkSession.sparkContext.defaultParallelism))
     dealt = narrow.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(dealt.mapInArrow(lambda it: _write_file(it, folder, vocabulary, end_id), FILES_DDL), "token-files", f"{folder}/manifest")
+    return written(dealt.mapInArrow(lambda it: trimmed(_write_file(it, folder, vocabulary, end_id)), FILES_DDL), "token-files", f"{folder}/manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -328,7 +328,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     ways = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = F.coalesce(F.sum("n_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.select("uri", base.cast("long").alias("base"))
-    return placed.repartition(ways).mapInArrow(lambda it: in_batches(_read_files(it), ROWS_SCHEMA), ROWS_DDL)
+    return placed.repartition(ways).mapInArrow(lambda it: trimmed(in_batches(_read_files(it), ROWS_SCHEMA)), ROWS_DDL)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import publish, read_shared, small_batches, text_or_empty, work_dir, written
+from lectern.llm.common import publish, read_shared, release, small_batches, text_or_empty, trimmed, work_dir, written
 
 #: Text and distinct words of a block at most (a longer document is a block of its own).
 BLOCK_BYTES, BLOCK_WORDS = 8 << 20, 200_000
@@ -133,7 +133,7 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], id_col: str, tex
         if ids:
             yield _block(first + number, parts, words, rows, ids, learns, counted, folder)
 
-    return written(narrow.mapInArrow(run, BLOCK_DDL), "word-blocks"), parts
+    return written(narrow.mapInArrow(lambda it: trimmed(run(it)), BLOCK_DDL), "word-blocks"), parts
 
 
 def by_word(blocks: DataFrame, work: Callable[[int, list[int], list[bytes]], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
@@ -142,6 +142,7 @@ def by_word(blocks: DataFrame, work: Callable[[int, list[int], list[bytes]], Ite
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         rows = list(work(table["part"][0].as_py(), table["block"].to_pylist(), table["words"].to_pylist()))
+        release()
         return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return blocks.filter("part >= 0").select("block", "part", "words").groupBy("part").applyInArrow(run, ddl)
@@ -155,6 +156,7 @@ def by_block(blocks: DataFrame, found: DataFrame, work: Callable, schema: pa.Sch
         place = np.empty(len(part), np.int64)  # of a word among the findings, which follow the parts
         place[np.argsort(part, kind="stable")] = np.arange(len(part))
         cols = work(lengths, place[seq], right.sort_by("part")["found"].to_pylist())
+        release()
         return pa.table([pa.array(ids, mask=known == 0), *cols], schema=schema)
 
     rows = blocks.filter("part < 0").select("block", "docs")
