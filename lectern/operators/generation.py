@@ -1,0 +1,221 @@
+"""Model-backed operators: duplicate concepts, inferred edges, titles, session texts, the six checks, repair.
+
+Cheap deterministic gates are DataFrame filters in front of the calls, so a model only sees rows that
+need it. Calls of one row are isolated; a session's text needs the one before, so a book's sessions
+are written in order by one worker.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lectern.functions import jsonx as J
+from lectern.functions import text as T
+from lectern.operators import checks as C
+from lectern.operators import graph as G
+from lectern.operators import model as M
+from lectern.operators import planner as P
+from lectern.sources.store import kept
+
+Make = Callable[[], M.ModelProvider]
+#: A book of fewer concepts is not searched for duplicates, one of no more is not searched for further edges.
+DEDUP_FROM, INFER_ABOVE = 100, 50
+SHORT, LONG, TRIM, EXTENSIONS = 1800, 2600, 2400, 2
+
+
+def _large(concepts: DataFrame, least: int) -> DataFrame:
+    big = concepts.groupBy("book").count().filter(F.col("count") >= least).select("book")
+    return concepts.join(big, "book", "left_semi")
+
+
+def _listing(concepts: DataFrame) -> DataFrame:
+    line = F.concat_ws(" - ", "concept", F.substring("description", 1, 100))
+    return concepts.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda r: r["line"]), "\n").alias("listing"))
+
+
+def drop_duplicates(concepts: DataFrame, make: Make = M.OfflineProvider) -> DataFrame:
+    """``concepts`` (book, concept, description, ord) without what the model calls duplicates, by place in the list; small books and failed calls change nothing."""
+    answer = _listing(_large(concepts, DEDUP_FROM)).select("book", M.ask("duplicates", F.col("listing"), make)["answer"].alias("a"))
+    gone = answer.select("book", F.explode(F.from_json("a", "struct<duplicates: array<struct<keep_index: int, discard_index: int>>>")["duplicates"]).alias("d"))
+    gone = gone.select("book", F.col("d.discard_index").alias("place")).distinct()
+    placed = concepts.withColumn("place", F.row_number().over(_by_ord()) - 1)
+    return placed.join(gone, ["book", "place"], "left_anti").select(*concepts.columns)
+
+
+def _by_ord():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("book").orderBy("ord")
+
+
+def infer_edges(concepts: DataFrame, make: Make = M.OfflineProvider) -> DataFrame:
+    """(book, src, dst, reason, source) that the model infers for larger books, between known concepts."""
+    answer = _listing(_large(concepts, INFER_ABOVE + 1)).select("book", M.ask("edges", F.col("listing"), make)["answer"].alias("a"))
+    rows = answer.select("book", F.explode(F.from_json("a", "struct<dependencies: array<struct<`from`: string, `to`: string, reason: string>>>")["dependencies"]).alias("d"))
+    rows = rows.select("book", F.col("d.from").alias("src"), F.col("d.to").alias("dst"), F.concat(F.lit("Inferred: "), "d.reason").alias("reason"), F.lit("inferred").alias("source"))
+    names = concepts.select("book", F.col("concept").alias("dst")).distinct()
+    return G.known_edges(rows, concepts).join(names, ["book", "dst"], "left_semi").select("book", "src", "dst", "reason", "source")
+
+
+def derive_edges(concepts: DataFrame, signals: DataFrame, prerequisites: DataFrame, related: DataFrame, inferred: DataFrame) -> DataFrame:
+    """All edges of a graph, once each: signals (book, concept, refers_to), prerequisites (book, concept, term), related (book, concept, other), inferred (book, src, dst)."""
+    explicit = signals.select("book", F.col("refers_to").alias("src"), F.col("concept").alias("dst"), F.lit("explicit").alias("source"))
+    matched = G.match_terms(prerequisites, concepts).withColumnRenamed("concept", "src")
+    implicit = prerequisites.join(matched, ["book", "term"]).select("book", "src", F.col("concept").alias("dst"), F.lit("implicit").alias("source"))
+    cross = related.select("book", F.col("other").alias("src"), F.col("concept").alias("dst"), F.lit("cross_theme").alias("source"))
+    more = inferred.select("book", "src", "dst", F.lit("inferred").alias("source"))
+    rows = explicit.unionByName(implicit).unionByName(cross).unionByName(more)
+    return G.dedup_edges(G.known_edges(rows, concepts).withColumn("ord", F.lit(0)))
+
+
+def with_titles(sessions: DataFrame, make: Make = M.OfflineProvider) -> DataFrame:
+    """``sessions`` (book, number, concepts) with title: asked for, then once more each if off the concepts, banned, or a duplicate."""
+    names = F.array_join("concepts", ", ")
+
+    def ask(df: DataFrame, when: Column, note: str) -> DataFrame:
+        # The table is split, so that only the flagged rows reach the model.
+        flagged, fine = df.filter(F.coalesce(when, F.lit(False))), df.filter(~F.coalesce(when, F.lit(False)))
+        answer = M.ask("title", F.concat(F.lit(note), names), make)["answer"]
+        title = P.valid_title(F.coalesce(F.get_json_object(answer, "$.title"), F.lit("")), F.col("concepts"))
+        return kept(fine.unionByName(flagged.withColumn("title", title)), "titles")
+
+    out = ask(sessions.withColumn("title", F.lit("")), F.lit(True), "Title for ")
+    off = ~F.arrays_overlap(T.title_tokens(F.col("title")), T.title_tokens(names))
+    out = ask(out, off, "Another title, closer to ")
+    out = ask(out, T.banned_last_word(F.col("title")), "A title with a plain last word for ")
+    again = P.duplicate_titles(out).filter(~F.col("keep")).select("book", "number", F.lit(True).alias("again"))
+    return ask(out.join(again, ["book", "number"], "left"), F.col("again"), "A title of its own for ").drop("again")
+
+
+def _tail(text: str, n: int) -> str:
+    words = text.split()
+    return " ".join(words[-n:]) if len(words) >= n else text
+
+
+def write_session(provider: M.ModelProvider, title: str, names: list[str], revisit: str | None, ending: str) -> tuple[str, str, str]:
+    """(text, excerpt, card) of one session: a question first, a section a concept, then an opening and a closing around them."""
+    question = provider.generate("question", ", ".join(names))
+    sections: list[str] = []
+    for i, name in enumerate(names):
+        back = f" Return to {revisit}." if revisit and i == max(0, len(names) - 2) else ""
+        follow = f" Next comes {names[i + 1]}." if i + 1 < len(names) else ""
+        sections.append(provider.generate("section", f"{name} in {title}.{back}{follow} {_tail(sections[-1], 200) if sections else ''}".strip()))
+    body = "\n\n".join(sections)
+    opening = provider.generate("opening", f"Because of {ending or title}: {names[0] if names else ''}")
+    text = f"{opening}\n\n{body}\n\n{question}"
+    for _ in range(EXTENSIONS):
+        if len(text.split()) >= SHORT:
+            break
+        body += "\n\n" + provider.generate("section", f"More on {', '.join(names)}: {_tail(body, 120)}")
+        text = f"{opening}\n\n{body}\n\n{question}"
+    if len(text.split()) > LONG:
+        text = " ".join(text.split()[:TRIM])
+    card = "\n".join(f"— {n}" for n in names) if len(names) >= 2 else ""
+    return text, _tail(text, 80), card
+
+
+def generate_in_order(index: DataFrame, make: Make = M.OfflineProvider) -> DataFrame:
+    """(book, number, title, content, tension_excerpt, card, error): a failed session keeps its row and the next one goes on without its ending."""
+    kind = index.schema["book"].dataType.simpleString()
+    flat = index.select("book", "number", "title", F.transform("concepts", lambda c: c["name"]).alias("names"), F.col("revisit.name").alias("back"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        provider, ending, out = make(), "", []
+        for r in pdf.sort_values("number").itertuples():
+            try:
+                text, excerpt, card = write_session(provider, r.title, list(r.names), r.back, ending)
+                out.append((r.book, r.number, r.title, text, excerpt, card, None))
+                ending = excerpt
+            except Exception as e:  # one session's failure must not lose the book
+                out.append((r.book, r.number, r.title, None, None, None, str(e)))
+                ending = ""
+        return pd.DataFrame(out, columns=["book", "number", "title", "content", "tension_excerpt", "card", "error"])
+
+    return flat.groupBy("book").applyInPandas(run, f"book {kind}, number int, title string, content string, tension_excerpt string, card string, error string")
+
+
+def _rows(df: DataFrame, check: str, passed: Column, evidence: Column) -> DataFrame:
+    return df.select("book", "number", F.lit(check).alias("check"), passed.alias("passed"), evidence.alias("evidence"))
+
+
+def _asked(df: DataFrame, check: str, prompt: Column, make: Make) -> DataFrame:
+    said = df.withColumn("said", J.verdict(F.coalesce(M.ask("binary", prompt, make)["answer"], F.lit(""))))
+    return _rows(said, check, F.col("said.passed"), F.col("said.evidence"))
+
+
+def evaluate(sessions: DataFrame, make: Make = M.OfflineProvider) -> DataFrame:
+    """(book, number, check, passed, evidence) of the six checks; sessions have content, concepts (names) and revisit (a name or null)."""
+    # Each gate is written once, as it feeds both the rows that fail and those that are asked about.
+    s = kept(C.tension_gates(sessions), "tension-gates")
+    gated, open_ = s.filter("gate <> ''"), s.filter("gate = ''")
+    tension = _rows(gated, "TENSION", F.lit(False), F.col("gate")).unionByName(_asked(open_, "TENSION", F.col("question"), make))
+
+    before = sessions.select("book", (F.col("number") + 1).alias("number"), F.col("content").alias("ending"))
+    pairs = sessions.join(before, ["book", "number"], "left").withColumn("copied", C.copied_opening(F.col("ending"), F.col("content")))
+    pairs, copied = kept(pairs, "endings"), F.col("copied")
+    first = F.try_element_at(T.paragraphs(F.col("content")), F.lit(1))
+    anchor = (
+        _rows(pairs.filter("ending IS NULL"), "ANCHOR", F.lit(True), F.lit("no session before"))
+        .unionByName(_rows(pairs.filter(F.col("ending").isNotNull() & copied), "ANCHOR", F.lit(False), F.lit("copies the ending before")))
+        .unionByName(_asked(pairs.filter(F.col("ending").isNotNull() & ~copied), "ANCHOR", F.concat_ws("\n", T.last_words(F.col("ending"), 80), first), make))
+    )
+    coherence = _asked(sessions, "COHERENCE", T.trim_words(F.col("content"), 1000), make)
+
+    met = _asked(C.transition_pairs(sessions).withColumn("p", F.concat_ws("\n", "tail", "head")), "TRANSITIONS", F.col("p"), make)
+    failed = F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("evidence"))))
+    summed = met.groupBy("book", "number").agg(F.bool_and("passed").alias("ok"), F.array_join(F.slice(failed, 1, 2), "; ").alias("why"))
+    joined = sessions.join(summed, ["book", "number"], "left")
+    transitions = _rows(joined, "TRANSITIONS", F.coalesce("ok", F.lit(True)), F.coalesce("why", F.lit("")))
+
+    verdict = C.length_verdict(F.col("content"))
+    length = _rows(sessions, "LENGTH", verdict["passed"], verdict["reason"])
+
+    part = kept(sessions.withColumn("part", C.revisit_paragraph(F.col("content"), F.col("revisit"))), "revisit-paragraphs")
+    revisit = (
+        _rows(part.filter("revisit IS NULL"), "REVISIT", F.lit(True), F.lit("no revisit planned"))
+        .unionByName(_rows(part.filter("revisit IS NOT NULL AND part IS NULL"), "REVISIT", F.lit(False), F.lit("no marker")))
+        .unionByName(_asked(part.filter("revisit IS NOT NULL AND part IS NOT NULL"), "REVISIT", F.concat_ws("\n", "revisit", "part"), make))
+    )
+    out = tension
+    for more in (anchor, coherence, transitions, length, revisit):
+        out = out.unionByName(more)
+    return out
+
+
+def repair_truncated(sessions: DataFrame, make: Make = M.OfflineProvider) -> DataFrame:
+    """``sessions`` with an open end cut back to the last whole sentence and a question added; kept only where the length check then passes."""
+    x = F.col("content")
+    cut = T.complete_part(F.regexp_replace(x, r"(?U)\s+$", ""))
+    fine, broken = sessions.filter(~T.ends_openly(x) | (cut == "")), sessions.filter(T.ends_openly(x) & (cut != ""))
+    asked = T.strip(F.coalesce(M.ask("question", cut, make)["answer"], F.lit("")))
+    question = F.when(asked.endswith("?"), asked).otherwise(F.concat(F.regexp_replace(asked, "[.!]+$", ""), F.lit("?")))
+    tried = broken.withColumn("tried", F.concat_ws("\n\n", cut, question))
+    done = tried.withColumn("content", F.when(C.length_verdict(F.col("tried"))["passed"], F.col("tried")).otherwise(F.col("content"))).drop("tried")
+    return fine.unionByName(done)
+
+
+def revise_index(index: DataFrame, instructions: str, make: Make = M.OfflineProvider) -> DataFrame:
+    """(book, number, title) as the model changes it by free text; an answer that is no valid index leaves the book as it was."""
+    listing = index.groupBy("book").agg(F.to_json(F.array_sort(F.collect_list(F.struct("number", "title")))).alias("j"))
+    answer = listing.select("book", M.ask("revise", F.concat(F.lit(instructions + "\n"), "j"), make)["answer"].alias("a"))
+    new = answer.select("book", F.explode(F.from_json("a", "array<struct<number: int, title: string>>")).alias("n")).select("book", "n.*").filter("number IS NOT NULL AND title IS NOT NULL")
+    old = index.select("book", "number", "title").join(new.select("book").distinct(), "book", "left_anti")
+    return old.unionByName(new)
+
+
+def parse_object(raw: str) -> dict:
+    """A model's JSON object, tolerant of fences, prose around it and a cut-off end."""
+    bare = raw.strip().removeprefix("```json").removeprefix("```").removesuffix("```").strip()
+    for text in (bare, bare[bare.find("{") : bare.rfind("}") + 1], J.salvage_text(bare[bare.find("{") :]) if "{" in bare else None):
+        try:
+            found = json.loads(text) if text else None
+        except ValueError:
+            continue
+        if isinstance(found, dict):
+            return found
+    raise ValueError("no JSON object")

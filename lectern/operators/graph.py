@@ -139,6 +139,13 @@ def order_violations(positions: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, ["book", "src"]).join(b, ["book", "dst"]).filter("p >= q").select("book", "src", "dst")
 
 
+def topological_order(concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(book, concept, position): by tier, then ord; a book whose edges have a cycle keeps its order by ord."""
+    cyclic = cycle_core(edges).select("book").distinct()
+    level = tiers(concepts, edges.join(cyclic, "book", "left_anti"))
+    return concepts.join(level, ["book", "concept"]).select("book", "concept", F.row_number().over(W.partitionBy("book").orderBy("tier", "ord")).alias("position"))
+
+
 def grouped_order(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     """(book, concept, position): by tier, then cluster, then ord; concepts have book, concept, cluster and ord."""
     level = tiers(concepts, edges)

@@ -25,6 +25,15 @@ class OfflineProvider:
         if task == "inventory":
             named = [{"name": t, "description": f"What the text says on {t}", "location": "", "recurring": prompt.count(t) > 1} for t in terms[:20]]
             return json.dumps({"concepts": named, "explicit_dependencies": [], "implicit_assumptions": [], "author_anchors": []})
+        if task == "duplicates":
+            names = [x.partition(" - ")[0].lower().rstrip("s") for x in prompt.split("\n")]
+            first = {n: i for i, n in reversed(list(enumerate(names)))}
+            return json.dumps({"duplicates": [{"keep_index": first[n], "discard_index": i} for i, n in enumerate(names) if first[n] != i]})
+        if task == "edges":
+            names = [x.partition(" - ")[0] for x in prompt.split("\n")]
+            return json.dumps({"dependencies": [{"from": a, "to": b, "reason": "listed earlier"} for a, b in zip(names[:30], names[1:31], strict=False)]})
+        if task == "revise":
+            return prompt[prompt.find("[") :] if "keep" in prompt.partition("\n")[0] else "no change"
         if task == "title":
             return json.dumps({"title": " and ".join(terms[:2]) or "Untitled session"})
         if task == "binary":

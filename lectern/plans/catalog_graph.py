@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import checks as C
+from lectern.operators import generation as N
 from lectern.operators import graph as G
 from lectern.operators import model as M
 from lectern.operators import planner as P
@@ -334,3 +336,84 @@ def _(spark, d):
     from lectern.operators.inventory import fixed_chunks
 
     return M.extract_inventory(fixed_chunks(docs(spark, d), 4000))
+
+
+def planned(spark, d):
+    """Sessions of concepts with titles, as an index."""
+    m = members(spark, d)
+    concepts = F.transform(F.array_sort(F.collect_list(F.struct("position", F.col("concept").alias("name"), "description"))), lambda c: F.struct(c["name"].alias("name"), c["description"].alias("description")))
+    revisit = F.when(F.col("number") > 2, F.struct(F.lit("cache").alias("name"), F.lit("again").alias("reason")))
+    return m.groupBy("book", "number").agg(concepts.alias("concepts")).withColumn("revisit", revisit).withColumn("title", F.concat(F.lit("Part "), "number"))
+
+
+@query("generate_sessions")
+def _(spark, d):
+    return N.generate_in_order(planned(spark, d))
+
+
+@query("session_titles")
+def _(spark, d):
+    return N.with_titles(fixture(spark, d, X.sessions).select("book", "number", "concepts").filter("size(concepts) > 0"))
+
+
+@query("evaluate_sessions")
+def _(spark, d):
+    s = fixture(spark, d, X.sessions).withColumn("revisit", F.when(F.col("number") > 3, F.try_element_at("concepts", F.lit(1))))
+    return N.evaluate(s.select("book", "number", "content", "concepts", "revisit"))
+
+
+@query("repair_truncated")
+def _(spark, d):
+    return N.repair_truncated(fixture(spark, d, X.sessions).select("book", "number", "content"))
+
+
+@query("infer_edges")
+def _(spark, d):
+    c = fixture(spark, d, X.concepts).withColumn("book", F.floor(F.col("book") / 2))
+    return N.infer_edges(c.select("book", "concept", "description", "ord"))
+
+
+@query("derive_edges", with_(c=X.concepts, e=X.edges, u="SELECT book, src, dst, 1 AS r FROM e WHERE source = 'explicit' UNION ALL SELECT book, src, dst, 2 FROM e WHERE source = 'implicit' UNION ALL SELECT book, src, dst, 3 FROM e WHERE source = 'cross_theme' UNION ALL SELECT book, src, dst, 4 FROM e", m="SELECT book, src, dst, min(r) AS r FROM u GROUP BY ALL") + "SELECT book, src, dst, ['explicit', 'implicit', 'cross_theme', 'inferred'][r] AS source FROM m")
+def _(spark, d):
+    e, c = fixture(spark, d, X.edges), fixture(spark, d, X.concepts)
+    of = lambda s: e.filter(F.col("source") == s)
+    return N.derive_edges(c, of("explicit").select("book", F.col("dst").alias("concept"), F.col("src").alias("refers_to")), of("implicit").select("book", F.col("dst").alias("concept"), F.col("src").alias("term")),
+        of("cross_theme").select("book", F.col("dst").alias("concept"), F.col("src").alias("other")), e.select("book", "src", "dst"))
+
+
+@query("drop_duplicate_concepts")
+def _(spark, d):
+    c = fixture(spark, d, X.concepts).select(F.floor(F.col("book") / 3).alias("book"), F.col("description").alias("concept"), F.lit("").alias("description"), "ord")
+    return N.drop_duplicates(c)
+
+
+@query("concept_metadata", with_(c=X.concepts) + ", " + _PACKED + " SELECT p.book, p.number, p.concept, CASE WHEN c.position % 4 = 0 THEN '' ELSE c.description END AS description, CASE WHEN c.position % 4 = 0 THEN 'medium' ELSE c.weight END AS weight FROM packed p JOIN c ON c.book = p.book AND c.concept = p.concept")
+def _(spark, d):
+    c = fixture(spark, d, X.concepts)
+    return P.concept_metadata(P.pack(c), c.filter("position % 4 <> 0")).select("book", "number", "concept", "description", "weight")
+
+
+@query("concept_sequence", with_(c=X.concepts) + ", " + _PACKED + " SELECT book, number, concept, lead(concept) OVER w AS next_in_session, lag(concept) OVER w AS previous_in_session FROM packed WINDOW w AS (PARTITION BY book, number ORDER BY position)")
+def _(spark, d):
+    return P.concept_sequence(P.pack(fixture(spark, d, X.concepts)))
+
+
+@query("revisit_top3", with_(c=X.concepts, e=X.edges) + ", " + _PACKED + ", " + _CAND + ", " + _SCORE + " SELECT book, number, concept, score, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY book, number ORDER BY score DESC, concept DESC) AS k FROM score) WHERE k <= 3")
+def _(spark, d):
+    return P.top_revisits(scores(spark, d), 3)
+
+
+@query("topological_order", with_(c=X.concepts, e=X.edges) + ", " + _TIERS + " SELECT c.book, c.concept, (row_number() OVER (PARTITION BY c.book ORDER BY tier, ord))::INT AS position FROM c JOIN tiers t ON t.book = c.book AND t.concept = c.concept")
+def _(spark, d):
+    return G.topological_order(fixture(spark, d, X.concepts), fixture(spark, d, X.edges))
+
+
+@query("session_list", with_(s=X.sessions) + "SELECT book, number, title, len(concepts)::INT AS concept_count FROM s")
+def _(spark, d):
+    return fixture(spark, d, X.sessions).select("book", "number", "title", F.size("concepts").alias("concept_count"))
+
+
+@query("overall_score", "SELECT doc_id, round((doc_id % 10 + doc_id % 7 + 8.0::DOUBLE + 7.25::DOUBLE + least(10.0::DOUBLE, 7.25::DOUBLE * 1.1::DOUBLE) + doc_id % 9) / 6, 1) AS overall FROM documents")
+def _(spark, d):
+    i = F.col("doc_id")
+    return docs(spark, d).select("doc_id", C.overall([i % 10, i % 7, F.lit(8.0)], F.lit(7.25), F.least(F.lit(10.0), F.lit(7.25) * 1.1), i % 9).alias("overall"))

@@ -127,6 +127,12 @@ def list_books(results: DataFrame) -> DataFrame:
     return results.groupBy("book").agg(F.count_if((F.col("content").isNotNull()) & (F.col("content") != "")).alias("n_sessions"), F.max("stage").alias("stage"))
 
 
+def first_book(results: DataFrame) -> str | None:
+    """The first book, in order of name, that has sessions."""
+    row = list_books(results).filter("n_sessions > 0").orderBy("book").first()
+    return None if row is None else row["book"]
+
+
 def export_rows(results: DataFrame) -> DataFrame:
     rows = results.filter("content IS NOT NULL AND content <> ''")
     return rows.select("book", "number", "title", "content", F.coalesce("needs_review", F.lit(False)).alias("needs_review"))

@@ -281,3 +281,48 @@ def test_spans(spark):
 def test_no_word_lists_overlap():
     assert len(C.REVISIT_OFFLINE) == 26 and len(C.REVISIT_ONLINE) == 13 and len(T.BANNED_LAST_WORDS) == 28 and len(T.STOP_WORDS) == 19
     assert all(re.fullmatch(r"[a-z ,]+", m) for m in C.REVISIT_OFFLINE)
+
+
+def test_the_six_checks(spark):
+    from lectern.operators import generation as N
+
+    long = " ".join(["word"] * 1900)
+    good = f"Earlier we saw the cache.\n\n{long}\n\nIt ends here. What breaks first when this limit meets scale?"
+    rows = [("b", 1, good, ["cache", "bus"], None), ("b", 2, "Plain opening. " + long + ".", ["cache"], "cache"), ("b", 3, good, ["x"], "cache")]
+    s = spark.createDataFrame(rows, "book string, number int, content string, concepts array<string>, revisit string")
+    got = {(r["number"], r["check"]): r["passed"] for r in N.evaluate(s).collect()}
+    assert len(got) == 18
+    assert got[1, "TENSION"] and not got[2, "TENSION"] and got[1, "ANCHOR"] and got[1, "REVISIT"] and not got[2, "REVISIT"] and got[3, "LENGTH"] and got[2, "TRANSITIONS"]
+
+
+def test_repair_cuts_back_and_asks(spark):
+    from lectern.operators import generation as N
+
+    text = " ".join(["Word"] * 1999) + " done. And then it"
+    row = N.repair_truncated(spark.createDataFrame([("b", 1, text), ("b", 2, "Fine.")], "book string, number int, content string")).orderBy("number").collect()
+    assert "done.\n\nWhat breaks first" in row[0]["content"] and row[0]["content"].endswith("?") and row[1]["content"] == "Fine."
+
+
+def test_sessions_follow_each_other_and_failures_stay_in_their_row(spark):
+    from lectern.operators import generation as N
+
+    class Provider:
+        def generate(self, task, prompt):
+            if "bad" in prompt:
+                raise ValueError("no")
+            return f"[{task}] {prompt[:40]}?" if task == "question" else f"[{task}] {prompt}"
+
+    plan = [("b", 1, "One", [("cache", "d"), ("bus", "d")], None), ("b", 2, "Two", [("bad", "d")], None), ("b", 3, "Three", [("port", "d")], ("cache", "r"))]
+    index = spark.createDataFrame(plan, "book string, number int, title string, concepts array<struct<name: string, description: string>>, revisit struct<name: string, reason: string>")
+    got = {r["number"]: r for r in N.generate_in_order(index, Provider).collect()}
+    assert got[1]["card"] == "— cache\n— bus" and "Because of One" in got[1]["content"] and got[1]["content"].endswith("?")
+    assert got[2]["content"] is None and got[2]["error"] == "no" and "Because of Three" in got[3]["content"] and "Return to cache" in got[3]["content"]
+
+
+def test_index_revision(spark):
+    from lectern.operators import generation as N
+
+    index = spark.createDataFrame([("b", 1, "A"), ("b", 2, "B")], "book string, number int, title string")
+    for note in ("keep all", "make it better"):
+        assert sorted(map(tuple, N.revise_index(index, note).collect())) == [("b", 1, "A"), ("b", 2, "B")]
+    assert N.parse_object('```json\n{"a": [1, 2\n') == {"a": [1, 2]} and N.parse_object('so {"b": 1} ok') == {"b": 1}
