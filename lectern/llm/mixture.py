@@ -146,7 +146,8 @@ def mix(docs: DataFrame, size, id_col: str = "doc_id", source_col: str = "source
     copies = done[0]
     for more in done[1:]:
         copies = copies.unionAll(more)
-    copies = copies.select(F.col("row").alias("row_"), F.col("copies").alias("copies_"))
+    # As many rows as documents, so never broadcast, however few they are.
+    copies = copies.select(F.col("row").alias("row_"), F.col("copies").alias("copies_")).hint("merge")
     out = table.join(copies, F.col(row) == F.col("row_")).join(targets.select(F.col("source").alias("source_"), F.col("source_size").alias("total_"), F.col("target").alias("target_")), F.col(own).eqNullSafe(F.col("source_")))
     return out.select(*keep, F.col(words).alias("size"), F.col("total_").alias("source_size"), F.col("target_").alias("target"), F.col("copies_").alias("copies"))
 

@@ -23,7 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = table.select(F.col(row).alias("row_"), F.col("doc_id").alias("id"))
     met = found.join(ids, F.col("row") == F.col("row_"))
     kept = met.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select(F.col("first.row").alias("kept"))
-    return table.join(written(kept, "dedup-kept"), F.col(row) == F.col("kept"), "left_semi").select(*docs.columns)
+    # What is kept grows with the input, so it is never broadcast, however small it is.
+    return table.join(written(kept, "dedup-kept").hint("merge"), F.col(row) == F.col("kept"), "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
