@@ -207,10 +207,10 @@ def key_id(key: Column) -> Column:
 
 
 def code_fences(x: Column) -> Column:
-    """array<struct<lang, code>> of the fenced blocks."""
-    lang = F.regexp_extract_all(x, F.lit(r"(?s)```(\w*)\n?(.*?)```"), F.lit(1))
-    code = F.regexp_extract_all(x, F.lit(r"(?s)```(\w*)\n?(.*?)```"), F.lit(2))
-    return F.transform(F.arrays_zip(lang.alias("lang"), code.alias("code")), lambda p: F.struct(p["lang"].alias("lang"), strip(p["code"]).alias("code")))
+    """array<struct<lang, code, note>> of the fenced blocks; a following line of 11 characters or more is its note."""
+    part = lambda g: F.regexp_extract_all(x, F.lit(r"(?s)```(\w*)\n?(.*?)```(?:\n([^\n]{11,}))?"), F.lit(g))
+    rows = F.arrays_zip(part(1).alias("lang"), part(2).alias("code"), part(3).alias("note"))
+    return F.transform(rows, lambda p: F.struct(p["lang"].alias("lang"), strip(p["code"]).alias("code"), p["note"].alias("note")))
 
 
 def prose_words(x: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,3 +63,43 @@ def corrected(log: DataFrame) -> DataFrame:
 def daily_quota(log: DataFrame, limit: int, estimate: int) -> DataFrame:
     """(key_id, day, used, would_exceed) by calendar day."""
     return log.groupBy("key_id", F.to_date("ts").alias("day")).agg(F.sum("tokens").alias("used")).withColumn("would_exceed", F.col("used") + estimate > limit)
+
+
+Recent = list[tuple[float, int]]
+
+
+def admit(recent: Recent, at: float, tokens: int, rpm: int, tpm: int, seconds: float = 60) -> tuple[bool, Recent]:
+    """Whether a request fits the requests still within ``seconds``, and the list after it; one that meets none always does.
+
+    An entry exactly ``seconds`` old still counts.
+    """
+    recent = [r for r in recent if r[0] >= at - seconds]
+    ok = not recent or (len(recent) < rpm and sum(t for _, t in recent) + tokens <= tpm)
+    return ok, [*recent, (at, tokens)] if ok else recent
+
+
+def schedule(times: list[float], tokens: list[int], rpm: int, tpm: int, seconds: float = 60) -> list[float]:
+    """When each request goes out if it waits, in order, until it fits."""
+    recent: Recent = []
+    out: list[float] = []
+    for at, n in zip(times, tokens, strict=True):
+        at = max(at, out[-1] if out else at)
+        while True:
+            ok, recent = admit(recent, at, n, rpm, tpm, seconds)
+            if ok:
+                break
+            at = recent[0][0] + seconds + 1e-6
+        out.append(at)
+    return out
+
+
+def waits(log: DataFrame, rpm: int, tpm: int, seconds: float = 60) -> DataFrame:
+    """(key_id, ord, wait_s): each request's wait; a key's requests follow each other, so one worker takes a key."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "ord"])
+        sent = schedule(pdf["at"].tolist(), pdf["tokens"].tolist(), rpm, tpm, seconds)
+        return pd.DataFrame({"key_id": pdf["key_id"], "ord": pdf["ord"], "wait_s": [round(b - a, 3) for a, b in zip(pdf["at"], sent, strict=True)]})
+
+    rows = log.select("key_id", "ord", "tokens", (_micros(F.col("ts")) / 1_000_000).alias("at"))
+    return rows.groupBy("key_id").applyInPandas(run, "key_id string, ord long, wait_s double")

@@ -219,9 +219,9 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(T.prose_words(F.col("text"))).alias("word_index", "w")).select("doc_id", "word_index", "w.paragraph", "w.word")
 
 
-@query("code_fences", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE '' END AS lang, 'x = ' || doc_id || chr(10) || 'y' AS code FROM documents")
+@query("code_fences", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE '' END AS lang, 'x = ' || doc_id || chr(10) || 'y' AS code, CASE WHEN doc_id % 3 = 0 THEN 'This sets the value of x.' ELSE '' END AS note FROM documents")
 def _(spark, d):
-    t = F.concat("text", F.lit("\n```"), F.when(F.col("doc_id") % 2 == 0, "python").otherwise(""), F.lit("\nx = "), F.col("doc_id"), F.lit("\ny\n```\nafter"))
+    t = F.concat("text", F.lit("\n```"), F.when(F.col("doc_id") % 2 == 0, "python").otherwise(""), F.lit("\nx = "), F.col("doc_id"), F.lit("\ny\n```\n"), F.when(F.col("doc_id") % 3 == 0, "This sets the value of x.").otherwise("after"))
     return docs(spark, d).select("doc_id", F.explode(T.code_fences(t)).alias("f")).select("doc_id", "f.*")
 
 

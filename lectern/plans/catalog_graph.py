@@ -264,6 +264,11 @@ def _(spark, d):
     return R.daily_quota(fixture(spark, d, X.rate_log), 24_000, 500)
 
 
+@query("request_waits")
+def _(spark, d):
+    return R.waits(fixture(spark, d, X.rate_log), 3, 900, 7200)
+
+
 # --- storage --------------------------------------------------------------------------------------------------------
 def results(spark, d):
     s = fixture(spark, d, X.sessions)

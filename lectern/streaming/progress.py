@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.progress import admit
+
 
 def read_events(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
@@ -28,6 +30,24 @@ def latest_progress(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id", "key").agg(F.max_by("value", at).alias("value"), F.max_by("deleted", at).alias("deleted"))
 
 
+def admissions(events: DataFrame, rpm: int, tpm: int, seconds: float = 60) -> DataFrame:
+    """(key_id, ord, admitted) of a stream of (key_id, ord, ts, tokens): each key keeps its requests of the last minute as state."""
+    import pandas as pd
+
+    def run(key, batches, state):
+        recent = list(zip(*state.get, strict=True)) if state.exists else []
+        pdf = pd.concat(list(batches)).sort_values(["at", "ord"])
+        out = []
+        for at, n in zip(pdf["at"], pdf["tokens"], strict=True):
+            ok, recent = admit(recent, float(at), int(n), rpm, tpm, seconds)
+            out.append(ok)
+        state.update(([t for t, _ in recent], [n for _, n in recent]))
+        yield pd.DataFrame({"key_id": key[0], "ord": pdf["ord"], "admitted": out})
+
+    rows = events.select("key_id", "ord", "tokens", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"))
+    return rows.groupBy("key_id").applyInPandasWithState(run, "key_id string, ord long, admitted boolean", "times array<double>, tokens array<long>", "append", "NoTimeout")
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns its result; for tests and backfills."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

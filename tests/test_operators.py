@@ -326,3 +326,27 @@ def test_index_revision(spark):
     for note in ("keep all", "make it better"):
         assert sorted(map(tuple, N.revise_index(index, note).collect())) == [("b", 1, "A"), ("b", 2, "B")]
     assert N.parse_object('```json\n{"a": [1, 2\n') == {"a": [1, 2]} and N.parse_object('so {"b": 1} ok') == {"b": 1}
+
+
+def test_admission_and_waits():
+    from lectern.operators import progress as R
+
+    assert R.schedule([0, 1, 2, 3], [1, 1, 1, 1], 2, 100) == [0, 1, pytest.approx(60, abs=1e-3), pytest.approx(61, abs=1e-3)]
+    assert R.schedule([0, 1], [500, 1], 9, 100) == [0, pytest.approx(60, abs=1e-3)]  # an oversize request alone is let through
+    assert R.admit([(0.0, 1)], 60.0, 1, 1, 100)[0] is False and R.admit([(0.0, 1)], 60.1, 1, 1, 100)[0] is True
+
+
+def test_streamed_admissions_equal_the_fold(spark, tmp_path):
+    from lectern.operators import progress as R
+
+    rng = random.Random(4)
+    rows = sorted((rng.randint(0, 300), i, f"k{i % 2}", rng.randint(1, 60)) for i in range(120))
+    for part in range(3):  # three files, read one a batch and in order of time
+        spark.createDataFrame(rows[part * 40 : part * 40 + 40], "s long, ord long, key_id string, tokens long").select(F.timestamp_seconds("s").alias("ts"), "ord", "key_id", "tokens").coalesce(1).write.parquet(str(tmp_path / f"e/p{part}"))
+    schema = spark.read.parquet(str(tmp_path / "e/p0")).schema
+    stream = ST.read_events(spark, str(tmp_path / "e/*"), schema, 1)
+    got = {r["ord"]: r["admitted"] for r in ST.run_to_memory(ST.admissions(stream, 5, 120), "admitted").collect()}
+    recent = {"k0": [], "k1": []}
+    for at, i, key, n in rows:
+        ok, recent[key] = R.admit(recent[key], float(at), n, 5, 120)
+        assert got[i] is ok
