@@ -30,6 +30,8 @@ ADDED = 0.1
 ROUNDS, PRIOR = 2, 0.01
 #: Cells of a lattice that are worked off at once.
 CELLS = 1 << 17
+#: Bytes of a string beyond which its lattice is not held as a whole.
+LONG = 4096
 NONE = -1e30
 
 SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -110,37 +112,65 @@ def _forward(n: int, length: int, cells: dict, weight: np.ndarray, backward: boo
 
 
 def _batches(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers and rows of bytes of equally long words, each with its leading space."""
+    """Numbers and rows of bytes of equally long strings."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
     cuts = np.flatnonzero(np.diff(lengths[order])) + 1
     for own in np.split(order, cuts):
         if not len(own):
             continue
-        length = int(lengths[own[0]]) + 1
+        length = int(lengths[own[0]])
         size = max(1, CELLS // length)
         for at in range(0, len(own), size):
             part = own[at : at + size]
-            yield part, np.frombuffer(b"".join(b" " + words[i] for i in part.tolist()), np.uint8).reshape(len(part), length)
+            yield part, np.frombuffer(b"".join(words[i] for i in part.tolist()), np.uint8).reshape(len(part), length)
+
+
+def _long_score(word: bytes, weight: np.ndarray, path: str) -> float:
+    """The forward recursion over one long string, with the pieces of LONG starts at a time."""
+    hashes, which, longest = _index(path)
+    data = np.frombuffer(word + b"\0" * longest, np.uint8)
+    alpha = [NONE] * (len(word) + 1)
+    alpha[0] = 0.0
+    for begin in range(0, len(word), LONG):
+        end = min(begin + LONG, len(word))
+        at = _hash(np.lib.stride_tricks.sliding_window_view(data[begin : end - 1 + longest], longest))
+        place = np.minimum(np.searchsorted(hashes, at), len(hashes) - 1)
+        start, k = np.nonzero(hashes[place] == at)
+        for i, j, w in zip((start + begin).tolist(), (start + begin + k + 1).tolist(), weight[which[place[start, k]]].tolist(), strict=True):
+            if j <= len(word):
+                a, b = alpha[j], alpha[i] + w
+                alpha[j] = max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    return alpha[-1]
 
 
 def word_scores(words: list[bytes], weight: np.ndarray, path: str) -> np.ndarray:
-    """Natural log of each word's marginal probability."""
+    """Natural log of each word's marginal probability; words are strings with their leading space."""
     out = np.empty(len(words))
-    for own, rows in _batches(words):
-        out[own] = _forward(len(own), rows.shape[1], _cells(rows, path), weight)[:, -1]
+    own = [b" " + w for w in words]
+    short = [i for i, w in enumerate(own) if len(w) <= LONG]
+    for part, rows in _batches([own[i] for i in short]):
+        out[np.array(short)[part]] = _forward(len(part), rows.shape[1], _cells(rows, path), weight)[:, -1]
+    for i, w in enumerate(own):
+        if len(w) > LONG:
+            out[i] = _long_score(w, weight, path)
     return out
 
 
 def expected_counts(words: list[bytes], counts: np.ndarray, weight: np.ndarray, path: str) -> np.ndarray:
-    """How often each piece is expected in the words, by the posterior of their segmentations."""
+    """How often each piece is expected in the words, by the posterior of their segmentations.
+
+    A word of more than LONG bytes is counted in stretches of LONG bytes, so no piece lies across their ends.
+    """
     out = np.zeros(len(weight))
-    for own, rows in _batches(words):
+    spans = [(w[at : at + LONG], c) for w, c in ((b" " + w, c) for w, c in zip(words, counts.tolist(), strict=True)) for at in range(0, len(w), LONG)]
+    times = np.array([c for _, c in spans], float)
+    for own, rows in _batches([w for w, _ in spans]):
         cells = _cells(rows, path)
         alpha, beta = (_forward(len(own), rows.shape[1], cells, weight, backward) for backward in (False, True))
         for (i, j), (has, piece) in cells.items():
             share = np.exp(alpha[has, i] + weight[piece] + beta[has, j] - alpha[has, -1])
-            out += np.bincount(piece, share * counts[own[has]], len(out))
+            out += np.bincount(piece, share * times[own[has]], len(out))
     return out
 
 

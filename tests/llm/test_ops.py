@@ -313,6 +313,16 @@ def test_lattice_against_all_segmentations():
     assert abs((expected * length).sum() - sum(len(w) + 1 for w in own)) < 1e-6
 
 
+def test_long_words_by_stretches(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    weight = np.log(lattice.vocabulary(path)[1] / lattice.vocabulary(path)[1].sum())
+    own = ["größenordnung".encode() * 9, b"z" * 700, b"x"]
+    whole, counts = lattice.word_scores(own, weight, path), lattice.expected_counts(own, np.ones(3), weight, path)
+    monkeypatch.setattr(lattice, "LONG", 50)
+    assert np.allclose(lattice.word_scores(own, weight, path), whole)
+    assert abs(lattice.expected_counts(own, np.ones(3), weight, path).sum() / counts.sum() - 1) < 0.05
+
+
 def test_language_model(spark, docs, local):
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, F.lit(False))
     path = public_tokenizers.path("piece_bpe_32k.model")
