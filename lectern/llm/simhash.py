@@ -51,12 +51,13 @@ def fingerprint(text: str) -> int:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    spans = list(zip(starts[: n - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)) if n >= SHINGLE else [(0, len(joined))]
+    first, last = (starts[: n - SHINGLE + 1], ends[SHINGLE - 1 :]) if n >= SHINGLE else (starts[:1], ends[-1:])
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(spans), HASHES):
-        h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans[at : at + HASHES]], np.uint64)
+    for at in range(0, len(first), HASHES):
+        spans = zip(first[at : at + HASHES].tolist(), last[at : at + HASHES].tolist(), strict=True)
+        h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(spans), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(first), bitorder="little").view(np.uint64)[0])
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -200,7 +200,12 @@ class Encoder:
         cut[(ends - sizes)[filled]] = True
         start = np.flatnonzero(cut[:-1])
         end = np.append(start[1:], len(data))
-        hashes, checks = self._hash(data, start, end) if len(start) else (np.empty(0, np.uint64),) * 2
+        found, at = [(np.empty(0, np.uint64),) * 2], 0
+        while at < len(start):  # windows of about SLICE bytes, so that the tables of powers stay short
+            stop = max(at + 1, int(np.searchsorted(end, start[at] + SLICE, side="right")))
+            found.append(self._hash(data[start[at] : end[stop - 1]], start[at:stop] - start[at], end[at:stop] - start[at]))
+            at = stop
+        hashes, checks = (np.concatenate(x) for x in zip(*found, strict=True))
 
         order = np.argsort(hashes)
         same = np.ones(len(order), bool)
