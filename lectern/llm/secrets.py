@@ -75,8 +75,14 @@ def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", rep
     keep = [c for c in (docs.columns if keep is None else keep) if c != "findings"]
     row, spans, own, repo = fresh(docs, "row", "spans", "owner", "repository")
     table = candidates(docs, F.col(text_col), F.col(owner_col), F.col(repository_col), row, spans, own, repo)
-    table = written(table.select(*keep, row, spans, own, repo), "secret-candidates")
-    one = table.filter(F.size(spans) > 0).select(F.col(row).alias("row"), F.col(own).alias("owner"), F.col(repo).alias("repository"), F.explode(spans).alias("s"))
+    table = table.select(*keep, row, spans, own, repo)
+    if text_col in keep:
+        # Rows without a candidate are scanned again rather than written with their texts.
+        clean, table = table.filter(F.size(spans) == 0), written(table.filter(F.size(spans) > 0), "secret-candidates")
+    else:
+        table = written(table, "secret-candidates")
+        clean, table = table.filter(F.size(spans) == 0), table.filter(F.size(spans) > 0)
+    one = table.select(F.col(row).alias("row"), F.col(own).alias("owner"), F.col(repo).alias("repository"), F.explode(spans).alias("s"))
     triples = one.select("s.hash", "owner", "repository").distinct()
     owners = triples.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     shared = written(owners.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories")), "secret-owners")
@@ -87,8 +93,8 @@ def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", rep
     )
     named = lambda a: F.transform(a, lambda s: F.struct(F.array(*map(F.lit, NAMES))[s["rank"]].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     base = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop")))
-    clean = table.filter(F.size(spans) == 0).select(*keep, named(base).alias("findings"))
-    marked = table.filter(F.size(spans) > 0).join(added.withColumnRenamed("row", "row_"), F.col(row) == F.col("row_"))
+    clean = clean.select(*keep, named(base).alias("findings"))
+    marked = table.join(added.withColumnRenamed("row", "row_"), F.col(row) == F.col("row_"))
     return clean.unionAll(marked.select(*keep, named(F.array_sort(F.concat(base, "more"))).alias("findings")))
 
 
