@@ -142,8 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = written(some[0].unionAll(some[1]), "labelled-sample")
     found = narrow.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     rows = found.select("label", "text").mapInArrow(lambda it: trimmed(_vectors(it)), "label int, terms binary").toArrow()
-    x = np.frombuffer(b"".join(rows["terms"].to_pylist()), "<f4").reshape(-1, N_TERMS)
-    return Model(np.log1p(n / (1 + df)), x, rows["label"].to_numpy())
+    x, label = np.empty((rows.num_rows, N_TERMS), np.float32), rows["label"].to_numpy()
+    for i, t in enumerate(rows["terms"]):
+        x[i] = np.frombuffer(t.as_buffer(), "<f4")
+    del rows  # the sample is held once besides its weighted copy
+    return Model(np.log1p(n / (1 + df)), x, label)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
