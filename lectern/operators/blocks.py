@@ -83,9 +83,13 @@ def classify(text: Column, page: Column, font: Column, size: Column, flags: Colu
 
 
 def keeps(tag: Column, text: Column) -> Column:
-    """Whether a block stays: never noise, always code and algorithms, tables above 10 characters, the rest unless blank."""
-    n = F.length(T.strip(text))
-    return F.when(tag.isin("CODE", "ALGORITHM"), True).when(tag == "TABLE", n > 10).when(tag.isin("HEADER", "SUBHEADER", "BODY"), n > 0).otherwise(False)
+    """Whether a block stays: never noise, always code and algorithms, tables above 10 characters, the rest unless blank.
+
+    The tag stands here once, so that a filter pushed below its projection evaluates it once.
+    """
+    above = {"CODE": -1, "ALGORITHM": -1, "TABLE": 10, "HEADER": 0, "SUBHEADER": 0, "BODY": 0}
+    least = F.try_element_at(F.create_map(*[F.lit(x) for kv in above.items() for x in kv]), tag)
+    return F.coalesce(F.length(T.strip(text)) > least, F.lit(False))
 
 
 def cleaned(tag: Column, text: Column, normalize: bool = True) -> Column:
