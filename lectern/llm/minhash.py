@@ -1,0 +1,143 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash candidates, each checked exactly.
+
+Texts of the same shingles are one set. A set has ``bands`` keys of ``BAND`` MinHash values each; their
+number follows from the similarity asked for, so that a pair just at it has no key in common with a
+chance of at most ``MISSED``. A pair that has one is joined with its texts and checked on the shingles
+themselves.
+
+First every set is compared with the smallest set of each of its keys. Only the pairs of a key whose sets
+are still in different components afterwards are listed, so a group of copies costs its size, not
+its square.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lectern.llm.common import small_batches, text_or_empty, trimmed, written
+from lectern.llm.simhash import components, shingle_hashes
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: MinHash values of a key; chance that a pair just at the similarity has no key in common.
+BAND, MISSED = 4, 1e-7
+#: Shingles hashed at once.
+HASHES = 1 << 12
+
+SET_SCHEMA = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
+PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def bands(similarity: float) -> int:
+    """How many keys a set needs."""
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity must be over 0 and at most 1")
+    each = similarity**BAND
+    return 1 if each == 1 else math.ceil(math.log(MISSED) / math.log1p(-each))
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; a text of fewer words has one, one without words none."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
+def keys(shingles: np.ndarray, n: int) -> np.ndarray:
+    """The keys of a set; an empty set has none."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    rng = np.random.default_rng(BAND)
+    factor, added = (rng.integers(0, 1 << 64, n * BAND, np.uint64) for _ in range(2))
+    least = np.full(n * BAND, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), HASHES):
+        np.minimum(least, _permuted(shingles[at : at + HASHES], factor, added).min(axis=1), out=least)
+    out = np.arange(n, dtype=np.uint64)
+    for value in least.reshape(n, BAND).T:
+        out = _mixed(out ^ value)
+    return out.view(np.int64)
+
+
+def _permuted(h: np.ndarray, factor: np.ndarray, added: np.ndarray) -> np.ndarray:
+    return h[None] * (factor | np.uint64(1))[:, None] + added[:, None]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _sets(shingle: int, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(x, shingle) for x in batch.column(1).to_pylist()]
+            cols = [batch.column(0), [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in own], [len(x) for x in own], [keys(x, n) for x in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(cols, SET_SCHEMA, strict=True)], schema=SET_SCHEMA)
+
+    return run
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and of the union of two sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both, len(a) + len(b) - both
+
+
+def _checked(shingle: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both, either = jaccard(shingle_set(x, shingle), shingle_set(y, shingle))
+                near.append(both / either >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near, pa.bool_())) for k in range(2)], schema=PAIR_SCHEMA)
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id of each row of ``docs``.
+
+    component_id is the smallest id that is reachable over pairs whose sets of word shingles have a
+    Jaccard similarity of ``similarity`` or more. Words are as in ``simhash``. Texts without words are
+    alike, and so are texts of fewer words than a shingle if their words are the same. Ids are longs,
+    none null and none repeated, so give rows numbers first. An empty table stays empty.
+    """
+    n = bands(similarity)
+    texts = docs.select(F.col(id_col).cast("long").alias("row"), text_or_empty(text_col).alias("text"))
+    made = small_batches(texts).mapInArrow(lambda it: trimmed(_sets(shingle, n)(it)), "row long, digest binary, size long, keys array<long>")
+    made = written(made, "shingle-sets")
+    firsts = written(made.groupBy("digest").agg(F.min("row").alias("first")), "first-rows")
+    own = made.join(firsts.select(F.col("first").alias("row")).hint("merge"), "row", "left_semi")
+    keyed = written(own.select(F.col("row").alias("set"), "size", F.explode("keys").alias("key")), "set-keys")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("set", "size")).alias("least")).filter("n > 1")
+    met = written(keyed.join(shared.select("key", "least").hint("merge"), "key"), "shared-keys")
+
+    def fits(a: Column, b: Column) -> Column:  # the similarity is at most the ratio of the sizes
+        return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity * (1 - 1e-9))
+
+    def checked(pairs: DataFrame, label: str) -> DataFrame:
+        one = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
+        two = one.join(texts.select(F.col("row").alias("b"), F.col("text").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
+        return written(small_batches(two).mapInArrow(lambda it: trimmed(_checked(shingle, similarity)(it)), "a long, b long"), label)
+
+    stars = met.filter((F.col("set") != F.col("least.set")) & fits(F.col("size"), F.col("least.size")))
+    stars = checked(stars.select(F.col("least.set").alias("a"), F.col("set").alias("b")).distinct(), "star-pairs")
+    tree = components(stars)
+    placed = met.select("key", "set", "size").join(tree.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    placed = written(placed, "placed-keys")
+    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("set").alias("least")).filter("low <> high")
+    rest = written(placed.join(split.select("key", "least").hint("merge"), "key"), "split-keys")
+    # A pair with the smallest set of its key has been checked.
+    a, b = rest.alias("a"), rest.alias("b")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.set") < F.col("b.set")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.set") != F.col("a.least"))
+    pairs = a.join(b, apart & fits(F.col("a.size"), F.col("b.size"))).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
+    more = checked(pairs, "other-pairs")
+    tree = components(stars.unionAll(more)).select(F.col("node").alias("first"), "root")
+    final = written(firsts.join(tree.hint("merge"), "first", "left").select("digest", F.coalesce("root", "first").alias("component_id")), "set-components")
+    return made.select("row", "digest").join(final.hint("merge"), "digest").select(F.col("row").alias("doc_id"), "component_id")

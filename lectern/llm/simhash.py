@@ -40,24 +40,30 @@ ANCHOR_SCHEMA = pa.schema([("bucket", pa.int64()), ("fp", pa.int64()), ("home",
 EDGE_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprint(text: str) -> int:
-    """The fingerprint of a text's word shingles, unsigned; 0 without words."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, ``HASHES`` at a time; a text of fewer words is one shingle, one without words none."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()  # of bytes: ASCII letters and ASCII white space only
     n = len(words)
     if not n:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    first, last = (starts[: n - SHINGLE + 1], ends[SHINGLE - 1 :]) if n >= SHINGLE else (starts[:1], ends[-1:])
-    ones = np.zeros(64, np.int64)
+    first, last = (starts[: n - shingle + 1], ends[shingle - 1 :]) if n >= shingle else (starts[:1], ends[-1:])
     for at in range(0, len(first), HASHES):
         spans = zip(first[at : at + HASHES].tolist(), last[at : at + HASHES].tolist(), strict=True)
-        h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)
+        yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a text's word shingles, unsigned; 0 without words."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(first), bitorder="little").view(np.uint64)[0])
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, mixture, neighbours, secrets, simhash
+from lectern.llm import byte_bpe, minhash, mixture, neighbours, secrets
 from lectern.llm.common import fresh, word_count, written
 
 
@@ -16,10 +16,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Of repeated rows one stays."""
+    """One document of each group of five-word similarity 0.8 or more: the one with the smallest id. Of repeated rows one stays."""
     (row,) = fresh(docs, "row")
     table = written(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-documents")
-    found = simhash.near_duplicates(table, id_col=row).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    found = minhash.near_duplicates(table, id_col=row).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
     ids = table.select(F.col(row).alias("row_"), F.col("doc_id").alias("id"))
     met = found.join(ids, F.col("row") == F.col("row_"))
     kept = met.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select(F.col("first.row").alias("kept"))

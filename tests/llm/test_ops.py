@@ -19,7 +19,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lectern.llm import audio, byte_bpe, lattice, mixture, neighbours, registry, secrets, shards, simhash, stages, token_ids, topk, wordblocks
+from lectern.llm import audio, byte_bpe, lattice, minhash, mixture, neighbours, registry, secrets, shards, simhash, stages, token_ids, topk, wordblocks
 from lectern.llm.common import work_dir, word_count
 
 SF = "/root/testdata/sf0.001"
@@ -262,6 +262,62 @@ def test_every_word_of_a_field_has_an_anchor_within_its_radius():
         assert (simhash._syndrome((words_[syndrome == s][:200, None] ^ m) & 0x7FFF) == 0).all()
 
 
+def brute_similar(texts, shingle, similarity):
+    def grams(t):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode()))
+        return {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} if w else set()
+
+    sets, parent = [grams(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(len(texts))]
+
+
+def test_pairs_of_the_similarity_share_a_key():
+    for similarity in (0.5, 0.8, 0.95):
+        assert (1 - similarity**minhash.BAND) ** minhash.bands(similarity) <= minhash.MISSED
+    assert minhash.bands(1) == 1
+
+
+@pytest.mark.parametrize(("shingle", "similarity"), [(5, 0.8), (3, 0.6)])
+def test_similar_texts_against_all_pairs(spark, shingle, similarity):
+    rng = random.Random(5)
+    plain = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = [None, "", " \n", "a b", "A  b", "a b c"]
+    for n in (12, 40, 150, 400):
+        for _ in range(4):
+            own = plain(n)
+            for changed in (0, 1, 1, 2, 3, 4, 6, 8):
+                near = list(own)
+                for i in rng.sample(range(n), changed):
+                    near[i] = f"x{rng.randrange(5000)}"
+                texts.append(" ".join(near))
+    chain = plain(100)
+    for i in range(20):
+        chain = [*chain[3:], *plain(3)]
+        texts.append(" ".join(chain))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = dict(map(tuple, minhash.near_duplicates(rows, shingle=shingle, similarity=similarity).collect()))
+    assert [got[i] for i in range(len(texts))] == brute_similar([t or "" for t in texts], shingle, similarity)
+
+
+def test_stage_drops_texts_of_five_word_similarity(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        own = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        texts += [" ".join(own), " ".join([*own[:50], "changed", *own[51:]])]  # 91 of 101 shingles
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in stages.near_duplicates(spark, rows, SF).collect()) == list(range(0, 24, 2))
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
