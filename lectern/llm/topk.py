@@ -1,7 +1,7 @@
 """Exact top-k search by distributed histogram selection.
 
 Vectors are packed into blocks; each pair of a query block and a candidate block is one matrix
-product of integers, exact in floating point (in wider integers where it would not be). Every round
+product of integers, exact in floating point (in wider integers, or integers of any size, where it would not be). Every round
 bins all scores of a query inside its current interval, adds the counts up over all blocks, and
 narrows the interval to the bin that holds the k-th largest score, until a bin is one score wide. A
 last pass keeps the scores above it and, of those equal to it, the smallest ids, and ranks them.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,26 +28,44 @@ SCALE, TOP, QUERY_STEP = 64, 20, 20
 CANDIDATES, QUERIES = 2048, 512
 #: Bins of a histogram.
 BINS = 256
-#: Components beyond this are cut to it, so that every score fits a long.
+#: What ``quantized`` cuts components to, unless told otherwise.
 LARGEST = 1 << 24
+LONG = (1 << 63) - 1
 
-PAIR_DDL = "query_id long, bin long, n long"
-PAIR_SCHEMA = pa.schema([("query_id", pa.int64()), ("bin", pa.int64()), ("n", pa.int64())])
-HIT_SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+PAIR_DDL = "row long, bin long, n long"
+PAIR_SCHEMA = pa.schema([("row", pa.int64()), ("bin", pa.int64()), ("n", pa.int64())])
+HIT_SCHEMA = pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, largest: int = LARGEST) -> DataFrame:
-    """(vec_id, dim, v): floor(scale * x) of each component, for the vectors that take part, one an id."""
+def _finite(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, Column]:
+    """The rows that take part, and their components as doubles."""
     wide = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     fine = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.filter(fine), wide
+
+
+def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, largest: int = LARGEST) -> DataFrame:
+    """(vec_id, dim, v): floor(scale * x) of each component, cut to ``largest``, for the vectors that take part; the least one of an id."""
+    rows, wide = _finite(vectors, id_col, vector_col)
     whole = F.transform(wide, lambda x: F.greatest(F.lit(-float(largest)), F.least(F.lit(float(largest)), F.floor(x * scale).cast("double"))).cast("int"))
-    rows = vectors.filter(fine).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+
+
+def whole(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
+    """(vec_id, dim, v): floor(scale * x) of each component, as a double, for the vectors that take part; the least one of an id.
+
+    From 2**52 on every double is whole, so ``scale`` must be a power of two for exact products.
+    """
+    rows, wide = _finite(vectors, id_col, vector_col)
+    scaled = F.transform(wide, lambda x: F.when(F.abs(x) < float(1 << 52) / scale, F.floor(x * scale).cast("double")).otherwise(x * scale))
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("v"))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
 
 def _blocks(rows: DataFrame, n: int, size: int, *more: str) -> DataFrame:
     """Rows packed by dimension into about n / size blocks: (dim, block, ids, v, ...)."""
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // size)))).cast("int")
+    block = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n // size)))).cast("int")
     return rows.groupBy("dim", block.alias("block")).agg(F.collect_list(F.struct("vec_id", "v", *more)).alias("rows")).select(
         "dim", "block", F.col("rows.vec_id").alias("ids"), F.flatten("rows.v").alias("v"), *[F.col(f"rows.{c}").alias(c) for c in more]
     )
@@ -57,31 +75,41 @@ def _matrix(col: pa.Array, k: int, dim: int) -> np.ndarray:
     return col[k].values.to_numpy().reshape(-1, dim) if dim else np.zeros((0, 0), np.int32)
 
 
-def _scored(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, candidate ids and the matrix of scores of one pair of blocks; a query's own place holds the least long."""
+def _product(q: np.ndarray, c: np.ndarray, legal: np.ndarray) -> np.ndarray:
+    """The exact inner products, as longs; an error if a legal one is none."""
+    most = [int(np.abs(x).max(initial=0)) for x in (q, c)]
+    bound = max(*most, most[0] * most[1] * q.shape[1])
+    if bound <= LONG:
+        kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
+        return (q.astype(kind) @ c.astype(kind).T).astype(np.int64)
+    exact = [np.array([int(x) for x in m.ravel().tolist()], object).reshape(m.shape) for m in (q, c)]
+    scores = np.where(legal, exact[0] @ exact[1].T, 0)
+    if scores.size and not -LONG <= scores.min() <= scores.max() <= LONG:
+        raise ValueError("a score does not fit a long")
+    return scores.astype(np.int64)
+
+
+def _scored(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query rows, candidate ids, the matrix of scores of one pair of blocks, and which are of other ids."""
     col = {name: batch.column(name) for name in batch.schema.names}
     dim = col["dim"][k].as_py()
-    ids, own = col["ids"][k].values.to_numpy(), col["query_ids"][k].values.to_numpy()
-    if dim:
-        c, q = _matrix(col["v"], k, dim), _matrix(col["query_v"], k, dim)
-        bound = int(np.abs(c).max(initial=0)) * int(np.abs(q).max(initial=0)) * dim
-        kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
-        scores = (q.astype(kind) @ c.astype(kind).T).astype(np.int64)
-    else:
-        scores = np.zeros((len(own), len(ids)), np.int64)
-    scores[own[:, None] == ids[None, :]] = np.iinfo(np.int64).min
-    return own, ids, scores
+    ids, own, rows = (col[name][k].values.to_numpy() for name in ("ids", "query_ids", "row"))
+    legal = own[:, None] != ids[None, :]
+    if not dim:
+        return rows, ids, np.zeros(legal.shape, np.int64), legal
+    return rows, ids, _product(_matrix(col["query_v"], k, dim), _matrix(col["v"], k, dim), legal), legal
 
 
 def _histograms(top: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                own, _, scores = _scored(batch, k)
+                own, _, scores, legal = _scored(batch, k)
                 low = batch.column("low")[k].values.to_numpy()[:, None]
                 high = batch.column("high")[k].values.to_numpy()[:, None]
-                inside = (scores >= low) & (scores < high)
-                place = np.where(inside, (scores - low) // width, BINS) + (np.arange(len(own)) * (BINS + 1))[:, None]
+                inside = legal & (scores >= low) & (scores <= high)
+                step = (scores.view(np.uint64) - low.view(np.uint64)) // np.uint64(width)  # the difference of two longs may be none
+                place = np.where(inside, step.view(np.int64), BINS) + (np.arange(len(own)) * (BINS + 1))[:, None]
                 counts = np.bincount(place.ravel(), minlength=len(own) * (BINS + 1)).reshape(len(own), BINS + 1)[:, :BINS]
                 above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
                 q, b = np.nonzero((counts > 0) & (above < top))
@@ -94,9 +122,8 @@ def _hits(top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                own, ids, scores = _scored(batch, k)
+                own, ids, scores, legal = _scored(batch, k)
                 kth = batch.column("low")[k].values.to_numpy()[:, None]
-                legal = own[:, None] != ids[None, :]
                 order = np.argsort(ids)
                 ids, scores, legal = ids[order], scores[:, order], legal[:, order]
                 equal = (scores == kth) & legal
@@ -110,54 +137,57 @@ def _hits(top: int):
 def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``top`` largest inner products with the rows of other ids.
 
-    Both tables are as ``quantized`` returns them (vec_id, v, dim). Ties go to the smaller vec_id; a query
-    with fewer candidates gets all of them. Only vectors of one dimension meet. Repeated ids have been
-    reduced to one row (the least vector); ids or vectors that are null, and vectors with null or
-    non-finite components, take no part; an empty table gives an empty result. Components beyond
-    2**24 after scaling are cut to that.
+    Both tables are as ``whole`` or ``quantized`` returns them (vec_id, v, dim). Ties go to the smaller
+    vec_id; a query with fewer candidates gets all of them. Only vectors of one dimension meet. Repeated
+    ids have been reduced to one row (the least vector).
+    Ids or vectors that are null, and vectors with null or non-finite components, take no part; an empty
+    table gives an empty result. A score that does not fit a long is an error.
     """
     spark = vectors.sparkSession
     n, largest = vectors.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double")))).first()
     n_queries = queries.count()
-    bound = int((largest or 0) * (1 + 1e-9)) + 1  # no inner product is larger than the largest squared length
+    bound = min(LONG, int(min(largest or 0, 2.0**64) * (1 + 1e-9)) + 1)  # no inner product is larger than the largest squared length
     widths = [-(-(2 * bound + 1) // BINS)]
     while widths[-1] > 1:
         widths.append(-(-widths[-1] // BINS))
-    blocks = written(_blocks(vectors, n, CANDIDATES), "candidate-blocks")
+    number = F.monotonically_increasing_id()
+    blocks = written(_blocks(vectors.withColumn("row", number), n, CANDIDATES), "candidate-blocks")
     n_blocks = max(1, -(-n // CANDIDATES))
-    state = written(queries.withColumns({"low": F.lit(-bound).cast("long"), "high": F.lit(bound + 1).cast("long"), "need": F.lit(top).cast("long")}), "search-state")
+    state = written(queries.withColumns({"low": F.lit(-bound).cast("long"), "high": F.lit(bound).cast("long"), "row": number, "need": F.lit(top).cast("long")}), "search-state")
 
     def paired(state: DataFrame) -> DataFrame:
-        packed = _blocks(state, n_queries, QUERIES, "low", "high").withColumnsRenamed({"ids": "query_ids", "v": "query_v"}).drop("block")
+        packed = _blocks(state, n_queries, QUERIES, "low", "high", "row").withColumnsRenamed({"ids": "query_ids", "v": "query_v"}).drop("block")
         spread = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
         ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
         return blocks.join(spread, ["dim", "block"]).repartition(ways)
 
     for width in widths:
-        counts = paired(state).mapInArrow(_histograms(top, width), PAIR_DDL).groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        down = W.partitionBy("query_id").orderBy(F.desc("bin"))
+        counts = paired(state).mapInArrow(_histograms(top, width), PAIR_DDL).groupBy("row", "bin").agg(F.sum("n").alias("n"))
+        down = W.partitionBy("row").orderBy(F.desc("bin"))
         reached = counts.withColumn("sum", F.sum("n").over(down)).withColumn("before", F.col("sum") - F.col("n"))
         # The bin that holds the k-th; a query with fewer candidates keeps the lowest bin that it has.
-        held = reached.join(state.select(F.col("vec_id").alias("query_id"), "need"), "query_id")
-        held = held.groupBy("query_id").agg(
+        held = reached.join(state.select("row", "need"), "row")
+        held = held.groupBy("row").agg(
             F.coalesce(F.max(F.when(F.col("sum") >= F.col("need"), F.struct("bin", "before"))), F.min(F.struct("bin", "before"))).alias("at")
         )
-        held = held.select(F.col("query_id").alias("vec_id"), F.col("at.bin").alias("bin"), F.col("at.before").alias("before"))
-        state = state.join(held, "vec_id").select(
-            "vec_id", "v", "dim",
-            (F.col("low") + F.col("bin") * width).alias("low"),
-            F.least("high", F.col("low") + (F.col("bin") + 1) * width).alias("high"),
+        held = held.select("row", F.col("at.bin").alias("bin"), F.col("at.before").alias("before"))
+        # In decimals: bins times width may be no long.
+        low = F.col("low").cast("decimal(20,0)") + (F.col("bin").cast("decimal(10,0)") * F.lit(width).cast("decimal(20,0)")).cast("decimal(30,0)")
+        state = state.join(held, "row").select(
+            "row", "vec_id", "v", "dim",
+            low.cast("long").alias("low"),
+            F.least(F.col("high").cast("decimal(38,0)"), (low + F.lit(width - 1).cast("decimal(20,0)")).cast("decimal(38,0)")).cast("long").alias("high"),
             (F.col("need") - F.col("before")).alias("need"),
         )
         state = written(state, "search-state")
-    hits = paired(state).mapInArrow(_hits(top), "query_id long, vec_id long, score long")
+    hits = paired(state).mapInArrow(_hits(top), "row long, vec_id long, score long").join(state.select("row", F.col("vec_id").alias("query_id")), "row")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: the 20 best of every vector whose id is divisible by 20, against all other vectors."""
-    vectors = written(quantized(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "vectors")
+    vectors = written(whole(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "vectors")
     return top_k(vectors, vectors.filter(f"vec_id % {QUERY_STEP} = 0"))
 
 

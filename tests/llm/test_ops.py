@@ -193,6 +193,29 @@ def test_top_k(spark, monkeypatch, block):
     assert topk.top_k(none, none).count() == 0
 
 
+def test_top_k_of_large_components(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(14)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(60)]
+    rows += [(100 + i, [3e5 + i, 0.25, -1.0]) for i in range(25)]  # alike but for what lies beyond 2**24 after scaling
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = sorted(map(tuple, topk.query(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(topk.ORACLE).fetchall())
+
+
+def test_top_k_scores_up_to_a_long(spark):
+    rows = [(0, [2.0**40, 1.0]), (1, [2.0**10, 1.0]), (2, [2.0**10, 0.5]), (3, [-(2.0**10), 2.0]), (4, [0.0, 2.0**50])]
+    v = topk.whole(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.top_k(v, v.filter("vec_id = 0"), 5)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 1, 2**62 + 64 * 64), (0, 2, 2, 2**62 + 64 * 32), (0, 3, 4, 2**62), (0, 4, 3, -(2**62) + 64 * 128)]
+    with pytest.raises(ValueError, match="does not fit"):
+        topk._product(np.array([[2.0**40]]), np.array([[2.0**40]]), np.array([[True]]))
+    assert topk._product(np.array([[2.0**40, 0.0]]), np.array([[0.0, 2.0**70]]), np.array([[True]])).tolist() == [[0]]
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 def brute_print(t):
     w = re.findall(rb"[^\x20\x09-\x0D]+", bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode()))
