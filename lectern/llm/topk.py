@@ -53,14 +53,13 @@ def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
 
 def whole(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, dim, v): floor(scale * x) of each component, as a double, for the vectors that take part; the least one of an id.
+    """(vec_id, dim, v): floor(scale * x) of each component, as a double, for all vectors that take part; repeated ids stay.
 
     From 2**52 on every double is whole, so ``scale`` must be a power of two for exact products.
     """
     rows, wide = _finite(vectors, id_col, vector_col)
     scaled = F.transform(wide, lambda x: F.when(F.abs(x) < float(1 << 52) / scale, F.floor(x * scale).cast("double")).otherwise(x * scale))
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("v")).withColumn("dim", F.size("v"))
 
 
 def _blocks(rows: DataFrame, n: int, size: int, *more: str) -> DataFrame:
@@ -138,8 +137,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``top`` largest inner products with the rows of other ids.
 
     Both tables are as ``whole`` or ``quantized`` returns them (vec_id, v, dim). Ties go to the smaller
-    vec_id; a query with fewer candidates gets all of them. Only vectors of one dimension meet. Repeated
-    ids have been reduced to one row (the least vector).
+    vec_id; a query with fewer candidates gets all of them. Only vectors of one dimension meet. All rows
+    of a repeated id are candidates of other ids; if a query's id is repeated, its rows are ranked together.
     Ids or vectors that are null, and vectors with null or non-finite components, take no part; an empty
     table gives an empty result. A score that does not fit a long is an error.
     """

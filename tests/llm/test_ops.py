@@ -193,11 +193,12 @@ def test_top_k(spark, monkeypatch, block):
     assert topk.top_k(none, none).count() == 0
 
 
-def test_top_k_of_large_components(spark, tmp_path):
+def test_top_k_of_large_components_and_repeated_ids(spark, tmp_path):
     import duckdb
 
     rng = np.random.default_rng(14)
     rows = [(i, rng.normal(size=3).tolist()) for i in range(60)]
+    rows += [(i, rng.normal(size=3).tolist()) for i in range(0, 60, 3)]  # other vectors of the same ids, queries among them
     rows += [(100 + i, [3e5 + i, 0.25, -1.0]) for i in range(25)]  # alike but for what lies beyond 2**24 after scaling
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
