@@ -126,24 +126,64 @@ def _batches(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, np.frombuffer(b"".join(words[i] for i in part.tolist()), np.uint8).reshape(len(part), length)
 
 
+def _spans(data: np.ndarray, begin: int, end: int, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and numbers of the pieces that start in a stretch of a long string; ``data`` has zeros after it."""
+    hashes, which, longest = _index(path)
+    at = _hash(np.lib.stride_tricks.sliding_window_view(data[begin : end - 1 + longest], longest))
+    place = np.minimum(np.searchsorted(hashes, at), len(hashes) - 1)
+    start, k = np.nonzero(hashes[place] == at)
+    inside = start + begin + k + 1 <= len(data) - longest
+    start, k = start[inside], k[inside]
+    return start + begin, start + begin + k + 1, which[place[start, k]]
+
+
+def _add(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
 def _long_score(word: bytes, weight: np.ndarray, path: str) -> float:
     """The forward recursion over one long string, with the pieces of LONG starts at a time."""
-    hashes, which, longest = _index(path)
-    data = np.frombuffer(word + b"\0" * longest, np.uint8)
+    data = np.frombuffer(word + b"\0" * _index(path)[2], np.uint8)
     alpha = [NONE] * (len(word) + 1)
     alpha[0] = 0.0
     for begin in range(0, len(word), LONG):
-        end = min(begin + LONG, len(word))
-        at = _hash(np.lib.stride_tricks.sliding_window_view(data[begin : end - 1 + longest], longest))
-        place = np.minimum(np.searchsorted(hashes, at), len(hashes) - 1)
-        start, k = np.nonzero(hashes[place] == at)
-        for i, j, w in zip((start + begin).tolist(), (start + begin + k + 1).tolist(), weight[which[place[start, k]]].tolist(), strict=True):
-            if j <= len(word):
-                a, b = alpha[j], alpha[i] + w
-                alpha[j] = max(a, b) + math.log1p(math.exp(-abs(a - b)))
+        start, stop, piece = _spans(data, begin, min(begin + LONG, len(word)), path)
+        for i, j, w in zip(start.tolist(), stop.tolist(), weight[piece].tolist(), strict=True):
+            alpha[j] = _add(alpha[j], alpha[i] + w)
     return alpha[-1]
 
 
+def _long_counts(word: bytes, weight: np.ndarray, path: str) -> np.ndarray:
+    """How often each piece is expected in one long string: forward by stretches of LONG starts, of which only the sums that
+    each begins with are held, then backward, where each stretch's own sums are made again."""
+    longest, n = _index(path)[2], len(word)
+    data = np.frombuffer(word + b"\0" * longest, np.uint8)
+    out = np.zeros(len(weight))
+
+    def forward(begin: int, given: list[float]) -> tuple[list[float], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        end = min(begin + LONG, n)
+        start, stop, piece = _spans(data, begin, end, path)
+        alpha = given + [NONE] * (end - begin)
+        for i, j, w in zip((start - begin).tolist(), (stop - begin).tolist(), weight[piece].tolist(), strict=True):
+            alpha[j] = _add(alpha[j], alpha[i] + w)
+        return alpha, (start - begin, stop - begin, piece)
+
+    given, held = [0.0] + [NONE] * (longest - 1), []
+    for begin in range(0, n, LONG):
+        held.append(given)
+        given = forward(begin, given)[0][-longest:]
+    total, later = given[0], [0.0] + [NONE] * (longest - 1)
+    for begin in reversed(range(0, n, LONG)):
+        alpha, (start, stop, piece) = forward(begin, held.pop())
+        beta = [NONE] * (len(alpha) - longest) + later
+        for i, j, w in zip(start[::-1].tolist(), stop[::-1].tolist(), weight[piece[::-1]].tolist(), strict=True):
+            beta[i] = _add(beta[i], beta[j] + w)
+        share = np.exp(np.array(alpha)[start] + weight[piece] + np.array(beta)[stop] - total)
+        out += np.bincount(piece, share, len(out))
+        later = beta[:longest]
+    return out
+
+
 def word_scores(words: list[bytes], weight: np.ndarray, path: str) -> np.ndarray:
     """Natural log of each word's marginal probability; words are strings with their leading space."""
     out = np.empty(len(words))
@@ -160,10 +200,15 @@ def word_scores(words: list[bytes], weight: np.ndarray, path: str) -> np.ndarray
 def expected_counts(words: list[bytes], counts: np.ndarray, weight: np.ndarray, path: str) -> np.ndarray:
     """How often each piece is expected in the words, by the posterior of their segmentations.
 
-    A word of more than LONG bytes is counted in stretches of LONG bytes, so no piece lies across their ends.
+    Words of more than LONG bytes are worked off one at a time, by stretches.
     """
     out = np.zeros(len(weight))
-    spans = [(w[at : at + LONG], c) for w, c in ((b" " + w, c) for w, c in zip(words, counts.tolist(), strict=True)) for at in range(0, len(w), LONG)]
+    spans = []
+    for w, c in zip(words, counts.tolist(), strict=True):
+        if len(w) < LONG:  # the leading space counts
+            spans.append((b" " + w, c))
+        else:
+            out += c * _long_counts(b" " + w, weight, path)
     times = np.array([c for _, c in spans], float)
     for own, rows in _batches([w for w, _ in spans]):
         cells = _cells(rows, path)

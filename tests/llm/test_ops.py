@@ -403,6 +403,16 @@ def test_long_words_by_stretches(monkeypatch):
     assert abs(lattice.expected_counts(own, np.ones(3), weight, path).sum() / counts.sum() - 1) < 0.05
 
 
+def test_pieces_across_the_cuts_of_long_words_are_counted(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    weight = np.log(lattice.vocabulary(path)[1] / lattice.vocabulary(path)[1].sum())
+    own = ["größenordnung".encode() * 9, b"information" * 40, b"z" * 151, b"x" * 49, b"x" * 50, b"thing"]
+    whole = lattice.expected_counts(own, np.array([1, 2, 3, 1, 1, 4]), weight, path)
+    for long in (50, 64):
+        monkeypatch.setattr(lattice, "LONG", long)
+        assert np.allclose(lattice.expected_counts(own, np.array([1, 2, 3, 1, 1, 4]), weight, path), whole)
+
+
 def test_language_model(spark, docs, local):
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, F.lit(False))
     path = public_tokenizers.path("piece_bpe_32k.model")
