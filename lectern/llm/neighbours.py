@@ -1,17 +1,20 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A document's terms are pairs of neighbouring byte classes, and events of repeated words; their counts are
-damped, weighted by inverse document frequency over all documents, and projected on the leading
-singular vectors of a bounded, documented sample of labelled documents (``PER_CLASS`` of each label). The
-sample's vectors are broadcast; each document's cosine with every one of them is an exact blocked
-matrix product, and the labels of the nearest vote by similarity. Labels, language, source and id are
-never part of a vector.
+A document's terms are its words, its character trigrams and, for each word, how many words ago it
+stood last; each kind is hashed into its own share of the terms. Their counts are damped, weighted by
+inverse document frequency over all documents, and projected on the leading singular vectors of a
+bounded, documented sample of labelled documents (``PER_CLASS`` of each label). The sample's vectors
+are broadcast; each document's cosine with every one of them is an exact blocked matrix product, and
+the labels of the nearest vote by similarity. Labels, language, source and id are never part of a vector.
+
+Weighted terms, axes and unit vectors are whole numbers of a fixed grid, small enough that every
+product and sum of them is exact. So a score is a function of its text and the model alone, whatever
+the batches or partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,52 +25,58 @@ from lectern.llm.common import crc_fold, fresh, small_batches, text_or_empty, tr
 
 #: Labelled documents of each class at most: the bound of what is sampled, collected and broadcast.
 PER_CLASS = 2048
-#: Latent dimensions, neighbours that vote, and the power of their similarity.
+#: Latent dimensions, neighbours that vote, and the power of their similarity (two squarings).
 LATENT, NEAREST, POWER = 48, 15, 4
 FOLDS, HELD_OUT, ACCEPT = 5, 0, 0.3
 #: Score where nothing was learned.
 UNKNOWN = 0.5
-#: Documents whose vectors and products are held at once.
-BLOCK = 512
-
-#: Classes of bytes: 26 small letters, capital letters, digits, space, line feed, other white space and control
-#: bytes, bytes of longer characters, then each ASCII punctuation mark.
-N_CLASS = 64
-EXTRA = 8
-N_TERMS = N_CLASS * N_CLASS + EXTRA
-
-SCORE_SCHEMA = pa.schema([("row", pa.int64()), ("score", pa.float64())])
-
-
-@cache
-def _classes() -> np.ndarray:
-    out = np.full(256, 30, np.int64)
-    out[ord("a") : ord("z") + 1] = np.arange(26)
-    out[ord("A") : ord("Z") + 1] = 26
-    out[ord("0") : ord("9") + 1] = 27
-    out[ord(" ")], out[ord("\n")] = 28, 29
-    out[128:] = 31
-    marks = [b for b in range(33, 127) if not chr(b).isalnum()]
-    out[marks] = 32 + np.arange(len(marks)) % (N_CLASS - 32)
+#: Documents whose vectors and products are held at once, and characters whose trigrams are.
+BLOCK, SLICE = 512, 1 << 20
+
+#: Terms of character trigrams, of words and of distances between equal words.
+N_GRAMS, N_WORDS, N_BACK = 2560, 1520, 16
+N_TERMS = N_GRAMS + N_WORDS + N_BACK
+#: Steps of a unit in weighted terms, axes, latent and unit vectors. Weights are below 64 and N_TERMS is 2**12, so sums stay below 2**53.
+TERM_GRID, AXIS_GRID, UNIT_GRID = 1 << 10, 1 << 14, 1 << 20
+
+
+def _grams(text: str) -> np.ndarray:
+    """How many of a text's character trigrams fall to each of their terms."""
+    out = np.zeros(N_GRAMS, np.int64)
+    for at in range(0, max(0, len(text) - 2), SLICE):
+        c = np.frombuffer(text[at : at + SLICE + 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        h = (c[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (c[2:] * np.uint64(0x165667B19E3779F9))
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out += np.bincount(((h >> np.uint64(33)) % np.uint64(N_GRAMS)).astype(np.int64), minlength=N_GRAMS)
     return out
 
 
 def terms(text: str) -> np.ndarray:
-    """Damped term counts of one text; all zero for an empty one."""
-    data = np.frombuffer(text.encode(), np.uint8)
+    """Damped term counts of one text; all zero for one of fewer than three characters without words."""
+    from xxhash import xxh32_intdigest
+
     out = np.zeros(N_TERMS, np.float32)
-    if len(data) > 1:
-        c = _classes()[data]
-        out[: N_CLASS * N_CLASS] = np.bincount(c[:-1] * N_CLASS + c[1:], minlength=N_CLASS * N_CLASS)
-    words = text.split()
+    grams, words = _grams(text), text.split()
+    out[:N_GRAMS] = np.sqrt(grams / max(1, grams.sum()))
     if words:
-        n, kinds = len(words), len(set(words))
-        again = sum(a == b for a, b in zip(words, words[1:], strict=False))
-        # Repetition as counts on the scale of the pairs: words that repeat the one before, and words seen before, by share.
-        share, seen = again / (n + 4), (n - kinds) / (n + 4)  # little is known of a few words
-        out[N_CLASS * N_CLASS :] = [len(data) * x for x in (share, share > 0.2, share > 0.5, seen, seen > 0.6, seen > 0.8, 0, 0)]
-    # Relative to the length, so that a text and a longer one of its kind lie near each other.
-    return np.sqrt(out / max(1, len(data)))
+        last: dict[str, int] = {}
+        back = np.zeros(N_BACK, np.int64)
+        counts: dict[str, int] = {}
+        for i, w in enumerate(words):
+            was = last.get(w)
+            last[w] = i
+            if was is None:
+                counts[w] = 1
+                back[0] += 1
+            else:
+                counts[w] += 1
+                back[min(N_BACK - 1, (i - was).bit_length())] += 1  # 1, 2 to 3, 4 to 7 words ago, and so on
+        places = np.fromiter((xxh32_intdigest(w) % N_WORDS for w in counts), np.int64, len(counts))
+        sums = np.bincount(places, np.fromiter(counts.values(), float, len(counts)), N_WORDS)
+        # Relative to the length, so that a text and a longer one of its kind lie near each other.
+        out[N_GRAMS : N_GRAMS + N_WORDS] = np.sqrt(sums / len(words))
+        out[N_GRAMS + N_WORDS :] = np.sqrt(back / (len(words) + 4))  # little is known of a few words
+    return out
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,46 +90,51 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("label", pa.int32()), ("terms", pa.binary())])
+    schema = pa.schema([("id", pa.string()), ("label", pa.int32()), ("terms", pa.binary())])
     for batch in batches:
-        rows = [terms(x).astype("<f4").tobytes() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], schema=schema)
+        rows = [terms(x).astype("<f4").tobytes() for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], schema=schema)
 
 
 def _leading_axes(x: np.ndarray) -> np.ndarray:
     """The LATENT leading right singular vectors of x, by subspace iteration from a fixed start."""
-    q = np.random.default_rng(6).standard_normal((N_TERMS, LATENT + 16)).astype(np.float32)
+    q = np.random.default_rng(6).standard_normal((N_TERMS, LATENT + 16))
     for _ in range(8):
         q, _ = np.linalg.qr(x.T @ (x @ q) if len(x) else q)
-    _, _, v = np.linalg.svd(x @ q if len(x) else np.eye(q.shape[1], dtype=np.float32), full_matrices=False)
-    v = np.vstack([v, np.zeros((max(0, LATENT - len(v)), v.shape[1]), np.float32)])[:LATENT]
-    return np.ascontiguousarray(q @ v.T, np.float32)
+    _, _, v = np.linalg.svd(x @ q if len(x) else np.eye(q.shape[1]), full_matrices=False)
+    v = np.vstack([v, np.zeros((max(0, LATENT - len(v)), v.shape[1]))])[:LATENT]
+    return q @ v.T
 
 
 class Model:
     """Term weights, the projection, and the labelled vectors with their labels; about 4 MB."""
 
     def __init__(self, idf: np.ndarray, x: np.ndarray, labels: np.ndarray):
-        self.idf, self.labels = idf.astype(np.float32), labels.astype(np.float32)
-        x = x * self.idf
-        self.axes = _leading_axes(x)
-        self.known = self.latent(x, weighted=True)
+        self.idf, self.labels = idf.astype(float), labels.astype(float)
+        axes = _leading_axes(x * self.idf.astype(np.float32))
+        self.axes = np.rint(axes * AXIS_GRID) / AXIS_GRID
+        self.known = np.vstack([np.empty((0, LATENT)), *(self.latent(x[at : at + BLOCK]) for at in range(0, len(x), BLOCK))])
 
-    def latent(self, x: np.ndarray, weighted: bool = False) -> np.ndarray:
-        y = (x if weighted else x * self.idf) @ self.axes
-        return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+    def latent(self, x: np.ndarray) -> np.ndarray:
+        """Unit vectors on the grid; zero for a text without a direction."""
+        y = np.rint(x * self.idf * TERM_GRID) @ (self.axes * AXIS_GRID)
+        y = np.rint(y / (TERM_GRID * AXIS_GRID // UNIT_GRID))  # squares and their sums are exact
+        return np.rint(y / np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1) * UNIT_GRID) / UNIT_GRID
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Share of label 1 in the similarity-weighted votes of the nearest labelled vectors."""
+        """Share of label 1 in the similarity-weighted votes of the nearest labelled vectors; those equally near as the last share its votes."""
         if not len(self.labels):
             return np.full(len(texts), UNKNOWN)
         out = np.empty(len(texts))
         k = min(NEAREST, len(self.labels))
+        known = np.ascontiguousarray((self.known * UNIT_GRID).T)
         for at in range(0, len(texts), BLOCK):
-            cosine = self.latent(np.stack([terms(t) for t in texts[at : at + BLOCK]])) @ self.known.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-6).astype(float) ** POWER
-            out[at : at + BLOCK] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+            cosine = ((self.latent(np.stack([terms(t) for t in texts[at : at + BLOCK]])) * UNIT_GRID) @ known) / UNIT_GRID**2
+            last = np.partition(cosine, len(self.labels) - k, axis=1)[:, -k:].min(axis=1, keepdims=True)
+            above, equal = cosine > last, cosine == last
+            share = (k - above.sum(axis=1, keepdims=True)) / equal.sum(axis=1, keepdims=True)
+            weight = np.where(above, 1.0, np.where(equal, share, 0.0)) * np.square(np.square(np.maximum(cosine, 1e-6)))
+            out[at : at + BLOCK] = (weight * self.labels).sum(axis=1) / weight.sum(axis=1)
         return np.clip(out, 0, 1)
 
 
@@ -141,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = [usable.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for k in (0, 1)]
     sample = written(some[0].unionAll(some[1]), "labelled-sample")
     found = narrow.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    rows = found.select("label", "text").mapInArrow(lambda it: trimmed(_vectors(it)), "label int, terms binary").toArrow()
+    rows = found.select(F.col("id").cast("string"), "label", "text").mapInArrow(lambda it: trimmed(_vectors(it)), "id string, label int, terms binary").toArrow().sort_by("id")
     x, label = np.empty((rows.num_rows, N_TERMS), np.float32), rows["label"].to_numpy()
     for i, t in enumerate(rows["terms"]):
         x[i] = np.frombuffer(t.as_buffer(), "<f4")

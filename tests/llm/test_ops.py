@@ -375,6 +375,56 @@ def test_votes_against_plain_python(spark):
         assert abs(got - (w * labels[near]).sum() / w.sum()) < 1e-3
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    sf = "/root/testdata/sf0.001"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+
+    def scored(n):
+        x = d.repartition(n)
+        return {r["doc_id"]: r["score"] for r in neighbours.score(x, neighbours.fit(x, labels)).select("doc_id", "score").collect()}
+
+    assert scored(2) == scored(7)
+
+
+def test_fit_and_projection_against_brute_force(spark):
+    """Of fewer documents than axes the latent space is their span, so cosines are those of the weighted terms."""
+    texts = [words(random.Random(i), 25) + (" !!" * i if i % 2 else "") for i in range(24)] + ["", "x"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = neighbours.fit(docs, labels)
+    x = np.stack([neighbours.terms(t) for t in texts]).astype(float)
+    df = (x > 0).sum(axis=0)
+    assert np.allclose(model.idf, np.log1p(len(texts) / (1 + df)))
+    taught = sorted((i for i in range(20) if zlib.crc32(str(i).encode()) % 5), key=str)
+    assert model.labels.tolist() == [i % 2 for i in taught]
+    w = x[taught] * model.idf
+    unit = w / np.linalg.norm(w, axis=1, keepdims=True)
+    assert np.allclose(model.known @ model.known.T, unit @ unit.T, atol=2e-3)
+    grams = Counter(t[i : i + 3] for t in texts for i in range(len(t) - 2))
+    counted = Counter()
+    for t in texts:
+        own = neighbours._grams(t)
+        assert own.sum() == max(0, len(t) - 2) and own.tolist() == sum((neighbours._grams(t[i : i + 3]) for i in range(len(t) - 2)), np.zeros(neighbours.N_GRAMS, int)).tolist()
+        counted.update(t[i : i + 3] for i in range(len(t) - 2))
+    assert counted == grams
+    back = neighbours.terms("a b a a c b")[-neighbours.N_BACK :] ** 2 * 10
+    assert np.allclose(back[:5], [3, 1, 1, 1, 0])
+
+
+def test_long_texts_are_cut_into_slices_without_loss(monkeypatch):
+    text = words(random.Random(1), 400)
+    whole = neighbours._grams(text)
+    monkeypatch.setattr(neighbours, "SLICE", 37)
+    assert (neighbours._grams(text) == whole).all()
+
+
+def test_empty_text_gets_the_plain_share_of_the_sample():
+    texts = [words(random.Random(i), 30) for i in range(30)]
+    model = neighbours.Model(np.ones(neighbours.N_TERMS), np.stack([neighbours.terms(t) for t in texts]), np.arange(30) % 3 == 0)
+    assert abs(model.scores([""])[0] - 1 / 3) < 1e-12
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 def test_lattice_against_all_segmentations():
     path = public_tokenizers.path("piece_bpe_32k.model")
