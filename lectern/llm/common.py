@@ -26,9 +26,11 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a new one (single-machine runs)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a new one for a local master, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -42,12 +44,27 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def remove(path: str) -> None:
+    """Removes a folder that ``work_dir`` named."""
+    spark = _made.pop(path, None)
+    with contextlib.suppress(Exception):
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+@contextlib.contextmanager
+def spent(*keep: str) -> Iterator[None]:
+    """Removes at its end the folders that were named within, but for those whose label is in ``keep``."""
+    before = set(_made)
+    yield
+    for path in [p for p in _made if p not in before and not any(p.endswith(f"-{k}") for k in keep)]:
+        remove(path)
+
+
 @atexit.register
 def _remove_work_dirs() -> None:
-    for path, spark in _made.items():
-        with contextlib.suppress(Exception):
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    for path in list(_made):
+        remove(path)
 
 
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -63,25 +80,19 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
 
 
 def publish(folder: str, name: str, write) -> str:
-    """Writes the file ``name`` in a shared folder by ``write(stream)`` and returns its address.
+    """Writes a file in a shared folder by ``write(stream)`` and returns its address.
 
-    It is written under a name of its own and moved at the end, so that no half file is ever seen; another
-    attempt of the same task may have put the same file there already.
+    Each attempt of a task has a file of its own, whose name starts with ``name``; the address that the
+    task hands on, with its other rows, is the one of the attempt that counts.
     """
     import pyarrow.fs as pafs
 
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    own, final = f"{root}/.{name}.{uuid.uuid4().hex}", f"{root}/{name}"
-    with fs.open_output_stream(own) as out:
+    own = f"{name}-{uuid.uuid4().hex}.bin"
+    with fs.open_output_stream(f"{root}/{own}") as out:
         write(out)
-    try:
-        fs.move(own, final)
-    except OSError:
-        if fs.get_file_info(final).type == pafs.FileType.NotFound:
-            raise
-        fs.delete_file(own)
-    return f"{folder}/{name}"
+    return f"{folder}/{own}"
 
 
 def read_shared(uri: str) -> bytes:
@@ -104,6 +115,15 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def content_hash(df: DataFrame, id_col: str | None = None, seed: int = 0) -> Column:
+    """A hash (a long) of all columns of a row, nulls told apart; with ``id_col`` of the id as a long and the text columns only."""
+    if id_col is not None:
+        parts = [F.col(id_col).cast("long"), *[F.col(c) for c, kind in df.dtypes if kind == "string" and c != id_col]]
+    else:
+        parts = [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else F.col(c) for c, kind in df.dtypes]
+    return F.xxhash64(F.lit(seed), *parts, *[p.isNull() for p in parts])
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``; its session hands batches of BATCH_ROWS rows and about BATCH_BYTES at most to Python from now on."""
     conf = df.sparkSession.conf
