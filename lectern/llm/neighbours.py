@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc_fold, fresh, small_batches, text_or_empty, trimmed, written
+from lectern.llm.common import crc_fold, fresh, release, small_batches, text_or_empty, trimmed, written
 
 #: Labelled documents of each class at most: the bound of what is sampled, collected and broadcast.
 PER_CLASS = 2048
@@ -90,18 +90,22 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.string()), ("label", pa.int32()), ("terms", pa.binary())])
+    """Terms that a text has, as places and counts, which are far fewer than all."""
+    schema = pa.schema([("id", pa.string()), ("label", pa.int32()), ("places", pa.binary()), ("terms", pa.binary())])
     for batch in batches:
-        rows = [terms(x).astype("<f4").tobytes() for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], schema=schema)
+        rows = [terms(x) for x in batch.column(2).to_pylist()]
+        places = [np.flatnonzero(x).astype("<u2") for x in rows]
+        values = [x[p].astype("<f4").tobytes() for x, p in zip(rows, places, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.tobytes() for p in places], pa.binary()), pa.array(values, pa.binary())], schema=schema)
 
 
-def _leading_axes(x: np.ndarray) -> np.ndarray:
-    """The LATENT leading right singular vectors of x, by subspace iteration from a fixed start."""
+def _leading_axes(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The LATENT leading right singular vectors of x weighted by idf, by subspace iteration from a fixed start; x is not copied."""
     q = np.random.default_rng(6).standard_normal((N_TERMS, LATENT + 16))
+    weigh = lambda q: (q * idf[:, None]).astype(np.float32)
     for _ in range(8):
-        q, _ = np.linalg.qr(x.T @ (x @ q) if len(x) else q)
-    _, _, v = np.linalg.svd(x @ q if len(x) else np.eye(q.shape[1]), full_matrices=False)
+        q, _ = np.linalg.qr((x.T @ (x @ weigh(q))) * idf[:, None] if len(x) else q)
+    _, _, v = np.linalg.svd((x @ weigh(q)).astype(float) if len(x) else np.eye(q.shape[1]), full_matrices=False)
     v = np.vstack([v, np.zeros((max(0, LATENT - len(v)), v.shape[1]))])[:LATENT]
     return q @ v.T
 
@@ -111,8 +115,7 @@ class Model:
 
     def __init__(self, idf: np.ndarray, x: np.ndarray, labels: np.ndarray):
         self.idf, self.labels = idf.astype(float), labels.astype(float)
-        axes = _leading_axes(x * self.idf.astype(np.float32))
-        self.axes = np.rint(axes * AXIS_GRID) / AXIS_GRID
+        self.axes = np.rint(_leading_axes(x, self.idf) * AXIS_GRID) / AXIS_GRID
         self.known = np.vstack([np.empty((0, LATENT)), *(self.latent(x[at : at + BLOCK]) for at in range(0, len(x), BLOCK))])
 
     def latent(self, x: np.ndarray) -> np.ndarray:
@@ -155,11 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = [usable.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for k in (0, 1)]
     sample = written(some[0].unionAll(some[1]), "labelled-sample")
     found = narrow.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    rows = found.select(F.col("id").cast("string"), "label", "text").mapInArrow(lambda it: trimmed(_vectors(it)), "id string, label int, terms binary").toArrow().sort_by("id")
-    x, label = np.empty((rows.num_rows, N_TERMS), np.float32), rows["label"].to_numpy()
-    for i, t in enumerate(rows["terms"]):
-        x[i] = np.frombuffer(t.as_buffer(), "<f4")
-    del rows  # the sample is held once besides its weighted copy
+    rows = found.select(F.col("id").cast("string"), "label", "text").mapInArrow(lambda it: trimmed(_vectors(it)), "id string, label int, places binary, terms binary").toArrow().sort_by("id")
+    x, label = np.zeros((rows.num_rows, N_TERMS), np.float32), rows["label"].to_numpy()
+    for i, (p, t) in enumerate(zip(rows["places"], rows["terms"], strict=True)):
+        x[i, np.frombuffer(p.as_buffer(), "<u2")] = np.frombuffer(t.as_buffer(), "<f4")
+    del rows
+    release()
     return Model(np.log1p(n / (1 + df)), x, label)
 
 
