@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,17 @@ def gathered(flat: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.nda
     return flat[np.repeat(begin - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
+class _Known(dict):
+    """Ids of the words that a part has met, each encoded once."""
+
+    def __init__(self, encoding):
+        self.encoding = encoding
+
+    def __missing__(self, word: bytes) -> list[int]:
+        self[word] = ids = self.encoding.encode_ordinary(word.decode())
+        return ids
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit) of each row of ``docs``.
 
@@ -68,20 +80,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     def words_of(text: str) -> list[str]:
         return _pattern(pattern).findall(text)
 
-    def on_words(part: int, blocks: list[int], packed: list[bytes]) -> Iterator[tuple]:
-        encoding, ids, number = _encoding(ranks, pattern), [], {}
-        rows = [unpack_words(p)[0] for p in packed]
-        which = []
-        for words in rows:
-            which.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
-        ids = [encoding.encode_ordinary(w.decode()) for w in number]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        begin = np.cumsum(lengths) - lengths
-        kind = np.uint16 if len(flat) == 0 or int(flat.max()) < 1 << 16 else np.uint32
-        for block, own in zip(blocks, which, strict=True):
-            n = lengths[own]
-            yield block, part, pack((n if n.max(initial=0) > 255 else n.astype(np.uint8)), gathered(flat, begin[own], n).astype(kind))
+    def on_words(part: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
+        known = _Known(_encoding(ranks, pattern))
+        kind = np.uint16 if max(read_ranks(ranks).values()) < 1 << 16 else np.uint32
+        for block, packed in rows:
+            ids = [known[w] for w in unpack_words(packed)[0]]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), kind, int(n.sum()))
+            yield block, part, pack((n if n.max(initial=0) > 255 else n.astype(np.uint8)), flat)
 
     def on_block(lengths: np.ndarray, seq: np.ndarray, found: list[bytes]) -> list[pa.Array]:
         parts = [unpack(f) for f in found]
@@ -92,8 +98,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         offsets = np.concatenate([[0], np.cumsum(np.where(lengths > 0, per_doc, 0))]) * 4
         return [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())]
 
-    blocks, _ = split(docs, words_of, id_col, text_col)
-    return by_block(blocks, by_word(blocks, on_words, FOUND_SCHEMA, FOUND_DDL), on_block, IDS_SCHEMA, IDS_DDL)
+    blocks, parts = split(docs, words_of, id_col, text_col)
+    return by_block(blocks, by_word(blocks, parts, on_words, FOUND_SCHEMA, FOUND_DDL), on_block, IDS_SCHEMA, IDS_DDL)
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:

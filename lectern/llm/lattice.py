@@ -28,6 +28,8 @@ FOLDS, HELD_OUT = 10, 0
 ADDED = 0.1
 #: Rounds of re-estimation; what every piece is counted besides.
 ROUNDS, PRIOR = 2, 0.01
+#: Steps of a unit in expected counts.
+STEPS = 1 << 16
 #: Cells of a lattice that are worked off at once.
 CELLS = 1 << 17
 #: Bytes of a string beyond which its lattice is not held as a whole.
@@ -219,18 +221,19 @@ def expected_counts(words: list[bytes], counts: np.ndarray, weight: np.ndarray,
     return out
 
 
-def _count(part: int, blocks: list[int], packed: list[bytes]) -> Iterator[tuple]:
+def _count(part: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
     number: dict[bytes, int] = {}
-    entries = []
-    for p in packed:
-        words, (counts,) = unpack_words(p)
-        entries.append((np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)), counts))
-    total = np.zeros(len(number), np.int64)
-    for own, counts in entries:
-        np.add.at(total, own, counts)
-    yield -1, part, pack_words(list(number), total), int(total.sum()), int((total > 0).sum())
-    for block, (own, _) in zip(blocks, entries, strict=True):
+    total = np.zeros(1 << 12, np.int64)
+    for block, packed in rows:
+        words, (counts,) = unpack_words(packed)
+        own = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        if len(number) > len(total):
+            total = np.concatenate([total, np.zeros(2 * len(number) - len(total), np.int64)])
+        total[own] += counts  # a block has a word once
         yield block, part, pack(own.astype(np.uint32)), 0, 0
+    words = sorted(number)  # in the same order whatever the blocks were
+    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    yield -1, part, pack_words(words, total[at], at), int(total.sum()), int((total > 0).sum())
 
 
 def _weights(counted: DataFrame, ends: int, path: str) -> np.ndarray:
@@ -249,19 +252,20 @@ def _weights(counted: DataFrame, ends: int, path: str) -> np.ndarray:
         given = weight[:n].copy()
 
         def expect(batches: Iterator[pa.RecordBatch], given: np.ndarray = given) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(n)
+            out = np.zeros(n, np.int64)
             for batch in batches:
                 for packed in batch.column(0).to_pylist():
-                    own, (counts,) = unpack_words(packed)
+                    own, (counts, *_) = unpack_words(packed)
                     taught = np.flatnonzero(counts)
-                    out += expected_counts([own[i] for i in taught.tolist()], counts[taught], given, path)
+                    # Whole steps, so that the sums do not depend on their order.
+                    out += np.rint(expected_counts([own[i] for i in taught.tolist()], counts[taught], given, path) * STEPS).astype(np.int64)
             some = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], names=["piece", "expected"])
             release()
 
-        rows = words.mapInArrow(expect, "piece long, expected double").groupBy("piece").agg(F.sum("expected").alias("expected")).toArrow()
+        rows = words.mapInArrow(expect, "piece long, expected long").groupBy("piece").agg(F.sum("expected").alias("expected")).toArrow()
         expected = np.zeros(n)
-        expected[rows["piece"].to_numpy()] = rows["expected"].to_numpy()
+        expected[rows["piece"].to_numpy()] = rows["expected"].to_numpy() / STEPS
         weight = normal(expected, ends)
     return weight
 
@@ -275,27 +279,25 @@ def score(docs: DataFrame, vocabulary_path: str, train, id_col: str = "doc_id",
     vocabulary's own weights. Repeated rows, ties and null ids are kept, an empty table stays empty,
     and other columns are left out, so no name can clash.
     """
-    blocks, _ = split(docs, lambda text: text.encode().lower().split(), id_col, text_col, learn=F.coalesce(train, F.lit(False)))
+    blocks, parts = split(docs, lambda text: text.encode().lower().split(), id_col, text_col, learn=F.coalesce(train, F.lit(False)))
     ends = docs.filter(train).count()
-    counted = written(by_word(blocks, _count, COUNT_SCHEMA, COUNT_DDL), "word-counts")
+    counted = written(by_word(blocks, parts, _count, COUNT_SCHEMA, COUNT_DDL), "word-counts")
     tokens, kinds = counted.agg(F.sum("tokens"), F.sum("kinds")).first()
     n, v = (tokens or 0) + ends, (kinds or 0) + (ends > 0)
     weight = _weights(counted, ends, vocabulary_path)
     pieces, end = weight[:-1], float(weight[-1])
     lower = math.log10(n + ADDED * (v + 1))
 
-    def judge(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        words, (counts,) = unpack_words(table["words"][0].as_py())
-        logs = word_scores(words, pieces, vocabulary_path)
-        rows = []
-        for block, packed in zip(table["block"].to_pylist()[1:], table["words"].to_pylist()[1:], strict=True):
+    def judge(part: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
+        words, (sums, at) = unpack_words(next(rows)[1])  # the row of the part's words comes first
+        counts, logs = np.empty(len(words), np.int64), np.empty(len(words))
+        counts[at], logs[at] = sums, word_scores(words, pieces, vocabulary_path)
+        del words
+        for block, packed in rows:
             own = unpack(packed)[0].astype(np.int64)
-            rows.append((block, table["part"][0].as_py(), pack(counts[own], logs[own], level=1)))
-        release()
-        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(FOUND_SCHEMA)], schema=FOUND_SCHEMA)
+            yield block, part, pack(counts[own], logs[own], level=1)
 
-    found = counted.select("block", "part", "words").groupBy("part").applyInArrow(judge, FOUND_DDL)
+    found = by_word(counted, parts, judge, FOUND_SCHEMA, FOUND_DDL)
 
     def on_block(lengths: np.ndarray, seq: np.ndarray, found: list[bytes]) -> list[pa.Array]:
         parts = [unpack(f) for f in found]

@@ -2,16 +2,18 @@
 
 ``split`` cuts documents into blocks of bounded size. A block holds each document as a row of word
 numbers, in a file of the shared folder that is read where the block is put together, and its distinct
-words dealt into parts by hash; both are compressed. ``by_word`` brings the words of a part together,
-over all blocks, so that each distinct word is worked on once, and ``by_block`` brings what was found
-for them back to the block, where the documents are put together again. A frequent word is one entry a block and never a hot key, and a long document is only a longer
-row. Blocks are a written table, so that both shuffles start from it.
+words dealt into parts by hash; both are compressed. ``by_word`` streams the words of a part from all
+blocks through one task, which remembers its distinct words and works on each once, and ``by_block``
+brings what was found for them back to the block, where the documents are put together again. The
+number of parts follows from the bytes of text. A frequent word is one entry a block and never a hot
+key, and a long document is only a longer row. Blocks are a written table, so that both shuffles start from it.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import publish, read_shared, release, small_batches, text_or_empty, trimmed, work_dir, written
+from lectern.llm.common import in_batches, publish, read_shared, release, small_batches, text_or_empty, trimmed, work_dir, written
 
 #: Text and distinct words of a block at most (a longer document is a block of its own).
 BLOCK_BYTES, BLOCK_WORDS = 8 << 20, 200_000
+#: Text for each part (of which a task holds the distinct words), and parts at most, as a block has a row for each.
+PART_BYTES, MOST_PARTS = 256 << 20, 1 << 16
 #: Rows of an Arrow batch that are Python objects at once.
 ROWS = 256
 
@@ -92,7 +96,7 @@ def _block(number: int, parts: int, words: _Numbers, rows: list[np.ndarray], ids
     counts = np.bincount(seq[np.repeat(np.array(learns, bool), lengths)], minlength=len(own)) if weights else None
     order = np.argsort(part, kind="stable")
     ends = np.searchsorted(part[order], np.arange(parts), side="right")
-    out = [(number, -1, None, publish(folder, f"docs-{number:016x}.bin", lambda stream: stream.write(docs)))]
+    out = [(number, -1, None, publish(folder, f"docs-{number:016x}", lambda stream: stream.write(docs)))]
     begin = 0
     for k, end in enumerate(ends.tolist()):
         if end > begin:
@@ -114,7 +118,8 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], id_col: str, tex
     ``learn``: a boolean column; if given, each word carries how often it occurs in rows where it is true.
     """
     counted, folder = learn is not None, work_dir(docs.sparkSession, "word-block-docs")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0] or 0
+    parts = min(MOST_PARTS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES)))
     narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), (F.lit(True) if learn is None else learn).alias("learn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,16 +141,16 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], id_col: str, tex
     return written(narrow.mapInArrow(lambda it: trimmed(run(it)), BLOCK_DDL), "word-blocks"), parts
 
 
-def by_word(blocks: DataFrame, work: Callable[[int, list[int], list[bytes]], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """``work(part, blocks, their packed words)`` over each part's words from all blocks; it yields rows of ``schema``."""
+def by_word(blocks: DataFrame, parts: int, work: Callable[[int, Iterator[tuple[int, bytes]]], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """``work(part, (block, its packed words) one by one)`` over each part's words from all blocks; it yields rows of ``schema``."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        rows = list(work(table["part"][0].as_py(), table["block"].to_pylist(), table["words"].to_pylist()))
-        release()
-        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for at in range(0, batch.num_rows, ROWS) for row in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns), strict=True))
+        for part, own in groupby(rows, key=lambda row: row[0]):
+            yield from in_batches(((row, sum(len(x) for x in row if isinstance(x, bytes))) for row in work(part, ((b, w) for _, b, w in own))), schema)
 
-    return blocks.filter("part >= 0").select("block", "part", "words").groupBy("part").applyInArrow(run, ddl)
+    dealt = small_batches(blocks).filter("part >= 0").select("part", "block", "words").repartition(parts, "part").sortWithinPartitions("part", "block")
+    return dealt.mapInArrow(lambda it: trimmed(run(it)), ddl)
 
 
 def by_block(blocks: DataFrame, found: DataFrame, work: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
