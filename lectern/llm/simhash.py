@@ -6,16 +6,19 @@ and 0+1 add up to the 5 > 4 that is needed). For each of the first two fields th
 words of a covering code: the Hamming (15, 11) code times all words of the other 6 bits, with
 covering radius 1. The last field's code is the whole space, with radius 0. A fingerprint has one
 home anchor in each field, within the radius, and is replicated to every anchor within radius plus
-threshold (14 or 22 of them, or 1), so it meets each neighbour at that neighbour's home.
+threshold (14 or 22 of them, or 1), so it meets each neighbour at that neighbour's home. ``layout``
+lays out other distances alike, and two fields of 32 bits (two Hamming codes each) for very many fingerprints.
 
-Anchors are compared in streams of sorted rows. Only a forest of the links leaves a task, never all
-pairs of a group; an anchor with more than ``HOT_HOMES`` homes is cut into tiles that other tasks
-take. Components follow from alternating large-star and small-star steps over written tables.
+Anchors are compared in streams of sorted rows, homes first, so that only homes are held. Only a
+forest of the links leaves a task, never all pairs of a group; an anchor with more than ``HOT_HOMES``
+homes is cut into tiles that other tasks take. Components follow from alternating large-star and
+small-star steps over written tables. ``similar`` builds on this for links by similarity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -28,12 +31,12 @@ from lectern.llm.common import small_batches, text_or_empty, trimmed, written
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
-#: (lowest bit, bits, differing bits allowed) of the three fields.
-FIELDS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+#: Fingerprints beyond which two fields of 32 bits are used: more anchors for each, but ten times fewer comparisons.
+MANY = 1 << 26
 #: Homes of an anchor beyond which it is cut into tiles.
 HOT_HOMES = 1024
-#: Pairs compared at once, shingles hashed at once, linked fingerprints held before their forest is handed on.
-PAIRS, HASHES, FOREST = 1 << 21, 1 << 16, 1 << 17
+#: Pairs of 64 bits compared at once, shingles hashed at once, linked fingerprints held before their forest is handed on.
+PAIRS, HASHES, FOREST = 1 << 20, 1 << 16, 1 << 17
 
 PRINT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 ANCHOR_SCHEMA = pa.schema([("bucket", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
@@ -66,54 +69,71 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        got = np.fromiter((fingerprint(x) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], schema=PRINT_SCHEMA)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of each row; a null text has no words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = np.fromiter((fingerprint(x, shingle) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], schema=PRINT_SCHEMA)
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row; a null text has no words."""
     narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return narrow.mapInArrow(lambda it: trimmed(_prints(it)), "doc_id long, fp long")
+    return narrow.mapInArrow(lambda it: trimmed(run(it)), "doc_id long, fp long")
 
 
-def _syndrome(word: np.ndarray) -> np.ndarray:
-    """Of the Hamming code on bits 0 to 14: the exclusive or of the positions, from 1, of the bits that are set."""
-    out = np.zeros_like(word)
-    for bit in range(15):
-        out ^= ((word >> bit) & 1) * (bit + 1)
-    return out
+def layout(distance: int, n: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(lowest bit, bits, differing bits allowed, Hamming codes) of each field for n fingerprints.
 
+    Pairs within ``distance`` bits differ by at most the allowed bits in some field, as allowed bits and
+    fields add up to more than ``distance``.
+    """
+    bits = (32, 32) if n > MANY and distance > 1 else (21, 21, 22)
+    spare = max(0, distance + 1 - len(bits))
+    allowed = [spare // len(bits) + (k < spare % len(bits)) for k in range(len(bits))]
+    return tuple((sum(bits[:k]), bits[k], a, (len(bits) == 2) + 1 if a else 0) for k, a in enumerate(allowed))
 
-def _masks() -> list[np.ndarray]:
-    """For each syndrome: what to exclusive-or a field with to get its anchors within 2; the first is the home."""
-    near = [sum(1 << b for b in own) for n in range(3) for own in combinations(range(21), n)]
-    by: list[list[int]] = [[] for _ in range(16)]
-    for mask in near:
-        by[int(_syndrome(np.array(mask & 0x7FFF)))].append(mask)
-    # The home corrects the coded 15 bits alone, by at most one bit.
-    return [np.array(sorted(x, key=lambda m: (m >> 15 != 0, m.bit_count())), np.int64) for x in by]
 
+def _syndrome(word: np.ndarray, codes: int = 1) -> np.ndarray:
+    """Of Hamming codes on bits 0 to 14, 15 to 29: the exclusive or of the positions, from 1, of the bits that are set."""
+    out = np.zeros_like(word)
+    for code in range(codes):
+        for bit in range(15):
+            out ^= ((word >> (15 * code + bit)) & 1) * ((bit + 1) << (4 * code))
+    return out
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    masks = _masks()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1 << 15):
-            fp = batch.column(0).slice(at, 1 << 15).to_numpy().astype(np.int64)
-            found = []
-            for k, (low, bits, allowed) in enumerate(FIELDS):
-                field = (fp >> low) & ((1 << bits) - 1)
-                if not allowed:
-                    found.append((field | (k << 32), fp, np.ones(len(fp), bool)))
-                    continue
-                syndrome = _syndrome(field & 0x7FFF)
-                for s, mask in enumerate(masks):
-                    own = syndrome == s
-                    home = np.zeros((int(own.sum()), len(mask)), bool)
-                    home[:, 0] = True
-                    found.append(((field[own][:, None] ^ mask | (k << 32)).ravel(), np.repeat(fp[own], len(mask)), home.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=ANCHOR_SCHEMA)
+
+@cache
+def _masks(bits: int = 21, allowed: int = 1, codes: int = 1) -> list[np.ndarray]:
+    """For each syndrome: what to exclusive-or a field with to get its anchors within radius plus threshold; the first is the home."""
+    near = np.concatenate([np.array([sum(1 << b for b in own) for own in combinations(range(bits), n)], np.int64) for n in range(codes + allowed + 1)])
+    of = _syndrome(near, codes)
+    # The home corrects each coded part alone, by at most one bit.
+    parts = [(near >> (15 * c)) & 0x7FFF for c in range(codes)]
+    home = (near >> (15 * codes) == 0) & np.all([np.bitwise_count(p) <= 1 for p in parts], axis=0)
+    return [np.concatenate([near[(of == s) & home], near[(of == s) & ~home]]) for s in range(16**codes)]
+
+
+def _anchors(fields: tuple[tuple[int, int, int, int], ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 13):
+                fp = batch.column(0).slice(at, 1 << 13).to_numpy().astype(np.int64)
+                found = []
+                for k, (low, bits, allowed, codes) in enumerate(fields):
+                    field = (fp >> low) & ((1 << bits) - 1)
+                    if not allowed:
+                        found.append((field | (k << 32), fp, np.ones(len(fp), bool)))
+                        continue
+                    syndrome = _syndrome(field, codes)
+                    masks = _masks(bits, allowed, codes)
+                    for s in np.unique(syndrome).tolist():
+                        own, mask = syndrome == s, masks[s]
+                        home = np.zeros((int(own.sum()), len(mask)), bool)
+                        home[:, 0] = True
+                        found.append(((field[own][:, None] ^ mask | (k << 32)).ravel(), np.repeat(fp[own], len(mask)), home.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=ANCHOR_SCHEMA)
+
+    return run
 
 
 class Forest:
@@ -143,68 +163,102 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], schema=EDGE_SCHEMA) if rows else None
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    differ = np.bitwise_xor(a, b).view(np.uint64)  # of a signed integer the bits of its absolute value would be counted
-    return (differ != 0) & (np.bitwise_count(differ) <= DISTANCE)
+def near_pairs(prints: np.ndarray, own: np.ndarray, first: np.ndarray, stop: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each row ``own`` and the rows first to stop - 1 that it is compared with: the places of both and the bits, where within ``distance`` bits.
 
-
-def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, forest: Forest) -> None:
-    """Links each home to the rows of its key that are near; rows are sorted by key."""
-    first = np.searchsorted(key, key[home], side="left")
-    count = np.searchsorted(key, key[home], side="right") - first
-    own, ends = fp[home], np.cumsum(count)
+    ``prints`` has a column for each 64 bits; chunks are of a bounded size.
+    """
+    count = np.maximum(0, stop - first)
+    ends = np.cumsum(count)
+    pairs = PAIRS // prints.shape[1]
     at = 0
     while at < len(own):
         base = ends[at] - count[at]
-        if count[at] > PAIRS:
-            for low in range(first[at], first[at] + count[at], PAIRS):
-                other = fp[low : min(low + PAIRS, first[at] + count[at])]
-                near = _near(other, own[at])
-                forest.link(np.full(int(near.sum()), own[at]), other[near])
-            at += 1
-            continue
-        stop = max(at + 1, int(np.searchsorted(ends, base + PAIRS, side="right")))
-        n = count[at:stop]
-        local = np.cumsum(n) - n
-        other = fp[np.repeat(first[at:stop] - local, n) + np.arange(int(n.sum()))]
-        mine = np.repeat(own[at:stop], n)
-        near = _near(mine, other)
-        forest.link(mine[near], other[near])
-        at = stop
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, tile, fp, home) come sorted by bucket and tile; the last key of a batch waits for the next."""
-    forest, held = Forest(), []
+        if count[at] > pairs:
+            spans = [(at, at + 1, low, min(low + pairs, int(stop[at]))) for low in range(int(first[at]), int(stop[at]), pairs)]
+            following = at + 1
+        else:
+            following = max(at + 1, int(np.searchsorted(ends, base + pairs, side="right")))
+            spans = [(at, following, 0, 0)]
+        for a, z, low, high in spans:
+            if high:
+                mine, other = np.full(high - low, own[a]), np.arange(low, high)
+            else:
+                n = count[a:z]
+                local = np.cumsum(n) - n
+                mine, other = np.repeat(own[a:z], n), np.repeat(first[a:z] - local, n) + np.arange(int(n.sum()))
+            bits = np.zeros(len(mine), np.uint16)
+            for w in range(prints.shape[1]):
+                bits += np.bitwise_count(prints[mine, w] ^ prints[other, w])
+            near = np.flatnonzero((bits <= distance) & (mine != other))
+            yield mine[near], other[near], bits[near]
+        at = following
+
+
+def _changes(cols: list[np.ndarray]) -> np.ndarray:
+    """A number for each run of rows that are equal in all columns."""
+    new = np.zeros(len(cols[0]), bool)
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
+
+
+def by_key(batches: Iterator[pa.RecordBatch], n_prints: int, distance: int, how: str = "homes") -> Iterator[tuple]:
+    """(places, other places, bits, the columns) of near rows; rows (bucket, tile, home, prints, ...) come sorted by bucket and tile.
+
+    ``how`` tells what is compared within a key. "homes": each home with all rows, homes come first. "leaders":
+    the first row with the others. "roots": rows of different roots (the last column), sorted by root. Only
+    what later rows are compared with is held between batches: the homes, the leader, or all rows of the last key.
+    """
+    held: list[np.ndarray] = []
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        old = len(held[0]) if held else 0
         if held:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        bucket, tile = cols[0], cols[1]
-        new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])) + 1
-        cut = int(new[-1]) if len(new) else 0
-        if cut:
-            key = np.zeros(cut, np.int64)
-            key[new[:-1]] = 1
-            _compare(np.cumsum(key), cols[2][:cut].astype(np.int64), cols[3][:cut].astype(bool), forest)
-        held = [x[cut:] for x in cols]
-        if len(forest.parent) >= FOREST and (out := forest.stars()):
+        if not len(cols[0]):
+            continue
+        key = _changes(cols[:2])
+        prints = np.stack([c.view(np.uint64) for c in cols[3 : 3 + n_prints]], axis=1)
+        stays = np.ones(len(key), bool) if how == "roots" else cols[2].astype(bool) if how == "homes" else np.diff(key, prepend=-1) > 0
+        own = np.flatnonzero(stays)
+        stop = np.searchsorted(key, key[own], side="right")
+        if how == "homes":
+            first = np.searchsorted(key, key[own], side="left")
+        elif how == "leaders":
+            first = own + 1
+        else:
+            run = _changes([cols[0], cols[1], cols[-1]])
+            first = np.searchsorted(run, run, side="right")
+        first = np.where(own < old, np.maximum(first, old), first)  # rows that were held have met each other
+        for mine, other, bits in near_pairs(prints, own, first, stop, distance):
+            yield mine, other, bits, cols
+        keep = (key == key[-1]) & stays
+        held = [c[keep] for c in cols]
+
+
+def _links(distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for mine, other, _, cols in by_key(batches, 1, distance):
+            forest.link(cols[3][mine], cols[3][other])
+            if len(forest.parent) >= FOREST and (out := forest.stars()):
+                yield out
+        if out := forest.stars():
             yield out
-    if held and len(held[0]):
-        _compare(np.zeros(len(held[0]), np.int64), held[2].astype(np.int64), held[3].astype(bool), forest)
-    if out := forest.stars():
-        yield out
 
+    return run
 
-def links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs within ``DISTANCE`` bits; ``prints`` has distinct values fp."""
-    ways = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = prints.repartition(ways).mapInArrow(lambda it: trimmed(_anchors(it)), "bucket long, fp long, home boolean")
-    hot = rows.filter("home").groupBy("bucket").count().filter(F.col("count") > HOT_HOMES)
-    hot = written(hot.select("bucket", F.ceil(F.col("count") / HOT_HOMES).cast("int").alias("side")), "hot-anchors")
-    # A tile is a share of the homes times a share of the rows: a home goes to all tiles of its share, and so does a row.
+
+def tiled(rows: DataFrame, hot: DataFrame, by: str, order: list, *more: str) -> DataFrame:
+    """Rows (bucket, home, ...) as (bucket, tile, home, ...), dealt by bucket and tile and sorted by these and ``order``.
+
+    ``hot`` (bucket, side) names the anchors that are cut into side x side tiles. A tile is a share of the homes
+    times a share of the rows (by the column ``by``): a home goes to all tiles of its share, and so does a row.
+    """
+    ways = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.join(hot, "bucket", "left").withColumn("side", F.coalesce("side", F.lit(1)))
-    share = F.pmod(F.xxhash64("fp"), F.col("side")).cast("int")
+    share = F.pmod(F.xxhash64(by), F.col("side")).cast("int")
     every = F.sequence(F.lit(0), F.col("side") - 1)
     tiles = F.when(F.col("side") == 1, F.array(F.struct(F.lit(0).alias("tile"), F.col("home").alias("as_home")))).otherwise(
         F.concat(
@@ -212,9 +266,18 @@ def links(prints: DataFrame) -> DataFrame:
             F.when(F.col("home"), F.transform(every, lambda i: F.struct((share * F.col("side") + i).alias("tile"), F.lit(True).alias("as_home")))).otherwise(F.array()),
         )
     )
-    dealt = rows.select("bucket", "fp", F.explode(tiles).alias("t")).select("bucket", "t.tile", "fp", F.col("t.as_home").alias("home"))
-    dealt = dealt.repartition(ways, "bucket", "tile").sortWithinPartitions("bucket", "tile")
-    return dealt.mapInArrow(lambda it: trimmed(_links(it)), "a long, b long")
+    dealt = rows.select("bucket", *more, F.explode(tiles).alias("t")).select("bucket", "t.tile", F.col("t.as_home").alias("home"), *more)
+    return dealt.repartition(ways, "bucket", "tile").sortWithinPartitions("bucket", "tile", *order)
+
+
+def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs within ``distance`` bits; ``prints`` has distinct values fp."""
+    ways = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = layout(distance, prints.count())
+    rows = prints.repartition(ways).mapInArrow(lambda it: trimmed(_anchors(fields)(it)), "bucket long, fp long, home boolean")
+    hot = rows.filter("home").groupBy("bucket").count().filter(F.col("count") > HOT_HOMES)
+    hot = written(hot.select("bucket", F.ceil(F.col("count") / HOT_HOMES).cast("int").alias("side")), "hot-anchors")
+    return tiled(rows, hot, "fp", [F.desc("home")], "fp").mapInArrow(lambda it: trimmed(_links(distance)(it)), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,31 +298,30 @@ def components(edges: DataFrame) -> DataFrame:
         out = met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return written(out.filter("a <> b").distinct(), "star-edges")
 
-    def mark(edges: DataFrame):
-        return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def stars(edges: DataFrame) -> bool:
+        """Whether every node is the centre of its edges or the end of a single one."""
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("end"), F.lit(0).alias("centre")).unionAll(edges.select(F.col("b"), F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("end").alias("end"), F.max("centre").alias("centre")).filter("end + centre > 1").isEmpty()
 
-    last = mark(edges)
-    while last[0]:
+    if edges.isEmpty():
+        return spark.createDataFrame([], "node long, root long")
+    while not stars(edges):
         edges = step(step(edges, True), False)
-        now = mark(edges)
-        if now == last:
-            break
-        last = now
     roots = edges.select(F.col("b").alias("node")).distinct()
-    return written(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots.select("node", F.col("node").alias("root"))), "components") if last[0] else spark.createDataFrame([], "node long, root long")
+    return written(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots.select("node", F.col("node").alias("root"))), "components")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp and component_id of each row of ``docs``.
 
-    component_id is the smallest id that is reachable over links of at most 4 differing bits. Rows
+    component_id is the smallest id that is reachable over links of at most ``distance`` differing bits. Rows
     without words have fingerprint 0 and link like any others. Repeated ids and rows are kept; a null
     id gets the smallest id of its component (null if it has none). An empty table stays empty. Other
     columns are left out, so no name can clash.
     """
-    prints = written(fingerprints(docs, id_col, text_col), "prints")
+    prints = written(fingerprints(docs, id_col, text_col, shingle), "prints")
     firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "first-ids")
-    tree = components(links(firsts.select("fp")))
+    tree = components(links(firsts.select("fp"), distance))
     own = written(tree.join(firsts, tree.node == firsts.fp).select("fp", "root", "first"), "linked")
     least = written(own.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     linked = own.join(least, "root").select("fp", "component_id")

@@ -5,39 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, minhash, mixture, neighbours, secrets
-from lectern.llm.common import fresh, word_count, written
+from lectern.llm import byte_bpe, mixture, neighbours, secrets, similar
+from lectern.llm.common import word_count
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels of the documents that are there."""
+    """Documents that the quality classifier accepts; it learns from the labels of the documents that are there.
+
+    A null text is judged as an empty one; repeated rows are judged alike; without labels every document
+    stays, as the score of the unknown is accepted.
+    """
     model = neighbours.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return neighbours.score(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word similarity 0.8 or more: the one with the smallest id. Of repeated rows one stays."""
-    (row,) = fresh(docs, "row")
-    table = written(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-documents")
-    found = minhash.near_duplicates(table, id_col=row).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
-    ids = table.select(F.col(row).alias("row_"), F.col("doc_id").alias("id"))
-    met = found.join(ids, F.col("row") == F.col("row_"))
-    kept = met.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select(F.col("first.row").alias("kept"))
-    # What is kept grows with the input, so it is never broadcast, however small it is.
-    return table.join(written(kept, "dedup-kept").hint("merge"), F.col(row) == F.col("kept"), "left_semi").select(*docs.columns)
+    """One document of each group of five-word similarity 0.8 or more, by SimHash: the one with the smallest id. Of repeated rows one stays.
+
+    Null and empty texts are one group; a null id counts as the largest.
+    """
+    return similar.kept(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their live-looking credentials replaced."""
+    """All documents, with their live-looking credentials replaced; null and empty texts and repeated rows stay as they are.
+
+    n_chars is counted anew (null for a null text). A null source is an owner of its own.
+    """
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it (0, 1 or 2); repeated rows are taken each for itself.
+
+    A document without words is taken as often as its source's whole copies say; a null source is a source.
+    """
     mixed = mixture.mix(docs, word_count(F.col("text"))).filter("copies > 0")
     return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of every document's ids and of what they decode to."""
+    """Digests of every document's ids and of what they decode to; a null text is an empty one, a null id stays null."""
     return byte_bpe.digests(docs)
