@@ -21,6 +21,8 @@ VERDICTS = ("live", "example")
 NAMES = [k[0] for k in KINDS] + list(VERDICTS)
 #: A value of so many owners or more is a widely copied example.
 EXAMPLE_OWNERS = 3
+#: Matches of a text that are folded at once.
+CHUNK = 256
 #: A live-looking value has so many different characters or more.
 LIVE_CHARACTERS = 5
 
@@ -33,10 +35,11 @@ def _matches(text: Column, rank: int) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     triples = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
+    items = F.transform(triples, lambda x: F.struct(F.length(x.getField("gap")).alias("gap"), F.length(x.getField("hit")).alias("hit"), x.getField("value").alias("value")))
 
     def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x.getField("gap"))
-        stop = start + F.length(x.getField("hit"))
+        start = state["at"] + x["gap"]
+        stop = start + x["hit"]
         value = x.getField("value")
         span = F.struct(
             start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), (stop - F.length(value)).alias("value_start"),
@@ -45,8 +48,15 @@ def _matches(text: Column, rank: int) -> Column:
         kept = F.when(F.length(value) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct(stop.alias("at"), kept.alias("spans"))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(triples, empty, add, lambda s: s["spans"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    # An array that grows by one is copied each time, so the fold runs over chunks, each from its own start.
+    last = F.ceil(F.size(items) / CHUNK).cast("int") - 1
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * CHUNK + 1, CHUNK))
+    lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x["gap"] + x["hit"]))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(lengths, zero, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+    empty = lambda start: F.struct(start.alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    spans = F.flatten(F.transform(F.arrays_zip(chunks.alias("chunk"), starts.alias("start")), lambda z: F.aggregate(z["chunk"], empty(z["start"]), add, lambda s: s["spans"])))
+    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def candidates(docs: DataFrame, text: Column, owner: Column, repository: Column, row: str, spans: str, own: str, repo: str) -> DataFrame:
