@@ -28,8 +28,8 @@ from lectern.llm.common import in_batches, publish, small_batches, text_or_empty
 END_ID = 2
 #: Bits of the upper half of an Elias-Fano section that share one stored count.
 SELECT_BITS = 512
-#: Distinct pieces that a task remembers; the memory starts anew beyond it.
-MEMO_LIMIT = 1_000_000
+#: Distinct pieces that a task remembers, and ids of them; the memory starts anew beyond either.
+MEMO_LIMIT, MEMO_IDS = 1_000_000, 8 << 20
 #: Text that is encoded at once, in bytes.
 SLICE = 1 << 20
 #: Text in a file, in bytes; smaller inputs get a file for each core, of no less than the second.
@@ -144,7 +144,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.hashes, self.checks, self.places = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.flat = np.empty(0, np.uint32)
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
 
     def _hash(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         if not self.powers or len(self.powers[0][0]) < len(data):
@@ -171,9 +171,13 @@ class Encoder:
         counts[joined] = np.diff(np.append(opens, len(ids)))
         rest, counts[~joined] = self._library([x for x, ok in zip(pieces, joined, strict=True) if not ok])
         begin = np.empty(len(pieces), np.int64)
-        begin[joined] = len(self.flat) + np.cumsum(counts[joined]) - counts[joined]
-        begin[~joined] = len(self.flat) + len(ids) + np.cumsum(counts[~joined]) - counts[~joined]
-        self.flat = np.concatenate([self.flat, ids, rest])
+        begin[joined] = self.used + np.cumsum(counts[joined]) - counts[joined]
+        begin[~joined] = self.used + len(ids) + np.cumsum(counts[~joined]) - counts[~joined]
+        now = self.used + len(ids) + len(rest)
+        if now > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(2 * now - self.used, np.uint32)])
+        self.flat[self.used : now] = np.concatenate([ids, rest])
+        self.used = now
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
         self.hashes, self.checks = np.insert(self.hashes, at, hashes[order]), np.insert(self.checks, at, checks[order])
@@ -181,7 +185,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts (UTF-8), one after another, and how many each text has."""
-        if len(self.hashes) > MEMO_LIMIT:
+        if len(self.hashes) > MEMO_LIMIT or self.used > MEMO_IDS:
             self._forget()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
@@ -271,7 +275,7 @@ def _write_file(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str,
             out.write(section)
         out.write(FOOTER.pack(MAGIC, encoder.width, len(docs), totals[0], len(docs) - len(known), least, *map(len, sections)))
 
-    uri = publish(folder, f"ids-{part:08d}.bin", write)
+    uri = publish(folder, f"ids-{part:08d}", write)
     yield pa.RecordBatch.from_pylist([{"part": part, "uri": uri, "n_docs": len(docs), "n_ids": totals[0]}], FILES_SCHEMA)
 
 
@@ -317,14 +321,15 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     """Writes the token-id files of ``docs`` and returns their manifest (part, uri, n_docs, n_ids), itself written to a table.
 
     Documents lie in ascending order of id over the files in order of ``part``: nulls first, equal ids
-    by text. A null or empty text holds the end id alone. An empty table gives no file and an empty
+    by a hash of the text, so that rows of one id can be cut into files too. A null or empty text holds the end id alone. An empty table gives no file and an empty
     manifest. ``folder`` must be a place that driver and executors share. Only the two named columns
     are read, so others cannot clash.
     """
     narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-total // FILE_BYTES), min(-(-total // LEAST_BYTES), docs.sparkSession.sparkContext.defaultParallelism))
-    dealt = narrow.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = narrow.withColumn("hash", F.xxhash64("text")).repartitionByRange(files, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    dealt = dealt.drop("hash")
     return written(dealt.mapInArrow(lambda it: trimmed(_write_file(it, folder, vocabulary, end_id)), FILES_DDL), "token-files", f"{folder}/manifest")
 
 
