@@ -6,7 +6,7 @@ words moves from one document to the other, in the direction that chance gives i
 two becomes integral, the source's expected words stay exactly the same and each document's own
 expectation too. Groups of some 2,000 documents leave one fractional document each, which meet in
 groups of 64 in a reduction tree until one a source is left. Large documents are paired first, so what
-is left is small. Chance is a hash of the document ids, so reruns agree.
+is left is small. Chance is a hash of the documents and their ids, so reruns agree.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import fresh, word_count, written
+from lectern.llm.common import content_hash, fresh, word_count, written
 
 #: Fixed by the query's contract: weights of the sources in order, repeated; their share of all sizes; most copies of a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -121,8 +121,9 @@ def mix(docs: DataFrame, size, id_col: str = "doc_id", source_col: str = "source
     added = ["size", "source_size", "target", "copies"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     row, own, key, words = fresh(docs, "row", "own_source", "own_id", "own_size")
-    table = docs.withColumns({row: F.monotonically_increasing_id(), own: F.col(source_col).cast("string"), key: F.col(id_col).cast("long"), words: F.coalesce(size.cast("long"), F.lit(0))})
-    table = written(table.select(*keep, row, own, key, words), "mix-documents")
+    # Rows of one id (or none) are told apart by what they hold, so that they are dealt out too.
+    made = {row: F.monotonically_increasing_id(), own: F.col(source_col).cast("string"), key: content_hash(docs, id_col), words: F.coalesce(size.cast("long"), F.lit(0))}
+    table = written(docs.withColumns(made).select(*keep, row, own, key, words), "mix-documents")
     narrow = table.select(F.col(row).alias("row"), F.col(key).alias("id"), F.col(own).alias("source"), F.col(words).alias("size"))
     targets = source_targets(narrow.select("source", "size"), weights, share, most)
 

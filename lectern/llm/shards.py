@@ -52,10 +52,10 @@ def shard_by_bytes(df: DataFrame, size: Column, order: list[str], n_shards: int
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op3: all documents in 16 shards of near equal bytes, in order of doc_id."""
+    """op3: all documents in 16 shards of near equal bytes; equal texts lie together, but for the at most 15 groups that a cut falls into."""
     text = text_or_empty("text")
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("text_md5")
     )
-    out = shard_by_bytes(rows, F.col("size"), ["doc_id", "text_crc32", "size"])
+    out = shard_by_bytes(rows, F.col("size"), ["text_md5", "doc_id", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
