@@ -19,7 +19,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lectern.llm import audio, byte_bpe, lattice, minhash, mixture, neighbours, registry, secrets, shards, simhash, stages, token_ids, topk, wordblocks
+from lectern.llm import audio, byte_bpe, lattice, mixture, neighbours, registry, secrets, shards, simhash, similar, stages, token_ids, topk, wordblocks
 from lectern.llm.common import work_dir, word_count
 
 SF = "/root/testdata/sf0.001"
@@ -164,17 +164,12 @@ def test_shards_are_contiguous_and_balanced(spark, docs):
 
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 def brute_top(rows, step, top):
-    vectors = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or math.isnan(x) or math.isinf(x) for x in v):
-            continue
-        q = [max(-(1 << 24), min(1 << 24, math.floor(64 * x))) for x in v]
-        vectors[i] = min(vectors.get(i, q), q)
+    fine = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, v in vectors.items():
-        if i % step == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in vectors.items() if j != i and len(w) == len(v))
-            out += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored[:top])]
+    for i in sorted({i for i, _ in fine if i % step == 0}):
+        mine = [v for j, v in fine if j == i]
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for v in mine for j, w in fine if j != i and len(w) == len(v))
+        out += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored[:top])]
     return sorted(out)
 
 
@@ -185,8 +180,8 @@ def test_top_k(spark, monkeypatch, block):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(120)]
     rows += [(200 + i, rows[0][1]) for i in range(40)]  # ties beyond k
-    rows += [(400, None), (None, rows[0][1]), (440, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (460, [float("nan")] * 6), (480, [float("inf")] * 6), (500, [1e300, -1e300, 0.0, 0.0, 0.0, 0.0]), (520, [1.0, 2.0]), (540, [3.0, 1.0]), (560, []), (580, []), (20, [0.0] * 6)]
-    v = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    rows += [(400, None), (None, rows[0][1]), (440, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (460, [float("nan")] * 6), (480, [float("inf")] * 6), (500, [3e5, -3e5, 0.0, 0.0, 0.0, 0.0]), (501, [-3e5, 1.5, 0.0, 0.0, 0.0, 0.0]), (501, [3e5, 2.5, 0.0, 0.0, 0.0, 0.0]), (520, [1.0, 2.0]), (540, [3.0, 1.0]), (560, []), (580, []), (20, [0.0] * 6)]
+    v = topk.whole(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = topk.top_k(v, v.filter("vec_id % 20 = 0"), 5)
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 20, 5)
     none = v.limit(0)
@@ -304,10 +299,47 @@ def brute_similar(texts, shingle, similarity):
     return [find(i) for i in range(len(texts))]
 
 
-def test_pairs_of_the_similarity_share_a_key():
-    for similarity in (0.5, 0.8, 0.95):
-        assert (1 - similarity**minhash.BAND) ** minhash.bands(similarity) <= minhash.MISSED
-    assert minhash.bands(1) == 1
+def test_pairs_of_the_similarity_share_an_anchor():
+    for similarity, n in ((0.6, 10), (0.8, 10_000), (0.8, 10**9), (0.95, 10**6)):
+        bits, fields, distance = similar.plan(similarity, n)
+        differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        assert (1 - (1 - differ) ** bits) ** fields <= similar.MISSED and 256 * differ < distance < 128
+    assert similar.plan(1, 10)[1:] == (1, 0)
+    places = similar._positions(14, 50)
+    assert places.shape == (50, 14) and all(len(set(p)) == 14 for p in places.tolist())
+
+
+def test_wide_fingerprints_differ_by_the_angle():
+    rng = np.random.default_rng(2)
+    for similarity in (0.5, 0.8, 0.9):
+        differ = []
+        for _ in range(40):
+            h = rng.integers(0, 1 << 63, 800, np.uint64)
+            both = round(400 * 2 * similarity / (1 + similarity))
+            x, y = similar.wide_print(np.sort(h[:400])), similar.wide_print(np.sort(h[400 - both : 800 - both]))
+            differ.append(int(np.bitwise_count(x ^ y).sum()) / 256)
+        assert abs(np.mean(differ) - math.acos(2 * similarity / (1 + similarity)) / math.pi) < 0.015
+
+
+def test_forest_of_links_is_a_least_one(monkeypatch):
+    monkeypatch.setattr(similar, "LINKS", 200)
+    rng = random.Random(3)
+    edges = {(a, b): rng.randrange(60) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.4}
+    forest = similar.LinkForest()
+    for (a, b), w in edges.items():
+        forest.add(*(np.array([x]) for x in (a, b, w, a, b)))
+    a, b, w, *_ = forest.thin()
+    parent, least = list(range(60)), 0
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (x, y), v in sorted(edges.items(), key=lambda e: e[1]):
+        if find(x) != find(y):
+            parent[find(x)], least = find(y), least + v
+    assert w.sum() == least and len(a) == 59
 
 
 @pytest.mark.parametrize(("shingle", "similarity"), [(5, 0.8), (3, 0.6)])
@@ -328,7 +360,7 @@ def test_similar_texts_against_all_pairs(spark, shingle, similarity):
         chain = [*chain[3:], *plain(3)]
         texts.append(" ".join(chain))
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = dict(map(tuple, minhash.near_duplicates(rows, shingle=shingle, similarity=similarity).collect()))
+    got = dict(map(tuple, similar.near_duplicates(rows, shingle=shingle, similarity=similarity).collect()))
     assert [got[i] for i in range(len(texts))] == brute_similar([t or "" for t in texts], shingle, similarity)
 
 
