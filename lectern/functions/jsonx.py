@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,3 +74,29 @@ def salvage(x: Column) -> Column:
         return texts.map(lambda s: None if s is None else salvage_text(s))
 
     return run(x)
+
+
+def parse_object(raw: str) -> dict:
+    """A model's JSON object, tolerant of fences, prose around it and a cut-off end."""
+    bare = raw.strip().removeprefix("```json").removeprefix("```").removesuffix("```").strip()
+    for text in (bare, bare[bare.find("{") : bare.rfind("}") + 1], salvage_text(bare[bare.find("{") :]) if "{" in bare else None):
+        try:
+            found = json.loads(text) if text else None
+        except ValueError:
+            continue
+        if isinstance(found, dict):
+            return found
+    raise ValueError("no JSON object")
+
+
+def read_verdict(answer: str) -> tuple[bool, str]:
+    """``verdict`` of one answer in plain Python, for workers that ask again."""
+    bare = answer.strip()
+    upper = bare.upper()
+    for word, passed in (("YES", True), ("NO", False)):
+        if upper.startswith(word):
+            return passed, re.sub(r"^[\s:.,-]+", "", bare[len(word) :]).strip()
+    for word, passed in (("YES", True), ("NO", False)):
+        if word in upper:
+            return passed, bare
+    return False, f"Unclear response: {bare[:100]}"

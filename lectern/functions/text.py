@@ -131,7 +131,8 @@ def opening_and_closing(x: Column) -> Column:
 
 
 def without_plan_header(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s*REVISIT TARGET:[^\n]*\n+", "")
+    """Without a planning header at the start: its first line, further lines of a label in capitals, and the empty line after them."""
+    return F.regexp_replace(x, r"^\s*REVISIT TARGET:[^\n]*\n(?:[A-Z][A-Z ]+:[^\n]*\n)*\s*\n", "")
 
 
 def question_to_resolve(x: Column) -> Column:

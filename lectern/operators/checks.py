@@ -20,10 +20,8 @@ SCORE_WEIGHTS = {"tension": 0.30, "anchor": 0.25, "revisit": 0.25, "length": 0.2
 
 
 def has_marker(x: Column, markers: list[str]) -> Column:
-    low, found = F.lower(x), F.lit(False)
-    for m in markers:
-        found = found | low.contains(m)
-    return found
+    """Whether one of the phrases stands in the text, without case; one pass over the lower-cased text."""
+    return F.rlike(F.lower(x), F.lit("|".join(m.replace(".", r"\.") for m in markers)))
 
 
 def tension_structural(x: Column) -> Column:
@@ -57,6 +55,13 @@ def structural_checks(sessions: DataFrame) -> DataFrame:
     return wide.unpivot(["book", "number"], list(SCORE_WEIGHTS), "check", "passed")
 
 
+def length_failures(sessions: DataFrame) -> DataFrame:
+    """(book, short, long): sessions of too few and of too many words, with their words, in order of number."""
+    rows = sessions.select("book", "number", T.word_count(F.coalesce("content", F.lit(""))).alias("words"))
+    at = lambda when: F.array_sort(F.collect_list(F.when(when, F.struct("number", "words"))))
+    return rows.groupBy("book").agg(at(F.col("words") < SHORTEST).alias("short"), at(F.col("words") > LONGEST).alias("long"))
+
+
 def structural_audit(checks: DataFrame) -> DataFrame:
     """(book, check, n_pass, n_total, failed): failing numbers in order."""
     return checks.groupBy("book", "check").agg(

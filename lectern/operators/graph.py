@@ -1,7 +1,8 @@
 """Dependency graphs as edge tables (book, src, dst, source): derivation, cycles, tiers, order.
 
-Loops run over written tables or checkpoints and end when nothing changes; a book's exact depth-first
-walk needs the whole book at once and is a grouped function.
+Books are small next to a table of them, so cycles and tiers are walked book by book in grouped
+functions; where a book is too large for one worker, loops over written tables do it, and end when nothing
+changes. The exact depth-first walk of a book's cyclic core is a grouped function in any case.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from lectern.sources.store import kept
 
 PRIORITY = ("explicit", "implicit", "cross_theme", "inferred")
+#: Edges of a book that one worker walks at most.
+BOOK_EDGES = 500_000
 
 
 def unify_keys(edges: DataFrame) -> DataFrame:
@@ -37,7 +40,7 @@ def dedup_edges(edges: DataFrame) -> DataFrame:
 def match_terms(terms: DataFrame, concepts: DataFrame) -> DataFrame:
     """(book, term, concept): equal, else the first concept (by ord) that contains the term or that it contains, without case.
 
-    Terms and concepts of a book are small lists; the join is on the book with a condition.
+    Equal names are joined first; what is left is compared with all concepts of its book, as containment has no key.
     """
     low = lambda c: F.lower(F.col(c))
     met = terms.select("book", "term").distinct().join(concepts.select("book", "concept", "ord"), "book").filter(
@@ -59,17 +62,57 @@ def graph_counts(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "book", "left").join(o, "book", "left").na.fill(0)
 
 
-def cycle_core(edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """(book, node) of nodes that lie on a cycle or between cycles: sources and sinks are peeled off until none is left."""
-    left = kept(edges.select("book", "src", "dst").filter("src <> dst").distinct(), "cycle-edges")
-    n = left.count()
-    for _ in range(most):
+def _table(pdf: pd.DataFrame, **columns: list) -> pd.DataFrame:
+    """A group's result with its book; an empty one keeps plain object columns."""
+    n = len(next(iter(columns.values())))
+    return pd.DataFrame({"book": pd.Series([pdf["book"].iloc[0]] * n, dtype=object)} | {k: pd.Series(v, dtype=object) for k, v in columns.items()})
+
+
+def _small_books(edges: DataFrame) -> bool:
+    """Whether every book's edges fit one worker; else the distributed rounds take over."""
+    return (edges.groupBy("book").count().agg(F.max("count")).first()[0] or 0) <= BOOK_EDGES
+
+
+def cyclic_nodes(pairs: list[tuple[str, str]]) -> set[str]:
+    """Nodes on a cycle or between cycles: what is left when sources and sinks are peeled off, one by one."""
+    pairs = {p for p in pairs if p[0] != p[1]}
+    left = set(pairs)
+    for a, b in ((0, 1), (1, 0)):
+        after, degree = {}, {}
+        for p in left:
+            after.setdefault(p[a], []).append(p)
+            degree[p[b]] = degree.get(p[b], 0) + 1
+        free = [x for x in after if x not in degree]
+        while free:
+            for p in after.pop(free.pop(), ()):
+                left.discard(p)
+                degree[p[b]] -= 1
+                if not degree[p[b]]:
+                    free.append(p[b])
+    return {x for p in left for x in p}
+
+
+def cycle_core(edges: DataFrame) -> DataFrame:
+    """(book, node) of nodes that lie on a cycle or between cycles: sources and sinks are peeled off until none is left.
+
+    Books of up to BOOK_EDGES edges are peeled by one worker each; larger ones in rounds over written
+    tables, as many as a round still removes an edge.
+    """
+    own = edges.select("book", "src", "dst").filter("src <> dst").distinct()
+    if _small_books(own):
+        kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+
+        def peel(pdf: pd.DataFrame) -> pd.DataFrame:
+            found = sorted(cyclic_nodes(list(zip(pdf["src"], pdf["dst"], strict=True))))
+            return _table(pdf, node=found)
+
+        return own.groupBy("book").applyInPandas(peel, f"book {kinds['book']}, node {kinds['src']}")
+    left = kept(own, "cycle-edges")
+    n, before = left.count(), -1
+    while n != before:
         heads, tails = left.select("book", F.col("dst").alias("src")).distinct(), left.select("book", F.col("src").alias("dst")).distinct()
         left = kept(left.join(heads, ["book", "src"], "left_semi").join(tails, ["book", "dst"], "left_semi").select("book", "src", "dst"), "cycle-edges")
-        now = left.count()
-        if now == n:
-            break
-        n = now
+        n, before = left.count(), n
     return left.select("book", F.col("src").alias("node")).union(left.select("book", F.col("dst").alias("node"))).distinct()
 
 
@@ -107,29 +150,73 @@ def break_cycles(edges: DataFrame, most: int = 3) -> DataFrame:
 
     def close(pdf: pd.DataFrame) -> pd.DataFrame:
         found = closing_edges(list(zip(pdf["src"], pdf["dst"], strict=True)), most)
-        return pd.DataFrame({"book": [pdf["book"].iloc[0]] * len(found), "src": [a for a, _ in found], "dst": [b for _, b in found]})
+        return _table(pdf, src=[a for a, _ in found], dst=[b for _, b in found])
 
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
     closed = inner.select("book", "src", "dst").groupBy("book").applyInPandas(close, f"book {kinds['book']}, src {kinds['src']}, dst {kinds['dst']}")
     return edges.join(closed, ["book", "src", "dst"], "left_anti")
 
 
-def tiers(concepts: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+def longest_paths(pairs: list[tuple[str, str, bool]]) -> dict[str, int]:
+    """Tier of each node that an edge (src, dst, known) ends at; an unknown source is of tier 0 whatever leads to it."""
+    degree, after, tier = {}, {}, {}
+    for a, b, known in pairs:
+        tier[b] = 1
+        if known:
+            after.setdefault(a, []).append(b)
+            degree[b] = degree.get(b, 0) + 1
+    free = [x for x in {*after, *tier} if not degree.get(x)]
+    done = 0
+    while free:
+        x = free.pop()
+        done += 1
+        for y in after.get(x, ()):
+            tier[y] = max(tier[y], tier.get(x, 0) + 1)
+            degree[y] -= 1
+            if not degree[y]:
+                free.append(y)
+    if done < len({*after, *tier}):
+        raise ValueError("the edges have a cycle")
+    return tier
+
+
+def tiers(concepts: DataFrame, edges: DataFrame, order: str | None = None) -> DataFrame:
     """(book, concept, tier): the longest path from a concept without prerequisites; unknown prerequisites count as tier 0.
 
-    ``edges`` must have no cycle. One relaxation a round; it ends when nothing changes.
+    ``edges`` with a cycle are an error, unless ``order`` names a column of ``concepts``: a prerequisite that
+    does not come before its concept in that order counts as an unknown one. Books of up to BOOK_EDGES edges are walked by one worker each;
+    larger ones by one relaxation a round over written tables, until nothing changes.
     """
+    names = concepts.select("book", "concept").distinct()
+    known = names.select("book", F.col("concept").alias("src"), F.lit(True).alias("known"))
+    by = edges.select("book", "src", "dst").distinct().join(names.withColumnRenamed("concept", "dst"), ["book", "dst"], "left_semi")
+    if order is not None:
+        place = lambda end: concepts.groupBy("book", F.col("concept").alias(end)).agg(F.min(order).alias(f"{end}_place"))
+        by = by.join(place("src"), ["book", "src"], "left").join(place("dst"), ["book", "dst"])
+        # A name of its own makes the prerequisite unknown.
+        late = F.coalesce(F.col("src_place") >= F.col("dst_place"), F.lit(False))
+        by = by.select("book", F.when(late, F.concat(F.lit("\0"), "src")).otherwise(F.col("src")).alias("src"), "dst")
+    if _small_books(by):
+        kinds = {f.name: f.dataType.simpleString() for f in concepts.schema}
+
+        def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+            found = longest_paths(list(zip(pdf["src"], pdf["dst"], pdf["known"], strict=True)))
+            return _table(pdf, concept=list(found), tier=list(found.values()))
+
+        rows = by.join(known, ["book", "src"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        up = rows.groupBy("book").applyInPandas(walk, f"book {kinds['book']}, concept {kinds['concept']}, tier int")
+        return concepts.select("book", "concept").join(up, ["book", "concept"], "left").select("book", "concept", F.coalesce("tier", F.lit(0)).alias("tier"))
+    by = kept(by, "tier-edges")
     now = kept(concepts.select("book", "concept", F.lit(0).alias("tier")), "tiers")
-    by = edges.select("book", "src", "dst")
-    last = -1
-    for _ in range(most):
+    most = now.groupBy("book").count().agg(F.max("count")).first()[0] or 0
+    total, last, rounds = 0, -1, 0
+    while total != last:
+        if rounds > most:  # no path is longer than a book's concepts
+            raise ValueError("the edges have a cycle")
         given = now.withColumnRenamed("concept", "src")
         up = by.join(given, ["book", "src"], "left").groupBy("book", F.col("dst").alias("concept")).agg((F.max(F.coalesce("tier", F.lit(0))) + 1).alias("up"))
         now = kept(now.select("book", "concept").join(up, ["book", "concept"], "left").select("book", "concept", F.coalesce("up", F.lit(0)).alias("tier")), "tiers")
-        total = now.agg(F.sum("tier")).first()[0]
-        if total == last:
-            break
-        last = total
+        total, last, rounds = now.agg(F.sum("tier")).first()[0], total, rounds + 1
     return now
 
 
@@ -139,17 +226,28 @@ def order_violations(positions: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, ["book", "src"]).join(b, ["book", "dst"]).filter("p >= q").select("book", "src", "dst")
 
 
+def _by(concepts: DataFrame, edges: DataFrame, *order: str) -> DataFrame:
+    """(book, concept, position) in the order of columns, then ord; a book with a cycle keeps its order by ord."""
+    cyclic = kept(cycle_core(edges).select("book").distinct(), "cyclic-books")
+    level = tiers(concepts, edges.join(cyclic, "book", "left_anti"))
+    rows = concepts.join(level, ["book", "concept"]).join(cyclic.withColumn("cyclic", F.lit(True)), "book", "left")
+    keys = [F.when(F.col("cyclic").isNull(), F.col(c)) for c in order]
+    return rows.select("book", "concept", F.row_number().over(W.partitionBy("book").orderBy(*keys, "ord")).alias("position"))
+
+
 def topological_order(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     """(book, concept, position): by tier, then ord; a book whose edges have a cycle keeps its order by ord."""
-    cyclic = cycle_core(edges).select("book").distinct()
-    level = tiers(concepts, edges.join(cyclic, "book", "left_anti"))
-    return concepts.join(level, ["book", "concept"]).select("book", "concept", F.row_number().over(W.partitionBy("book").orderBy("tier", "ord")).alias("position"))
+    return _by(concepts, edges, "tier")
 
 
 def grouped_order(concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(book, concept, position): by tier, then cluster, then ord; concepts have book, concept, cluster and ord."""
-    level = tiers(concepts, edges)
-    return concepts.join(level, ["book", "concept"]).select("book", "concept", F.row_number().over(W.partitionBy("book").orderBy("tier", "cluster", "ord")).alias("position"))
+    """(book, concept, position): by tier, then cluster, then ord; concepts have book, concept, cluster and ord.
+
+    Books without edges, and books whose edges have a cycle, keep their order by ord.
+    """
+    some = edges.select("book", F.lit(True).alias("some")).distinct()
+    linked = concepts.join(some, "book", "left").withColumn("cluster", F.when(F.col("some"), F.coalesce("cluster", F.lit("unknown")))).drop("some")
+    return _by(linked, edges, "tier", "cluster")
 
 
 def neighbours(members: DataFrame, edges: DataFrame, descriptions: DataFrame) -> DataFrame:

@@ -65,6 +65,48 @@ def daily_quota(log: DataFrame, limit: int, estimate: int) -> DataFrame:
     return log.groupBy("key_id", F.to_date("ts").alias("day")).agg(F.sum("tokens").alias("used")).withColumn("would_exceed", F.col("used") + estimate > limit)
 
 
+def assign_keys(log: DataFrame, n_keys: int, limit: int) -> DataFrame:
+    """(day, ord, tokens, key): which key takes each request of a day, null where none can.
+
+    The current key takes a request that fits its day's limit; else the next key in turn that can becomes the
+    current one. Every day starts anew with key 0 and no use. The fold runs inside the plan, one array a day.
+    """
+    days = log.groupBy(F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "ord", F.col("tokens").cast("bigint").alias("tokens")))).alias("rows"))
+    out_type = "array<struct<ord: bigint, tokens: bigint, key: int>>"
+    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), n_keys).alias("used"), F.lit(0).alias("now"), F.array().cast(out_type).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        turns = F.transform(F.sequence(F.lit(0), F.lit(n_keys - 1)), lambda i: ((s["now"] + i) % n_keys).cast("int"))
+        key = F.get(F.filter(turns, lambda k: F.get(s["used"], k) + x["tokens"] <= limit), F.lit(0))
+        used = F.transform(s["used"], lambda u, i: F.when(i == key, u + x["tokens"]).otherwise(u))
+        row = F.struct(x["ord"].cast("bigint").alias("ord"), x["tokens"].alias("tokens"), key.alias("key"))
+        return F.struct(used.alias("used"), F.coalesce(key, s["now"]).alias("now"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    return days.select("day", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r")).select("day", "r.*")
+
+
+def progress_events(posts: DataFrame) -> DataFrame:
+    """(session_id, key, value, ts, ord, deleted) of posted JSON objects (body, ts, ord), flat or as an envelope of updates.
+
+    In an envelope all keys are set, nulls too; in a flat object a null deletes its key, and bookmark_word_index
+    is the bookmark. Posts without a session are refused: they give no row.
+    """
+    v = posts.withColumns({"session_id": F.get_json_object("body", "$.session_id"), "updates": F.get_json_object("body", "$.updates")})
+    v = v.filter("session_id IS NOT NULL AND session_id <> ''").withColumn("flat", F.col("updates").isNull())
+    entries = F.map_entries(F.from_json(F.coalesce("updates", "body"), "map<string, string>"))
+    rows = v.select("session_id", "ts", "ord", "flat", F.explode(entries).alias("e")).filter(~F.col("flat") | (F.col("e.key") != "session_id"))
+    key = F.when(F.col("flat") & (F.col("e.key") == "bookmark_word_index"), "bookmark").otherwise(F.col("e.key"))
+    return rows.select("session_id", key.alias("key"), F.col("e.value").alias("value"), "ts", "ord", (F.col("flat") & F.col("e.value").isNull()).alias("deleted"))
+
+
+def bookmark_events(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bookmark events of posts (body, ts, ord), and the posts that are refused for want of a session or a word index; 0 is an index."""
+    v = posts.withColumns({"session_id": F.get_json_object("body", "$.session_id"), "value": F.get_json_object("body", "$.word_index")})
+    fine = F.coalesce((F.col("session_id") != "") & F.col("value").isNotNull(), F.lit(False))
+    events = v.filter(fine).select("session_id", F.lit("bookmark").alias("key"), "value", "ts", "ord", F.lit(False).alias("deleted"))
+    return events, v.filter(~fine).select(*posts.columns)
+
+
 Recent = list[tuple[float, int]]
 
 

@@ -149,7 +149,13 @@ def _(spark, d):
 
 @query("clean_text", with_(b=X.blocks, c=r"SELECT doc_id, ord, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([\p{L}\p{N}_])-\s+([\p{L}\p{N}_])', '\1\2', 'g') AS t FROM b") + r"SELECT doc_id, ord, trim(CASE WHEN regexp_matches(t, '[∑∫∂√∞πθαβγδ]|\$_\w+\$_|\\\w+') THEN t || ' [MATH]' ELSE t END) AS content FROM c")
 def _(spark, d):
-    return fixture(spark, d, X.blocks).select("doc_id", "ord", T.clean_text(F.col("text"), normalize=False).alias("content"))
+    return fixture(spark, d, X.blocks).select("doc_id", "ord", T.clean_text(F.col("text")).alias("content"))
+
+
+@query("fold_compatible", "SELECT doc_id, 'file flow 1 ' || n_chars || ' km2 ' || CASE WHEN doc_id % 2 = 0 THEN 'ABC' ELSE 'VIII' END AS content FROM documents")
+def _(spark, d):
+    odd = F.concat(F.lit("ﬁle  ﬂow\n① "), F.col("n_chars"), F.lit(" km² "), F.when(F.col("doc_id") % 2 == 0, "ＡＢＣ").otherwise("Ⅷ"))
+    return docs(spark, d).select("doc_id", T.clean_text(odd).alias("content"))
 
 
 @query("tidy_document", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '[\p{L}\p{N}_]+:\s*\n', '', 'g'), '(\S):\s*([\p{L}\p{N}_]+:)', '\1' || chr(10) || chr(10) || '\2', 'g'), ' ' || chr(10)) AS text FROM (SELECT doc_id, 'BODY:' || chr(10) || replace(text, chr(10), chr(10) || chr(10) || chr(10) || chr(10)) || ' note: BODY: end ' AS t FROM documents)")
@@ -203,12 +209,22 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", T.without_card(carded).alias("bare"), T.ends_openly(x).alias("open_end"), T.complete_part(x).alias("complete"))
 
 
-@query("plan_header", "SELECT doc_id, text AS body FROM documents")
+@query("plan_header", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'REVISIT TARGET: cache' || chr(10) || 'x' || text ELSE text END AS body FROM documents")
 def _(spark, d):
-    return docs(spark, d).select("doc_id", T.without_plan_header(F.concat(F.lit("REVISIT TARGET: cache\n\n"), "text")).alias("body"))
+    i = F.col("doc_id") % 3
+    head = F.when(i == 0, "REVISIT TARGET: cache\n\n").when(i == 1, "REVISIT TARGET: cache\nKEY NOTE: again\nLAST NOTE: once\n\n").otherwise("REVISIT TARGET: cache\nx")
+    return docs(spark, d).select("doc_id", T.without_plan_header(F.concat(head, "text")).alias("body"))
+
+
+_FIND = "CASE WHEN contains({0}, '{1}') THEN length({0}) - instr(reverse({0}), '{2}') - 1 ELSE -1 END"
+_CUT = lambda text, mark, least: f"CASE WHEN {_FIND.format(text, mark, mark[::-1])} {least} THEN substring({text}, 1, {_FIND.format(text, mark, mark[::-1])} + 1) END"
 
 
-@query("last_complete_sentence", None)
+@query("last_complete_sentence", with_(s=X.sessions, w=r"SELECT *, regexp_extract_all(content, '\S+') AS w FROM s",
+    v="SELECT *, CASE WHEN len(w) < 400 THEN content ELSE array_to_string(w[-400:], ' ') END AS win, array_to_string(w[1:120], ' ') AS head FROM w",
+    c="SELECT *, coalesce(" + ", ".join(_CUT("win", m, ">= 0") for m in ("? ", ". ", "! ")) + ", win) AS cut FROM v", z=r"SELECT *, regexp_extract_all(cut, '\S+') AS cw FROM c")
+    + "SELECT book, number, CASE WHEN len(cw) < 60 THEN cut ELSE array_to_string(cw[-60:], ' ') END AS ending, CASE WHEN len(w) <= 120 THEN content ELSE coalesce("
+    + ", ".join(_CUT("head", m, "> length(head) * 0.85::DOUBLE") for m in (". ", "? ", "! ")) + ", head) END AS trimmed FROM z")
 def _(spark, d):
     x = F.col("content")
     return fixture(spark, d, X.sessions).select("book", "number", T.last_complete(x, 60).alias("ending"), T.trim_words(x, 120).alias("trimmed"))
@@ -252,7 +268,7 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", J.verdict(raw).alias("v")).select("event_id", "v.*")
 
 
-@query("salvage_json", None)
+@query("salvage_json", """SELECT event_id, '{"concepts": [{"name": "' || event_type || '", "n": ' || event_id || '}, {"name": "cut"}]}' AS json FROM events""")
 def _(spark, d):
     raw = F.concat(F.lit('{"concepts": [{"name": "'), "event_type", F.lit('", "n": '), F.col("event_id"), F.lit('}, {"name": "cut'))
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", J.salvage(raw).alias("json"))
@@ -310,9 +326,34 @@ def _(spark, d):
     return B.column_order(fixture(spark, d, X.blocks)).select("doc_id", "page", "ord", "position")
 
 
-@query("ingest_document", None)
+_OWN = r"regexp_replace(trim(lower({0}), ' ' || chr(10) || chr(9)), '\s+', ' ', 'g')"
+_RUNNING = (
+    "h AS (SELECT doc_id, x0::INT AS x, y0::INT AS y, min_by(trim(text, ' ' || chr(10) || chr(9)), page * 100000 + ord) AS text FROM b WHERE page <= 10 AND length(trim(text, ' ' || chr(10) || chr(9))) BETWEEN 1 AND 49 GROUP BY doc_id, x0::INT, y0::INT HAVING count(*) >= 3),"
+    f" r AS (SELECT *, EXISTS (SELECT 1 FROM h WHERE h.doc_id = b.doc_id AND abs(b.x0 - h.x) < 20 AND abs(b.y0 - h.y) < 20 AND {_OWN.format('h.text')} = {_OWN.format('b.text')}) AS running FROM b)"
+)
+_RUN_TAGGED = f"tagged AS (SELECT doc_id, page, ord, x, {_TAG} AS tag FROM (SELECT *, {_TEXT} AS x FROM r))"
+_CLEAN = r"regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '([\p{L}\p{N}_])-\s+([\p{L}\p{N}_])', '\1\2', 'g')"
+_CONTENT = rf"""CASE WHEN tag IN ('CODE', 'ALGORITHM') THEN x WHEN tag = 'TABLE' THEN CASE WHEN len(cells) = 3 AND trim(cells[3]) <> '' THEN 'For A1, time is two. For A1, size is ' || cells[3] || '.' ELSE x END
+ ELSE trim(CASE WHEN regexp_matches(c, '[∑∫∂√∞πθαβγδ]|\$_[\p{{L}}\p{{N}}_]+\$_|\\[\p{{L}}\p{{N}}_]+') THEN c || ' [MATH]' ELSE c END) END"""
+_TIDY = r"""trim(regexp_replace(regexp_replace(regexp_replace(t, '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '[\p{L}\p{N}_]+:\s*\n', '', 'g'), '(\S):\s*([\p{L}\p{N}_]+:)', '\1' || chr(10) || chr(10) || '\2', 'g'), ' ' || chr(10))"""
+
+
+def furnished(spark, d):
+    return fixture(spark, d, X.furnished).withColumns({"x": F.col("x0"), "y": F.col("y0")})
+
+
+@query("classify_running", with_(b=X.furnished) + ", " + _RUNNING + ", " + _RUN_TAGGED + f" SELECT doc_id, page, ord, tag, {_KEEP} AS kept FROM tagged")
 def _(spark, d):
-    return B.ingest(fixture(spark, d, X.blocks).withColumnsRenamed({}).withColumn("x", F.col("x0")).withColumn("y", F.col("y0")))
+    b = furnished(spark, d)
+    own = B.mark_running(b, B.running_headers(b))
+    tag = B.classify(*map(F.col, ("text", "page", "font", "size", "flags", "running")))
+    return own.withColumn("tag", tag).select("doc_id", "page", "ord", "tag", B.keeps(F.col("tag"), F.col("text")).alias("kept"))
+
+
+@query("ingest_document", with_(b=X.furnished) + ", " + _RUNNING + ", " + _RUN_TAGGED + f", cut AS (SELECT *, {_CLEAN} AS c, string_split_regex(trim(string_split(x, chr(10))[2], ' ' || chr(9)), '\t|  +') AS cells FROM tagged WHERE {_KEEP}),"
+    f" whole AS (SELECT doc_id, string_agg(tag || ': ' || {_CONTENT}, chr(10) ORDER BY page, ord) AS t FROM cut GROUP BY doc_id) SELECT doc_id, {_TIDY} AS text FROM whole")
+def _(spark, d):
+    return B.ingest(furnished(spark, d))
 
 
 # --- inventory ------------------------------------------------------------------------------------------------------
@@ -321,7 +362,13 @@ def _(spark, d):
     return V.fixed_chunks(docs(spark, d), 2000)
 
 
-@query("chunk_paragraph", None)
+_BARE = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_EMPTY = "chr(10) || chr(10)"
+
+
+@query("chunk_paragraph", with_(s=X.sessions, r=f"SELECT doc_id, 0 AS chunk_no, content AS rest, NULL::VARCHAR AS chunk FROM s UNION ALL SELECT doc_id, chunk_no + 1, CASE WHEN length(rest) > 2000 THEN {_BARE.format('substring(rest, pos + 1)')} ELSE '' END,"
+    f" CASE WHEN length(rest) > 2000 THEN {_BARE.format('substring(rest, 1, pos)')} ELSE rest END FROM (SELECT *, CASE WHEN contains(substring(rest, 1, 2000), {_EMPTY}) THEN length(substring(rest, 1, 2000)) - instr(reverse(substring(rest, 1, 2000)), {_EMPTY}) - 1 ELSE 2000 END AS pos FROM r WHERE rest <> '') q")
+    + "SELECT doc_id, chunk_no, chunk FROM r WHERE chunk_no > 0")
 def _(spark, d):
     return V.paragraph_chunks(fixture(spark, d, X.sessions).select("doc_id", F.col("content").alias("text")), 2000)
 
@@ -333,9 +380,15 @@ def _(spark, d):
     return V.union_inventories([kind(c, "concept", "concept"), kind(c.filter("weight = 'heavy'"), "cluster", "anchor"), kind(c.filter("weight = 'light'"), "description", "assumption")])
 
 
-@query("volume_check", with_(c=X.concepts) + "SELECT book, count(*) AS n_concepts, CASE WHEN count(*) < 40 THEN 'split' WHEN count(*) > 250 THEN 'merge' ELSE 'ok' END AS verdict FROM c WHERE book % 3 <> 0 OR position % 2 = 0 GROUP BY book")
+def small_books(spark, d):
+    """Concepts in books of all sizes: those of every third book are dealt out to two."""
+    c = fixture(spark, d, X.concepts)
+    return c.withColumn("book", F.when(F.col("book") % 3 == 0, -F.col("book") * 2 - F.col("position") % 2).otherwise(F.col("book")).cast("int"))
+
+
+@query("volume_check", with_(k=X.concepts, c="SELECT CASE WHEN book % 3 = 0 THEN -book * 2 - position % 2 ELSE book END::INT AS book FROM k") + "SELECT book, count(*) AS n_concepts, CASE WHEN count(*) < 40 THEN 'split' WHEN count(*) > 250 THEN 'merge' ELSE 'ok' END AS verdict FROM c GROUP BY book")
 def _(spark, d):
-    return V.volume_check(fixture(spark, d, X.concepts).filter("book % 3 <> 0 OR position % 2 = 0"))
+    return V.volume_check(small_books(spark, d))
 
 
 @query("cluster_audit", with_(c=X.concepts) + "SELECT book, cluster, count(*) AS n, CASE WHEN count(*) < 5 THEN 'small' WHEN count(*) > 30 THEN 'large' ELSE 'ok' END AS size_verdict, count(*) OVER (PARTITION BY book) AS n_clusters, CASE WHEN count(*) OVER (PARTITION BY book) BETWEEN 5 AND 8 THEN 'ok' ELSE 'adjust' END AS count_verdict FROM c GROUP BY book, cluster")

@@ -69,9 +69,18 @@ def _(spark, d):
     return G.cycle_core(fixture(spark, d, X.loops))
 
 
-@query("break_cycles")
+@query("break_cycles", with_(e=X.rings, k="SELECT *, dense_rank() OVER (PARTITION BY book ORDER BY least(src, dst)) AS n FROM e") + "SELECT book, src, dst, source FROM k WHERE n > 3 OR src < dst")
 def _(spark, d):
-    return G.break_cycles(fixture(spark, d, X.loops))
+    return G.break_cycles(fixture(spark, d, X.rings))
+
+
+@query("break_all_cycles", with_(l=X.loops) + ", " + _CORE + " SELECT book, count(DISTINCT node) AS on_cycles, 0 AS left_over FROM core GROUP BY book")
+def _(spark, d):
+    """All closing edges go, after which no node is on a cycle."""
+    e = fixture(spark, d, X.loops)
+    nodes = G.cycle_core(e).groupBy("book").agg(F.count(F.lit(1)).alias("on_cycles"))
+    rest = G.cycle_core(G.break_cycles(e, most=1 << 30)).groupBy("book").agg(F.count(F.lit(1)).cast("int").alias("left_over"))
+    return nodes.join(rest, "book", "left").na.fill(0)
 
 
 _TIERS = "walk AS (SELECT book, concept, 0 AS depth FROM c UNION ALL SELECT w.book, e.dst, w.depth + 1 FROM walk w JOIN e ON e.book = w.book AND e.src = w.concept), tiers AS (SELECT book, concept, max(depth)::INT AS tier FROM walk GROUP BY ALL)"
@@ -126,7 +135,16 @@ def _(spark, d):
     return P.tier_order(P.pack(c), G.tiers(c, e))
 
 
-@query("repair_order")
+_MOVES = """b AS (SELECT book, dst AS src, src AS dst FROM e WHERE length(dst) % 5 = 0),
+ t AS (SELECT p.book, list({'s': p.number, 'c': p.position, 'q': b.src, 'p': r.number}) AS needs FROM packed p JOIN b ON b.book = p.book AND b.dst = p.concept JOIN packed r ON r.book = p.book AND r.concept = b.src GROUP BY p.book),
+ o AS (SELECT k.book, list(DISTINCT k.number ORDER BY k.number) AS line FROM packed k GROUP BY k.book),
+ moved AS (SELECT o.book, line, 0 AS pass, coalesce(needs, []) AS needs FROM o LEFT JOIN t ON t.book = o.book
+  UNION ALL SELECT book, line[1:first.i - 1] || [first.p] || list_filter(line[first.i:], lambda y: y <> first.p), pass + 1, needs FROM (SELECT *, list_sort(list_transform(list_filter(needs, lambda x: list_position(line, x.p) > list_position(line, x.s)),
+   lambda x: {'i': list_position(line, x.s), 'c': x.c, 'q': x.q, 'p': x.p}))[1] AS first FROM moved) m WHERE first IS NOT NULL AND pass < len(line)),
+ final AS (SELECT book, max_by(line, pass) AS line FROM moved GROUP BY book)"""
+
+
+@query("repair_order", with_(c=X.concepts, e=X.edges) + ", " + _PACKED + ", " + _MOVES + " SELECT book, unnest(line) AS number, generate_subscripts(line, 1)::INT AS new_number FROM final")
 def _(spark, d):
     back = fixture(spark, d, X.edges).select("book", F.col("dst").alias("src"), F.col("src").alias("dst")).filter("length(src) % 5 = 0")
     return P.repair_order(P.pack(fixture(spark, d, X.concepts)), back)
@@ -156,7 +174,12 @@ def _(spark, d):
     return P.best_revisit(scores(spark, d))
 
 
-@query("revisit_once")
+_ONCE = """lists AS (SELECT book, number, row_number() OVER (PARTITION BY book ORDER BY number) AS k, list({'concept': concept, 'score': score} ORDER BY score DESC, concept DESC) AS cs FROM score GROUP BY book, number),
+ once AS (SELECT book, k, number, cs[1] AS pick, [cs[1].concept] AS used FROM lists WHERE k = 1 UNION ALL SELECT l.book, l.k, l.number, list_filter(l.cs, lambda x: NOT list_contains(o.used, x.concept))[1],
+  list_append(o.used, list_filter(l.cs, lambda x: NOT list_contains(o.used, x.concept))[1].concept) FROM once o JOIN lists l ON l.book = o.book AND l.k = o.k + 1)"""
+
+
+@query("revisit_once", with_(c=X.concepts, e=X.edges) + ", " + _PACKED + ", " + _CAND + ", " + _SCORE + ", " + _ONCE + " SELECT book, number, pick.concept AS concept, pick.score AS score FROM once WHERE pick IS NOT NULL")
 def _(spark, d):
     return P.revisit_once(scores(spark, d))
 
@@ -171,9 +194,10 @@ _TOK = "list_distinct(list_filter(list_transform(regexp_extract_all(lower({}), '
 _STOP = " AND w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
 
 
-@query("title_alignment", with_(s=X.sessions) + f"SELECT book, number, list_has_any({_TOK.format('title', _STOP)}, {_TOK.format(chr(97) + 'rray_to_string(concepts, chr(32))', _STOP)}) AS aligned FROM s")
+@query("title_alignment", with_(s=X.sessions) + f"SELECT book, number, list_has_any({_TOK.format('title', _STOP)}, {_TOK.format('array_to_string(concepts, chr(32)) || chr(32) || CASE WHEN number % 3 = 0 THEN substring(content, 1, 60) ELSE chr(32) END', _STOP)}) AS aligned FROM s")
 def _(spark, d):
-    return P.title_alignment(fixture(spark, d, X.sessions))
+    about = F.array(F.when(F.col("number") % 3 == 0, F.substring("content", 1, 60)).otherwise(" "))
+    return P.title_alignment(fixture(spark, d, X.sessions).withColumn("descriptions", about))
 
 
 @query("valid_title", with_(s=X.sessions) + r"SELECT book, number, CASE WHEN len(regexp_extract_all(title, '\S+')) BETWEEN 4 AND 10 OR (number % 2 = 0 AND len(regexp_extract_all(title, '\S+')) BETWEEN 2 AND 10) THEN title WHEN number % 2 = 0 THEN CASE WHEN len(concepts) >= 2 THEN concepts[1] || ' & ' || concepts[2] ELSE concepts[1] END ELSE CASE WHEN len(concepts) >= 2 THEN concepts[1] || ' & ' || concepts[2] ELSE concepts[1] END END AS title FROM s")
@@ -204,9 +228,10 @@ def _(spark, d):
     return P.dominant_cluster(members(spark, d))
 
 
-@query("prev_next_context", with_(s=X.sessions, g="SELECT * FROM s WHERE number % 13 <> 5") + r"SELECT book, number, printf('%02d', number) AS label, (row_number() OVER w)::INT AS position, lag(number) OVER w AS previous, lead(number) OVER w AS next, CASE WHEN lag(number) OVER w = number - 1 THEN lag(CASE WHEN len(regexp_extract_all(content, '\S+')) < 80 THEN content ELSE array_to_string(regexp_extract_all(content, '\S+')[-80:], ' ') END) OVER w ELSE '' END AS previous_ending, lead(concepts[1]) OVER w AS next_concept FROM g WINDOW w AS (PARTITION BY book ORDER BY number)")
+@query("prev_next_context", with_(s=X.sessions, g="SELECT * REPLACE (number + number // 13 AS number) FROM s") + r"SELECT book, number, printf('%02d', number) AS label, (row_number() OVER w)::INT AS position, lag(number) OVER w AS previous, lead(number) OVER w AS next, CASE WHEN lag(number) OVER w = number - 1 THEN lag(CASE WHEN len(regexp_extract_all(content, '\S+')) < 80 THEN content ELSE array_to_string(regexp_extract_all(content, '\S+')[-80:], ' ') END) OVER w ELSE '' END AS previous_ending, lead(concepts[1]) OVER w AS next_concept FROM g WINDOW w AS (PARTITION BY book ORDER BY number)")
 def _(spark, d):
-    return P.reading_context(fixture(spark, d, X.sessions).filter("number % 13 <> 5"))
+    # Every thirteenth number is left out, so that some sessions have no neighbour.
+    return P.reading_context(fixture(spark, d, X.sessions).withColumn("number", F.col("number") + F.floor(F.col("number") / 13).cast("int")))
 
 
 @query("revisit_slot", with_(c=X.concepts) + ", " + _PACKED + " SELECT book, number, greatest(0, count(*) - 2)::INT AS slot FROM packed GROUP BY ALL")
@@ -264,7 +289,15 @@ def _(spark, d):
     return R.daily_quota(fixture(spark, d, X.rate_log), 24_000, 500)
 
 
-@query("request_waits")
+_SENT = """i AS (SELECT key_id, ord, tokens, epoch_us(ts) / 1000000.0::DOUBLE AS asked, row_number() OVER (PARTITION BY key_id ORDER BY ts, ord) AS k FROM r),
+ z AS (SELECT key_id, k, ord, tokens, asked, asked AS now, []::STRUCT(t DOUBLE, n BIGINT)[] AS recent, false AS sent FROM i WHERE k = 1
+  UNION ALL SELECT key_id, CASE WHEN sent THEN nk ELSE k END, CASE WHEN sent THEN nord ELSE ord END, CASE WHEN sent THEN ntokens ELSE tokens END, CASE WHEN sent THEN nasked ELSE asked END,
+   CASE WHEN sent THEN greatest(nasked, now) WHEN fits THEN now ELSE live[1].t + 7200 + 1e-6::DOUBLE END, CASE WHEN sent THEN recent WHEN fits THEN list_append(live, {'t': now, 'n': tokens}) ELSE live END, NOT sent AND fits
+   FROM (SELECT *, len(live) = 0 OR (len(live) < 3 AND list_sum(list_transform(live, lambda x: x.n)) + tokens <= 900) AS fits
+    FROM (SELECT z.*, i.k AS nk, i.ord AS nord, i.tokens AS ntokens, i.asked AS nasked, list_filter(recent, lambda x: x.t >= now - 7200) AS live FROM z LEFT JOIN i ON z.sent AND i.key_id = z.key_id AND i.k = z.k + 1 WHERE NOT z.sent OR i.k IS NOT NULL) a) b)"""
+
+
+@query("request_waits", with_(r=X.rate_log) + ", " + _SENT + " SELECT key_id, ord, round(now - asked, 3) AS wait_s FROM z WHERE sent")
 def _(spark, d):
     return R.waits(fixture(spark, d, X.rate_log), 3, 900, 7200)
 
@@ -273,7 +306,7 @@ def _(spark, d):
 def results(spark, d):
     s = fixture(spark, d, X.sessions)
     return s.select("book", "number", "title", F.when(F.col("number") % 8 == 0, "").otherwise(F.col("content")).alias("content"), F.when(F.col("number") % 4 != 0, F.col("number") % 3 == 0).alias("needs_review"),
-        F.lit("x").alias("tension_excerpt"), F.lit("SessionGen").alias("stage"), F.lit(1).alias("version"))
+        F.lit("x").alias("tension_excerpt"), F.element_at(F.array(F.lit("SessionGen"), F.lit("IndexGen"), F.lit("Complete")), (F.least(F.col("number"), F.col("book") % 3 + 1)).cast("int")).alias("stage"), F.lit(1).alias("version"))
 
 
 _RES = "res AS (SELECT book, number, title, CASE WHEN number % 8 = 0 THEN '' ELSE content END AS content, CASE WHEN number % 4 <> 0 THEN number % 3 = 0 END AS needs_review FROM s)"
@@ -290,7 +323,7 @@ def _(spark, d):
     return S.export_rows(results(spark, d))
 
 
-@query("list_books", with_(s=X.sessions) + ", " + _RES + " SELECT book, count(*) FILTER (content <> '') AS n_sessions, 'SessionGen' AS stage FROM res GROUP BY book")
+@query("list_books", with_(s=X.sessions) + ", " + _RES + " SELECT book, count(*) FILTER (content <> '') AS n_sessions, CASE WHEN book % 3 = 2 AND max(number) >= 3 THEN 'Complete' ELSE 'SessionGen' END AS stage FROM res GROUP BY book")
 def _(spark, d):
     return S.list_books(results(spark, d))
 
@@ -336,13 +369,6 @@ def _(spark, d):
     return s.select("book", "number", verdict(M.ask("binary", F.col("content"))["answer"])["passed"].alias("passed"))
 
 
-@query("extract_inventory")
-def _(spark, d):
-    from lectern.operators.inventory import fixed_chunks
-
-    return M.extract_inventory(fixed_chunks(docs(spark, d), 4000))
-
-
 def planned(spark, d):
     """Sessions of concepts with titles, as an index."""
     m = members(spark, d)
@@ -356,23 +382,23 @@ def _(spark, d):
     return N.generate_in_order(planned(spark, d))
 
 
-@query("session_titles")
-def _(spark, d):
-    return N.with_titles(fixture(spark, d, X.sessions).select("book", "number", "concepts").filter("size(concepts) > 0"))
+_NAMED = "s1 AS (SELECT book, number, concepts AS c, 'Title and ' || concepts[1] AS title FROM s WHERE len(concepts) > 0)"
+_SHARED = f"len(list_intersect({_TOK.format('title', '')}, {_TOK.format(chr(97) + 'rray_to_string(c, chr(32))', '')}))"
 
 
-@query("evaluate_sessions")
+@query("session_titles", with_(s=X.sessions) + ", " + _NAMED + f", r AS (SELECT *, row_number() OVER (PARTITION BY book, lower(title) ORDER BY {_SHARED} DESC, number) AS k, list_filter(c, lambda x: x <> c[1]) AS d FROM s1)"
+    " SELECT book, number, CASE WHEN k = 1 THEN title WHEN len(d) > 0 THEN c[1] || ' and ' || d[1] WHEN len(c) >= 2 THEN c[1] || ' & ' || c[2] ELSE c[1] END AS title FROM r")
 def _(spark, d):
-    s = fixture(spark, d, X.sessions).withColumn("revisit", F.when(F.col("number") > 3, F.try_element_at("concepts", F.lit(1))))
-    return N.evaluate(s.select("book", "number", "content", "concepts", "revisit"))
+    return N.with_titles(fixture(spark, d, X.sessions).select("book", "number", "concepts").filter("size(concepts) > 0")).select("book", "number", "title")
 
 
-@query("repair_truncated")
-def _(spark, d):
-    return N.repair_truncated(fixture(spark, d, X.sessions).select("book", "number", "content"))
+def evaluated(spark, d):
+    s = fixture(spark, d, X.sessions).withColumn("revisit", F.when(F.col("number") > 3, F.try_element_at("concepts", F.lit(1))))
+    return s.select("book", "number", "content", "concepts", "revisit")
 
 
-@query("infer_edges")
+@query("infer_edges", with_(k=X.concepts, c="SELECT floor(book / 2.0)::BIGINT AS book, concept, ord FROM k", n="SELECT *, count(*) OVER (PARTITION BY book) AS n, lag(concept) OVER (PARTITION BY book ORDER BY ord) AS src FROM c")
+    + "SELECT book, src, concept AS dst, 'Inferred: listed earlier' AS reason, 'inferred' AS source FROM n WHERE n > 50 AND src IS NOT NULL")
 def _(spark, d):
     c = fixture(spark, d, X.concepts).withColumn("book", F.floor(F.col("book") / 2))
     return N.infer_edges(c.select("book", "concept", "description", "ord"))
@@ -386,7 +412,8 @@ def _(spark, d):
         of("cross_theme").select("book", F.col("dst").alias("concept"), F.col("src").alias("other")), e.select("book", "src", "dst"))
 
 
-@query("drop_duplicate_concepts")
+@query("drop_duplicate_concepts", with_(k=X.concepts, c="SELECT floor(book / 3.0)::BIGINT AS book, description AS concept, '' AS description, ord FROM k",
+    n="SELECT *, count(*) OVER (PARTITION BY book) AS n, row_number() OVER (PARTITION BY book, rtrim(lower(concept), 's') ORDER BY ord) AS k FROM c") + "SELECT book, concept, description, ord FROM n WHERE n < 100 OR k = 1")
 def _(spark, d):
     c = fixture(spark, d, X.concepts).select(F.floor(F.col("book") / 3).alias("book"), F.col("description").alias("concept"), F.lit("").alias("description"), "ord")
     return N.drop_duplicates(c)

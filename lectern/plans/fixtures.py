@@ -40,8 +40,22 @@ def edges(e: str) -> str:
 
 
 def loops(e: str) -> str:
-    """The edges and, for every ninth, its way back."""
-    return f"SELECT book, src, dst, source FROM ({edges(e)}) f UNION ALL SELECT book, dst AS src, src AS dst, source FROM ({edges(e)}) g WHERE length(src) % 9 = 0"
+    """The edges and, for those from names of some lengths, their way back."""
+    return f"SELECT book, src, dst, source FROM ({edges(e)}) f UNION ALL SELECT book, dst AS src, src AS dst, source FROM ({edges(e)}) g WHERE length(src) % 5 = 1"
+
+
+def rings(e: str) -> str:
+    """Concepts in pairs that need each other, five for each book at least, and some edges between names that are far apart."""
+    name = lambda t: f"concat({t}.p_name, ' ', CAST({t}.p_partkey AS VARCHAR(20)))"
+    book = "CAST(floor((a.p_partkey - 1) / 40.0) AS INT)"
+    pair = "FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 4 = 1"
+    return f"SELECT {book} AS book, {name('a')} AS src, {name('b')} AS dst, 'explicit' AS source {pair} UNION ALL SELECT {book}, {name('b')}, {name('a')}, 'implicit' {pair}"
+
+
+def furnished(e: str) -> str:
+    """Blocks with page furniture: a short line at one place of every page."""
+    return f"""SELECT doc_id, page, ord, CASE WHEN ord % 3 = 0 THEN concat('Part ', CAST(doc_id % 9 AS VARCHAR(9))) ELSE text END AS text, font, size, flags,
+ CASE WHEN ord % 3 = 0 THEN 55.0E0 ELSE x0 END AS x0, CASE WHEN ord % 3 = 0 THEN 22.0E0 ELSE y0 + ord END AS y0, x1, page_width FROM ({blocks(e)}) b"""
 
 
 def lines(e: str) -> str:

@@ -1,6 +1,6 @@
 """Sources and sinks: stage checkpoints, session exports, static bundles, configuration.
 
-Tables go to any place that Spark can write; a stage is replaced as a whole by the file committer.
+Tables go to any place that Spark can write; a stage counts from the moment that a state file names it.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import json
 import tempfile
 import uuid
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import date, datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +24,10 @@ STAGES = ("Ingest", "Pass1", "Cluster", "Pass2", "GraphBuild", "IndexGen", "Awai
 _made: list[tuple[SparkSession, str]] = []
 
 
+class QuotaExhausted(Exception):
+    """No key has quota left for a request today; a run stops at once."""
+
+
 class PipelineError(Exception):
     """An error of a stage; ``recoverable`` tells whether the run may go on."""
 
@@ -32,14 +36,47 @@ class PipelineError(Exception):
         self.stage, self.recoverable = stage, recoverable
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm, True)
+    return jvm.getFileSystem(spark._jsc.hadoopConfiguration()), jvm
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, jvm = _fs(spark, path)
+    fs.delete(jvm, True)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
+    fs, jvm = _fs(spark, path)
+    return fs.exists(jvm)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, jvm = _fs(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(jvm)) if fs.exists(jvm) else []
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file under another name and moves it, so that it is there whole or not at all."""
+    fs, final = _fs(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(final.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(part)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not fs.rename(part, final):
+        fs.delete(part, False)
+        raise OSError(f"{path} is there already")
+
+
+def _get(spark: SparkSession, path: str) -> str:
+    fs, jvm = _fs(spark, path)
+    stream = fs.open(jvm)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
 
 
 @atexit.register
@@ -49,57 +86,73 @@ def _tidy() -> None:
             _remove(spark, path)
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once in the shared folder (spark.checkpoint.dir) and read back, for loops and reuse."""
-    spark = df.sparkSession
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder in the shared one (spark.checkpoint.dir); it is removed when the driver process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/lectern-{label}-{uuid.uuid4().hex[:12]}"
     _made.append((spark, path))
+    return path
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once in the shared folder and read back, for loops and reuse."""
+    spark = df.sparkSession
+    path = work_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @dataclass
 class StageStore:
-    """One Parquet table a stage below ``base`` and a small manifest of the current stage."""
+    """Parquet tables of a book's stages below ``base``, and small numbered state files that name the whole ones.
+
+    A stage is written to a folder of its own and counts from the moment that the next state file names it;
+    what a broken write leaves is never read, and an older version goes after the newer one counts.
+    """
 
     spark: SparkSession
     base: str
 
-    def _manifest(self) -> str:
-        return f"{self.base}/_state"
+    def _state(self) -> dict:
+        names = [n for n in _names(self.spark, f"{self.base}/_state") if n.endswith(".json")]
+        return json.loads(_get(self.spark, f"{self.base}/_state/{names[-1]}")) if names else {"number": 0, "current": None, "stages": {}}
 
-    def save(self, stage: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.base}/{stage}")
-        self._set(stage)
+    def _change(self, current: str | None, stages: dict[str, str]) -> None:
+        old = self._state()
+        state = {"number": old["number"] + 1, "current": current, "stages": stages}
+        _put(self.spark, f"{self.base}/_state/{state['number']:08d}.json", json.dumps(state))
+        for path in set(old["stages"].values()) - set(stages.values()):
+            _remove(self.spark, f"{self.base}/{path}")
+        _remove(self.spark, f"{self.base}/_state/{state['number'] - 1:08d}.json")
 
-    def _set(self, stage: str | None) -> None:
-        self.spark.createDataFrame([(stage,)], "current_stage string").coalesce(1).write.mode("overwrite").json(self._manifest())
+    def save(self, stage: str, df: DataFrame) -> None:
+        path = f"{stage}/{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.base}/{path}")
+        now = self._state()
+        self._change(stage if stage in STAGES else now["current"], now["stages"] | {stage: path})
 
     def load(self, stage: str) -> DataFrame | None:
-        path = f"{self.base}/{stage}"
-        return self.spark.read.parquet(path) if _exists(self.spark, path) else None
+        path = self._state()["stages"].get(stage)
+        return self.spark.read.parquet(f"{self.base}/{path}") if path else None
 
     def current(self) -> str | None:
-        if not _exists(self.spark, self._manifest()):
-            return None
-        return self.spark.read.schema("current_stage string").json(self._manifest()).first()[0]
+        return self._state()["current"]
 
     def is_complete(self, stage: str) -> bool:
-        return _exists(self.spark, f"{self.base}/{stage}")
+        return stage in self._state()["stages"]
 
     def reset(self, stage: str | None = None) -> None:
         """One stage (the current stage is forgotten only if it is that one), or everything."""
         if stage is None:
             _remove(self.spark, self.base)
             return
-        now = self.current()
-        _remove(self.spark, f"{self.base}/{stage}")
-        if now == stage:
-            self._set(None)
+        now = self._state()
+        self._change(None if now["current"] == stage else now["current"], {k: v for k, v in now["stages"].items() if k != stage})
 
     def progress(self) -> dict:
         done = [s for s in STAGES if self.is_complete(s)]
@@ -107,6 +160,41 @@ class StageStore:
         return {"current_stage": self.current(), "completed": done, "sessions": 0 if results is None else results.count(), "total": 0 if index is None else index.count()}
 
 
+@dataclass
+class QuotaFile:
+    """Tokens that each key has used today, in a JSON file; another day starts from nothing, and so does a broken file."""
+
+    path: str
+    limit: int = 900_000
+
+    def _load(self) -> dict:
+        try:
+            return json.loads(Path(self.path).read_text())
+        except (OSError, ValueError):
+            return {}
+
+    def used(self, key_id: str, today: date) -> int:
+        entry = self._load().get(key_id, {})
+        return entry["tokens_used"] if entry.get("date") == str(today) else 0
+
+    def would_exceed(self, key_id: str, tokens: int, today: date) -> bool:
+        return self.used(key_id, today) + tokens > self.limit
+
+    def record(self, key_id: str, tokens: int, today: date) -> None:
+        entries = self._load() | {key_id: {"date": str(today), "tokens_used": self.used(key_id, today) + tokens}}
+        part = Path(f"{self.path}.{uuid.uuid4().hex}")
+        part.write_text(json.dumps(entries, indent=1))
+        part.replace(self.path)
+
+    def pick(self, key_ids: list[str], current: int, tokens: int, today: date) -> int:
+        """The place of the first key, from the current one on, that has quota for ``tokens``."""
+        for i in range(len(key_ids)):
+            at = (current + i) % len(key_ids)
+            if not self.would_exceed(key_ids[at], tokens, today):
+                return at
+        raise QuotaExhausted(f"no quota left today on {len(key_ids)} keys of {self.limit} tokens")
+
+
 def pending_stages(current: str | None) -> list[str]:
     return list(STAGES[STAGES.index(current) + 1 :]) if current in STAGES else list(STAGES)
 
@@ -123,8 +211,10 @@ def pending_sessions(index: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def list_books(results: DataFrame) -> DataFrame:
-    """(book, n_sessions, stage) with the legacy book (empty name) first by name order."""
-    return results.groupBy("book").agg(F.count_if((F.col("content").isNotNull()) & (F.col("content") != "")).alias("n_sessions"), F.max("stage").alias("stage"))
+    """(book, n_sessions, stage): sessions with content and the furthest stage of each book, the legacy book (no name) first, then by name."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage")), F.lit(0))
+    books = results.groupBy("book").agg(F.count_if((F.col("content").isNotNull()) & (F.col("content") != "")).alias("n_sessions"), F.max_by("stage", rank).alias("stage"))
+    return books.orderBy(F.coalesce(F.col("book").cast("string"), F.lit("")) != "", "book")
 
 
 def first_book(results: DataFrame) -> str | None:
@@ -134,8 +224,10 @@ def first_book(results: DataFrame) -> str | None:
 
 
 def export_rows(results: DataFrame) -> DataFrame:
+    """Sessions with content, and what their checks said where ``results`` has it (evaluation)."""
     rows = results.filter("content IS NOT NULL AND content <> ''")
-    return rows.select("book", "number", "title", "content", F.coalesce("needs_review", F.lit(False)).alias("needs_review"))
+    more = ["evaluation"] if "evaluation" in results.columns else []
+    return rows.select("book", "number", "title", "content", F.coalesce("needs_review", F.lit(False)).alias("needs_review"), *more)
 
 
 def bundle_json(results: DataFrame) -> DataFrame:
@@ -145,20 +237,44 @@ def bundle_json(results: DataFrame) -> DataFrame:
 
 
 def write_export(sessions: DataFrame, progress: DataFrame, path: str, now: datetime) -> str:
-    """A JSON export {timestamp, sessions, progress} below ``path``; returns its folder."""
-    out = f"{path}/curriculum_export_{now:%Y%m%d_%H%M%S}.json"
-    s = sessions.agg(F.collect_list(F.struct(*sessions.columns)).alias("sessions"))
-    p = progress.agg(F.collect_list(F.struct(*progress.columns)).alias("progress"))
-    s.join(p, F.lit(True)).select(F.lit(now.isoformat()).alias("timestamp"), "sessions", "progress").coalesce(1).write.mode("overwrite").json(out)
+    """An export below ``path``: sessions and progress as JSON lines, and an envelope written last; returns its folder.
+
+    Progress rows (session_id, key, value) become a map of their keys for each session. Nothing is gathered in one task.
+    """
+    out = f"{path}/curriculum_export_{now:%Y%m%d_%H%M%S}"
+    spark = sessions.sparkSession
+    sessions.write.mode("overwrite").json(f"{out}/sessions")
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))
+    progress.groupBy("session_id").agg(entries.alias("values")).write.mode("overwrite").json(f"{out}/progress")
+    if _exists(spark, f"{out}/envelope.json"):
+        _remove(spark, f"{out}/envelope.json")
+    _put(spark, f"{out}/envelope.json", json.dumps({"timestamp": now.isoformat(), "sessions": "sessions", "progress": "progress"}))
     return out
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """The sessions of an export; a file without them is refused."""
-    df = spark.read.json(path, multiLine=False)
+    """The sessions of an export: a folder as ``write_export`` makes, or a JSON file {timestamp, sessions, progress}.
+
+    In a file the sessions are an array, or an object by session number. Anything without sessions is refused.
+    """
+    if _exists(spark, f"{path}/envelope.json"):
+        return spark.read.json(f"{path}/sessions")
+    df = spark.read.json(path, multiLine=True)
     if "sessions" not in df.columns:
         raise PipelineError("no sessions in the export", "Import")
-    return df.select(F.explode("sessions").alias("s")).select("s.*")
+    if df.schema["sessions"].dataType.typeName() == "array":
+        return df.select(F.explode("sessions").alias("s")).select("s.*")
+    names = df.schema["sessions"].dataType.names
+    rows = [F.struct(F.lit(n).alias("session_number"), F.to_json(F.col(f"sessions.`{n}`")).alias("body")) for n in names]
+    listed = df.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    kind = F.schema_of_json(F.lit(listed.first()["body"])) if names else F.lit("struct<content: string>")
+    return listed.select("session_number", F.from_json("body", kind).alias("v")).select(F.col("session_number").cast("int").alias("number"), "v.*")
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """(session_id, key, value) of an export's folder."""
+    rows = spark.read.schema("session_id string, values map<string, string>").json(f"{path}/progress")
+    return rows.select("session_id", F.explode("values").alias("key", "value"))
 
 
 def read_blocks(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -167,17 +283,28 @@ def read_blocks(spark: SparkSession, path: str, schema: str | None = None) -> Da
     return reader.json(path) if path.endswith((".json", ".jsonl")) else reader.parquet(path)
 
 
-def read_pdf(spark: SparkSession, path: str, parser, ddl: str) -> DataFrame:
-    """Blocks of PDF files: ``parser(path, bytes)`` yields tuples of ``ddl``; files are read as binary rows."""
+SPAN = "struct<text: string, font: string, size: double, flags: int, origin: struct<x: double, y: double>>"
+PDF_DDL = f"doc_id long, page int, ord int, page_width double, x0 double, y0 double, x1 double, lines array<struct<spans: array<{SPAN}>>>"
+
+
+def read_pdf(spark: SparkSession, path: str, parser=None, ddl: str = PDF_DDL) -> DataFrame:
+    """Blocks of PDF files: ``parser(path, bytes)`` yields tuples of ``ddl``; files are read as binary rows.
+
+    The default parser is ``sources.pdf.blocks``; its rows go through ``operators.blocks.from_spans``.
+    """
+    from lectern.sources import pdf
+
+    parse = parser or pdf.blocks
 
     def run(batches):
         import pandas as pd
 
-        for pdf in batches:
-            rows = [r for p, c in zip(pdf["path"], pdf["content"], strict=True) for r in parser(p, c)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in ddl.split(", ")])
+        names = [f.name for f in wanted]
+        for rows in batches:
+            yield pd.DataFrame([r for p, c in zip(rows["path"], rows["content"], strict=True) for r in parse(p, c)], columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ddl)
+    wanted = spark.createDataFrame([], ddl).schema
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, wanted)
 
 
 def index_text(index: DataFrame) -> DataFrame:

@@ -26,8 +26,12 @@ def plain(v):
         return None
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
-    if isinstance(v, (int, float, np.number)):
-        return f"{float(v):.6g}"
+    if isinstance(v, (int, np.integer)):
+        return str(int(v))
+    if isinstance(v, (float, np.floating)) and float(v).is_integer() and abs(v) < 2**53:
+        return str(int(v))  # whole numbers beside nulls come as floats
+    if isinstance(v, (float, np.number)):
+        return f"{float(v):.9g}"
     return str(v).replace(" 00:00:00", "")
 
 
@@ -39,7 +43,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, con, name):
     got, want = rows(QUERIES[name](spark, SF).toPandas()), rows(con.sql(ORACLES[name]).df())
-    assert got == want
+    assert got == want and want[1], "an empty result proves nothing"
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))

@@ -117,10 +117,20 @@ def test_word_trims_against_plain_python(spark):
 
 def test_chunks(spark):
     rng = random.Random(3)
-    text = "\n\n".join("x" * rng.randint(1, 90) for _ in range(80))
-    parts = V.chunk_text(text, 200)
-    assert all(len(p) <= 200 for p in parts) and "".join(parts).replace("\n", "") == text.replace("\n", "")
-    assert V.chunk_text("y" * 450, 200) == ["y" * 200, "y" * 200, "y" * 50] and V.chunk_text("", 5) == []
+    texts = ["\n\n".join("x" * rng.randint(1, 90) for _ in range(80)), "y" * 450, "", None, "z", "\n\n".join(["p q"] * 300), "a\n\n\n\n" * 90, "w " * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in V.paragraph_chunks(rows, 200).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r["doc_id"], []).append(r["chunk"])
+        assert r["chunk_no"] == len(got[r["doc_id"]])
+    for i, text in enumerate(texts):
+        parts, left = got.get(i, []), text or ""
+        assert "".join("".join(parts).split()) == "".join(left.split()) and all(len(p) <= 200 and p == p.strip() for p in parts)
+        for p, following in zip(parts, parts[1:], strict=False):  # a cut is at an empty line, or the part is full, or was before it was stripped
+            left = left[left.index(p) :]
+            assert left[len(p) : len(p) + 2] == "\n\n" or "\n\n" not in left[:200].rstrip() or not following
+            left = left[len(p) :]
+    assert got[1] == ["y" * 200, "y" * 200, "y" * 50] and 2 not in got and 3 not in got and got[4] == ["z"]
 
 
 @pytest.mark.parametrize(("raw", "value"), [('{"k": 1}', 1), ('```json\n{"k": 2}\n```', 2), ('so: {"k": 3} ok', 3), ("nothing", None), ("", None)])
@@ -174,9 +184,31 @@ def test_tiers_cycles_and_order(spark):
     assert {r["concept"]: r["tier"] for r in G.tiers(concepts, edges).collect()} == want
     assert G.order_violations(G.grouped_order(concepts, edges), edges).count() == 0
     assert G.cycle_core(edges).count() == 0
+    assert [r["concept"] for r in G.grouped_order(concepts, edges.limit(0)).orderBy("position").collect()] == names
     looped = edges.unionByName(spark.createDataFrame([("b", "x", "y", "explicit"), ("b", "y", "x", "explicit")], edges.schema))
     assert {r["node"] for r in G.cycle_core(looped).collect()} == {"x", "y"}
     assert {(r["src"], r["dst"]) for r in looped.subtract(G.break_cycles(looped)).collect()} == {("y", "x")}
+    more = concepts.unionByName(spark.createDataFrame([("b", "x", "a", 98), ("b", "y", "a", 99)], concepts.schema))
+    for order in (G.topological_order, G.grouped_order):  # a book with a cycle keeps its order
+        assert [r["concept"] for r in order(more, looped).orderBy("position").collect()] == [*names, "x", "y"]
+    with pytest.raises(Exception, match="cycle"):
+        G.tiers(more, looped).collect()
+    ordered = {r["concept"]: r["tier"] for r in G.tiers(more, looped, "ord").collect()}
+    assert {n: ordered[n] for n in names} == want and (ordered["x"], ordered["y"]) == (1, 2)
+
+
+def test_large_books_are_walked_in_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    names = [f"n{i:02d}" for i in range(25)]
+    pairs = {tuple(sorted(rng.sample(names, 2))) for _ in range(50)} | {("unknown", "n03")}
+    concepts = spark.createDataFrame([("b", n, i) for i, n in enumerate(names)], "book string, concept string, ord int")
+    edges = spark.createDataFrame([("b", *p, "explicit") for p in pairs], "book string, src string, dst string, source string")
+    looped = edges.unionByName(spark.createDataFrame([("b", "n20", "n02", "implicit"), ("c", "p", "q", "implicit"), ("c", "q", "p", "implicit")], edges.schema))
+    small = [sorted(map(tuple, f.collect())) for f in (G.tiers(concepts, edges), G.cycle_core(looped), G.cycle_core(edges))]
+    monkeypatch.setattr(G, "BOOK_EDGES", 3)
+    assert [sorted(map(tuple, f.collect())) for f in (G.tiers(concepts, edges), G.cycle_core(looped), G.cycle_core(edges))] == small
+    with pytest.raises(ValueError, match="cycle"):
+        G.tiers(concepts, looped)
 
 
 def test_closing_edges_leave_no_cycle():
@@ -215,8 +247,10 @@ def test_store_and_curriculum(spark, tmp_path):
     assert store.progress()["completed"] == list(S.STAGES)
     store.reset("SessionGen")
     assert not store.is_complete("SessionGen") and store.current() == "Complete"
-    out = S.write_export(store.load("IndexGen").select("book", "number", "title"), spark.createDataFrame([("s", "k")], "a string, b string"), f"file://{tmp_path}", datetime(2026, 1, 2))
+    progress = spark.createDataFrame([("s", "bookmark", "0"), ("s", "completed", "true"), ("t", "bookmark", None)], "session_id string, key string, value string")
+    out = S.write_export(index.select("book", "number", "title"), progress, f"file://{tmp_path}", datetime(2026, 1, 2))
     assert S.read_export(spark, out).count() == index.count()
+    assert sorted(map(tuple, S.read_progress(spark, out).collect()), key=str) == sorted(map(tuple, progress.collect()), key=str)
     store.reset()
     assert store.current() is None
 
@@ -310,13 +344,17 @@ def test_sessions_follow_each_other_and_failures_stay_in_their_row(spark):
         def generate(self, task, prompt):
             if "bad" in prompt:
                 raise ValueError("no")
+            if task == "frame":
+                return f"Because of {prompt.partition(':')[0]}.\n \nmore\n\nWhat of {prompt[-9:]}?"
             return f"[{task}] {prompt[:40]}?" if task == "question" else f"[{task}] {prompt}"
 
     plan = [("b", 1, "One", [("cache", "d"), ("bus", "d")], None), ("b", 2, "Two", [("bad", "d")], None), ("b", 3, "Three", [("port", "d")], ("cache", "r"))]
     index = spark.createDataFrame(plan, "book string, number int, title string, concepts array<struct<name: string, description: string>>, revisit struct<name: string, reason: string>")
     got = {r["number"]: r for r in N.generate_in_order(index, Provider).collect()}
-    assert got[1]["card"] == "— cache\n— bus" and "Because of One" in got[1]["content"] and got[1]["content"].endswith("?")
+    assert got[1]["card"].startswith("[card] cache, bus\n") and got[1]["content"].startswith("Because of One.\n\nmore\n\n[section] cache") and got[1]["content"].endswith(got[1]["card"])
+    assert got[1]["tension_excerpt"].endswith("?") and "[card]" not in got[1]["tension_excerpt"]
     assert got[2]["content"] is None and got[2]["error"] == "no" and "Because of Three" in got[3]["content"] and "Return to cache" in got[3]["content"]
+    assert got[3]["card"] == "" and got[3]["content"].endswith("?")
 
 
 def test_index_revision(spark):
@@ -325,7 +363,7 @@ def test_index_revision(spark):
     index = spark.createDataFrame([("b", 1, "A"), ("b", 2, "B")], "book string, number int, title string")
     for note in ("keep all", "make it better"):
         assert sorted(map(tuple, N.revise_index(index, note).collect())) == [("b", 1, "A"), ("b", 2, "B")]
-    assert N.parse_object('```json\n{"a": [1, 2\n') == {"a": [1, 2]} and N.parse_object('so {"b": 1} ok') == {"b": 1}
+    assert J.parse_object('```json\n{"a": [1, 2\n') == {"a": [1, 2]} and J.parse_object('so {"b": 1} ok') == {"b": 1}
 
 
 def test_admission_and_waits():
