@@ -8,9 +8,9 @@ token-byte table, whose size is the vocabulary's, to the ids.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ from lectern.llm.wordblocks import FOUND_DDL, FOUND_SCHEMA, by_block, by_word, p
 
 IDS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 IDS_DDL = "doc_id long, ids binary"
+#: Words whose ids are put in place at once.
+SEQUENCE = 1 << 18
 
 
 @cache
@@ -59,13 +61,13 @@ def gathered(flat: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 class _Known(dict):
-    """Ids of the words that a part has met, each encoded once."""
+    """Ids of the words that a part has met, each encoded once, as bytes of a kind of integers."""
 
-    def __init__(self, encoding):
-        self.encoding = encoding
+    def __init__(self, encoding, kind):
+        self.encoding, self.code = encoding, {2: "H", 4: "I"}[np.dtype(kind).itemsize]
 
-    def __missing__(self, word: bytes) -> list[int]:
-        self[word] = ids = self.encoding.encode_ordinary(word.decode())
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = ids = array(self.code, self.encoding.encode_ordinary(word.decode())).tobytes()
         return ids
 
 
@@ -81,22 +83,28 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         return _pattern(pattern).findall(text)
 
     def on_words(part: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
-        known = _Known(_encoding(ranks, pattern))
         kind = np.uint16 if max(read_ranks(ranks).values()) < 1 << 16 else np.uint32
+        known = _Known(_encoding(ranks, pattern), kind)
         for block, packed in rows:
             ids = [known[w] for w in unpack_words(packed)[0]]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), kind, int(n.sum()))
-            yield block, part, pack((n if n.max(initial=0) > 255 else n.astype(np.uint8)), flat)
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
+            yield block, part, pack((n if n.max(initial=0) > 255 else n.astype(np.uint8)), np.frombuffer(b"".join(ids), kind))
 
     def on_block(lengths: np.ndarray, seq: np.ndarray, found: list[bytes]) -> list[pa.Array]:
         parts = [unpack(f) for f in found]
-        n = np.concatenate([p[0].astype(np.int64) for p in parts]) if parts else np.empty(0, np.int64)
-        flat = np.concatenate([p[1].astype(np.uint32) for p in parts]) if parts else np.empty(0, np.uint32)
-        ids = gathered(flat, (np.cumsum(n) - n)[seq], n[seq])
-        per_doc = np.add.reduceat(np.append(n[seq], 0), np.minimum(np.cumsum(lengths) - lengths, len(seq))) if len(lengths) else lengths
+        n = np.concatenate([p[0].astype(np.int32) for p in parts]) if parts else np.empty(0, np.int32)
+        flat = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.uint16)
+        begin = np.cumsum(n, dtype=np.int64) - n
+        each = n[seq]
+        per_doc = np.add.reduceat(np.append(each, 0), np.minimum(np.cumsum(lengths) - lengths, len(seq)), dtype=np.int64) if len(lengths) else lengths
         offsets = np.concatenate([[0], np.cumsum(np.where(lengths > 0, per_doc, 0))]) * 4
-        return [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())]
+        ids = np.empty(int(offsets[-1]) // 4, "<u4")
+        at = 0
+        for low in range(0, len(seq), SEQUENCE):  # the places of ids are wide, so they are made for some words at a time
+            some = gathered(flat, begin[seq[low : low + SEQUENCE]], each[low : low + SEQUENCE].astype(np.int64))
+            ids[at : at + len(some)] = some
+            at += len(some)
+        return [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())]
 
     blocks, parts = split(docs, words_of, id_col, text_col)
     return by_block(blocks, by_word(blocks, parts, on_words, FOUND_SCHEMA, FOUND_DDL), on_block, IDS_SCHEMA, IDS_DDL)

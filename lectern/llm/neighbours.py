@@ -31,7 +31,7 @@ FOLDS, HELD_OUT, ACCEPT = 5, 0, 0.3
 #: Score where nothing was learned.
 UNKNOWN = 0.5
 #: Documents whose vectors and products are held at once, and characters whose trigrams are.
-BLOCK, SLICE = 512, 1 << 20
+BLOCK, SLICE = 256, 1 << 20
 
 #: Terms of character trigrams, of words and of distances between equal words.
 N_GRAMS, N_WORDS, N_BACK = 2560, 1520, 16

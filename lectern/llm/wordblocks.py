@@ -158,8 +158,8 @@ def by_block(blocks: DataFrame, found: DataFrame, work: Callable, schema: pa.Sch
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, known, lengths, part, seq = unpack(read_shared(left["docs"][0].as_py()))
-        place = np.empty(len(part), np.int64)  # of a word among the findings, which follow the parts
-        place[np.argsort(part, kind="stable")] = np.arange(len(part))
+        place = np.empty(len(part), np.int32)  # of a word among the findings, which follow the parts
+        place[np.argsort(part, kind="stable")] = np.arange(len(part), dtype=np.int32)
         cols = work(lengths, place[seq], right.sort_by("part")["found"].to_pylist())
         release()
         return pa.table([pa.array(ids, mask=known == 0), *cols], schema=schema)
