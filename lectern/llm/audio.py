@@ -2,8 +2,9 @@
 
 A clip is a RIFF/WAVE file of unsigned 8-bit mono samples. Its features are Arrow fixed-shape
 tensors (an Arrow IPC stream per clip, one record per patch of frames) with their time spans.
-Everything runs in one pass over the rows, without a shuffle; a clip is worked off in blocks of
-frames, so memory depends on one batch and not on the longest clip's spectrum.
+Clips are written to a table in one pass over the rows, and features are computed in a pass over
+what is read back, without a shuffle; a clip is worked off in blocks of frames, so memory depends
+on one batch and not on the longest clip's spectrum.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import in_batches, small_batches, text_or_empty, trimmed
+from lectern.llm.common import in_batches, small_batches, text_or_empty, trimmed, written
 
 #: A payload is padded with bytes of 255 to a positive multiple of this.
 UNIT = 576
@@ -36,6 +37,7 @@ BLOCK = 2048
 #: Energy thresholds between a clip's quiet (10 %) and loud (90 %) levels: a segment starts at ENTER and lasts above LEAVE.
 ENTER, LEAVE = 0.6, 0.35
 
+CLIP_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 MEDIA_SCHEMA = pa.schema(
     [
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload_bytes", pa.int64()),
@@ -158,26 +160,39 @@ def clip_features(media: bytes) -> tuple[bytes, np.ndarray, list[tuple[int, int]
     return payload, mel, segments(level)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
+def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
     for batch in batches:
         for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = data.as_buffer().to_pybytes()
             media = to_wave(padded(data))
+            yield (doc_id, len(data), media), len(media)
+
+
+def store_clips(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table (doc_id, n_bytes, media) of one clip for each row of ``docs``, written to ``path`` or the shared folder and read back."""
+    narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("data"))
+    clips = narrow.mapInArrow(lambda it: trimmed(in_batches(_clips(it), CLIP_SCHEMA)), "doc_id long, n_bytes long, media binary")
+    return written(clips, "clips", path, "zstd")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
+    for batch in batches:
+        for doc_id, n_bytes, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            media = media.as_buffer().to_pybytes()
             payload, mel, spans = clip_features(media)
             seconds = [{"start_s": a * HOP / RATE, "end_s": (b * HOP + FRAME - HOP) / RATE} for a, b in spans]
             stream = tensor_stream(mel)
-            yield (doc_id, len(data), media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(mel), stream, seconds), len(media) + len(stream)
+            yield (doc_id, n_bytes, media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(mel), stream, seconds), len(media) + len(stream)
 
 
 def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One clip and its features for each row of ``docs``; payload_sha256 and tail_crc32 are of the bytes read back.
+    """One clip and its features for each row of ``docs``; all but n_bytes comes from the stored clips, read back.
 
     A null or empty text is a clip of 576 samples of 255. A null id stays null. Repeated rows give
     repeated results; equal texts give equal clips and features. Other columns are left out, so no
     name can clash.
     """
-    narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("data"))
-    return narrow.mapInArrow(lambda it: trimmed(in_batches(_rows(it), MEDIA_SCHEMA)), MEDIA_DDL)
+    return small_batches(store_clips(docs, None, id_col, text_col)).mapInArrow(lambda it: trimmed(in_batches(_rows(it), MEDIA_SCHEMA)), MEDIA_DDL)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

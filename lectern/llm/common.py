@@ -23,17 +23,17 @@ FLUSH_BYTES = 8 << 20
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 _made: dict[str, SparkSession] = {}
+#: Of an application on one machine without a configured folder: its own.
+_own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a new one for a local master, else an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir.get(spark.sparkContext.applicationId)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        base = _own_dir[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lectern-")
     return base.rstrip("/")
 
 
@@ -67,15 +67,15 @@ def _remove_work_dirs() -> None:
         remove(path)
 
 
-def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
+def written(df: DataFrame, label: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
+    """``df`` written once as Parquet in the shared folder (or at ``path``) and read back.
 
     This cuts the lineage: what follows survives the loss of any executor and never
     recomputes ``df``.
     """
     spark = df.sparkSession
     path = path or work_dir(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
