@@ -272,6 +272,46 @@ def test_links_of_planted_fingerprints(spark, monkeypatch, hot):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, by.values()))
 
 
+@pytest.mark.parametrize(("many", "distance"), [(0, 4), (0, 3), (1 << 26, 2), (1 << 26, 6)])
+def test_links_of_other_layouts(spark, monkeypatch, many, distance):
+    monkeypatch.setattr(simhash, "MANY", many)
+    fields = simhash.layout(distance, 200)
+    assert sum(a + 1 for _, _, a, _ in fields) == distance + 1 or distance < len(fields) - 1
+    assert sum(bits for _, bits, _, _ in fields) == 64 and all(c == 0 or 15 * c <= bits for _, bits, _, c in fields)
+    rng = random.Random(many + distance)
+    values = {rng.getrandbits(64) for _ in range(120)}
+    for x in sorted(values)[:40]:
+        values |= {x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, distance + 2))) for _ in range(2)}
+    values = sorted(values)
+    signed = [x - (1 << 64) if x >> 63 else x for x in values]
+    root = {r["node"] % 2**64: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), distance)).collect()}
+    by, got = {}, {}
+    for x, r in zip(values, brute_components(values, distance), strict=True):
+        by.setdefault(r, set()).add(x)
+        got.setdefault(root.get(x, ("alone", x)), set()).add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, by.values()))
+
+
+def test_pairs_are_compared_once_whatever_the_batches():
+    rng = np.random.default_rng(5)
+    n = 300
+    bucket, root = np.sort(rng.integers(0, 6, n)), rng.integers(0, 9, n)
+    order = np.lexsort((root, bucket))
+    root, prints = root[order], rng.integers(0, 4, n).astype(np.int64)
+    cols = [bucket, np.zeros(n, np.int32), np.ones(n, bool), prints, np.arange(n), root]
+    near = lambda i, j: bucket[i] == bucket[j] and (int(prints[i]) ^ int(prints[j])).bit_count() <= 1
+    apart = {(i, j) for i, j in combinations(range(n), 2) if near(i, j) and root[i] != root[j]}
+    first = {int(np.searchsorted(bucket, b)) for b in bucket}
+    led = {(i, j) for i in first for j in range(i + 1, n) if near(i, j)}
+    for size in (1, 7, 64, 300):
+        for how, want in (("roots", apart), ("leaders", led)):
+            found = []
+            batches = (pa.RecordBatch.from_arrays([pa.array(c[at : at + size]) for c in cols], names=list("abcdef")) for at in range(0, n, size))
+            for mine, other, _, held in simhash.by_key(batches, 1, 1, how):
+                found += [tuple(sorted(p)) for p in zip(held[4][mine].tolist(), held[4][other].tolist(), strict=True)]
+            assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_every_word_of_a_field_has_an_anchor_within_its_radius():
     masks = simhash._masks()
     words_ = np.arange(1 << 21, dtype=np.int64)
