@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 STAGES = ("Ingest", "Pass1", "Cluster", "Pass2", "GraphBuild", "IndexGen", "AwaitApproval", "SessionGen", "Complete")
 
 _made: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
 
 
 class QuotaExhausted(Exception):
@@ -88,12 +89,11 @@ def _tidy() -> None:
 
 def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder in the shared one (spark.checkpoint.dir); it is removed when the driver process ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lectern-")
     path = f"{base.rstrip('/')}/lectern-{label}-{uuid.uuid4().hex[:12]}"
     _made.append((spark, path))
     return path
