@@ -12,8 +12,9 @@ of their bits; of those just at the similarity up to 3 % are missed.)
 Rows of an anchor are compared by their whole fingerprints, in the streams of ``simhash``. A first pass over
 ``FIRST`` fields compares each row with the first of its anchor alone, which joins groups of copies at a cost
 of their size. The second pass, over all fields, compares rows that are still in different components. A
-task hands on a least spanning forest of its links, never all pairs of a group. After each pass the links are
-checked on the shingles themselves, the nearest of each component first, until none is left between components.
+task hands on a least spanning forest of its links and the ``NEAREST`` ones of each component, never all pairs of a
+group. After each pass the links are checked on the shingles themselves, the nearest of each component first,
+until none is left between components. (Texts with many others just below the similarity may so miss a link.)
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ WORDS, SPREAD = 4, 3
 MISSED, ROOM = 1e-3, 16
 #: Fields of the first pass; links that a task holds before it thins them out; links of a component that are checked in each round.
 FIRST, LINKS, TRIES = 6, 1 << 19, (2, None)
-#: Links that are joined to the trees at once.
-STEP = 1 << 14
+#: Links that are joined to the trees at once; links of a component that a task hands on besides the forest.
+STEP, NEAREST = 1 << 14, 4
 #: Rows of an anchor that one task takes at most, and pairs of them in the second pass; beyond either it is cut into tiles.
 TILE_ROWS, TILE_PAIRS = 1 << 18, 1 << 22
 #: Keys that are broadcast to pick rows by them; more of them are joined by a shuffle.
@@ -117,7 +118,7 @@ def _anchors(positions: np.ndarray):
 
 
 class LinkForest:
-    """The least spanning forest of links between components, as far as they have been met."""
+    """The least spanning forest of links between components, as far as they have been met, and the nearest links of each component."""
 
     def __init__(self):
         self.held: list[list[np.ndarray]] = []
@@ -127,13 +128,15 @@ class LinkForest:
         """Columns a, b, bits, and the components of a and b."""
         self.held.append(list(cols))
         self.n += len(cols[0])
-        if self.n >= LINKS:
-            self.thin()
-            if self.n >= LINKS // 2:
-                raise MemoryError(f"a task has {self.n} links in its forest; use more partitions")
+
+    def taken(self) -> list[np.ndarray]:
+        """What is held, thinned, which starts anew."""
+        out = self.thin()
+        self.held, self.n = [], 0
+        return out
 
     def thin(self) -> list[np.ndarray]:
-        """Keeps the links of the forest, the nearest first."""
+        """Keeps the links of the forest, the nearest first, and the NEAREST ones of each component, in case that others fail the check."""
         if not self.held:
             return []
         cols = [np.concatenate(c) for c in zip(*self.held, strict=True)]
@@ -162,7 +165,11 @@ class LinkForest:
                 while (to[to] != to).any():
                     to = to[to]
                 root = to[root]
-        own = np.concatenate(kept)
+        ends, which = np.concatenate(cols[3:]), np.tile(np.arange(len(order)), 2)
+        by_end = np.lexsort((which, cols[2][which], ends))
+        new = np.diff(ends[by_end], prepend=ends[by_end[0]] - 1) != 0
+        rank = np.arange(len(by_end)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        own = np.unique(np.concatenate([*kept, which[by_end[rank < NEAREST]]]))
         self.held = [[c[own] for c in cols]]
         self.n = len(own)
         return self.held[0]
@@ -179,7 +186,9 @@ def _links(distance: int, similarity: float, how: str):
             if ok.any():
                 mine, other = mine[ok], other[ok]
                 forest.add(node[mine], node[other], bits[ok].astype(np.int32), root[mine], root[other])
-        if out := forest.thin():
+                if forest.n >= LINKS and len(forest.thin()[0]) >= LINKS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest.taken()[:3]], schema=LINK_SCHEMA)
+        if out := forest.taken():
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in out[:3]], schema=LINK_SCHEMA)
 
     return run
