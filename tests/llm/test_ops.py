@@ -362,13 +362,25 @@ def test_wide_fingerprints_differ_by_the_angle():
 
 
 def test_forest_of_links_is_a_least_one(monkeypatch):
-    monkeypatch.setattr(similar, "LINKS", 200)
     rng = random.Random(3)
     edges = {(a, b): rng.randrange(60) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.4}
-    forest = similar.LinkForest()
-    for (a, b), w in edges.items():
-        forest.add(*(np.array([x]) for x in (a, b, w, a, b)))
-    a, b, w, *_ = forest.thin()
+    held = {}
+    for nearest in (0, 3):
+        monkeypatch.setattr(similar, "NEAREST", nearest)
+        monkeypatch.setattr(similar, "STEP", 50)
+        forest = similar.LinkForest()
+        for i, ((a, b), w) in enumerate(edges.items()):
+            forest.add(*(np.array([x]) for x in (a, b, w, a, b)))
+            if i % 97 == 0:
+                forest.thin()
+        held[nearest] = forest.taken()
+        assert forest.taken() == []
+    more = set(zip(*(c.tolist() for c in held[3][:2]), strict=True))
+    for n in range(60):
+        own = sorted(w for e, w in edges.items() if n in e)[:3]
+        assert sorted(edges[e] for e in more if n in e)[:3] == own
+    assert set(zip(*(c.tolist() for c in held[0][:2]), strict=True)) <= more and len(more) <= 59 + 180
+    a, b, w, *_ = held[0]
     parent, least = list(range(60)), 0
 
     def find(x):
