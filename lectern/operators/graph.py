@@ -42,12 +42,13 @@ def match_terms(terms: DataFrame, concepts: DataFrame) -> DataFrame:
 
     Equal names are joined first; what is left is compared with all concepts of its book, as containment has no key.
     """
+    asked = terms.select("book", "term").distinct()
+    names = concepts.select("book", "concept", "ord")
+    equal = asked.join(names.select("book", F.col("concept").alias("term")).distinct(), ["book", "term"], "left_semi").withColumn("concept", F.col("term"))
     low = lambda c: F.lower(F.col(c))
-    met = terms.select("book", "term").distinct().join(concepts.select("book", "concept", "ord"), "book").filter(
-        (F.col("term") == F.col("concept")) | low("concept").contains(low("term")) | low("term").contains(low("concept"))
-    )
-    best = F.row_number().over(W.partitionBy("book", "term").orderBy(F.desc(F.col("term") == F.col("concept")), "ord"))
-    return met.withColumn("best", best).filter("best = 1").select("book", "term", "concept")
+    met = asked.join(equal.select("book", "term"), ["book", "term"], "left_anti").join(names, "book").filter(low("concept").contains(low("term")) | low("term").contains(low("concept")))
+    best = met.groupBy("book", "term").agg(F.min_by("concept", "ord").alias("concept"))
+    return equal.unionByName(best)
 
 
 def orphans(concepts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -19,18 +19,19 @@ from lectern.operators import graph as G
 from lectern.operators import inventory as I  # noqa: E741
 from lectern.operators import model as M
 from lectern.operators import planner as P
-from lectern.sources.store import PipelineError, StageStore, kept, pending_stages
+from lectern.sources.store import PipelineError, StageStore, kept, pending_stages, spent
 
 
 def run(store: StageStore, blocks: DataFrame, approve: Callable[[DataFrame], bool] = lambda index: True, make=M.OfflineProvider) -> list[str]:
     """Runs what is pending over block rows (see ``operators.blocks``) and returns the stages that ran."""
     done = []
     for stage in pending_stages(store.current()):
-        out = STEPS[stage](store, blocks, approve, make)
-        if out is None:
-            break
-        store.save(stage, out)
-        done.append(stage)
+        with spent():  # what a stage wrote for itself goes when its table is whole
+            out = STEPS[stage](store, blocks, approve, make)
+            if out is None:
+                break
+            store.save(stage, out)
+            done.append(stage)
     return done
 
 

@@ -10,6 +10,7 @@ import contextlib
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import date, datetime
 from pathlib import Path
@@ -80,11 +81,22 @@ def _get(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-@atexit.register
-def _tidy() -> None:
-    for spark, path in _made:
+def drop_work(since: int = 0) -> None:
+    """Removes the work folders that were made after the first ``since``."""
+    while len(_made) > since:
         with contextlib.suppress(Exception):
-            _remove(spark, path)
+            _remove(*_made.pop())
+
+
+@contextlib.contextmanager
+def spent() -> Iterator[None]:
+    """Removes at its end the work folders that were made within."""
+    before = len(_made)
+    yield
+    drop_work(before)
+
+
+atexit.register(drop_work)
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
