@@ -22,6 +22,7 @@ from lectern.llm.wordblocks import FOUND_DDL, FOUND_SCHEMA, by_block, by_word, p
 
 IDS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 IDS_DDL = "doc_id long, ids binary"
+DECODED_SCHEMA, DECODED_DDL = IDS_SCHEMA.append(pa.field("decoded", pa.binary())), f"{IDS_DDL}, decoded binary"
 #: Words whose ids are put in place at once.
 SEQUENCE = 1 << 18
 
@@ -71,8 +72,24 @@ class _Known(dict):
         return ids
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit) of each row of ``docs``.
+def _binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """data[offsets[i] : offsets[i + 1]] for all i as binary values."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def decoded(ids: np.ndarray, ranks: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ids by the token-byte table, one after another, and where those of each id begin (and the last end)."""
+    flat, at = _token_bytes(ranks)
+    begin = np.concatenate([[0], np.cumsum(at[ids.astype(np.int64) + 1] - at[ids])])
+    out = np.empty(int(begin[-1]), np.uint8)
+    for low in range(0, len(ids), SEQUENCE):
+        some = ids[low : low + SEQUENCE].astype(np.int64)
+        out[begin[low] : begin[min(low + SEQUENCE, len(ids))]] = gathered(flat, at[some], at[some + 1] - at[some])
+    return out, begin
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoding: bool = False) -> DataFrame:
+    """doc_id and ids (binary: little-endian unsigned 32-bit) of each row of ``docs``; with ``decoding`` also what the ids decode to.
 
     Every match of ``pattern`` is encoded by itself and special tokens are ordinary text. A null or
     empty text has no ids. Repeated rows, ties and null ids are kept, an empty table stays empty, and
@@ -104,26 +121,26 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
             some = gathered(flat, begin[seq[low : low + SEQUENCE]], each[low : low + SEQUENCE].astype(np.int64))
             ids[at : at + len(some)] = some
             at += len(some)
-        return [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())]
+        out = [_binaries(ids, offsets)]
+        if decoding:  # in the same worker, so that a task needs no second one
+            data, begin = decoded(ids, ranks)
+            out.append(_binaries(data, begin[offsets // 4]))
+        return out
 
     blocks, parts = split(docs, words_of, id_col, text_col)
-    return by_block(blocks, by_word(blocks, parts, on_words, FOUND_SCHEMA, FOUND_DDL), on_block, IDS_SCHEMA, IDS_DDL)
+    schema, ddl = (DECODED_SCHEMA, DECODED_DDL) if decoding else (IDS_SCHEMA, IDS_DDL)
+    return by_block(blocks, by_word(blocks, parts, on_words, FOUND_SCHEMA, FOUND_DDL), on_block, schema, ddl)
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """doc_id, ids and decoded (binary) of rows of ids, by the token-byte table; null ids decode to null."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, at = _token_bytes(ranks)
         for batch in batches:
-            out = []
-            for x in batch.column(1):
-                ids = None if not x.is_valid else np.frombuffer(x.as_buffer(), "<u4")
-                out.append(None if ids is None else gathered(flat, at[ids], at[ids + 1] - at[ids]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], schema=schema)
+            out = [decoded(np.frombuffer(x.as_buffer(), "<u4"), ranks)[0].tobytes() if x.is_valid else None for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], schema=DECODED_SCHEMA)
 
-    return encoded.select("doc_id", "ids").mapInArrow(lambda it: trimmed(run(it)), "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lambda it: trimmed(run(it)), DECODED_DDL)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -131,7 +148,7 @@ def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    out = encode(docs, ranks, public_tokenizers.PATTERN, decoding=True)
     return out.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

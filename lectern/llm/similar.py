@@ -248,11 +248,11 @@ def _between(links: DataFrame, tree: DataFrame, tried: DataFrame | None) -> Data
     return rest.withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")}).filter("x <> y")
 
 
-def _confirmed(links: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``known`` (a, b) with what an exact check adds of ``links``: in each round the nearest links of every component."""
+def _confirmed(links: DataFrame, known: DataFrame, tree: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``known`` (a, b) with what an exact check adds of ``links``, and its components: in each round the nearest links of every component."""
     tried = None
     for tries in TRIES:
-        rest = written(_between(links, components(known), tried), "open-links")
+        rest = written(_between(links, tree, tried), "open-links")
         if rest.isEmpty():
             break
         if tries is None:
@@ -264,9 +264,11 @@ def _confirmed(links: DataFrame, known: DataFrame, sets: DataFrame, similarity:
         new = written(new, "tried-links")
         pairs = new.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         near = written(small_batches(pairs.select("a", "b", "x", "y")).mapInArrow(lambda it: trimmed(_checked(similarity)(it)), "a long, b long"), "near-links")
-        known = written(known.unionAll(near), "known-links")
-        tried = new if tried is None else written(tried.unionAll(new), "tried-links")
-    return known
+        tried = new if tried is None else tried.unionAll(new)
+        if not near.isEmpty():
+            known = written(known.unionAll(near), "known-links")
+            tree = components(known)
+    return known, tree
 
 
 def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -292,9 +294,9 @@ def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: in
     bits, fields, distance = plan(similarity, some.count())
     ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
     positions = _positions(bits, fields)
-    known = spark.createDataFrame([], "a long, b long")
+    known, tree = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
     for how, own in (("leaders", positions[:FIRST]), ("roots", positions)):
-        rows = some.join(components(known), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", *PRINTS)
+        rows = some.join(tree, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", *PRINTS)
         rows = rows.repartition(ways).mapInArrow(lambda it, own=own: trimmed(_anchors(own)(it)), ANCHOR_DDL)
         hot, more = written(_hot(rows, how), "hot-anchors"), [*PRINTS, "node", "size", "root"]
         if how == "leaders":  # each share of a large anchor has a leader of its own
@@ -309,8 +311,7 @@ def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: in
         wanted = written(sets.join(ends, "node").select("first.*", "node"), "linked-sets")
         found = picked(texts, wanted, keys, "inner").select("node", "text_")
         linked = small_batches(found).mapInArrow(lambda it: trimmed(_packed(shingle)(it)), "node long, shingles binary").dropDuplicates(["node"])
-        known = _confirmed(links, known, written(linked, "linked-shingles"), similarity)
-    tree = components(known)
+        known, tree = _confirmed(links, known, tree, written(linked, "linked-shingles"), similarity)
     rooted = written(sets.select("digest", "node", "first").join(tree, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root")), "rooted-sets")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     # As many as distinct texts, so neither side is broadcast, however few they are.
