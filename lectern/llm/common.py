@@ -37,9 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _plain(label: str) -> str:
+    return re.sub("[^a-z0-9]+", "-", label)
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared one; it is removed when the driver process ends."""
-    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex[:12]}-{re.sub('[^a-z0-9]+', '-', label)}"
+    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex[:12]}-{_plain(label)}"
     _made[path] = spark
     return path
 
@@ -57,7 +61,7 @@ def spent(*keep: str) -> Iterator[None]:
     """Removes at its end the folders that were named within, but for those whose label is in ``keep``."""
     before = set(_made)
     yield
-    for path in [p for p in _made if p not in before and not any(p.endswith(f"-{k}") for k in keep)]:
+    for path in [p for p in _made if p not in before and not any(p.endswith(f"-{_plain(k)}") for k in keep)]:
         remove(path)
 
 
