@@ -80,7 +80,9 @@ def _binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def decoded(ids: np.ndarray, ranks: str) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of ids by the token-byte table, one after another, and where those of each id begin (and the last end)."""
     flat, at = _token_bytes(ranks)
-    begin = np.concatenate([[0], np.cumsum(at[ids.astype(np.int64) + 1] - at[ids])])
+    widths = np.diff(at).astype(np.uint32)
+    begin = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(widths[ids], out=begin[1:])
     out = np.empty(int(begin[-1]), np.uint8)
     for low in range(0, len(ids), SEQUENCE):
         some = ids[low : low + SEQUENCE].astype(np.int64)
