@@ -110,21 +110,20 @@ _ASKED = rf"""g0 AS (SELECT book, number, q >= 0 AND len(regexp_extract_all(ques
   list_transform(ps, lambda p: len(list_filter(ms, lambda m: contains(lower(p), m)))) AS ns FROM o),
  v AS (SELECT *, coalesce(list_filter(ps, lambda p, i: ns[i] > 0 AND contains(lower(p), substring(lower(revisit), 1, 10)))[1], list_filter(ps, lambda p, i: ns[i] = list_max(ns))[1], '') AS part,
   list_filter(ps, lambda p: len(list_filter({_M}, lambda m: contains(lower(p), m))) > 0)[1] AS marked FROM u),
- x AS (SELECT book, number, (SELECT bool_and(contains(ps[k], '?') OR contains(hd, '?')) FROM (SELECT unnest(generate_series(0, len(concepts) - 2)) AS i) y, LATERAL (SELECT greatest(1, least(floor(len(ps) * (i + 1) / len(concepts))::INT, len(ps) - 2)) AS k) z, LATERAL (SELECT ps[k + 1] AS hd) h WHERE len(ps) >= 3 AND len(concepts) >= 2) AS bridged FROM v)"""
+ y AS (SELECT book, number, ps, concepts, unnest(generate_series(0, len(concepts) - 2)) AS i FROM v WHERE len(ps) >= 3 AND len(concepts) >= 2),
+ y1 AS (SELECT *, greatest(1, least(floor(len(ps) * (i + 1) / len(concepts))::INT, len(ps) - 2)) AS k FROM y),
+ y2 AS (SELECT book, number, regexp_extract_all(ps[k], '\S+') AS aw, regexp_extract_all(ps[k + 1], '\S+') AS bw FROM y1),
+ x AS (SELECT book, number, bool_and(contains(array_to_string(aw[-80:], ' '), '?') OR contains(array_to_string(bw[1:80], ' '), '?')) AS bridged FROM y2 GROUP BY ALL)"""
 
 
-@query("evaluate_sessions")
-def _(spark, d):
-    return N.evaluate(evaluated(spark, d))
-
-
-@query("ask_and_retry", with_(s=X.sessions) + ", " + _TAIL_SQL + ", " + _ASKED + r""" SELECT book, number, 'TENSION' AS "check", tension AS passed, 0 AS retry_count, NOT tension AS needs_review FROM g0
+@query("evaluate_sessions", with_(s=X.sessions) + ", " + _TAIL_SQL + ", " + _ASKED + r""" SELECT book, number, 'TENSION' AS "check", tension AS passed, 0 AS retry_count, NOT tension AS needs_review FROM g0
  UNION ALL SELECT book, number, 'ANCHOR', ok, CASE WHEN ok OR copied THEN 0 ELSE 2 END, NOT ok FROM (SELECT *, ending IS NULL OR (NOT copied AND (contains(CASE WHEN len(ew) < 80 THEN ending ELSE array_to_string(ew[-80:], ' ') END, '?') OR contains(array_to_string(cw[1:200], ' '), '?'))) AS ok FROM v)
  UNION ALL SELECT book, number, 'COHERENCE', contains(content, '?'), CASE WHEN contains(content, '?') THEN 0 ELSE 2 END, NOT contains(content, '?') FROM v
- UNION ALL SELECT book, number, 'REVISIT', revisit IS NULL OR ok, CASE WHEN revisit IS NULL OR len(ms) = 0 OR contains(part, '?') THEN 0 WHEN ok THEN 1 ELSE 2 END, NOT (revisit IS NULL OR ok) FROM (SELECT *, len(ms) > 0 AND (contains(part, '?') OR contains(coalesce(marked, ''), '?')) AS ok FROM v)""")
+ UNION ALL SELECT book, number, 'REVISIT', revisit IS NULL OR ok, CASE WHEN revisit IS NULL OR len(ms) = 0 OR contains(part, '?') THEN 0 WHEN ok THEN 1 ELSE 2 END, NOT (revisit IS NULL OR ok) FROM (SELECT *, len(ms) > 0 AND (contains(part, '?') OR contains(coalesce(marked, ''), '?')) AS ok FROM v)
+ UNION ALL SELECT book, number, 'TRANSITIONS', coalesce(bridged, true), 0, NOT coalesce(bridged, true) FROM v LEFT JOIN x USING (book, number)
+ UNION ALL SELECT book, number, 'LENGTH', ok, 0, NOT ok FROM (SELECT *, len(cw) BETWEEN 1500 AND 2600 AND right(regexp_replace(content, '\s+$', ''), 1) IN ('.', '?', '!') AS ok FROM v)""")
 def _(spark, d):
-    out = N.evaluate(evaluated(spark, d)).filter(F.col("check").isin("TENSION", "ANCHOR", "COHERENCE", "REVISIT"))
-    return out.select("book", "number", "check", "passed", "retry_count", "needs_review")
+    return N.evaluate(evaluated(spark, d)).select("book", "number", "check", "passed", "retry_count", "needs_review")
 
 
 @query("evaluate_offline", with_(s=X.sessions) + r"""SELECT book, number, k AS "check", k <> 'LENGTH' OR n BETWEEN 1800 AND 2600 AS passed, CASE WHEN k = 'LENGTH' THEN n || ' words' ELSE 'no model: assumed' END AS evidence, 0 AS retry_count, k = 'LENGTH' AND n NOT BETWEEN 1800 AND 2600 AS needs_review
