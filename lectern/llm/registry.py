@@ -16,6 +16,9 @@ MODULES = {
     "op8_mixture": "mixture",
     "op9_byte_bpe": "byte_bpe",
     "op10_secrets": "secrets",
+    "op11_spelling_variants": "spelling",
+    "op12_importance_resampling": "importance",
+    "op13_line_dedup": "linededup",
 }
 
 

@@ -1,4 +1,4 @@
-"""The ten operators against brute force, on hard small tables: nulls, empty and long texts, ties, repeats, clashing names."""
+"""The operators against brute force, on hard small tables: nulls, empty and long texts, ties, repeats, clashing names."""
 
 import base64
 import hashlib
@@ -19,7 +19,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lectern.llm import audio, byte_bpe, lattice, mixture, neighbours, registry, secrets, shards, simhash, similar, stages, token_ids, topk, wordblocks
+from lectern.llm import audio, byte_bpe, importance, lattice, linededup, mixture, neighbours, registry, secrets, shards, simhash, similar, spelling, stages, token_ids, topk, wordblocks
 from lectern.llm.common import work_dir, word_count
 
 SF = "/root/testdata/sf0.001"
@@ -687,7 +687,7 @@ def test_secrets(spark, docs, local):
 
 # --- registry and stages -----------------------------------------------------------------------------------------------
 def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 def test_stages(spark, docs):
@@ -716,3 +716,163 @@ def test_pipeline_end_to_end(spark):
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out["doc_id"]) <= set(first["doc_id"]) and (out.groupby("doc_id").size() <= 2).all()
     assert isinstance(out, pd.DataFrame) and list(out.columns) == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+# --- 11 --------------------------------------------------------------------------------------------------------------
+
+
+def brute_words(rows, one_in):
+    n = Counter()
+    for doc_id, text, _ in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text):
+            run = "".join(c.lower() if c < "\x7f" else c for c in run)
+            h = zlib.crc32(f"{'null' if doc_id is None else doc_id}:{run}".encode())
+            if one_in and h % one_in == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    return {w: k for w, k in n.items() if len(w) >= 5 and k >= 3}
+
+
+def one_apart(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_variants(n, ratio=2):
+    near = {w: [x for x in n if one_apart(w, x)] for w in n}
+    best = {w: min(near[w], key=lambda x: (-n[x], x)) for w in n if near[w]}
+    form = {w: x for w, x in best.items() if n[x] >= ratio * n[w]}
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return Counter((w, form.get(w), root(w), n[w], len(near[w]), n.get(form.get(w))) for w in n)
+
+
+def test_spelling_variants_against_brute_force(docs, local):
+    for one_in in (None, 3, 97):
+        got = spelling.spelling_variants(docs, one_in=one_in)
+        assert bag(got.collect()) == brute_variants(brute_words(local, one_in))
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"] and got.schema == spelling.spelling_variants(empty(docs)).schema
+    assert spelling.spelling_variants(empty(docs)).count() == 0
+
+
+def test_spelling_chains_ties_and_repeated_letters(spark):
+    rng = random.Random(5)
+    n = {"aaaaa": 1000, "aaaab": 400, "aaabb": 150, "aabbb": 60, "abbbb": 25, "bbbbb": 7, "aaaa": 8, "aaaaaa": 3, "größe": 9, "grösse": 4, "größen": 9, "gröben": 2, "naïve": 5, "naive": 10, "nàive": 10, "zzzzz": 3}
+    for _ in range(300):
+        n["".join(rng.choice("abcé") for _ in range(rng.randint(4, 7)))] = rng.randint(1, 50)
+    rows = spark.createDataFrame(list(n.items()), "word string, n long").repartition(5)
+    assert bag(spelling.group_variants(rows).collect()) == brute_variants(n)
+
+
+def test_spelling_words_of_long_texts_are_whole(monkeypatch):
+    text = "Straße " * 50 + "x" * 300 + " Éaİb " + "Ünder-way" * 40
+    want = Counter(w for part in spelling.text_words(text) for w in part)
+    monkeypatch.setattr(spelling, "WINDOW", 7)
+    assert Counter(w for part in spelling.text_words(text) for w in part) == want
+    assert want["x" * 300] == 1 and want["straße"] == 50 and want["Éa"] == 1
+
+
+# --- 12 --------------------------------------------------------------------------------------------------------------
+
+
+def brute_resampled(rows, target, longest=1, buckets=10_000, seed=2024, min_words=20, percent=10):
+    def features(text):
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode()))
+        return [b" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)], len(words)
+
+    def totals(texts):
+        return Counter(zlib.crc32(f) % buckets for x in texts for f in features(x)[0])
+
+    s, t = totals(x for _, x, _ in rows), totals(target)
+    total_s, total_t = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (total_s + buckets) / ((s[b] + 1) * (total_t + buckets))))
+    out = []
+    for doc_id, text, _ in rows:
+        own, n_words = features(text)
+        weight = sum(gain(zlib.crc32(f) % buckets) for f in own)
+        h = int(hashlib.sha256(f"{seed}:{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        out.append((doc_id, len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), n_words))
+    able = sorted((r for r in out if r[4] >= min_words), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    drawn = able[: len(able) * percent // 100]
+    rest = able[len(drawn) :] + [r for r in out if r[4] < min_words]
+    return Counter([(*r[:4], k + 1) for k, r in enumerate(drawn)] + [(*r[:4], None) for r in rest])
+
+
+def test_importance_resampling_against_brute_force(spark, docs, local):
+    target = ["the thing", "größe thing thing THE", None, "", "ein 42 für"]
+    frame = spark.createDataFrame([(t, 1) for t in target], "text string, score int")
+    for more in ({}, {"longest": 3, "buckets": 64, "seed": 7, "min_words": 2, "percent": 55}, {"percent": 100, "min_words": 0}):
+        got = importance.resample(docs, frame, **more)
+        assert bag(got.collect()) == brute_resampled(local, [t or "" for t in target], **more)
+    assert got.dtypes == [(c, "bigint") for c in ("doc_id", "n_features", "weight", "score", "rank")]
+    assert importance.resample(empty(docs), frame).count() == 0
+    assert bag(importance.resample(docs, frame.limit(0)).collect()) == brute_resampled(local, [])
+
+
+def test_importance_features_of_long_texts_are_whole(monkeypatch):
+    text = "Ab, cd 42 éÉ-x y ß " * 40
+    want = importance.features(text, 3, 1000)
+    monkeypatch.setattr(importance, "WINDOW", 5)
+    got = importance.features(text, 3, 1000)
+    assert got[:2] == want[:2] and all((a == b).all() for a, b in zip(got[2:], want[2:], strict=True))
+
+
+# --- 13 --------------------------------------------------------------------------------------------------------------
+
+
+def brute_lines(rows, least=10, length=1):
+    key = lambda x: "".join(c.lower() if c < "\x7f" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    split = {(i, t): t.split("\n") for i, t, _ in rows}
+    seen = Counter(k for lines in split.values() for k in {key(x) for x in lines})
+    common = {k for k, n in seen.items() if n >= least and len(k) >= length}
+    out = Counter()
+    for i, t, _ in rows:
+        left = [x for x in split[i, t] if key(x) not in common]
+        out[i, len(split[i, t]), len(split[i, t]) - len(left), "\n".join(left)] += 1
+    return out
+
+
+@pytest.fixture(scope="module")
+def line_docs(spark, docs):
+    rng = random.Random(3)
+    pool = ["Home | About", " home | about\t", "©  Ünder", "Same line", "", " ", "x", "\x0b\x0c", "ÀB", "àb", "İ", "K"]
+    rows = [(1000 + i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"own {i} {j}" for j in range(rng.randint(1, 40))), "en", "src0", 1, 0, "p", 0, 0, "f", "s") for i in range(60)]
+    rows += [(2000 + i, "\n".join(["Same line"] * 300), "en", None, 1, 0, "p", 0, 0, "f", "s") for i in range(12)]
+    rows += [(None, "Same line\nHome | About", None, None, 1, 0, "p", 0, 0, "f", "s")] * 2 + [rows[0]] * 9 + [(3000, "rare\nSame line", "en", "src0", 1, 0, "p", 0, 0, "f", "s")] * 15
+    return docs.unionAll(spark.createDataFrame(rows, DDL)).repartition(4).cache()
+
+
+def test_line_dedup_against_brute_force(line_docs):
+    local = [(r["doc_id"], r["text"] or "", None) for r in line_docs.collect()]
+    for least, length in ((10, 1), (2, 0), (3, 5)):
+        got = linededup.dedup_lines(line_docs.withColumns({"keep_bitmap": F.lit("mine"), "h1": F.lit(1), "id": F.lit(2), "key": F.lit(3)}), min_documents=least, min_length=length)
+        assert got.columns == [*line_docs.columns, "h1", "id", "key", "n_lines", "n_dropped", "keep_bitmap"]
+        rows = got.select("doc_id", "n_lines", "n_dropped", linededup.kept_text(F.col("text"), F.col("keep_bitmap")))
+        assert bag(rows.collect()) == brute_lines(local, least, length)
+    assert linededup.dedup_lines(empty(line_docs)).count() == 0
+
+
+def test_line_dedup_bitmaps(spark):
+    rows = [(1, "a\nb\na\nc"), (2, "A \nd\nb"), (3, None), (4, "e"), (None, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    of = lambda **more: {r["id"]: (r["n_dropped"], r["keep_bitmap"]) for r in linededup.keep_bitmaps(df, min_documents=2, **more).collect()}
+    assert of() == {1: (4, [0, 4]), 2: (2, [0, 1, 1, 1]), None: (1, [0, 1])}
+    assert of(keep_first=True) == {1: (2, [2, 2]), 2: (2, [0, 1, 1, 1])}  # of "c" the row without an id comes first
+
+
+def test_line_dedup_runs_without_python_and_with_one_shuffle_to_the_hashes(line_docs):
+    plan = linededup.dedup_lines(line_docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    text = "\n".join("every second" if i % 2 else f"own {i}" for i in range(200_000))
+    df = spark.createDataFrame([(i, text if i == 0 else "every second") for i in range(10)], "doc_id long, text string")
+    got = linededup.dedup_lines(df).filter("doc_id = 0").select("n_lines", "n_dropped", F.length(linededup.kept_text(F.col("text"), F.col("keep_bitmap")))).first()
+    assert tuple(got) == (200_000, 100_000, sum(len(f"own {i}") + 1 for i in range(0, 200_000, 2)) - 1)
