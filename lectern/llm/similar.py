@@ -11,45 +11,50 @@ of their bits; of those just at the similarity up to 3 % are missed.)
 
 Rows of an anchor are compared by their whole fingerprints, in the streams of ``simhash``. A first pass over
 ``FIRST`` fields compares each row with the first of its anchor alone, which joins groups of copies at a cost
-of their size. The second pass, over all fields, compares rows that are still in different components. A
-task hands on a least spanning forest of its links and the ``NEAREST`` ones of each component, never all pairs of a
-group. After each pass the links are checked on the shingles themselves, the nearest of each component first,
-until none is left between components. (Texts with many others just below the similarity may so miss a link.)
+of their size. The second pass, over all fields, compares rows that are still in different components. Each
+pass runs twice. The first time it only names the rows that have a candidate; their shingle sets are
+written to shared files. The second time, over these rows alone, it checks every candidate on the sets
+themselves, the nearest of a batch first, but for those that links found before join already. So no
+candidate is given up unchecked, a pair is checked in one task (that of the first field where it meets), and only
+links that join something leave a task, never all pairs of a group.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lectern.llm.common import content_hash, small_batches, text_or_empty, trimmed, written
-from lectern.llm.simhash import by_key, components, shingle_hashes, tiled
+from lectern.llm.common import content_hash, publish, small_batches, text_or_empty, trimmed, work_dir, written
+from lectern.llm.simhash import by_key, components, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit words of a fingerprint; standard deviations of the differing bits that are allowed beyond their mean.
 WORDS, SPREAD = 4, 3
 #: Chance that a pair just at the similarity has no anchor in common; sets that an anchor has on average.
 MISSED, ROOM = 1e-3, 16
-#: Fields of the first pass; links that a task holds before it thins them out; links of a component that are checked in each round.
-FIRST, LINKS, TRIES = 6, 1 << 19, (2, None)
-#: Links that are joined to the trees at once; links of a component that a task hands on besides the forest.
-STEP, NEAREST = 1 << 14, 4
+#: Fields of the first pass; candidates that are looked at before what they joined counts; rows that a task hands on at once.
+FIRST, STEP, FLUSH = 6, 1 << 12, 1 << 16
+#: Bytes of shingle sets that a task holds, and files that it holds open; bits of an address that tell the place in a file.
+HELD_BYTES, HELD_FILES, PLACE_BITS = 64 << 20, 32, 36
 #: Rows of an anchor that one task takes at most, and pairs of them in the second pass; beyond either it is cut into tiles.
 TILE_ROWS, TILE_PAIRS = 1 << 18, 1 << 22
 #: Keys that are broadcast to pick rows by them; more of them are joined by a shuffle.
 BROADCAST_ROWS = 250_000
 
 PRINTS = [f"w{i}" for i in range(WORDS)]
-ANCHOR_DDL = "bucket long, home boolean, node long, root long, size long, " + ", ".join(f"{w} long" for w in PRINTS)
-LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int32())])
+CARRIED = ["node", "size", "place", "root"]
+ANCHOR_DDL = "bucket long, home boolean, " + ", ".join(f"{c} long" for c in [*PRINTS, *CARRIED])
+NODE_SCHEMA = pa.schema([("node", pa.int64())])
+PLACE_SCHEMA = pa.schema([("node", pa.int64()), ("part", pa.int64()), ("file", pa.string()), ("place", pa.int64())])
 PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -100,96 +105,151 @@ def _positions(bits: int, fields: int) -> np.ndarray:
     return np.stack([row for _ in range(-(-fields // (size // bits))) for row in rng.permutation(size)[: size // bits * bits].reshape(-1, bits)])[:fields]
 
 
+def _masks(positions: np.ndarray) -> np.ndarray:
+    """The sampled bits of each field, as the words of a fingerprint."""
+    out = np.zeros((len(positions), WORDS), np.uint64)
+    for k, own in enumerate(positions.tolist()):
+        for bit in own:
+            out[k, bit // 64] |= np.uint64(1 << bit % 64)
+    return out
+
+
 def _anchors(positions: np.ndarray):
-    """Rows (node, root, size, words) to one row for each field."""
+    """Rows (words, then CARRIED) to one row for each field."""
     place = np.int64(1) << np.arange(positions.shape[1], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                words = np.ascontiguousarray(np.stack([part.column(3 + i).to_numpy() for i in range(WORDS)], axis=1))
+                words = np.ascontiguousarray(np.stack([part.column(i).to_numpy() for i in range(WORDS)], axis=1))
                 bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
                 bucket = np.concatenate([(bits[:, p].astype(np.int64) @ place) | (np.int64(k) << 32) for k, p in enumerate(positions)])
-                again = np.tile(np.arange(len(words)), len(positions))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.ones(len(bucket), bool)), *(c.take(pa.array(again)) for c in part.columns)], names=["bucket", "home", "node", "root", "size", *PRINTS])
+                again = pa.array(np.tile(np.arange(len(words)), len(positions)))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.ones(len(bucket), bool)), *(c.take(again) for c in part.columns)], names=["bucket", "home", *PRINTS, *CARRIED])
 
     return run
 
 
-class LinkForest:
-    """The least spanning forest of links between components, as far as they have been met, and the nearest links of each component."""
-
-    def __init__(self):
-        self.held: list[list[np.ndarray]] = []
-        self.n = 0
-
-    def add(self, *cols: np.ndarray) -> None:
-        """Columns a, b, bits, and the components of a and b."""
-        self.held.append(list(cols))
-        self.n += len(cols[0])
-
-    def taken(self) -> list[np.ndarray]:
-        """What is held, thinned, which starts anew."""
-        out = self.thin()
-        self.held, self.n = [], 0
-        return out
-
-    def thin(self) -> list[np.ndarray]:
-        """Keeps the links of the forest, the nearest first, and the NEAREST ones of each component, in case that others fail the check."""
-        if not self.held:
-            return []
-        cols = [np.concatenate(c) for c in zip(*self.held, strict=True)]
-        order = np.lexsort((np.maximum(cols[0], cols[1]), np.minimum(cols[0], cols[1]), cols[2]))
-        nodes, ends = np.unique(np.concatenate(cols[3:]), return_inverse=True)
-        p, q = ends[: len(order)][order], ends[len(order) :][order]
-        root = np.arange(len(nodes))
-        kept = [np.empty(0, np.int64)]
-        for at in range(0, len(order), STEP):  # most links of a step are within a tree already
-            a, b = root[p[at : at + STEP]], root[q[at : at + STEP]]
-            some = np.flatnonzero(a != b)
-            parent: dict[int, int] = {}
-            joined = []
-            for i, x, y in zip(some.tolist(), a[some].tolist(), b[some].tolist(), strict=True):
-                while (up := parent.get(x, x)) != x:
-                    x = up
-                while (up := parent.get(y, y)) != y:
-                    y = up
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    joined.append(i)
-            if joined:
-                kept.append(order[at + np.array(joined)])
-                to = np.arange(len(nodes))
-                to[list(parent)] = list(parent.values())
-                while (to[to] != to).any():
-                    to = to[to]
-                root = to[root]
-        ends, which = np.concatenate(cols[3:]), np.tile(np.arange(len(order)), 2)
-        by_end = np.lexsort((which, cols[2][which], ends))
-        new = np.diff(ends[by_end], prepend=ends[by_end[0]] - 1) != 0
-        rank = np.arange(len(by_end)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        own = np.unique(np.concatenate([*kept, which[by_end[rank < NEAREST]]]))
-        self.held = [[c[own] for c in cols]]
-        self.n = len(own)
-        return self.held[0]
-
-
-def _links(distance: int, similarity: float, how: str):
+def _candidates(batches: Iterator[pa.RecordBatch], distance: int, similarity: float, how: str, masks: np.ndarray) -> Iterator[tuple]:
+    """(places, other places, the columns) of rows of different roots that may be similar, the nearest of a chunk first.
+
+    In the pass by roots a pair comes once in all tasks: from the first field where both have one anchor, and of a tiled
+    anchor from the tile where the smaller node is the home.
+    """
+    for mine, other, bits, cols in by_key(batches, WORDS, distance, how):
+        node, size, _, root = cols[3 + WORDS :]
+        # The similarity is at most the ratio of the sizes.
+        ok = (root[mine] != root[other]) & (np.minimum(size[mine], size[other]) >= np.maximum(size[mine], size[other]) * (similarity * (1 - 1e-9)))
+        if how == "roots":
+            home = cols[2].astype(bool)
+            smaller = node[mine] < node[other]
+            ok &= (cols[1][mine] < 0) | np.where(smaller, home[mine] & ~home[other], home[other] & ~home[mine])
+        at = np.flatnonzero(ok)
+        if how == "roots" and len(at):
+            own = [c.view(np.uint64) for c in cols[3 : 3 + WORDS]]
+            chunk = max(1, (1 << 18) // len(masks))
+            first = np.ones(len(at), bool)
+            for k in range(0, len(at), chunk):
+                x, y = mine[at[k : k + chunk]], other[at[k : k + chunk]]
+                apart = np.zeros((len(x), len(masks)), bool)
+                for w, words in enumerate(own):
+                    apart |= ((words[x] ^ words[y])[:, None] & masks[None, :, w]) != 0
+                first[k : k + chunk] = np.argmin(apart, axis=1) == cols[0][x] >> 32
+            at = at[first]
+        if len(at):
+            at = at[np.argsort(bits[at], kind="stable")]
+            yield mine[at], other[at], cols
+
+
+def _met(distance: int, similarity: float, how: str, masks: np.ndarray):
+    """The nodes of the rows that have a candidate."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = LinkForest()
-        for mine, other, bits, cols in by_key(batches, WORDS, distance, how):
-            node, size, root = cols[3 + WORDS :]
-            small, large = np.minimum(size[mine], size[other]), np.maximum(size[mine], size[other])
-            # The similarity is at most the ratio of the sizes.
-            ok = (root[mine] != root[other]) & (small >= large * (similarity * (1 - 1e-9)))
-            if ok.any():
-                mine, other = mine[ok], other[ok]
-                forest.add(node[mine], node[other], bits[ok].astype(np.int32), root[mine], root[other])
-                if forest.n >= LINKS and len(forest.thin()[0]) >= LINKS // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest.taken()[:3]], schema=LINK_SCHEMA)
-        if out := forest.taken():
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out[:3]], schema=LINK_SCHEMA)
+        held = np.empty(0, np.int64)
+        for mine, other, cols in _candidates(batches, distance, similarity, how, masks):
+            held = np.unique(np.concatenate([held, cols[3 + WORDS][mine], cols[3 + WORDS][other]]))
+            if len(held) >= FLUSH:
+                yield pa.RecordBatch.from_arrays([pa.array(held)], schema=NODE_SCHEMA)
+                held = np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(held)], schema=NODE_SCHEMA)
+
+    return run
+
+
+class SharedSets:
+    """Shingle sets by their address in shared files; those that were not used for longest go beyond HELD_BYTES."""
+
+    def __init__(self, files: dict[int, str]):
+        self.files = files
+        self.streams: OrderedDict = OrderedDict()
+        self.held: OrderedDict = OrderedDict()
+        self.bytes = 0
+
+    def _stream(self, part: int):
+        import pyarrow.fs as pafs
+
+        if part in self.streams:
+            self.streams.move_to_end(part)
+        else:
+            fs, path = pafs.FileSystem.from_uri(self.files[part])
+            self.streams[part] = fs.open_input_file(path)
+            if len(self.streams) > HELD_FILES:
+                self.streams.popitem(last=False)[1].close()
+        return self.streams[part]
+
+    def at(self, place: int, size: int) -> np.ndarray:
+        if place in self.held:
+            self.held.move_to_end(place)
+        else:
+            data = self._stream(place >> PLACE_BITS).read_at(8 * size, 8 * (place & ((1 << PLACE_BITS) - 1)))
+            self.held[place] = np.frombuffer(data, np.uint64)
+            self.bytes += 8 * size
+            while self.bytes > HELD_BYTES and len(self.held) > 2:
+                self.bytes -= self.held.popitem(last=False)[1].nbytes
+        return self.held[place]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sorted sets without repeats, neither empty."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _linked(distance: int, similarity: float, how: str, masks: np.ndarray, files: dict[int, str]):
+    """Links (a, b) of the similarity, exactly checked, whose components are those of all that the task meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, parent, out = SharedSets(files), {}, []
+
+        def find(x: int) -> int:
+            top = x
+            while (up := parent.get(top, top)) != top:
+                top = up
+            while (up := parent.get(x, x)) != top:
+                parent[x], x = top, up
+            return top
+
+        def tops(roots: np.ndarray) -> np.ndarray:
+            own, back = np.unique(roots, return_inverse=True)
+            return np.array([find(x) for x in own.tolist()], np.int64)[back]
+
+        for mine, other, cols in _candidates(batches, distance, similarity, how, masks):
+            node, size, place, root = cols[3 + WORDS :]
+            for at in range(0, len(mine), STEP):
+                x, y = mine[at : at + STEP], other[at : at + STEP]
+                still = tops(root[x]) != tops(root[y])
+                for i, j in zip(x[still].tolist(), y[still].tolist(), strict=True):
+                    p, q = find(int(root[i])), find(int(root[j]))
+                    if p != q and jaccard(sets.at(int(place[i]), int(size[i])), sets.at(int(place[j]), int(size[j]))) >= similarity:
+                        parent[max(p, q)] = min(p, q)
+                        out.append((int(node[i]), int(node[j])))
+            if len(out) >= FLUSH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=PAIR_SCHEMA)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=PAIR_SCHEMA)
 
     return run
 
@@ -203,25 +263,28 @@ def picked(df: DataFrame, keys: DataFrame, names: list[str], how: str) -> DataFr
     return out.drop(*[f"key_{i}_" for i in range(len(names))])
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
+def _stored(shingle: int, folder: str):
+    """Rows (node, text), sorted by node, to the places of their shingle sets in a file of the task."""
 
-def _checked(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(2), batch.column(3), strict=True)
-            near = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similarity for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near, pa.bool_())) for k in range(2)], schema=PAIR_SCHEMA)
+        from pyspark import TaskContext
 
-    return run
+        part = TaskContext.get().partitionId()
+        nodes, places, at = [], [], 0
 
+        def write(stream):
+            nonlocal at
+            for batch in batches:
+                for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if not nodes or nodes[-1] != node:  # rows of equal keys have equal texts
+                        own = shingle_set(text, shingle)
+                        stream.write(own.tobytes())
+                        nodes.append(node)
+                        places.append(part << PLACE_BITS | at)
+                        at += len(own)
 
-def _packed(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, shingle).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+        file = publish(folder, f"sets-{part}", write)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([part] * len(nodes), pa.int64()), pa.array([file] * len(nodes), pa.string()), pa.array(places, pa.int64())], schema=PLACE_SCHEMA)
 
     return run
 
@@ -240,35 +303,24 @@ def _hot(rows: DataFrame, how: str) -> DataFrame:
     return many.join(alike, "bucket").select("bucket", side.cast("int").alias("side")).filter("side > 1")
 
 
-def _between(links: DataFrame, tree: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """The untried links whose ends are in different components, with these."""
-    rest = links if tried is None else links.join(tried, ["a", "b"], "left_anti")
-    root = lambda end, name: tree.select(F.col("node").alias(end), F.col("root").alias(name))
-    rest = rest.join(root("a", "x"), "a", "left").join(root("b", "y"), "b", "left")
-    return rest.withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")}).filter("x <> y")
+def _dealt(rows: DataFrame, how: str, ways: int) -> DataFrame:
+    """Anchor rows by bucket and tile, sorted for ``by_key``; each tile of a large anchor is another task's.
 
-
-def _confirmed(links: DataFrame, known: DataFrame, tree: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """``known`` (a, b) with what an exact check adds of ``links``, and its components: in each round the nearest links of every component."""
-    tried = None
-    for tries in TRIES:
-        rest = written(_between(links, tree, tried), "open-links")
-        if rest.isEmpty():
-            break
-        if tries is None:
-            new = rest.select("a", "b")
-        else:
-            ends = rest.select(F.explode(F.array("x", "y")).alias("root"), "a", "b", "bits")
-            rank = F.row_number().over(W.partitionBy("root").orderBy("bits", "a", "b"))
-            new = ends.withColumn("rank", rank).filter(F.col("rank") <= tries).select("a", "b").distinct()
-        new = written(new, "tried-links")
-        pairs = new.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        near = written(small_batches(pairs.select("a", "b", "x", "y")).mapInArrow(lambda it: trimmed(_checked(similarity)(it)), "a long, b long"), "near-links")
-        tried = new if tried is None else tried.unionAll(new)
-        if not near.isEmpty():
-            known = written(known.unionAll(near), "known-links")
-            tree = components(known)
-    return known, tree
+    For the leaders an anchor's shares have leaders of their own. By roots, tile i * side + j has the homes of share i and the rows
+    of share j; an anchor that is not cut is tile -1, with homes alone.
+    """
+    rows = rows.join(written(_hot(rows, how), "hot-anchors"), "bucket", "left").withColumn("side", F.coalesce("side", F.lit(1)))
+    share = F.pmod(F.xxhash64("node"), F.col("side")).cast("int")
+    if how == "leaders":
+        rows = rows.withColumn("tile", share)
+    else:
+        every = F.sequence(F.lit(0), F.col("side") - 1)
+        own = lambda tile, home: F.struct(tile.alias("tile"), F.lit(home).alias("home"))
+        tiles = F.concat(F.transform(every, lambda i: own(share * F.col("side") + i, True)), F.transform(every, lambda i: own(i * F.col("side") + share, False)))
+        tiles = F.when(F.col("side") == 1, F.array(own(F.lit(-1), True))).otherwise(tiles)
+        rows = rows.drop("home").withColumn("t", F.explode(tiles)).select("*", "t.tile", "t.home")
+    dealt = rows.select("bucket", "tile", "home", *PRINTS, *CARRIED).repartition(ways, "bucket", "tile")
+    return dealt.sortWithinPartitions("bucket", "tile", "node" if how == "leaders" else "root")
 
 
 def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -277,52 +329,66 @@ def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: in
     Groups are the components of links: pairs of texts whose sets of word shingles have a Jaccard
     similarity of ``similarity`` or more (a miss has the chance that the module states). Words are as in
     ``simhash``. Texts without words (null ones too) are alike, and so are texts of fewer words than a
-    shingle if their words are the same. Rows of equal keys must have equal texts. An empty table stays empty.
+    shingle if their words are the same. Rows of equal keys must have equal texts; keys may have any names but first, and
+    may be null. Repeated rows are kept. An empty table stays empty.
     """
     spark = docs.sparkSession
-    texts = docs.select(*keys, text_or_empty(text_col).alias("text_"))
-    kinds = texts.drop("text_").schema
+    own = [f"key{i}" for i in range(len(keys))]
+    texts = docs.select(*[F.col(k).alias(c) for k, c in zip(keys, own, strict=True)], text_or_empty(text_col).alias("text"))
+    kinds = texts.drop("text").schema
     schema = to_arrow_schema(kinds)
     for name, kind in [("digest", pa.binary()), ("size", pa.int64()), *((w, pa.int64()) for w in PRINTS)]:
         schema = schema.append(pa.field(name, kind))
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "digest binary, size long", *(f"{w} long" for w in PRINTS)])
+    ddl = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kinds), "digest binary, size long", *(f"{w} long" for w in PRINTS)])
     made = written(small_batches(texts).mapInArrow(lambda it: trimmed(_sets(schema, len(keys), shingle)(it)), ddl), "shingle-sets")
-    sets = made.groupBy("digest").agg(F.min(F.struct(*keys)).alias("first"), *[F.min(c).alias(c) for c in ("size", *PRINTS)])
+    sets = made.groupBy("digest").agg(F.min(F.struct(*own)).alias("first"), *[F.min(c).alias(c) for c in ("size", *PRINTS)])
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
 
-    some = sets.filter("size > 0").select("node", "size", *PRINTS)
+    some = sets.filter("size > 0").select(*PRINTS, "node", "size")
     bits, fields, distance = plan(similarity, some.count())
     ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
     positions = _positions(bits, fields)
     known, tree = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
-    for how, own in (("leaders", positions[:FIRST]), ("roots", positions)):
-        rows = some.join(tree, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", *PRINTS)
-        rows = rows.repartition(ways).mapInArrow(lambda it, own=own: trimmed(_anchors(own)(it)), ANCHOR_DDL)
-        hot, more = written(_hot(rows, how), "hot-anchors"), [*PRINTS, "node", "size", "root"]
-        if how == "leaders":  # each share of a large anchor has a leader of its own
-            dealt = rows.join(hot, "bucket", "left").withColumn("tile", F.coalesce(F.pmod(F.xxhash64("node"), F.col("side")), F.lit(0)).cast("int"))
-            dealt = dealt.select("bucket", "tile", "home", *more).repartition(ways, "bucket", "tile").sortWithinPartitions("bucket", "tile", "node")
-        else:
-            dealt = tiled(rows, hot, "node", ["root"], *more)
-        links = dealt.mapInArrow(lambda it, how=how: trimmed(_links(distance, similarity, how)(it)), "a long, b long, bits int")
-        links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").groupBy("a", "b").agg(F.min("bits").alias("bits"))
-        links = written(links, "similar-links")
-        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = written(sets.join(ends, "node").select("first.*", "node"), "linked-sets")
-        found = picked(texts, wanted, keys, "inner").select("node", "text_")
-        linked = small_batches(found).mapInArrow(lambda it: trimmed(_packed(shingle)(it)), "node long, shingles binary").dropDuplicates(["node"])
-        known, tree = _confirmed(links, known, tree, written(linked, "linked-shingles"), similarity)
+    for how, places in (("leaders", positions[:FIRST]), ("roots", positions)):
+        masks = _masks(places)
+
+        def anchored(rows: DataFrame, how=how, places=places) -> DataFrame:
+            rows = rows.select(*PRINTS, *CARRIED).repartition(ways)
+            return _dealt(rows.mapInArrow(lambda it: trimmed(_anchors(places)(it)), ANCHOR_DDL), how, ways)
+
+        rows = some.join(tree, "node", "left").withColumns({"root": F.coalesce("root", "node"), "place": F.lit(0).cast("long")})
+        met = anchored(rows).mapInArrow(lambda it, how=how, masks=masks: trimmed(_met(distance, similarity, how, masks)(it)), "node long")
+        met = written(met.distinct(), "met-sets")
+        if met.isEmpty():
+            continue
+        wanted = written(sets.join(met, "node").select("first.*", "node"), "wanted-sets")
+        found = picked(texts, wanted, own, "inner").select("node", "text").repartition(ways, "node").sortWithinPartitions("node")
+        folder = work_dir(spark, f"sets-{how}-{uuid.uuid4().hex[:8]}")
+        stored = small_batches(found).mapInArrow(lambda it, folder=folder: trimmed(_stored(shingle, folder)(it)), "node long, part long, file string, place long")
+        stored = written(stored, "stored-sets")
+        files = dict(map(tuple, stored.select("part", "file").distinct().collect()))  # one for each shuffle partition, whatever the corpus
+        links = anchored(rows.drop("place").join(stored.select("node", "place"), "node"))
+        links = links.mapInArrow(lambda it, how=how, masks=masks, files=files: trimmed(_linked(distance, similarity, how, masks, files)(it)), "a long, b long")
+        known = written(known.unionAll(links), "known-links")
+        tree = components(known)
     rooted = written(sets.select("digest", "node", "first").join(tree, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root")), "rooted-sets")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     # As many as distinct texts, so neither side is broadcast, however few they are.
     final = written(rooted.join(least.hint("merge"), "root").select("digest", F.col("least").alias("first")), "set-groups")
-    return made.select(*keys, "digest").join(final.hint("merge"), "digest").select(*keys, "first")
+    out = made.select(*own, "digest").join(final.hint("merge"), "digest")
+    return out.select(*[F.col(c).alias(k) for k, c in zip(keys, own, strict=True)], F.struct(*[F.col(f"first.{c}").alias(k) for k, c in zip(keys, own, strict=True)]).alias("first"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id (the smallest id of its group) of each row of ``docs``; ids are longs, none null or repeated."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return groups(own, ["doc_id"], "text", shingle, similarity).select("doc_id", F.col("first.doc_id").alias("component_id"))
+    """doc_id (a long) and component_id of each row of ``docs``: the smallest id of its group.
+
+    Repeated ids and rows are kept, each with its own group; a null id gets the smallest id of its group (null if it has none).
+    Null and empty texts are one group. An empty table stays empty. Other columns are left out, so no name can clash.
+    """
+    text = text_or_empty(text_col)
+    keys = {"no_id": F.col(id_col).isNull(), "doc_id": F.col(id_col).cast("long"), "hash_1": F.xxhash64(F.lit(0), text), "hash_2": F.xxhash64(F.lit(1), text)}
+    own = docs.select(*[c.alias(k) for k, c in keys.items()], text.alias("text"))
+    return groups(own, list(keys), "text", shingle, similarity).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def row_keys(docs: DataFrame, id_col: str = "doc_id") -> dict[str, Column]:

@@ -272,6 +272,19 @@ def test_near_duplicate_stage_against_all_pairs(spark):
     assert out.columns == clash.columns and out.count() == sum(got.values())
 
 
+def test_stages_carry_columns_of_any_name(spark):
+    rows = stage_rows()
+    names = ["score", "held_out", "predicted", "findings", "size", "source_size", "target", "copies", "copy_", "node", "key0", "carried_column_5"]
+    docs = spark.createDataFrame([(*r, *[f"{r[0]} {n}" for n in names]) for r in rows], DOC_DDL + "".join(f", {n} string" for n in names))
+    labels = "/root/testdata/sf0.001"
+    for stage in (stages.quality, stages.near_duplicates, stages.secret_scan, stages.mixing):
+        out = stage(spark, docs, labels)
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        got = out.collect()
+        assert got and all(r[n] == f"{r['doc_id']} {n}" for r in got for n in names)
+    assert stages.encode(spark, docs, labels).count() == len(rows)
+
+
 @pytest.mark.parametrize("few", [0, 250_000])
 def test_near_duplicate_stage_joins_alike_at_every_size(spark, monkeypatch, few):
     monkeypatch.setattr(similar, "BROADCAST_ROWS", few)
