@@ -1,8 +1,8 @@
 """Model-backed operators: duplicate concepts, inferred edges, titles, session texts, the six checks, repair.
 
 Cheap deterministic gates are DataFrame filters in front of the calls, so a model only sees rows that
-need it. Calls of one row are isolated; a session's text needs the one before, so a book's sessions
-are written in order by one worker.
+need it. Calls of one row are isolated; a session's text needs the one before, so sessions are written in
+fronts, one session of every book at once, and each front is committed before the next.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import jsonx as J
@@ -20,7 +20,7 @@ from lectern.operators import checks as C
 from lectern.operators import graph as G
 from lectern.operators import model as M
 from lectern.operators import planner as P
-from lectern.sources.store import kept
+from lectern.sources.store import KeyedStore, QuotaExhausted, kept, pending_sessions, work_folder
 
 Make = Callable[[], M.ModelProvider]
 #: A book of fewer concepts is not searched for duplicates, one of no more is not searched for further edges.
@@ -43,23 +43,23 @@ def _listing(concepts: DataFrame) -> DataFrame:
 
 def drop_duplicates(concepts: DataFrame, make: Make = M.OfflineProvider) -> DataFrame:
     """``concepts`` (book, concept, description, ord) without what the model calls duplicates, by place in the list; small books and failed calls change nothing."""
-    answer = _listing(_large(concepts, DEDUP_FROM)).select("book", M.ask("duplicates", F.col("listing"), make)["answer"].alias("a"))
-    gone = answer.select("book", F.explode(F.from_json("a", "struct<duplicates: array<struct<keep_index: int, discard_index: int>>>")["duplicates"]).alias("d"))
+    found = M.ask_json("duplicates", F.col("listing"), "struct<duplicates: array<struct<keep_index: int, discard_index: int>>>", make)["found"]
+    answer = kept(_listing(_large(concepts, DEDUP_FROM)).select("book", found.alias("a")), "duplicates")
+    gone = answer.select("book", F.explode("a.duplicates").alias("d"))
     gone = gone.select("book", F.col("d.discard_index").alias("place")).distinct()
     placed = concepts.withColumn("place", F.row_number().over(_by_ord()) - 1)
     return placed.join(gone, ["book", "place"], "left_anti").select(*concepts.columns)
 
 
 def _by_ord():
-    from pyspark.sql import Window
-
     return Window.partitionBy("book").orderBy("ord")
 
 
 def infer_edges(concepts: DataFrame, make: Make = M.OfflineProvider) -> DataFrame:
     """(book, src, dst, reason, source) that the model infers for larger books, between known concepts."""
-    answer = _listing(_large(concepts, INFER_ABOVE + 1)).select("book", M.ask("edges", F.col("listing"), make)["answer"].alias("a"))
-    rows = answer.select("book", F.explode(F.from_json("a", "struct<dependencies: array<struct<`from`: string, `to`: string, reason: string>>>")["dependencies"]).alias("d"))
+    found = M.ask_json("edges", F.col("listing"), "struct<dependencies: array<struct<`from`: string, `to`: string, reason: string>>>", make)["found"]
+    answer = kept(_listing(_large(concepts, INFER_ABOVE + 1)).select("book", found.alias("a")), "inferred")
+    rows = answer.select("book", F.explode("a.dependencies").alias("d"))
     rows = rows.select("book", F.col("d.from").alias("src"), F.col("d.to").alias("dst"), F.concat(F.lit("Inferred: "), "d.reason").alias("reason"), F.lit("inferred").alias("source"))
     names = concepts.select("book", F.col("concept").alias("dst")).distinct()
     return G.known_edges(rows, concepts).join(names, ["book", "dst"], "left_semi").select("book", "src", "dst", "reason", "source")
@@ -130,19 +130,99 @@ def stitched(opening: str, body: str, closing: str) -> str:
     return f"{opening}\n\n{bare}\n\n{closing}"
 
 
-def write_session(provider: M.ModelProvider, title: str, names: list[str], revisit: str | None, ending: str) -> tuple[str, str, str]:
+#: What a section's prompt knows of a concept; ``place`` is its place in the session, -1 for the concept that is revisited.
+SECTION = "place int, name string, description string, weight string, passage string, passages array<string>, anchor string, assumed array<string>, contrasts array<string>, enrich boolean, needs array<string>, about string"
+#: Relations of another concept that it may be taken for.
+CONTRASTS = ("contrasts_with", "distinguished_from")
+
+
+def section_context(index: DataFrame, concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(book, number, sections, back): for each session of ``index`` what its prompts show of its concepts, in order, and of the one it returns to.
+
+    ``index`` has concepts (array of structs with name, description, weight) and revisit (struct of name and reason, or null). ``concepts`` has
+    book, concept and those of description, weight, passage, passages, anchor, assumed, contrasts, enrich and about that are known; what it lacks comes
+    from the index, else is empty. needs: the descriptions of a concept's prerequisites by ``edges`` (book, src, dst), in order
+    of name. Texts and lists are cut to what is shown. Members and revisits are exploded and joined once, so a session is the widest group.
+    """
+    known = known_concepts(concepts)
+    own = index.select("book", "number", F.posexplode("concepts").alias("place", "c"), F.lit(None).cast("string").alias("reason"))
+    own = own.select("book", "number", "place", F.col("c.name").alias("name"), F.col("c.description").alias("planned"), (F.col("c.weight") if "weight" in index.schema["concepts"].dataType.elementType.names else F.lit(None).cast("string")).alias("planned_weight"), "reason")
+    back = index.filter("revisit IS NOT NULL").select("book", "number", F.lit(-1).alias("place"), F.col("revisit.name").alias("name"), F.lit(None).cast("string").alias("planned"), F.lit(None).cast("string").alias("planned_weight"), F.col("revisit.reason").alias("reason"))
+    told = known.select("book", F.col("concept").alias("src"), F.coalesce(F.when(F.col("description") != "", F.col("description")), F.col("concept")).alias("told"))
+    needs = edges.select("book", "src", F.col("dst").alias("name")).distinct().join(told, ["book", "src"])
+    needs = needs.groupBy("book", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("src", "told"))), lambda r: r["told"]).alias("needs"))
+    rows = own.unionByName(back).join(known.withColumnRenamed("concept", "name"), ["book", "name"], "left").join(needs, ["book", "name"], "left")
+    none = F.array().cast("array<string>")
+    shown = lambda c, n: F.slice(F.coalesce(c, none), 1, n)
+    section = F.struct(
+        "place", "name", F.coalesce("description", "planned", F.lit("")).alias("description"), F.coalesce("weight", "planned_weight", F.lit("medium")).alias("weight"),
+        F.substring(F.coalesce("passage", F.lit("")), 1, CONTEXT_CHARS).alias("passage"), F.transform(shown(F.col("passages"), SHOWN_PREREQUISITES), lambda p: F.substring(p, 1, SIGNAL_CHARS)).alias("passages"),
+        F.coalesce("anchor", F.lit("")).alias("anchor"), shown(F.col("assumed"), SHOWN_ASSUMED).alias("assumed"), shown(F.col("contrasts"), SHOWN_CONTRASTS).alias("contrasts"),
+        F.coalesce("enrich", F.lit(False)).alias("enrich"), shown(F.col("needs"), SHOWN_PREREQUISITES).alias("needs"), F.coalesce("about", F.lit("")).alias("about"),
+    )
+    whole = rows.select("book", "number", "reason", section.alias("s")).groupBy("book", "number").agg(F.array_sort(F.collect_list(F.struct(F.col("s.place").alias("place"), "s", "reason"))).alias("all"))
+    first = F.get(F.filter("all", lambda r: r["place"] == -1), 0)
+    back = F.when(first.isNotNull(), F.struct(first["s"]["name"].alias("name"), first["reason"].alias("reason"), first["s"]["description"].alias("description"), F.substring(first["s"]["passage"], 1, PASSAGE_CHARS).alias("passage")))
+    return whole.select("book", "number", F.transform(F.filter("all", lambda r: r["place"] >= 0), lambda r: r["s"]).alias("sections"), back.alias("back"))
+
+
+#: Columns of concepts that a section's prompt shows, where they are known.
+KNOWN = {"description": "string", "weight": "string", "passage": "string", "passages": "array<string>", "anchor": "string", "assumed": "array<string>", "contrasts": "array<string>", "enrich": "boolean", "about": "string"}
+
+
+def known_concepts(concepts: DataFrame) -> DataFrame:
+    """(book, concept, KNOWN) of each concept, null where ``concepts`` has no such column."""
+    rows = concepts.select("book", "concept", *[(F.col(c) if c in concepts.columns else F.lit(None)).cast(kind).alias(c) for c, kind in KNOWN.items()])
+    return rows.dropDuplicates(["book", "concept"])
+
+
+def section_prompt(title: str, s: dict, back: dict | None, following: str, before: str) -> str:
+    """The prompt of one concept's section, a line for each thing that is known of it."""
+    lines = [f"{s['name']} in {title}.", f"Description: {s['description']}" if s["description"] else "", f"Weight: {s['weight']}"]
+    lines += [f"Domain: {s['about']}" if s["about"] else "", f"The author's insight: {s['anchor']}" if s["anchor"] else "", f"Passage: {s['passage']}" if s["passage"] else ""]
+    lines += [f"Supporting passage: {p}" for p in s["passages"]]
+    lines += [f"Builds on: {', '.join(s['needs'])}" if len(s["needs"]) else "", f"Already known: {', '.join(s['assumed'])}" if len(s["assumed"]) else "", f"Not to be taken for: {', '.join(s['contrasts'])}" if len(s["contrasts"]) else ""]
+    lines.append("Add present-day examples." if s["enrich"] else "")
+    if back:
+        lines += [f"Return to {back['name']}.", back["reason"] or "", back["description"], back["passage"]]
+    lines += [f"Next comes {following}." if following else "", before]
+    return "\n".join(x for x in lines if x)
+
+
+class Replaying:
+    """Another provider that answers again what it was asked before, from ``said`` (task, prompt, answer), and keeps what is new."""
+
+    def __init__(self, inner: M.ModelProvider, said):
+        self.inner, self.said, self.new = inner, {}, []
+        for task, prompt, answer in said:
+            self.said.setdefault((task, prompt), []).append(answer)
+        self.old = [tuple(x) for x in said]
+
+    def generate(self, task: str, prompt: str) -> str:
+        if again := self.said.get((task, prompt)):
+            return again.pop(0)
+        answer = self.inner.generate(task, prompt)
+        self.new.append((task, prompt, answer))
+        return answer
+
+    def transcript(self) -> list[tuple[str, str, str]]:
+        return self.old + self.new
+
+
+def write_session(provider: M.ModelProvider, title: str, sections: list[dict], back: dict | None, ending: str) -> tuple[str, str, str]:
     """(text, excerpt, card) of one session: a question first, a section a concept, then opening and closing from one answer.
 
-    The excerpt is the text's last 80 words, taken before the card is appended; sessions of one concept
+    ``sections`` and ``back`` are those of ``section_context``. The excerpt is the text's last 80 words, taken before the card is appended; sessions of one concept
     have no card, and a card that fails is left out.
     """
+    names = [s["name"] for s in sections]
     question = provider.generate("question", ", ".join(names)).strip()
-    sections: list[str] = []
-    for i, name in enumerate(names):
-        back = f" Return to {revisit}." if revisit and i == max(0, len(names) - 2) else ""
-        follow = f" Next comes {names[i + 1]}." if i + 1 < len(names) else ""
-        sections.append(provider.generate("section", f"{name} in {title}.{back}{follow} {_tail(sections[-1], 200) if sections else ''}".strip()).strip())
-    body = "\n\n".join(sections)
+    written: list[str] = []
+    for i, section in enumerate(sections):
+        own = back if back and i == max(0, len(names) - 2) else None
+        prompt = section_prompt(title, section, own, names[i + 1] if i + 1 < len(names) else "", _tail(written[-1], 200) if written else "")
+        written.append(provider.generate("section", prompt).strip())
+    body = "\n\n".join(written)
     resolve = to_resolve(ending) if ending else title
     opening, closing = framed(provider.generate("frame", f"{resolve}: {', '.join(names)}\n{question}"))
     text = stitched(opening, body, closing)
@@ -151,6 +231,8 @@ def write_session(provider: M.ModelProvider, title: str, names: list[str], revis
             break
         try:
             body = body.rstrip() + "\n\n" + provider.generate("section", f"More on {', '.join(names)}: {_tail(body, 120)}").strip()
+        except QuotaExhausted:
+            raise
         except Exception:  # a failed extension leaves the body as it is
             break
         text = stitched(opening, body, closing)
@@ -160,29 +242,82 @@ def write_session(provider: M.ModelProvider, title: str, names: list[str], revis
     if len(names) >= 2:
         try:
             card = provider.generate("card", f"{', '.join(names)}\n{text[-800:]}").strip()
+        except QuotaExhausted:
+            raise
         except Exception:  # a session without a card is whole
             card = ""
     return (f"{text}\n\n{card}" if card else text), excerpt, card
 
 
-def generate_in_order(index: DataFrame, make: Make = M.OfflineProvider) -> DataFrame:
-    """(book, number, title, content, tension_excerpt, card, error): a failed session keeps its row and the next one goes on without its ending."""
+SAID = "array<struct<task: string, prompt: string, answer: string>>"
+RESULT = f"number int, title string, content string, tension_excerpt string, card string, error string, said {SAID}, stopped boolean"
+
+
+def _written_front(front: DataFrame, make: Make) -> DataFrame:
+    """The rows of RESULT for one session of each book. Once the quota is used up a task asks nothing more, but hands on what it has."""
+    kind = front.schema["book"].dataType.simpleString()
+
+    def run(frames):
+        provider, out_of_quota = make(), None
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                said = [(x["task"], x["prompt"], x["answer"]) for x in (r.said if r.said is not None else [])]
+                replaying = Replaying(provider, said)
+                text = excerpt = card = error = None
+                if out_of_quota is None:
+                    try:
+                        text, excerpt, card = write_session(replaying, r.title, list(r.sections), r.back, r.ending)
+                    except QuotaExhausted as e:
+                        out_of_quota = str(e)
+                    except Exception as e:  # one session's failure must not lose the others
+                        error = str(e)
+                keep = [] if text is not None else [{"task": t, "prompt": p, "answer": a} for t, p, a in replaying.transcript()]
+                stopped = text is None and error is None
+                out.append((r.book, r.number, r.title, text, excerpt, card, out_of_quota if stopped else error, keep, stopped))
+            yield pd.DataFrame(out, columns=["book", "number", "title", "content", "tension_excerpt", "card", "error", "said", "stopped"])
+
+    return front.mapInPandas(run, f"book {kind}, {RESULT}")
+
+
+def generate_sessions(index: DataFrame, context: DataFrame, store: KeyedStore, make: Make = M.OfflineProvider) -> DataFrame:
+    """(book, number, title, content, tension_excerpt, card, error) of all sessions of ``index``, as ``store`` has them at the end.
+
+    Sessions are written in fronts: the first of all books at once, then the second of each with the ending of its book's first, and so on. A front
+    is committed to ``store`` before the next one starts, and sessions that it has with a text are not written again, so a
+    run that died goes on where it was; what a session that was not finished has been told already is not asked again. A failed session keeps its
+    row, the next one goes on without its ending, and the next run tries it again. Used-up quota ends the run once the front is committed.
+    """
+    turn = F.row_number().over(Window.partitionBy("book").orderBy("number"))
+    before = F.lag("number").over(Window.partitionBy("book").orderBy("number"))
     kind = index.schema["book"].dataType.simpleString()
-    flat = index.select("book", "number", "title", F.transform("concepts", lambda c: c["name"]).alias("names"), F.col("revisit.name").alias("back"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        provider, ending, out = make(), "", []
-        for r in pdf.sort_values("number").itertuples():
-            try:
-                text, excerpt, card = write_session(provider, r.title, list(r.names), r.back, ending)
-                out.append((r.book, r.number, r.title, text, excerpt, card, None))
-                ending = excerpt
-            except Exception as e:  # one session's failure must not lose the book
-                out.append((r.book, r.number, r.title, None, None, None, str(e)))
-                ending = ""
-        return pd.DataFrame(out, columns=["book", "number", "title", "content", "tension_excerpt", "card", "error"])
-
-    return flat.groupBy("book").applyInPandas(run, f"book {kind}, number int, title string, content string, tension_excerpt string, card string, error string")
+    plan = kept(index.select("book", "number", "title").withColumns({"turn": turn, "before": before}).join(context, ["book", "number"]), "session-plan")
+    ways = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = index.sparkSession.createDataFrame([], f"book {kind}, {RESULT}")
+    done = store.read()
+    todo = pending_sessions(plan, none if done is None else done)
+    for (n,) in todo.select("turn").distinct().orderBy("turn").collect():  # as many as the longest book has sessions
+        done = store.read()
+        done = none if done is None else done
+        front = pending_sessions(plan.filter(F.col("turn") == n), done)
+        endings = done.filter("content IS NOT NULL").select("book", F.col("number").alias("before"), F.col("tension_excerpt").alias("ending"))
+        front = front.join(endings, ["book", "before"], "left").join(done.select("book", "number", "said"), ["book", "number"], "left")
+        front = front.select("book", "number", "title", "sections", "back", F.coalesce("ending", F.lit("")).alias("ending"), "said")
+        rows = kept(_written_front(front.repartition(ways, "book"), make), "session-front")
+        store.upsert(rows)
+        if (stopped := rows.filter("stopped").first()) is not None:
+            raise QuotaExhausted(stopped["error"])
+    out = store.read()
+    return (none if out is None else out).join(index.select("book", "number"), ["book", "number"], "left_semi").drop("said", "stopped")
+
+
+def generate_in_order(index: DataFrame, make: Make = M.OfflineProvider, concepts: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """``generate_sessions`` of an index into a store of its own; without ``concepts`` the prompts show what the index says."""
+    spark, kind = index.sparkSession, index.schema["book"].dataType.simpleString()
+    concepts = spark.createDataFrame([], f"book {kind}, concept string") if concepts is None else concepts
+    edges = spark.createDataFrame([], f"book {kind}, src string, dst string") if edges is None else edges
+    context = section_context(index, concepts, edges)
+    return generate_sessions(index, context, KeyedStore(spark, work_folder(spark, "session-results"), ("book", "number")), make)
 
 
 #: Times that a check is asked again after its part of the text was written anew.
@@ -202,6 +337,8 @@ def _spliced(provider: M.ModelProvider, check: str, text: str, why: str, context
     at = {"TENSION": len(parts) - 1, "ANCHOR": 0, "REVISIT": marked[0] if marked else max(0, len(parts) - 2)}.get(check)
     try:
         new = provider.generate(f"rewrite_{check.lower()}", "\n".join([why, context, text if at is None else parts[at]])).strip()
+    except QuotaExhausted:
+        raise
     except Exception:  # the old text is asked about again
         return text
     return new if at is None else "\n\n".join([*parts[:at], new, *parts[at + 1 :]])
@@ -230,6 +367,8 @@ def judged(provider: M.ModelProvider, check: str, text: str, context: str, reaso
     for attempt in range(RETRIES + 1):
         try:
             passed, evidence = J.read_verdict(provider.generate("binary", _about(check, text, context) if shown is None else shown))
+        except QuotaExhausted:
+            raise
         except Exception as e:
             if attempt == RETRIES or check == "REVISIT":
                 return False, f"Error: {e}", again, attempt == RETRIES
@@ -237,6 +376,8 @@ def judged(provider: M.ModelProvider, check: str, text: str, context: str, reaso
         if passed and check == "REVISIT" and reason:
             try:
                 specific, said = J.read_verdict(provider.generate("binary", "\n".join(["specific?", reason, _about(check, text, context)])))
+            except QuotaExhausted:
+                raise
             except Exception:
                 specific = True
             if not specific:
@@ -324,10 +465,11 @@ def repair_truncated(sessions: DataFrame, make: Make = M.OfflineProvider) -> Dat
     x = F.col("content")
     cut = T.complete_part(F.regexp_replace(x, r"(?U)\s+$", ""))
     fine, broken = sessions.filter(~T.ends_openly(x) | (cut == "")), sessions.filter(T.ends_openly(x) & (cut != ""))
-    asked = T.strip(F.coalesce(M.ask("question", cut, make)["answer"], F.lit("")))
+    broken = kept(broken.withColumn("asked_", M.ask("question", cut, make)["answer"]), "end-questions")  # so that each is asked about once
+    asked = T.strip(F.coalesce("asked_", F.lit("")))
     question = F.when(asked.endswith("?"), asked).otherwise(F.concat(F.regexp_replace(asked, "[.!]+$", ""), F.lit("?")))
     tried = broken.withColumn("tried", F.concat_ws("\n\n", cut, question))
-    done = tried.withColumn("content", F.when(C.length_verdict(F.col("tried"))["passed"], F.col("tried")).otherwise(F.col("content"))).drop("tried")
+    done = tried.withColumn("content", F.when(C.length_verdict(F.col("tried"))["passed"], F.col("tried")).otherwise(F.col("content"))).drop("tried", "asked_")
     return fine.unionByName(done)
 
 
@@ -347,8 +489,6 @@ def index_entries(sessions: DataFrame) -> DataFrame:
 
     Numbers are labels of two digits; the next session's first concept is empty for the last.
     """
-    from pyspark.sql import Window
-
     following = F.lead(F.get("concepts", 0)["name"]).over(Window.partitionBy("book").orderBy("number"))
     return sessions.select(
         "book", F.format_string("%02d", F.col("number")).alias("session_number"), "title", "concepts", "revisit", "estimated_minutes",

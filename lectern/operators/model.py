@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import jsonx as J
 from lectern.functions import text as T
+from lectern.sources.store import QuotaExhausted
 
 
 class ModelProvider(Protocol):
@@ -149,6 +150,8 @@ class Retrying:
         for n in range(self.tries):
             try:
                 return self.inner.generate(task, prompt)
+            except QuotaExhausted:  # waiting does not help
+                raise
             except Exception:
                 if n == self.tries - 1:
                     raise
@@ -167,6 +170,8 @@ def ask(task: str, prompt: Column, make: Callable[[], ModelProvider] = OfflinePr
         for p in prompts:
             try:
                 out.append((provider.generate(task, p or ""), None))
+            except QuotaExhausted:  # nothing more can be asked today
+                raise
             except Exception as e:  # isolated by row, as one failed call must not lose the others
                 out.append((None, str(e)))
         return pd.DataFrame(out, columns=["answer", "error"])
@@ -185,6 +190,8 @@ def ask_json(task: str, prompt: Column, schema: str, make: Callable[[], ModelPro
         for p in prompts:
             try:
                 out.append({"found": J.parse_object(provider.generate(task, p or "")), "error": None})
+            except QuotaExhausted:
+                raise
             except Exception as e:  # isolated by row, as one failed call must not lose the others
                 out.append({"found": None, "error": str(e)})
         return pd.Series([json.dumps(x, ensure_ascii=False) for x in out], dtype=object)

@@ -1,7 +1,8 @@
 """The nine-stage run: blocks to sessions, each stage a written table; a rerun starts after the last one.
 
 Everything that a model is asked goes through one provider. A failed chunk, cluster or session keeps its row
-with its error; an answer without clusters and used-up quotas end the run, which can be taken up again.
+with its error; an answer without clusters and used-up quotas end the run, which can be taken up again. Within
+the writing of sessions it goes on after the last front that was committed.
 """
 
 from __future__ import annotations
@@ -19,19 +20,24 @@ from lectern.operators import graph as G
 from lectern.operators import inventory as I  # noqa: E741
 from lectern.operators import model as M
 from lectern.operators import planner as P
-from lectern.sources.store import PipelineError, StageStore, kept, pending_stages, spent
+from lectern.sources.store import PipelineError, QuotaExhausted, StageStore, kept, pending_stages, spent
 
 
 def run(store: StageStore, blocks: DataFrame, approve: Callable[[DataFrame], bool] = lambda index: True, make=M.OfflineProvider) -> list[str]:
     """Runs what is pending over block rows (see ``operators.blocks``) and returns the stages that ran."""
     done = []
     for stage in pending_stages(store.current()):
-        with spent():  # what a stage wrote for itself goes when its table is whole
-            out = STEPS[stage](store, blocks, approve, make)
-            if out is None:
-                break
-            store.save(stage, out)
-            done.append(stage)
+        try:
+            with spent():  # what a stage wrote for itself goes when its table is whole
+                out = STEPS[stage](store, blocks, approve, make)
+                if out is None:
+                    break
+                store.save(stage, out)
+                done.append(stage)
+        except Exception as e:
+            if "QuotaExhausted" in str(e) and not isinstance(e, QuotaExhausted):  # raised in a worker, whose job hands on its name alone
+                raise QuotaExhausted(f"no quota left in {stage}") from e
+            raise
     return done
 
 
@@ -63,7 +69,7 @@ def second_pass(store, blocks, approve, make) -> DataFrame:
 
 
 def graph(store, blocks, approve, make) -> DataFrame:
-    """Concepts in reading order: (book, concept, cluster, description, weight, ord, position, needs, related, orphan)."""
+    """Concepts in reading order: (book, concept, cluster, description, weight, ord, what prompts show of them, position, needs, related, orphan)."""
     extracted = store.load("Pass2").filter("concept IS NOT NULL").dropDuplicates(["book", "concept"])
     concepts = kept(N.drop_duplicates(extracted, make), "concepts")
     signals, prerequisites, related = E.graph_inputs(concepts)
@@ -72,7 +78,10 @@ def graph(store, blocks, approve, make) -> DataFrame:
     needs = edges.groupBy("book", F.col("dst").alias("concept")).agg(F.array_sort(F.collect_list(F.struct("src", "source"))).alias("needs"))
     ties = related.groupBy("book", "concept").agg(F.array_sort(F.collect_set(F.struct("other", "relation"))).alias("related"))
     lost = G.orphans(concepts, edges).withColumn("orphan", F.lit(True))
-    out = concepts.select("book", "concept", "cluster", "description", "weight", "ord").join(G.grouped_order(concepts, edges), ["book", "concept"])
+    contrasts = F.array_compact(F.transform("cross_theme_deps", lambda d: F.when(d["relationship"].isin(*N.CONTRASTS) & (d["concept"] != ""), d["concept"])))
+    shown = [F.col("primary_passage").alias("passage"), F.col("secondary_passages").alias("passages"), F.col("author_anchor").alias("anchor"), F.col("implicit_prerequisites").alias("assumed"), contrasts.alias("contrasts"), F.col("enrichment_flag").alias("enrich")]
+    told = store.load("Cluster").select("book", "cluster", "about").dropDuplicates(["book", "cluster"])
+    out = concepts.select("book", "concept", "cluster", "description", "weight", "ord", *shown).join(told, ["book", "cluster"], "left").join(G.grouped_order(concepts, edges), ["book", "concept"])
     for more in (needs, ties, lost):
         out = out.join(more, ["book", "concept"], "left")
     return out.withColumn("orphan", F.coalesce("orphan", F.lit(False)))
@@ -109,7 +118,9 @@ def approval(store, blocks, approve, make) -> DataFrame | None:
 def sessions(store, blocks, approve, make) -> DataFrame:
     """(book, number, title, content, tension_excerpt, card, error, evaluation, needs_review) of approved books."""
     plan = store.load("IndexGen").join(store.load("AwaitApproval").filter("approved"), "book", "left_semi")
-    written = kept(N.generate_in_order(plan, make), "written")
+    concepts = store.load("GraphBuild")
+    edges = concepts.select("book", F.explode("needs").alias("n"), F.col("concept").alias("dst")).select("book", F.col("n.src").alias("src"), "dst")
+    written = kept(N.generate_sessions(plan, N.section_context(plan, concepts, edges), store.results(), make), "written")
     known = plan.select("book", "number", F.transform("concepts", lambda c: c["name"]).alias("concepts"), F.col("revisit.name").alias("revisit"), F.col("revisit.reason").alias("revisit_reason"))
     whole = kept(N.repair_truncated(written.filter("content IS NOT NULL"), make), "repaired")
     checks = kept(N.evaluate(whole.join(known, ["book", "number"]), make), "checks")

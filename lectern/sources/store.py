@@ -8,9 +8,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import json
+import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date, datetime
 from pathlib import Path
@@ -18,6 +19,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The stages in order.
 STAGES = ("Ingest", "Pass1", "Cluster", "Pass2", "GraphBuild", "IndexGen", "AwaitApproval", "SessionGen", "Complete")
@@ -59,7 +61,10 @@ def _names(spark: SparkSession, path: str) -> list[str]:
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file under another name and moves it, so that it is there whole or not at all."""
+    """Writes a small file under another name and gives it its own, so that it is there whole or not at all; a file that is there stays.
+
+    Of several writers of one name one succeeds: a local name is linked, elsewhere the file system's rename must not replace.
+    """
     fs, final = _fs(spark, path)
     part = spark._jvm.org.apache.hadoop.fs.Path(final.getParent(), f".{uuid.uuid4().hex}")
     out = fs.create(part)
@@ -67,9 +72,13 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    if not fs.rename(part, final):
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(part.toUri().getPath(), final.toUri().getPath())
+        elif fs.exists(final) or not fs.rename(part, final):
+            raise FileExistsError(path)
+    finally:
         fs.delete(part, False)
-        raise OSError(f"{path} is there already")
 
 
 def _get(spark: SparkSession, path: str) -> str:
@@ -119,6 +128,122 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@dataclass
+class StateLog:
+    """A small JSON state in numbered files below ``base``; the last one counts.
+
+    A change is computed from the last state and written under the next number. If another writer was there first,
+    the change is computed anew from what that one wrote, so no change of several writers is lost.
+    """
+
+    spark: SparkSession
+    base: str
+    empty: dict
+    #: Former states that stay, for writers that are that far behind; attempts of a change.
+    KEPT, TRIES = 32, 100
+
+    def _numbers(self) -> list[int]:
+        return [int(n[:-5]) for n in _names(self.spark, self.base) if n.endswith(".json") and n[:-5].isdigit()]
+
+    def last(self) -> tuple[int, dict]:
+        while True:
+            numbers = self._numbers()
+            if not numbers:
+                return 0, self.empty
+            try:
+                return numbers[-1], json.loads(_get(self.spark, f"{self.base}/{numbers[-1]:08d}.json"))
+            except Exception:
+                if numbers[-1] in self._numbers():  # else it went meanwhile, as newer ones came
+                    raise
+
+    def change(self, change: Callable[[dict], dict]) -> tuple[dict, dict]:
+        """The state before and the state after ``change``."""
+        for _ in range(self.TRIES):
+            number, old = self.last()
+            new = change(old)
+            try:
+                _put(self.spark, f"{self.base}/{number + 1:08d}.json", json.dumps(new))
+            except FileExistsError:
+                continue
+            numbers = self._numbers()
+            if number and number not in numbers:  # so far behind that the name was free again
+                _remove(self.spark, f"{self.base}/{number + 1:08d}.json")
+                continue
+            for n in numbers:
+                if n <= number - self.KEPT:
+                    _remove(self.spark, f"{self.base}/{n:08d}.json")
+            return old, new
+        raise OSError(f"{self.base} is changed too often")
+
+
+@dataclass
+class KeyedStore:
+    """Rows by key below ``base``, in delta tables: an upsert writes its own rows alone, reads take the last row of each key.
+
+    Several writers may upsert, delete and compact at once (see ``StateLog``). Deltas count in the order in which they
+    were committed. Beyond ``COMPACT_AT`` of them an upsert merges them into one.
+    """
+
+    spark: SparkSession
+    base: str
+    keys: tuple[str, ...]
+    COMPACT_AT = 16
+
+    @property
+    def _log(self) -> StateLog:
+        return StateLog(self.spark, f"{self.base}/_state", {"deltas": [], "schema": None})
+
+    def _add(self, rows: DataFrame, gone: bool) -> None:
+        path = f"delta/{uuid.uuid4().hex[:12]}"
+        rows.withColumn("gone_", F.lit(gone)).write.parquet(f"{self.base}/{path}")
+        _, now = self._log.change(lambda s: {"deltas": [*s["deltas"], path], "schema": s["schema"] or rows.schema.json()})
+        if len(now["deltas"]) > self.COMPACT_AT:
+            self.compact()
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Keeps ``rows``, one of each key, in place of those of the same keys. All upserts have the columns of the first one."""
+        self._add(rows.dropDuplicates(list(self.keys)), False)
+
+    def delete(self, keys: DataFrame) -> None:
+        """Takes the rows of ``keys`` away; keys that are not there change nothing."""
+        schema = self._log.last()[1]["schema"]
+        if schema:
+            wanted = T.StructType.fromJson(json.loads(schema))
+            rows = keys.select(*self.keys).distinct()
+            self._add(rows.select(*[F.col(f.name) if f.name in self.keys else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]), True)
+
+    def _merged(self, deltas: list[str], schema: str) -> DataFrame:
+        with_gone = T.StructType.fromJson(json.loads(schema)).add("gone_", "boolean")
+        rows = None
+        for at, path in enumerate(deltas):
+            own = self.spark.read.schema(with_gone).parquet(f"{self.base}/{path}").withColumn("at_", F.lit(at))
+            rows = own if rows is None else rows.unionAll(own)
+        if len(deltas) > 1:
+            rank = F.row_number().over(W.partitionBy(*self.keys).orderBy(F.desc("at_")))
+            rows = rows.withColumn("rank_", rank).filter("rank_ = 1").drop("rank_")
+        return rows.filter("NOT gone_").drop("at_", "gone_")
+
+    def read(self) -> DataFrame | None:
+        """The rows that count now, or None before the first upsert."""
+        state = self._log.last()[1]
+        return self._merged(state["deltas"], state["schema"]) if state["deltas"] else None
+
+    def compact(self) -> None:
+        """Merges the deltas that are there into one; those that others commit meanwhile stay behind it."""
+        state = self._log.last()[1]
+        old, path = state["deltas"], f"delta/{uuid.uuid4().hex[:12]}"
+        if len(old) < 2:
+            return
+        self._merged(old, state["schema"]).withColumn("gone_", F.lit(False)).write.parquet(f"{self.base}/{path}")
+        merged = lambda s: s | {"deltas": [path, *s["deltas"][len(old) :]]} if s["deltas"][: len(old)] == old else s
+        _, now = self._log.change(merged)
+        for x in old if now["deltas"][0] == path else [path]:  # another writer may have merged them first
+            _remove(self.spark, f"{self.base}/{x}")
+
+    def clear(self) -> None:
+        _remove(self.spark, self.base)
+
+
 @dataclass
 class StageStore:
     """Parquet tables of a book's stages below ``base``, and small numbered state files that name the whole ones.
@@ -130,23 +255,27 @@ class StageStore:
     spark: SparkSession
     base: str
 
+    @property
+    def _log(self) -> StateLog:
+        return StateLog(self.spark, f"{self.base}/_state", {"current": None, "stages": {}})
+
     def _state(self) -> dict:
-        names = [n for n in _names(self.spark, f"{self.base}/_state") if n.endswith(".json")]
-        return json.loads(_get(self.spark, f"{self.base}/_state/{names[-1]}")) if names else {"number": 0, "current": None, "stages": {}}
-
-    def _change(self, current: str | None, stages: dict[str, str]) -> None:
-        old = self._state()
-        state = {"number": old["number"] + 1, "current": current, "stages": stages}
-        _put(self.spark, f"{self.base}/_state/{state['number']:08d}.json", json.dumps(state))
-        for path in set(old["stages"].values()) - set(stages.values()):
+        return self._log.last()[1]
+
+    def _change(self, change: Callable[[dict], dict]) -> None:
+        old, new = self._log.change(change)
+        for path in set(old["stages"].values()) - set(new["stages"].values()):
             _remove(self.spark, f"{self.base}/{path}")
-        _remove(self.spark, f"{self.base}/_state/{state['number'] - 1:08d}.json")
 
     def save(self, stage: str, df: DataFrame) -> None:
         path = f"{stage}/{uuid.uuid4().hex[:12]}"
         df.write.parquet(f"{self.base}/{path}")
-        now = self._state()
-        self._change(stage if stage in STAGES else now["current"], now["stages"] | {stage: path})
+        self._change(lambda s: {"current": stage if stage in STAGES else s["current"], "stages": s["stages"] | {stage: path}})
+
+    def results(self) -> KeyedStore:
+        """The sessions that are written so far, of the index that counts now; another index starts with none."""
+        path = self._state()["stages"].get("IndexGen", "IndexGen/none")
+        return KeyedStore(self.spark, f"{self.base}/Results/{path.rpartition('/')[2]}", ("book", "number"))
 
     def load(self, stage: str) -> DataFrame | None:
         path = self._state()["stages"].get(stage)
@@ -163,13 +292,16 @@ class StageStore:
         if stage is None:
             _remove(self.spark, self.base)
             return
-        now = self._state()
-        self._change(None if now["current"] == stage else now["current"], {k: v for k, v in now["stages"].items() if k != stage})
+        if stage == "SessionGen":
+            self.results().clear()
+        self._change(lambda s: {"current": None if s["current"] == stage else s["current"], "stages": {k: v for k, v in s["stages"].items() if k != stage}})
 
     def progress(self) -> dict:
         done = [s for s in STAGES if self.is_complete(s)]
         index, results = self.load("IndexGen"), self.load("SessionGen")
-        return {"current_stage": self.current(), "completed": done, "sessions": 0 if results is None else results.count(), "total": 0 if index is None else index.count()}
+        results = self.results().read() if results is None else results
+        written = 0 if results is None else results.filter("content IS NOT NULL").count() if "content" in results.columns else results.count()
+        return {"current_stage": self.current(), "completed": done, "sessions": written, "total": 0 if index is None else index.count()}
 
 
 @dataclass

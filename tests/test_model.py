@@ -1,9 +1,12 @@
 """The model-backed operators with providers that fail, hesitate or leave things out, and the whole run."""
 
 import json
+import uuid
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -353,3 +356,188 @@ def test_command_line(spark, tmp_path, capsys):
     assert sorted((r["session_id"], r["key"], r["value"]) for r in S.read_progress(spark, out).collect()) == [("01", "bookmark", "5"), ("02", "completed", "true")]
     cli.main(["--store", f"{store}2", "--import", out])
     assert S.StageStore(spark, f"{store}2").load("SessionGen").count() == S.StageStore(spark, store).load("SessionGen").count() > 0
+
+
+# --- sessions in fronts -----------------------------------------------------------------------------------------------------
+SESSION_DDL = "book string, number int, title string, concepts array<struct<name: string, description: string, weight: string>>, revisit struct<name: string, reason: string>"
+
+
+def session_plan(spark):
+    rows = [(b, n, f"{b}{n}", [(f"{b}{n}{c}", f"about {c}", "light") for c in "xyz"[: n % 3 + 1]], (f"{b}1x", f"why {n}") if n > 2 else None) for b, most in (("a", 5), ("b", 3), ("c", 1)) for n in range(2, most + 2)]
+    return spark.createDataFrame(rows, SESSION_DDL)
+
+
+class Counting(M.OfflineProvider):
+    """Notes each prompt in a folder, and has no quota beyond ``limit`` prompts (if a file says so)."""
+
+    folder = ""
+
+    def generate(self, task, prompt):
+        limit = Path(self.folder) / "limit"
+        if limit.exists() and len(list(Path(self.folder).glob("*.prompt"))) >= int(limit.read_text()):
+            raise S.QuotaExhausted("nothing left")
+        (Path(self.folder) / f"{uuid.uuid4().hex}.prompt").write_text(f"{task}\n{prompt}")
+        if "b3" in prompt and (Path(self.folder) / "broken").exists():
+            raise OSError("out of reach")
+        return super().generate(task, prompt)
+
+
+def counting(folder):
+    return type("Counted", (Counting,), {"folder": str(folder)})
+
+
+def asked(folder):
+    return sorted(p.read_text() for p in Path(folder).glob("*.prompt"))
+
+
+def no_context(spark, plan):
+    return N.section_context(plan, spark.createDataFrame([], "book string, concept string"), spark.createDataFrame([], "book string, src string, dst string"))
+
+
+@pytest.mark.parametrize("limit", [1, 23])
+def test_sessions_go_on_where_the_quota_ended(spark, tmp_path, limit):
+    plan, context = session_plan(spark), no_context(spark, session_plan(spark))
+    for name in ("whole", "dying"):
+        (tmp_path / name).mkdir()
+    keyed = lambda name: S.KeyedStore(spark, f"file://{tmp_path}/{name}/store", ("book", "number"))
+    want = N.generate_sessions(plan, context, keyed("whole"), counting(tmp_path / "whole"))
+    runs = 0
+    while True:
+        runs += 1
+        (tmp_path / "dying" / "limit").write_text(str(limit * runs if limit > 1 else 7 * runs))
+        try:
+            got = N.generate_sessions(plan, context, keyed("dying"), counting(tmp_path / "dying"))
+            break
+        except S.QuotaExhausted as e:
+            assert "nothing left" in str(e) and runs < 30
+    assert runs > 1 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 9
+    assert asked(tmp_path / "dying") == asked(tmp_path / "whole")  # nothing twice, nothing left out
+
+
+def test_a_failed_session_is_tried_again_and_others_are_not(spark, tmp_path):
+    plan, context, store = session_plan(spark), no_context(spark, session_plan(spark)), S.KeyedStore(spark, f"file://{tmp_path}/store", ("book", "number"))
+    (tmp_path / "broken").write_text("")
+    first = {(r["book"], r["number"]): r for r in N.generate_sessions(plan, context, store, counting(tmp_path)).collect()}
+    assert first["b", 3]["content"] is None and first["b", 3]["error"] == "out of reach" and first["b", 4]["content"] and first["a", 4]["content"]
+    before = len(asked(tmp_path))
+    (tmp_path / "broken").unlink()
+    second = {(r["book"], r["number"]): r for r in N.generate_sessions(plan, context, store, counting(tmp_path)).collect()}
+    assert second["b", 3]["content"] and {k: r for k, r in second.items() if k != ("b", 3)} == {k: r for k, r in first.items() if k != ("b", 3)}
+    assert 0 < len(asked(tmp_path)) - before <= 8
+    (tmp_path / "limit").write_text("0")  # all is written: a further run asks nothing
+    assert N.generate_sessions(plan, context, store, counting(tmp_path)).count() == 9
+
+
+def test_what_a_section_is_told(spark, tmp_path):
+    plan = spark.createDataFrame([("a", 1, "One", [("cache", "from the index", "light"), ("bus", "", "light"), ("odd", "only planned", "heavy")], ("port", "since it matters"))], SESSION_DDL)
+    ddl = "book string, concept string, description string, weight string, passage string, passages array<string>, anchor string, assumed array<string>, contrasts array<string>, enrich boolean, about string"
+    concepts = [
+        ("a", "cache", "keeps near", "heavy", "p" * 900, ["s1" * 200, "s2", "s3"], "near is fast", ["ram", "cpu", "disk", "net", "tape"], ["buffer", "store", "pool", "heap"], True, "Memory"),
+        ("a", "port", "a door", "light", "q" * 900, None, None, None, None, None, None),
+        ("a", "base", "the ground", "light", None, None, None, None, None, None, None),
+        ("a", "bare", "", "light", None, None, None, None, None, None, None),
+        ("z", "cache", "another book", "light", None, None, None, None, None, None, None),
+    ]
+    edges = spark.createDataFrame([("a", "base", "cache"), ("a", "bare", "cache"), ("a", "port", "cache"), ("z", "x", "cache")], "book string, src string, dst string")
+    known = spark.createDataFrame(concepts, ddl)
+    row = N.section_context(plan, known, edges).first().asDict(True)
+    cache, bus, odd = row["sections"]
+    assert cache == {"place": 0, "name": "cache", "description": "keeps near", "weight": "heavy", "passage": "p" * 400, "passages": ["s1" * 125, "s2"], "anchor": "near is fast", "assumed": ["ram", "cpu", "disk", "net"], "contrasts": ["buffer", "store", "pool"], "enrich": True, "needs": ["bare", "the ground"], "about": "Memory"}
+    assert (bus["description"], bus["weight"], bus["needs"], bus["enrich"]) == ("", "light", [], False) and odd["description"] == "only planned" and odd["weight"] == "heavy"
+    assert row["back"] == {"name": "port", "reason": "since it matters", "description": "a door", "passage": "q" * 300}
+    assert N.section_context(plan.limit(0), known, edges).count() == 0
+    assert N.section_context(plan, known.limit(0), edges.limit(0)).first()["sections"][0]["description"] == "from the index"
+
+    N.generate_in_order(plan, counting(tmp_path), known, edges).collect()
+    sections = [p for p in asked(tmp_path) if p.startswith("section\n") and "More on" not in p]
+    first = next(p for p in sections if "cache in One." in p)
+    for line in ("Description: keeps near", "Weight: heavy", "Domain: Memory", "The author's insight: near is fast", "Passage: " + "p" * 400, "Supporting passage: s2", "Builds on: bare, the ground", "Already known: ram, cpu, disk, net", "Not to be taken for: buffer, store, pool", "Add present-day examples.", "Next comes bus."):
+        assert line in first.split("\n")
+    second = next(p for p in sections if "bus in One." in p)
+    assert all(x in second.split("\n") for x in ("Return to port.", "since it matters", "a door", "q" * 300, "Next comes odd."))
+
+
+def test_the_run_ends_with_the_quota_and_goes_on(spark, tmp_path):
+    store = S.StageStore(spark, f"file://{tmp_path}/run")
+    make = counting(tmp_path)
+    assert curriculum.run(store, book_blocks(spark), approve=lambda index: False, make=make)[-1] == "IndexGen"
+    (tmp_path / "limit").write_text(str(len(asked(tmp_path)) + 20))
+    with pytest.raises(S.QuotaExhausted):
+        curriculum.run(store, book_blocks(spark), make=make)
+    assert store.current() == "AwaitApproval" and 0 < store.progress()["sessions"] < store.progress()["total"]
+    begun = {r["number"]: r["content"] for r in store.results().read().collect() if r["content"]}
+    (tmp_path / "limit").unlink()
+    assert curriculum.run(store, book_blocks(spark), make=make) == ["SessionGen", "Complete"]
+    prompts = [p for p in asked(tmp_path) if p.startswith("question\n")]
+    assert len(set(prompts)) == len(prompts) and begun
+    store.reset("SessionGen")
+    assert store.results().read() is None
+
+    class Spent(M.OfflineProvider):
+        def generate(self, task, prompt):
+            raise S.QuotaExhausted("none")
+
+    with pytest.raises(S.QuotaExhausted, match="Pass1"):
+        curriculum.run(S.StageStore(spark, f"file://{tmp_path}/other"), book_blocks(spark), make=Spent)
+
+
+# --- several writers ------------------------------------------------------------------------------------------------------
+def test_stages_of_two_writers_both_count(spark, tmp_path):
+    stores = [S.StageStore(spark, f"file://{tmp_path}/s") for _ in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: stores[i].save(f"Extra{i}", spark.range(i + 1)), range(6)))
+    assert [stores[0].load(f"Extra{i}").count() for i in range(6)] == list(range(1, 7))
+    log = S.StateLog(spark, f"file://{tmp_path}/log", {"n": 0})
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: [log.change(lambda s: {"n": s["n"] + 1}) for _ in range(12)], range(4)))
+    assert log.last() == (48, {"n": 48}) and len(log._numbers()) <= log.KEPT + 2
+
+
+def test_a_writer_that_is_far_behind_starts_anew(spark, tmp_path):
+    log = S.StateLog(spark, f"file://{tmp_path}/log", {"n": []})
+    calls = []
+
+    def late(state):
+        calls.append(list(state["n"]))
+        if len(calls) == 1:
+            for i in range(40):
+                log.change(lambda s, i=i: {"n": [*s["n"], i]})
+        return {"n": [*state["n"], "late"]}
+
+    log.change(lambda s: {"n": ["first"]})
+    log.change(late)
+    assert log.last()[1]["n"] == ["first", *range(40), "late"]
+
+
+def test_upserts_write_their_rows_alone(spark, tmp_path):
+    store = S.KeyedStore(spark, f"file://{tmp_path}/k", ("book", "number"))
+    rows = lambda *r: spark.createDataFrame(list(r), "book string, number int, content string")
+    got = lambda: sorted(map(tuple, store.read().collect()), key=str)
+    assert store.read() is None
+    store.delete(rows(("a", 1, "")))
+    store.upsert(rows(*[("a", i, f"v{i}") for i in range(200)]))
+    store.upsert(rows(("a", 3, "new"), ("b", 1, None), (None, None, "null key")))
+    sizes = {p: spark.read.parquet(f"{store.base}/{p}").count() for p in store._log.last()[1]["deltas"]}
+    assert sorted(sizes.values()) == [3, 200]
+    store.delete(rows(("a", 0, "")).unionAll(rows(("zz", 9, ""))))
+    want = sorted([("a", i, "new" if i == 3 else f"v{i}") for i in range(1, 200)] + [("b", 1, None), (None, None, "null key")], key=str)
+    assert got() == want
+    store.compact()
+    assert got() == want and len(store._log.last()[1]["deltas"]) == 1
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: store.upsert(rows(("c", i, "x"))), range(20)))
+    assert got() == sorted([*want, *[("c", i, "x") for i in range(20)]], key=str) and len(store._log.last()[1]["deltas"]) <= store.COMPACT_AT + 1
+    store.clear()
+    assert store.read() is None
+
+
+def test_fenced_answers_count(spark):
+    class Fenced(M.OfflineProvider):
+        def generate(self, task, prompt):
+            return "Here:\n```json\n" + super().generate(task, prompt) + "\n```"
+
+    names = [f"Concept{i}" for i in range(60)] + [f"Word{i}" for i in range(60)] + ["Concept7s"]
+    rows = spark.createDataFrame([("b", n, "d", i) for i, n in enumerate(names)], "book string, concept string, description string, ord int")
+    assert N.infer_edges(rows, Fenced).count() == N.infer_edges(rows).count() > 0
+    left = {r["concept"] for r in N.drop_duplicates(rows, Fenced).collect()}
+    assert left == {r["concept"] for r in N.drop_duplicates(rows).collect()} and len(left) < len(names)
