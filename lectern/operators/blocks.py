@@ -135,25 +135,47 @@ def multi_column(blocks: DataFrame, share: float = 0.4, least: int = 3) -> DataF
     return blocks.groupBy("doc_id", "page").agg(((F.count(F.lit(1)) >= least) & (F.max("x0") - F.min("x0") > share * F.max("page_width"))).alias("multi"))
 
 
+def _side() -> Column:
+    return F.when((F.col("x0") + F.col("x1")) / 2 < F.col("page_width") / 2, 0).otherwise(1)
+
+
 def column_order(blocks: DataFrame, column_major: bool = False) -> DataFrame:
     """``blocks`` with ``position`` on the page: left and right columns by height, taken in turn (or one after the other)."""
-    side = F.when((F.col("x0") + F.col("x1")) / 2 < F.col("page_width") / 2, 0).otherwise(1)
     rank = F.row_number().over(W.partitionBy("doc_id", "page", "side").orderBy("y0", "ord"))
     order = ["side", "rank"] if column_major else ["rank", "side"]
-    out = blocks.withColumn("side", side).withColumn("rank", rank)
+    out = blocks.withColumn("side", _side()).withColumn("rank", rank)
     return out.withColumn("position", F.row_number().over(W.partitionBy("doc_id", "page").orderBy(*order))).drop("side", "rank")
 
 
+def reading_order(blocks: DataFrame, share: float = 0.4, least: int = 3) -> DataFrame:
+    """``blocks`` with ``place``, a struct by which the blocks of a page are read.
+
+    On a page of several columns (see ``multi_column``) left and right blocks are taken in turn, each by height; on others, and
+    where positions are not known, blocks keep their order. The rows are dealt by document once; the windows over pages and
+    columns, and what is gathered by document after them, need no other shuffle.
+    """
+    if not {"x0", "x1", "y0", "page_width"} <= set(blocks.columns):
+        return blocks.withColumn("place", F.struct(F.col("ord").alias("first"), F.lit(0).alias("second")))
+    page = W.partitionBy("doc_id", "page")
+    multi = (F.count(F.lit(1)).over(page) >= least) & (F.max("x0").over(page) - F.min("x0").over(page) > share * F.max("page_width").over(page))
+    dealt = blocks.repartition("doc_id").withColumns({"multi_": F.coalesce(multi, F.lit(False)), "side_": _side()})
+    rank = F.row_number().over(W.partitionBy("doc_id", "page", "side_").orderBy("y0", "ord"))
+    place = F.struct(F.when(F.col("multi_"), rank).otherwise(F.col("ord")).alias("first"), F.when(F.col("multi_"), F.col("side_")).otherwise(0).alias("second"))
+    return dealt.withColumn("place", place).drop("multi_", "side_")
+
+
 def assemble(blocks: DataFrame) -> DataFrame:
-    """(doc_id, text): the lines "TAG: content" of each document in order of page and ord."""
+    """(doc_id, text): the lines "TAG: content" of each document in order of page and place (see ``reading_order``), or ord without places."""
     line = F.concat_ws(": ", "tag", "content")
-    rows = F.array_sort(F.collect_list(F.struct("page", "ord", line.alias("line"))))
+    own = ["place", "ord"] if "place" in blocks.columns else ["ord"]
+    rows = F.array_sort(F.collect_list(F.struct("page", *own, line.alias("line"))))
     return blocks.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
 
 
 def ingest(blocks: DataFrame, spans: DataFrame | None = None) -> DataFrame:
-    """The clean document of each doc_id: headers marked, blocks classified, filtered, cleaned, joined and tidied."""
+    """The clean document of each doc_id: headers marked, blocks classified, put in reading order, filtered, cleaned, joined and tidied."""
     headers = running_headers(blocks if spans is None else spans)
     tagged = mark_running(blocks, headers).withColumn("tag", classify(*map(F.col, ("text", "page", "font", "size", "flags", "running"))))
-    kept = tagged.filter(keeps(F.col("tag"), F.col("text"))).withColumn("content", cleaned(F.col("tag"), T.strip(F.col("text"))))
+    placed = reading_order(tagged)  # of all blocks, as noise tells columns too
+    kept = placed.filter(keeps(F.col("tag"), F.col("text"))).withColumn("content", cleaned(F.col("tag"), T.strip(F.col("text"))))
     return assemble(kept).withColumn("text", T.tidy_document(F.col("text")))

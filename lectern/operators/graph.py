@@ -8,7 +8,7 @@ changes. The exact depth-first walk of a book's cyclic core is a grouped functio
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,18 +37,60 @@ def dedup_edges(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").withColumn("first", first).filter("first = 1").select("book", "src", "dst", "source")
 
 
+#: Characters of a gram by which contained strings are found.
+GRAM = 4
+
+
+def _grams(low: Column, n: int) -> Column:
+    """The different runs of n characters of a string; none of a shorter one."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substr(low, i, F.lit(n)))
+    return F.when(F.length(low) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def indexed(hay: DataFrame) -> DataFrame:
+    """(book, gram, hay, hay_low) of ``hay`` (book, hay, low): grams of 1 to GRAM characters, and the empty one.
+
+    The table is written, so that joins know how large it is.
+    """
+    grams = F.concat(F.array(F.lit("")), *[_grams(F.col("low"), n) for n in range(1, GRAM + 1)])
+    return kept(hay.select("book", "hay", F.col("low").alias("hay_low"), F.explode(grams).alias("gram")), "grams")
+
+
+def rarest_grams(needles: DataFrame, index: DataFrame) -> DataFrame:
+    """(book, needle, low, gram, n): of each needle (book, needle, low) the gram that fewest strings of ``indexed`` hold, and how many.
+
+    A needle of fewer than GRAM characters is its own gram. Needles with a gram that no string holds are left out, as none contains them.
+    """
+    own = F.when(F.length("low") >= GRAM, _grams(F.col("low"), GRAM)).otherwise(F.array("low"))
+    asked = kept(needles.select("book", "needle", "low", F.explode(own).alias("gram")), "needle-grams")
+    held = index.join(asked.select("book", "gram").distinct(), ["book", "gram"], "left_semi").groupBy("book", "gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = asked.join(held, ["book", "gram"], "left")
+    least = asked.groupBy("book", "needle", "low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    return least.filter("r.n > 0").select("book", "needle", "low", "r.gram", "r.n")
+
+
+def containing(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """(book, needle, hay): each needle with the strings of its book that contain it (by ``low``), met by the needle's rarest gram alone."""
+    index = indexed(hay)
+    met = kept(rarest_grams(needles, index), "rarest-grams").join(index, ["book", "gram"])
+    return met.filter(F.col("hay_low").contains(F.col("low"))).select("book", "needle", "hay")
+
+
 def match_terms(terms: DataFrame, concepts: DataFrame) -> DataFrame:
     """(book, term, concept): equal, else the first concept (by ord) that contains the term or that it contains, without case.
 
-    Equal names are joined first; what is left is compared with all concepts of its book, as containment has no key.
+    Equal names are joined first. Of what is left, both ways of containment go through an index of short grams, where the rarest gram of the
+    contained string picks what is compared. Null terms and concepts match nothing; an empty one is contained in all.
     """
-    asked = terms.select("book", "term").distinct()
-    names = concepts.select("book", "concept", "ord")
-    equal = asked.join(names.select("book", F.col("concept").alias("term")).distinct(), ["book", "term"], "left_semi").withColumn("concept", F.col("term"))
-    low = lambda c: F.lower(F.col(c))
-    met = asked.join(equal.select("book", "term"), ["book", "term"], "left_anti").join(names, "book").filter(low("concept").contains(low("term")) | low("term").contains(low("concept")))
-    best = met.groupBy("book", "term").agg(F.min_by("concept", "ord").alias("concept"))
-    return equal.unionByName(best)
+    asked = terms.select("book", "term").filter("term IS NOT NULL").distinct()
+    names = kept(concepts.select("book", "concept", "ord").filter("concept IS NOT NULL").groupBy("book", "concept").agg(F.min("ord").alias("ord")), "names")
+    equal = asked.join(names.select("book", F.col("concept").alias("term")), ["book", "term"], "left_semi").withColumn("concept", F.col("term"))
+    rest = kept(asked.join(equal.select("book", "term"), ["book", "term"], "left_anti"), "open-terms")
+    as_ = lambda df, c, to: df.select("book", F.col(c).alias(to), F.lower(c).alias("low"))
+    inside = containing(as_(rest, "term", "needle"), as_(names, "concept", "hay")).select("book", F.col("needle").alias("term"), F.col("hay").alias("concept"))
+    around = containing(as_(names, "concept", "needle"), as_(rest, "term", "hay")).select("book", F.col("hay").alias("term"), F.col("needle").alias("concept"))
+    met = inside.unionByName(around).join(names, ["book", "concept"])
+    return equal.unionByName(met.groupBy("book", "term").agg(F.min_by("concept", "ord").alias("concept")))
 
 
 def orphans(concepts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -350,8 +350,15 @@ def _(spark, d):
     return own.withColumn("tag", tag).select("doc_id", "page", "ord", "tag", B.keeps(F.col("tag"), F.col("text")).alias("kept"))
 
 
-@query("ingest_document", with_(b=X.furnished) + ", " + _RUNNING + ", " + _RUN_TAGGED + f", cut AS (SELECT *, {_CLEAN} AS c, string_split_regex(trim(string_split(x, chr(10))[2], ' ' || chr(9)), '\t|  +') AS cells FROM tagged WHERE {_KEEP}),"
-    f" whole AS (SELECT doc_id, string_agg(tag || ': ' || {_CONTENT}, chr(10) ORDER BY page, ord) AS t FROM cut GROUP BY doc_id) SELECT doc_id, {_TIDY} AS text FROM whole")
+_PLACED = (
+    "wide AS (SELECT doc_id, page, count(*) >= 3 AND max(x0) - min(x0) > 0.4 * max(page_width) AS multi FROM b GROUP BY doc_id, page),"
+    " sided AS (SELECT doc_id, page, ord, y0, multi, CASE WHEN (x0 + x1) / 2 < page_width / 2 THEN 0 ELSE 1 END AS side FROM b JOIN wide USING (doc_id, page)),"
+    " placed AS (SELECT doc_id, page, ord, CASE WHEN multi THEN row_number() OVER (PARTITION BY doc_id, page, side ORDER BY y0, ord) ELSE ord END AS first, CASE WHEN multi THEN side ELSE 0 END AS second FROM sided)"
+)
+
+
+@query("ingest_document", with_(b=X.furnished) + ", " + _RUNNING + ", " + _RUN_TAGGED + ", " + _PLACED + f", cut AS (SELECT *, {_CLEAN} AS c, string_split_regex(trim(string_split(x, chr(10))[2], ' ' || chr(9)), '\t|  +') AS cells FROM tagged WHERE {_KEEP}),"
+    f" whole AS (SELECT doc_id, string_agg(tag || ': ' || {_CONTENT}, chr(10) ORDER BY page, first, second) AS t FROM cut JOIN placed USING (doc_id, page, ord) GROUP BY doc_id) SELECT doc_id, {_TIDY} AS text FROM whole")
 def _(spark, d):
     return B.ingest(furnished(spark, d))
 

@@ -377,6 +377,38 @@ def planned(spark, d):
     return m.groupBy("book", "number").agg(concepts.alias("concepts")).withColumn("revisit", revisit).withColumn("title", F.concat(F.lit("Part "), "number"))
 
 
+_LISTED = "[passage, cluster, weight, concept, 'more']"
+
+
+@query("section_context", with_(c=X.concepts, e=X.edges) + ", " + _PACKED + ", " + rf"""k AS (SELECT book, concept, description, weight, cluster, position, repeat(description || ' ', 40) AS passage FROM c WHERE position % 4 <> 0),
+ told AS (SELECT DISTINCT e.book, src, dst, description AS told FROM e JOIN k ON k.book = e.book AND k.concept = e.src),
+ needs AS (SELECT book, dst, list(told ORDER BY src)[1:2] AS needs FROM told GROUP BY book, dst),
+ m AS (SELECT p.book, p.number, p.position AS place, p.concept AS name, c.description AS planned FROM packed p JOIN c ON c.book = p.book AND c.concept = p.concept),
+ back AS (SELECT book, number + 2 AS number, min(name) AS name FROM m GROUP BY book, number),
+ s AS (SELECT m.book, m.number, place, concat_ws('|', name, coalesce(k.description, planned), coalesce(weight, 'medium'), coalesce(passage[1:400], ''), coalesce(array_to_string(list_transform({_LISTED.replace("passage", "passage[1:250]")}[1:2], lambda x: x), ','), ''),
+  coalesce(cluster, ''), CASE WHEN k.book IS NULL THEN '' ELSE array_to_string(['a', concept, 'b', 'c'], ',') END, CASE WHEN k.book IS NULL THEN '' ELSE array_to_string([concept, weight, cluster], ',') END, CASE WHEN k.position % 2 = 0 THEN 'true' ELSE 'false' END, coalesce(array_to_string(needs, ','), ''), coalesce(weight, '')) AS line
+  FROM m LEFT JOIN k ON k.book = m.book AND k.concept = m.name LEFT JOIN needs n ON n.book = m.book AND n.dst = m.name)
+ SELECT s.book, s.number, string_agg(line, chr(10) ORDER BY place) AS sections, any_value(CASE WHEN b.name IS NOT NULL THEN concat_ws('|', b.name, 'again', coalesce(k.description, ''), coalesce(passage[1:300], '')) END) AS back
+ FROM s LEFT JOIN back b ON b.book = s.book AND b.number = s.number LEFT JOIN k ON k.book = s.book AND k.concept = b.name GROUP BY s.book, s.number""")
+def _(spark, d):
+    c = fixture(spark, d, X.concepts)
+    index = planned(spark, d)
+    back = index.select("book", (F.col("number") + 2).alias("number"), F.struct(F.array_min(F.transform("concepts", lambda x: x["name"])).alias("name"), F.lit("again").alias("reason")).alias("revisit"))
+    index = index.drop("revisit").join(back, ["book", "number"], "left")
+    passage = F.expr("repeat(concat(description, ' '), 40)")
+    told = c.filter("position % 4 <> 0").withColumns(
+        {
+            "passage": passage, "passages": F.array(passage, "cluster", "weight", "concept", F.lit("more")), "anchor": F.col("cluster"), "assumed": F.array(F.lit("a"), "concept", F.lit("b"), F.lit("c"), F.lit("d")),
+            "contrasts": F.array("concept", "weight", "cluster", F.lit("more")), "enrich": F.col("position") % 2 == 0, "about": F.col("weight"),
+        }
+    )
+    out = N.section_context(index, told, fixture(spark, d, X.edges))
+    listed = lambda a: F.array_join(a, ",")
+    line = lambda s: F.concat_ws("|", s["name"], s["description"], s["weight"], s["passage"], listed(s["passages"]), s["anchor"], listed(s["assumed"]), listed(s["contrasts"]), s["enrich"].cast("string"), listed(s["needs"]), s["about"])
+    back = F.when(F.col("back").isNotNull(), F.concat_ws("|", "back.name", "back.reason", "back.description", "back.passage"))
+    return out.select("book", "number", F.array_join(F.transform("sections", line), "\n").alias("sections"), back.alias("back"))
+
+
 @query("generate_sessions")
 def _(spark, d):
     return N.generate_in_order(planned(spark, d))

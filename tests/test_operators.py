@@ -388,3 +388,109 @@ def test_streamed_admissions_equal_the_fold(spark, tmp_path):
     for at, i, key, n in rows:
         ok, recent[key] = R.admit(recent[key], float(at), n, 5, 120)
         assert got[i] is ok
+
+
+def test_pages_of_two_columns_are_read_in_turn(spark):
+    from lectern.operators import blocks as B
+
+    ddl = "doc_id long, page int, ord int, text string, font string, size double, flags int, x0 double, y0 double, x1 double, page_width double"
+    plain = lambda doc, page, ord, text, x0, y0, x1, width=600.0: (doc, page, ord, text, "Serif", 11.0, 0, x0, y0, x1, width)
+    rows = [
+        plain(1, 1, 0, "Left two is here", 50.0, 200.0, 280.0), plain(1, 1, 1, "Left one is here", 50.0, 100.0, 280.0), plain(1, 1, 2, "Right one is here", 320.0, 100.0, 560.0),
+        plain(1, 1, 3, "Right two is here", 320.0, 200.0, 560.0), plain(1, 1, 4, "Left three is here", 50.0, 300.0, 280.0), plain(1, 1, 5, "Same height is here", 50.0, 300.0, 280.0),
+        plain(1, 2, 0, "Second page below", 55.0, 300.0, 560.0), plain(1, 2, 1, "Second page above", 60.0, 100.0, 560.0), plain(1, 2, 2, "Second page last", 50.0, 50.0, 560.0),
+        plain(2, 1, 0, "Two blocks alone", 320.0, 300.0, 560.0), plain(2, 1, 1, "Are no columns", 50.0, 100.0, 280.0),
+        plain(3, 1, 0, "No place known", None, None, None, None), plain(3, 1, 1, "Nor here", None, None, None), plain(3, 1, 2, "Nor there", 50.0, 1.0, 90.0),
+        plain(4, 1, 0, "42", 560.0, 700.0, 570.0), plain(4, 1, 1, "Noise tells columns", 50.0, 90.0, 250.0), plain(4, 1, 2, "Before it by height", 50.0, 10.0, 250.0),
+    ]
+    blocks = spark.createDataFrame(rows, ddl).withColumns({"x": F.col("x0"), "y": F.col("y0")}).repartition(3)
+    got = {r["doc_id"]: [x.removeprefix("BODY: ") for x in r["text"].split("\n") if x] for r in B.ingest(blocks).collect()}
+    assert got[1] == ["Left one is here", "Right one is here", "Left two is here", "Right two is here", "Left three is here", "Same height is here", "Second page below", "Second page above", "Second page last"]
+    assert got[2] == ["Two blocks alone", "Are no columns"] and got[3] == ["No place known", "Nor here", "Nor there"]
+    assert got[4] == ["Before it by height", "Noise tells columns"]
+    bare = {r["doc_id"]: r["text"] for r in B.ingest(blocks.drop("page_width")).collect()}
+    assert bare[1].index("Left two") < bare[1].index("Left one")
+    plan = B.reading_order(blocks.withColumns({"tag": F.lit("BODY"), "content": F.col("text")}))
+    assert B.assemble(plan)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+
+
+def test_terms_are_matched_by_containment_without_all_pairs(spark):
+    from lectern.operators import graph as G
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcÉé ") for _ in range(rng.randint(0, 7)))
+    names = list(dict.fromkeys((b, word()) for b in ("x", "y") for _ in range(150)))
+    concepts = [(b, n, i) for i, (b, n) in enumerate(names)] + [("z", "Only", 0), ("z", None, 1)]
+    terms = [(b, word()) for b in ("x", "y", "none") for _ in range(200)] + [("z", t) for t in ("only one", "ON", "o", "", None, "ONLY", "Only", "ylno")]
+
+    def first(book, term):
+        own = [(n, i) for b, n, i in concepts if b == book and n is not None]
+        if term in [n for n, _ in own]:
+            return term
+        met = [(i, n) for n, i in own if term.lower() in n.lower() or n.lower() in term.lower()]
+        return min(met)[1] if met else None
+
+    want = {(b, t, c) for b, t in terms if t is not None and (c := first(b, t)) is not None}
+    got = G.match_terms(spark.createDataFrame(terms, "book string, term string"), spark.createDataFrame(concepts, "book string, concept string, ord int"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_terms_of_a_large_book_meet_few_names(spark):
+    from lectern.operators import graph as G
+
+    names = spark.range(100_000).select(F.lit("b").alias("book"), F.concat(F.lit("The common concept "), F.sha1(F.col("id").cast("string"))).alias("concept"), F.col("id").cast("int").alias("ord"))
+    part = F.substr(F.sha1(F.col("id").cast("string")), F.lit(3), F.lit(20))
+    terms = spark.range(0, 100_000, 50).select(F.lit("b").alias("book"), F.when(F.col("id") % 100 == 0, F.upper(part)).otherwise(F.concat(F.lit("see the common concept "), F.sha1(F.col("id").cast("string")))).alias("term"))
+    low = lambda df, c, to: df.select("book", F.col(c).alias(to), F.lower(c).alias("low"))
+    rare = G.rarest_grams(low(terms, "term", "needle"), G.indexed(low(names, "concept", "hay")))
+    assert rare.agg(F.sum("n")).first()[0] < 120_000  # all pairs are 2 * 10**8
+    assert G.match_terms(terms, names).count() == 2000
+
+
+def test_order_repair_equals_the_rescan(spark):
+    from lectern.operators import planner as P
+
+    def rescanned(order, members, prerequisites):
+        order = list(order)
+        for _ in range(len(order)):
+            at = {c: i for i, s in enumerate(order) for c in members[s]}
+            move = next(((i, at[p]) for i, s in enumerate(order) for c in members[s] for p in prerequisites.get(c, ()) if at.get(p, -1) > i), None)
+            if move is None:
+                break
+            order.insert(move[0], order.pop(move[1]))
+        return order
+
+    rng = random.Random(13)
+    for _ in range(300):
+        n = rng.randint(1, 14)
+        members = {s: [f"c{s}.{k}" for k in range(rng.randint(0, 3))] for s in rng.sample(range(50), n)}
+        every = [c for m in members.values() for c in m] + ["unknown"]
+        needs = {c: rng.sample(every, min(len(every), rng.randint(0, 3))) for c in every if rng.random() < 0.6}
+        order = rng.sample(list(members), n)
+        assert P.repaired_order(order, members, needs) == rescanned(order, members, needs)
+    n = 20_000
+    chain = P.repaired_order(list(range(n)), {i: [str(i)] for i in range(n)}, {str(i): [str(i + 1)] for i in range(n - 1)})
+    assert chain == list(range(n - 1, -1, -1))
+
+
+def test_paragraph_chunks_of_long_texts(spark):
+    from lectern.operators import inventory as I  # noqa: E741
+
+    def folded(text, size):
+        out = []
+        while len(text) > size:
+            at = text.rfind("\n\n", 0, size)
+            at = size if at == -1 else at
+            out.append(text[:at].strip())
+            text = text[at:].strip()
+        return [*out, text] if text else out
+
+    rng = random.Random(14)
+    texts = ["".join(rng.choice(["a", "bc ", "\n\n", "\n", " ", "é"]) for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["", "\n\n", "\n\n" + "x" * 30, "x" * 20, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in I.paragraph_chunks(df, 10).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r["doc_id"], []).append(r["chunk"])
+    assert got == {i: c for i, t in enumerate(texts) if (c := folded(t or "", 10))}
+    long = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("word " * 98 + "end.\n\n"), 100_000).alias("text"))
+    assert I.paragraph_chunks(long).agg(F.count(F.lit(1)), F.max(F.length("chunk"))).first()[0] > 1200
