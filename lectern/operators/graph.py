@@ -1,8 +1,8 @@
 """Dependency graphs as edge tables (book, src, dst, source): derivation, cycles, tiers, order.
 
 Books are small next to a table of them, so cycles and tiers are walked book by book in grouped
-functions; where a book is too large for one worker, loops over written tables do it, and end when nothing
-changes. The exact depth-first walk of a book's cyclic core is a grouped function in any case.
+functions; the books that are too large for one worker, and these alone, go through loops over written tables,
+which end when nothing changes. The exact depth-first walk of a book's cyclic core is a grouped function in any case.
 """
 
 from __future__ import annotations
@@ -111,9 +111,12 @@ def _table(pdf: pd.DataFrame, **columns: list) -> pd.DataFrame:
     return pd.DataFrame({"book": pd.Series([pdf["book"].iloc[0]] * n, dtype=object)} | {k: pd.Series(v, dtype=object) for k, v in columns.items()})
 
 
-def _small_books(edges: DataFrame) -> bool:
-    """Whether every book's edges fit one worker; else the distributed rounds take over."""
-    return (edges.groupBy("book").count().agg(F.max("count")).first()[0] or 0) <= BOOK_EDGES
+def _apart(edges: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The edges of books that one worker walks, those of larger books (None without any), and the larger books."""
+    large = kept(edges.groupBy("book").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BOOK_EDGES).select("book"), "large-books")
+    if large.isEmpty():
+        return edges, None, large
+    return edges.join(large, "book", "left_anti"), edges.join(large, "book", "left_semi"), large
 
 
 def cyclic_nodes(pairs: list[tuple[str, str]]) -> set[str]:
@@ -141,22 +144,117 @@ def cycle_core(edges: DataFrame) -> DataFrame:
     Books of up to BOOK_EDGES edges are peeled by one worker each; larger ones in rounds over written
     tables, as many as a round still removes an edge.
     """
-    own = edges.select("book", "src", "dst").filter("src <> dst").distinct()
-    if _small_books(own):
-        kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+
+    def peel(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _table(pdf, node=sorted(cyclic_nodes(list(zip(pdf["src"], pdf["dst"], strict=True)))))
+
+    small, large, _ = _apart(edges.select("book", "src", "dst").filter("src <> dst").distinct())
+    found = small.groupBy("book").applyInPandas(peel, f"book {kinds['book']}, node {kinds['src']}")
+    return found if large is None else found.union(_nodes(_peeled(large)))
+
 
-        def peel(pdf: pd.DataFrame) -> pd.DataFrame:
-            found = sorted(cyclic_nodes(list(zip(pdf["src"], pdf["dst"], strict=True))))
-            return _table(pdf, node=found)
+def _nodes(edges: DataFrame) -> DataFrame:
+    return edges.select("book", F.col("src").alias("node")).union(edges.select("book", F.col("dst").alias("node"))).distinct()
 
-        return own.groupBy("book").applyInPandas(peel, f"book {kinds['book']}, node {kinds['src']}")
-    left = kept(own, "cycle-edges")
+
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Edges (book, src, dst) whose ends have edges on both sides, once sources and sinks are peeled off until none is left."""
+    left = kept(edges, "cycle-edges")
     n, before = left.count(), -1
     while n != before:
         heads, tails = left.select("book", F.col("dst").alias("src")).distinct(), left.select("book", F.col("src").alias("dst")).distinct()
         left = kept(left.join(heads, ["book", "src"], "left_semi").join(tails, ["book", "dst"], "left_semi").select("book", "src", "dst"), "cycle-edges")
         n, before = left.count(), n
-    return left.select("book", F.col("src").alias("node")).union(left.select("book", F.col("dst").alias("node"))).distinct()
+    return left
+
+
+def component_of(pairs: list[tuple[str, str]]) -> dict[str, str]:
+    """The least name of each node's strongly connected component, by one walk with low links, without recursion."""
+    after: dict[str, list[str]] = {}
+    for a, b in pairs:
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    number, low, out = {}, {}, {}
+    open_nodes: list[str] = []
+    for root in after:
+        if root in number:
+            continue
+        number[root] = low[root] = len(number)
+        open_nodes.append(root)
+        walk = [(root, iter(after[root]))]
+        while walk:
+            node, rest = walk[-1]
+            for nxt in rest:
+                if nxt not in number:
+                    number[nxt] = low[nxt] = len(number)
+                    open_nodes.append(nxt)
+                    walk.append((nxt, iter(after[nxt])))
+                    break
+                if nxt not in out:
+                    low[node] = min(low[node], number[nxt])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == number[node]:
+                    own = []
+                    while not own or own[-1] != node:
+                        own.append(open_nodes.pop())
+                    out |= dict.fromkeys(own, min(own))
+    return out
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(book, node, component) of nodes on cycles, by colouring forward and searching backward over written tables.
+
+    A node's colour is the least name from which it is reached. The nodes of a colour from which that name is reached
+    in turn are its component; they go, sources and sinks are peeled off, and what is left is coloured anew.
+    """
+    found, left = None, _peeled(edges)
+    while not left.isEmpty():
+        colour = kept(_nodes(left).withColumn("colour", F.col("node")), "colours")
+        while True:
+            given = left.join(colour.withColumnRenamed("node", "src"), ["book", "src"]).groupBy("book", F.col("dst").alias("node")).agg(F.min("colour").alias("given"))
+            new = colour.join(given, ["book", "node"], "left").withColumns({"changed": F.coalesce(F.col("given") < F.col("colour"), F.lit(False)), "colour": F.least("colour", "given")}).drop("given")
+            new = kept(new, "colours")
+            colour = new.drop("changed")
+            if new.filter("changed").isEmpty():
+                break
+        ends = lambda end: colour.select("book", F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))
+        inner = kept(left.join(ends("src"), ["book", "src"]).join(ends("dst"), ["book", "dst"]).filter("src_colour = dst_colour").select("book", "src", "dst"), "colour-edges")
+        reached = kept(colour.filter("node = colour"), "reached")
+        front = reached
+        while not front.isEmpty():
+            back = inner.join(front.withColumnRenamed("node", "dst"), ["book", "dst"]).select("book", F.col("src").alias("node"), "colour").distinct()
+            front = kept(back.join(reached, ["book", "node"], "left_anti"), "reached-front")
+            reached = kept(reached.unionByName(front), "reached")
+        own = reached.select("book", "node", F.col("colour").alias("component"))
+        found = own if found is None else found.unionByName(own)
+        gone = reached.select("book", "node")
+        rest = left.join(gone.withColumnRenamed("node", "src"), ["book", "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), ["book", "dst"], "left_anti")
+        left = _peeled(rest.select("book", "src", "dst"))
+    return left.select("book", F.col("src").alias("node"), F.col("dst").alias("component")) if found is None else found
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(book, node, component) of every node of ``edges`` (book, src, dst): the least name of those that it reaches and that reach it, itself included.
+
+    Books of up to BOOK_EDGES edges are walked by one worker each, larger ones are coloured in rounds. Loops and repeated edges change nothing.
+    """
+    own = kept(edges.select("book", "src", "dst").distinct(), "component-edges")
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = component_of(list(zip(pdf["src"], pdf["dst"], strict=True)))
+        return _table(pdf, node=list(found), component=list(found.values()))
+
+    small, large, _ = _apart(own)
+    out = small.groupBy("book").applyInPandas(walk, f"book {kinds['book']}, node {kinds['src']}, component {kinds['src']}")
+    if large is None:
+        return out
+    on_cycles = kept(_coloured(large.filter("src <> dst")), "components")
+    return out.unionByName(_nodes(large).join(on_cycles, ["book", "node"], "left").withColumn("component", F.coalesce("component", "node")))
 
 
 def closing_edges(pairs: list[tuple[str, str]], most: int) -> list[tuple[str, str]]:
@@ -239,18 +337,24 @@ def tiers(concepts: DataFrame, edges: DataFrame, order: str | None = None) -> Da
         # A name of its own makes the prerequisite unknown.
         late = F.coalesce(F.col("src_place") >= F.col("dst_place"), F.lit(False))
         by = by.select("book", F.when(late, F.concat(F.lit("\0"), "src")).otherwise(F.col("src")).alias("src"), "dst")
-    if _small_books(by):
-        kinds = {f.name: f.dataType.simpleString() for f in concepts.schema}
+    small, large, books = _apart(by)
+    kinds = {f.name: f.dataType.simpleString() for f in concepts.schema}
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = longest_paths(list(zip(pdf["src"], pdf["dst"], pdf["known"], strict=True)))
+        return _table(pdf, concept=list(found), tier=list(found.values()))
+
+    rows = small.join(known, ["book", "src"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    up = rows.groupBy("book").applyInPandas(walk, f"book {kinds['book']}, concept {kinds['concept']}, tier int")
+    if large is not None:
+        up = up.unionByName(_relaxed(concepts.join(books, "book", "left_semi"), large))
+    return concepts.select("book", "concept").join(up, ["book", "concept"], "left").select("book", "concept", F.coalesce("tier", F.lit(0)).alias("tier"))
 
-        def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-            found = longest_paths(list(zip(pdf["src"], pdf["dst"], pdf["known"], strict=True)))
-            return _table(pdf, concept=list(found), tier=list(found.values()))
 
-        rows = by.join(known, ["book", "src"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-        up = rows.groupBy("book").applyInPandas(walk, f"book {kinds['book']}, concept {kinds['concept']}, tier int")
-        return concepts.select("book", "concept").join(up, ["book", "concept"], "left").select("book", "concept", F.coalesce("tier", F.lit(0)).alias("tier"))
+def _relaxed(concepts: DataFrame, by: DataFrame) -> DataFrame:
+    """(book, concept, tier): one relaxation of all edges a round, until nothing changes."""
     by = kept(by, "tier-edges")
-    now = kept(concepts.select("book", "concept", F.lit(0).alias("tier")), "tiers")
+    now = kept(concepts.select("book", "concept").distinct().withColumn("tier", F.lit(0)), "tiers")
     most = now.groupBy("book").count().agg(F.max("count")).first()[0] or 0
     total, last, rounds = 0, -1, 0
     while total != last:

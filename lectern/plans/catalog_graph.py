@@ -51,6 +51,13 @@ def _(spark, d):
     return G.match_terms(c.select("book", term.alias("term")), c)
 
 
+@query("strong_components", with_(e=X.loops) + """, n AS (SELECT book, src AS node FROM e UNION SELECT book, dst FROM e),
+ r(book, a, b) AS (SELECT book, src, dst FROM e UNION SELECT r.book, a, dst FROM r JOIN e ON e.book = r.book AND e.src = r.b)
+ SELECT n.book, node, least(node, coalesce(min(x.b), node)) AS component FROM n LEFT JOIN (SELECT p.book, p.a, p.b FROM r p JOIN r q ON q.book = p.book AND q.a = p.b AND q.b = p.a) x ON x.book = n.book AND x.a = node GROUP BY n.book, node""")
+def _(spark, d):
+    return G.strong_components(fixture(spark, d, X.loops))
+
+
 @query("orphans", with_(c=X.concepts, e=X.edges) + "SELECT book, concept FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.book = c.book AND (e.src = c.concept OR e.dst = c.concept))")
 def _(spark, d):
     return G.orphans(fixture(spark, d, X.concepts), fixture(spark, d, X.edges))

@@ -494,3 +494,53 @@ def test_paragraph_chunks_of_long_texts(spark):
     assert got == {i: c for i, t in enumerate(texts) if (c := folded(t or "", 10))}
     long = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("word " * 98 + "end.\n\n"), 100_000).alias("text"))
     assert I.paragraph_chunks(long).agg(F.count(F.lit(1)), F.max(F.length("chunk"))).first()[0] > 1200
+
+
+def test_strong_components_of_small_and_large_books(spark, monkeypatch):
+    from lectern.operators import graph as G
+
+    rng = random.Random(15)
+    edges = [("", "a", "a"), ("", "a", "b"), (None, "x", "y"), (None, "y", "x")]
+    for book, n, m in (("small", 6, 8), ("rings", 24, 26), ("dense", 30, 90), ("sparse", 60, 50)):
+        edges += [(book, f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for _ in range(m)]
+    edges += [("chain", f"c{i:02}", f"c{i + 1:02}") for i in range(20)] + [("chain", f"c{i + 1:02}", f"c{i:02}") for i in (3, 4, 11)] + [("chain", "c09", "c07")]
+
+    def brute(own):
+        after = {}
+        for a, b in own:
+            after.setdefault(a, set()).add(b)
+        nodes = {x for p in own for x in p}
+
+        def reached(x):
+            seen, todo = {x}, [x]
+            while todo:
+                for y in after.get(todo.pop(), ()):
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+            return seen
+
+        far = {x: reached(x) for x in nodes}
+        return {x: min(y for y in far[x] if x in far[y]) for x in nodes}
+
+    want = {(b, n, c) for b in {e[0] for e in edges} for n, c in brute([e[1:] for e in edges if e[0] == b]).items()}
+    df = spark.createDataFrame(edges, "book string, src string, dst string").repartition(3)
+    assert set(map(tuple, G.strong_components(df).collect())) == want
+    core = set(map(tuple, G.cycle_core(df).collect()))
+    monkeypatch.setattr(G, "BOOK_EDGES", 22)  # rings, dense, sparse and chain are large ones now, the others are not
+    got = G.strong_components(df).collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+    assert set(map(tuple, G.cycle_core(df).collect())) == core
+    assert G.strong_components(df.limit(0)).count() == 0
+
+
+def test_tiers_of_small_and_large_books_together(spark, monkeypatch):
+    from lectern.operators import graph as G
+
+    rng = random.Random(16)
+    edges = [(b, f"c{x:02}", f"c{y:02}") for b, n in (("a", 5), ("b", 40)) for x, y in (sorted(rng.sample(range(n), 2)) for _ in range(2 * n))]
+    concepts = spark.createDataFrame([(b, f"c{i:02}", i) for b, n in (("a", 5), ("b", 40), ("none", 2)) for i in range(n)], "book string, concept string, position int")
+    df = spark.createDataFrame(edges, "book string, src string, dst string")
+    want = sorted(map(tuple, G.tiers(concepts, df).collect()))
+    monkeypatch.setattr(G, "BOOK_EDGES", 10)
+    assert sorted(map(tuple, G.tiers(concepts, df).collect())) == want and len(want) == 47
