@@ -36,9 +36,13 @@ def completed_count(status: DataFrame) -> DataFrame:
     return status.agg(F.count_if(F.col("status") == "complete").alias("completed"), F.count(F.lit(1)).alias("total"))
 
 
-def dwell(events: DataFrame, seconds: float = 3.0) -> DataFrame:
-    """``events`` (user_id, ts, ord) with done: the user stayed three seconds or more before the next event; the last event has none."""
+def dwell(events: DataFrame, seconds: float = 3.0, until: Column | None = None) -> DataFrame:
+    """``events`` (user_id, ts, ord) with done: the user stayed three seconds or more before the next event.
+
+    The last event has none; it lasts until ``until``, the time up to which is known that nothing followed, or without one is not done.
+    """
     nxt = F.lead("ts").over(W.partitionBy("user_id").orderBy("ts", "ord"))
+    nxt = nxt if until is None else F.coalesce(nxt, until)
     return events.withColumn("done", F.coalesce(_micros(nxt) - _micros(F.col("ts")) >= int(seconds * 1_000_000), F.lit(False)))
 
 
@@ -60,6 +64,14 @@ def corrected(log: DataFrame) -> DataFrame:
     return log.withColumn("last", last).withColumn("tokens", F.when(F.col("last") & F.col("actual").isNotNull(), F.col("actual")).otherwise(F.col("tokens"))).drop("last")
 
 
+def settled_tokens(requests: DataFrame, reports: DataFrame, within: str = "10 minutes") -> DataFrame:
+    """(key_id, request_id, ts, tokens, settled) of requests (key_id, request_id, ts, tokens): the tokens of the request's report (request_id, reported,
+    actual) that came at most ``within`` after it, else the estimate. A request has at most one such report."""
+    own = reports.select(F.col("request_id").alias("report_id"), "reported", "actual")
+    met = (F.col("request_id") == F.col("report_id")) & (F.col("reported") >= F.col("ts")) & (F.col("reported") <= F.col("ts") + F.expr(f"INTERVAL {within}"))
+    return requests.join(own, met, "left_outer").select("key_id", "request_id", "ts", F.coalesce("actual", "tokens").cast("long").alias("tokens"), F.col("report_id").isNotNull().alias("settled"))
+
+
 def daily_quota(log: DataFrame, limit: int, estimate: int) -> DataFrame:
     """(key_id, day, used, would_exceed) by calendar day."""
     return log.groupBy("key_id", F.to_date("ts").alias("day")).agg(F.sum("tokens").alias("used")).withColumn("would_exceed", F.col("used") + estimate > limit)

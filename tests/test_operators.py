@@ -544,3 +544,77 @@ def test_tiers_of_small_and_large_books_together(spark, monkeypatch):
     want = sorted(map(tuple, G.tiers(concepts, df).collect()))
     monkeypatch.setattr(G, "BOOK_EDGES", 10)
     assert sorted(map(tuple, G.tiers(concepts, df).collect())) == want and len(want) == 47
+
+
+def test_streamed_progress_equals_the_batch(spark, tmp_path):
+    from lectern.operators import progress as R
+    from lectern.sources.store import KeyedStore
+
+    rng = random.Random(17)
+    bodies = []
+    for i in range(160):
+        session = rng.choice(["s1", "s2", "s3", "s4", ""])
+        bodies.append(rng.choice([
+            {"session_id": session, "bookmark_word_index": rng.choice([None, 0, i])}, {"session_id": session, "completed": True, "bookmark_word_index": None}, {"session_id": session, "completed": rng.choice([False, None])},
+            {"session_id": session, "updates": {"bookmark": i, "note": None}}, {"session_id": session, "theme": "dark" if i % 2 else None}, {"session_id": session, "updates": {"bookmark_word_index": i}},
+        ]))
+    rows = [(json.dumps(b), 1_000 + i, i) for i, b in enumerate(bodies)]
+    late = rows[:]
+    rng.shuffle(late)  # late ones in every file, and some twice
+    late += rng.sample(rows, 40)
+    posts = "body string, s long, ord long"
+    for part in range(5):
+        spark.createDataFrame(late[part * 40 : part * 40 + 40], posts).select("body", F.timestamp_seconds("s").alias("ts"), "ord").coalesce(1).write.parquet(str(tmp_path / f"in/p{part}"))
+    schema = spark.read.parquet(str(tmp_path / "in/p0")).schema
+    store = KeyedStore(spark, f"file://{tmp_path}/store", ("session_id",))
+    events = lambda pattern: R.progress_events(ST.read_events(spark, str(tmp_path / pattern), schema, 1))
+    for pattern in ("in/p[0-2]", "in/p*"):  # the second run starts anew from the checkpoint, with two more files
+        ST.keep_progress(events(pattern), store, str(tmp_path / "checkpoint")).awaitTermination()
+        seen = R.progress_events(spark.read.parquet(str(tmp_path / pattern)))
+        left = R.latest(seen)
+        entries = {r["session_id"]: {} for r in seen.select("session_id").distinct().collect()}
+        for r in left.collect():
+            entries[r["session_id"]][r["key"]] = r["value"]
+        status = {r["session_id"]: (r["status"], r["bookmark"]) for r in R.feed_status(left).collect()}
+        got = {r["session_id"]: r for r in store.read().collect()}
+        assert {s: r["entries"] for s, r in got.items()} == entries and "" not in got
+        assert {s: (r["status"], r["bookmark"]) for s, r in got.items()} == {s: status.get(s, ("none", None)) for s in entries}
+
+
+def test_streamed_dwell_completes_the_last_view(spark, tmp_path):
+    from lectern.operators import progress as R
+
+    rng = random.Random(18)
+    rows = sorted((rng.randint(0, 400) * 500, i, rng.randint(1, 3)) for i in range(90))  # ms; many at one time
+    files = [rows[k : k + 30] for k in (0, 30, 60)]
+    files[0], files[1] = files[0][:-2] + files[1][:2], files[0][-2:] + files[1][2:]  # some out of order
+    files.append([(10_000_000, 900, 9)])  # another user, much later
+    for part, own in enumerate(files):
+        spark.createDataFrame(own, "ms long, ord long, user_id long").select("user_id", F.timestamp_millis("ms").alias("ts"), "ord").coalesce(1).write.parquet(str(tmp_path / f"v/p{part}"))
+    schema = spark.read.parquet(str(tmp_path / "v/p0")).schema
+    stream = ST.read_events(spark, str(tmp_path / "v/*"), schema, 1)
+    got = ST.run_to_memory(ST.dwell(stream, 3.0, "60 seconds"), "dwelt").collect()
+    batch = R.dwell(spark.read.parquet(str(tmp_path / "v/*")), 3.0, F.timestamp_millis(F.lit(9_940_000))).filter("user_id < 9").collect()
+    assert {(r["user_id"], r["ord"]): r["done"] for r in got} == {(r["user_id"], r["ord"]): r["done"] for r in batch} and len(got) == 90
+    lasts = {u: max((t, i) for t, i, v in rows if v == u)[1] for u in (1, 2, 3)}
+    assert all(r["done"] for r in got if lasts.get(r["user_id"]) == r["ord"])
+    assert not any(r["done"] for r in R.dwell(spark.read.parquet(str(tmp_path / "v/*"))).collect() if lasts.get(r["user_id"]) == r["ord"])
+
+
+def test_streamed_reports_settle_requests(spark, tmp_path):
+    from lectern.operators import progress as R
+
+    requests = [(f"k{i % 3}", f"r{i}", i * 20, 100 + i) for i in range(40)] + [("z", "end", 20_000, 1)]
+    reports = [(f"r{i}", i * 20 + wait, 1000 + i) for i, wait in zip(range(0, 40, 2), [0, 5, 599, 600, 601, 900] * 4, strict=False)] + [("nobody", 50, 7), ("end", 20_000, 9)]
+    for name, rows, ddl, at in (("requests", requests, "key_id string, request_id string, s long, tokens long", "ts"), ("reports", reports, "request_id string, s long, actual long", "reported")):
+        rows = sorted(rows, key=lambda r: r[2] if name == "requests" else r[1])
+        for part in range(3):
+            own = rows[part * 14 : part * 14 + 14] if part < 2 else rows[28:]
+            if own:
+                spark.createDataFrame(own, ddl).withColumn(at, F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s").coalesce(1).write.parquet(str(tmp_path / f"{name}/p{part}"))
+    read = lambda name: ST.read_events(spark, str(tmp_path / f"{name}/*"), spark.read.parquet(str(tmp_path / f"{name}/p0")).schema, 1)
+    got = ST.run_to_memory(ST.settled(read("requests"), read("reports")), "settled").collect()
+    batch = R.settled_tokens(spark.read.parquet(str(tmp_path / "requests/*")), spark.read.parquet(str(tmp_path / "reports/*"))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, batch)) and len(got) == 41
+    by = {r["request_id"]: r for r in got}
+    assert by["r6"]["settled"] and not by["r8"]["settled"] and by["r8"]["tokens"] == 108 and by["r6"]["tokens"] == 1006 and not by["r1"]["settled"]
