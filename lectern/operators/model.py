@@ -6,6 +6,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable
+from datetime import date
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import jsonx as J
 from lectern.functions import text as T
-from lectern.sources.store import QuotaExhausted
+from lectern.sources.store import QuotaExhausted, QuotaFile
 
 
 class ModelProvider(Protocol):
@@ -159,6 +160,33 @@ class Retrying:
         raise AssertionError
 
 
+class Metered:
+    """Providers of several keys behind one, each call under the daily quota of its key.
+
+    A call reserves its estimate (a token for four characters of the prompt, and ``answer_tokens``) with the current key, or the next one in
+    turn that has so much left, which becomes the current one; without any QuotaExhausted ends the run. Afterwards
+    the estimate gives way to what was used; a call that failed gives its tokens back.
+    """
+
+    def __init__(self, for_key: Callable[[str], ModelProvider], key_ids: list[str], quota: QuotaFile, answer_tokens: int = 1800, today: Callable[[], date] = date.today):
+        self.for_key, self.key_ids, self.quota, self.answer_tokens, self.today = for_key, list(key_ids), quota, answer_tokens, today
+        self.current, self.made = 0, {}
+
+    def generate(self, task: str, prompt: str) -> str:
+        today, estimate = self.today(), len(prompt) // 4 + self.answer_tokens
+        self.current = self.quota.reserve(self.key_ids, self.current, estimate, today)
+        key = self.key_ids[self.current]
+        used = 0
+        try:
+            if key not in self.made:
+                self.made[key] = self.for_key(key)
+            answer = self.made[key].generate(task, prompt)
+            used = (len(prompt) + len(answer)) // 4
+            return answer
+        finally:
+            self.quota.record(key, used - estimate, today)
+
+
 def ask(task: str, prompt: Column, make: Callable[[], ModelProvider] = OfflineProvider) -> Column:
     """Struct of answer and error; an error is kept with its row and does not end the job."""
 

@@ -280,6 +280,13 @@ def _(spark, d):
     return R.dwell(e, 7200).select("event_id", "user_id", "done")
 
 
+@query("settled_tokens", with_(r=X.rate_log) + "SELECT key_id, ord AS request_id, ts, CASE WHEN ord % 3 = 0 AND ord % 20 <= 10 THEN 2 * tokens ELSE tokens END AS tokens, ord % 3 = 0 AND ord % 20 <= 10 AS settled FROM r")
+def _(spark, d):
+    r = fixture(spark, d, X.rate_log).withColumnRenamed("ord", "request_id")
+    reports = r.filter("request_id % 3 = 0").select("request_id", (F.col("ts") + F.make_interval(mins=(F.col("request_id") % 20).cast("int"))).alias("reported"), (2 * F.col("tokens")).alias("actual"))
+    return R.settled_tokens(r, reports)
+
+
 @query("rate_window", with_(r=X.rate_log) + "SELECT ord, key_id, count(*) OVER w AS requests, (sum(tokens) OVER w)::BIGINT AS tokens_in_window, count(*) OVER w = 1 OR (count(*) OVER w <= 3 AND sum(tokens) OVER w <= 900) AS admitted FROM r WINDOW w AS (PARTITION BY key_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW)")
 def _(spark, d):
     out = R.rate_window(fixture(spark, d, X.rate_log), ["key_id"], 3600)
@@ -347,6 +354,18 @@ def _(spark, d):
     return S.upsert(r, new, ["book", "number"], "version")
 
 
+@query("keyed_results", with_(s=X.sessions) + "SELECT book, number, CASE WHEN number % 5 = 0 THEN 'new ' || title ELSE title END AS title FROM s WHERE number % 7 <> 0 OR number % 10 = 0")
+def _(spark, d):
+    r = fixture(spark, d, X.sessions).select("book", "number", "title")
+    store = S.KeyedStore(spark, S.work_folder(spark, "keyed-results"), ("book", "number"))
+    store.upsert(r)
+    store.upsert(r.filter("number % 5 = 0").withColumn("title", F.lit("old")))
+    store.delete(r.filter("number % 7 = 0"))
+    store.compact()
+    store.upsert(r.filter("number % 5 = 0 AND (number % 7 <> 0 OR number % 10 = 0)").withColumn("title", F.concat(F.lit("new "), "title")))
+    return store.read()
+
+
 @query("static_bundle", with_(s=X.sessions) + r"""SELECT book, number, '{"book":' || book || ',"number":' || number || ',"title":' || to_json(title) || ',"words":' || len(regexp_extract_all(content, '\S+')) || '}' AS json FROM s""")
 def _(spark, d):
     s = fixture(spark, d, X.sessions)

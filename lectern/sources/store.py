@@ -306,7 +306,10 @@ class StageStore:
 
 @dataclass
 class QuotaFile:
-    """Tokens that each key has used today, in a JSON file; another day starts from nothing, and so does a broken file."""
+    """Tokens that each key has used today, in a JSON file; another day starts from nothing, and so does a broken file.
+
+    Workers share the file, so it lies where all of them see it; changes are made under a lock beside it.
+    """
 
     path: str
     limit: int = 900_000
@@ -324,7 +327,26 @@ class QuotaFile:
     def would_exceed(self, key_id: str, tokens: int, today: date) -> bool:
         return self.used(key_id, today) + tokens > self.limit
 
+    @contextlib.contextmanager
+    def _locked(self) -> Iterator[None]:
+        import fcntl
+
+        with open(f"{self.path}.lock", "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            yield
+
     def record(self, key_id: str, tokens: int, today: date) -> None:
+        with self._locked():
+            self._record(key_id, tokens, today)
+
+    def reserve(self, key_ids: list[str], current: int, tokens: int, today: date) -> int:
+        """``pick``, and the tokens are recorded for that key at once, so that no two callers spend the same rest."""
+        with self._locked():
+            at = self.pick(key_ids, current, tokens, today)
+            self._record(key_ids[at], tokens, today)
+        return at
+
+    def _record(self, key_id: str, tokens: int, today: date) -> None:
         entries = self._load() | {key_id: {"date": str(today), "tokens_used": self.used(key_id, today) + tokens}}
         part = Path(f"{self.path}.{uuid.uuid4().hex}")
         part.write_text(json.dumps(entries, indent=1))

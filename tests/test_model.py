@@ -281,6 +281,38 @@ def test_quota_file(tmp_path):
     assert quota.used("a", tuesday) == 0
 
 
+def test_calls_go_to_the_next_key_and_end_with_the_quota(tmp_path):
+    asked_by = []
+
+    class Keyed:
+        def __init__(self, key):
+            self.key = key
+
+        def generate(self, task, prompt):
+            if task == "broken":
+                raise OSError("no line")
+            asked_by.append(self.key)
+            return "x" * 40
+
+    quota, day = S.QuotaFile(str(tmp_path / "q.json"), limit=100), date(2026, 1, 5)
+    make = lambda: M.Metered(Keyed, ["a", "b"], quota, 50, lambda: day)
+    one = make()
+    with pytest.raises(OSError):
+        one.generate("broken", "p" * 40)
+    assert quota.used("a", day) == 0  # given back
+    for _ in range(6):
+        one.generate("section", "p" * 40)  # 60 are reserved, 20 used
+    assert asked_by == ["a", "a", "a", "b", "b", "b"] and (quota.used("a", day), quota.used("b", day)) == (60, 60)
+    with pytest.raises(S.QuotaExhausted):
+        make().generate("section", "p" * 40)
+    assert make().quota.pick(["a", "b"], 0, 40, day) == 0
+    day = date(2026, 1, 6)
+    assert make().generate("section", "p") == "x" * 40
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: quota.record("c", 1, day), range(40)))
+    assert quota.used("c", day) == 40
+
+
 def test_posts_and_status(spark):
     bodies = ['{"session_id": "s", "bookmark_word_index": 0}', '{"session_id": "s", "updates": {"completed": true}}', '{"session_id": "t", "bookmark": 7}', '{"session_id": "t", "bookmark_word_index": null}', '{"completed": true}']
     posts = spark.createDataFrame(list(enumerate(bodies)), "ord long, body string").withColumn("ts", F.timestamp_seconds("ord"))
