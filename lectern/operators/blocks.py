@@ -34,8 +34,12 @@ def like(x: Column, pattern: str) -> Column:
 
 
 def is_page_number(text: Column, page: Column | None = None) -> Column:
-    plain = like(T.strip(text), PAGE_NUMBER)
-    return plain if page is None else plain | (T.strip(text) == page.cast("string"))
+    return _is_page_number(T.strip(text), page)
+
+
+def _is_page_number(bare: Column, page: Column | None) -> Column:
+    plain = like(bare, PAGE_NUMBER)
+    return plain if page is None else plain | (bare == page.cast("string"))
 
 
 def is_caption(text: Column) -> Column:
@@ -65,11 +69,31 @@ def is_table(text: Column) -> Column:
 
 def classify(text: Column, page: Column, font: Column, size: Column, flags: Column, running: Column) -> Column:
     """The tag of a block; the first rule that holds decides. ``running``: it matches a running header."""
-    bare = T.strip(text)
+    return classify_bare(T.strip(text), page, font, size, flags, running)
+
+
+def tagged(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (with running) with ``bare``, the stripped text, and ``tag``.
+
+    The text is stripped once: each column stands for itself, as what is used many times is not put back into its uses.
+    """
+    rows = blocks.withColumn("bare", T.strip(F.col("text")))
+    return rows.withColumn("tag", classify_bare(*map(F.col, ("bare", "page", "font", "size", "flags", "running"))))
+
+
+def keeps_bare(tag: Column, bare: Column) -> Column:
+    """``keeps`` for a text that is stripped already."""
+    above = {"CODE": -1, "ALGORITHM": -1, "TABLE": 10, "HEADER": 0, "SUBHEADER": 0, "BODY": 0}
+    least = F.try_element_at(F.create_map(*[F.lit(x) for kv in above.items() for x in kv]), tag)
+    return F.coalesce(F.length(bare) > least, F.lit(False))
+
+
+def classify_bare(bare: Column, page: Column, font: Column, size: Column, flags: Column, running: Column) -> Column:
+    """``classify`` for a text that is stripped already."""
     bold = flags.bitwiseAND(16) != 0
     return (
         F.when(bare == "", "BODY")
-        .when(is_page_number(bare, page), "PAGE-NUMBER")
+        .when(_is_page_number(bare, page), "PAGE-NUMBER")
         .when(running, "RUNNING-HEADER")
         .when(is_caption(bare), "FIGURE-CAPTION")
         .when(is_footnote(bare), "FOOTNOTE")
@@ -87,9 +111,7 @@ def keeps(tag: Column, text: Column) -> Column:
 
     The tag stands here once, so that a filter pushed below its projection evaluates it once.
     """
-    above = {"CODE": -1, "ALGORITHM": -1, "TABLE": 10, "HEADER": 0, "SUBHEADER": 0, "BODY": 0}
-    least = F.try_element_at(F.create_map(*[F.lit(x) for kv in above.items() for x in kv]), tag)
-    return F.coalesce(F.length(T.strip(text)) > least, F.lit(False))
+    return keeps_bare(tag, T.strip(text))
 
 
 def cleaned(tag: Column, text: Column, normalize: bool = True) -> Column:
@@ -175,7 +197,6 @@ def assemble(blocks: DataFrame) -> DataFrame:
 def ingest(blocks: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """The clean document of each doc_id: headers marked, blocks classified, put in reading order, filtered, cleaned, joined and tidied."""
     headers = running_headers(blocks if spans is None else spans)
-    tagged = mark_running(blocks, headers).withColumn("tag", classify(*map(F.col, ("text", "page", "font", "size", "flags", "running"))))
-    placed = reading_order(tagged)  # of all blocks, as noise tells columns too
-    kept = placed.filter(keeps(F.col("tag"), F.col("text"))).withColumn("content", cleaned(F.col("tag"), T.strip(F.col("text"))))
+    placed = reading_order(tagged(mark_running(blocks, headers)))  # of all blocks, as noise tells columns too
+    kept = placed.filter(keeps_bare(F.col("tag"), F.col("bare"))).withColumn("content", cleaned(F.col("tag"), F.col("bare")))
     return assemble(kept).withColumn("text", T.tidy_document(F.col("text")))

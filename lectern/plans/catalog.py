@@ -288,17 +288,17 @@ _KEEP = "CASE WHEN tag IN ('CODE', 'ALGORITHM') THEN true WHEN tag = 'TABLE' THE
 
 def tagged(spark, d):
     b = fixture(spark, d, X.blocks)
-    return b.withColumn("tag", B.classify(*map(F.col, ("text", "page", "font", "size", "flags")), F.lit(False)))
+    return B.tagged(b.withColumn("running", F.lit(False)))
 
 
 @query("classify_blocks", with_(b=X.blocks) + ", " + _TAGGED + f" SELECT doc_id, page, ord, tag, {_KEEP} AS kept FROM tagged")
 def _(spark, d):
-    return tagged(spark, d).select("doc_id", "page", "ord", "tag", B.keeps(F.col("tag"), F.col("text")).alias("kept"))
+    return tagged(spark, d).select("doc_id", "page", "ord", "tag", B.keeps_bare(F.col("tag"), F.col("bare")).alias("kept"))
 
 
 @query("assemble_document", with_(b=X.blocks) + ", " + _TAGGED + f" SELECT doc_id, string_agg(tag || ': ' || x, chr(10) ORDER BY page, ord) AS text FROM tagged WHERE {_KEEP} GROUP BY doc_id")
 def _(spark, d):
-    rows = tagged(spark, d).filter(B.keeps(F.col("tag"), F.col("text"))).withColumn("content", T.strip(F.col("text")))
+    rows = tagged(spark, d).filter(B.keeps_bare(F.col("tag"), F.col("bare"))).withColumn("content", F.col("bare"))
     return B.assemble(rows)
 
 
@@ -345,9 +345,8 @@ def furnished(spark, d):
 @query("classify_running", with_(b=X.furnished) + ", " + _RUNNING + ", " + _RUN_TAGGED + f" SELECT doc_id, page, ord, tag, {_KEEP} AS kept FROM tagged")
 def _(spark, d):
     b = furnished(spark, d)
-    own = B.mark_running(b, B.running_headers(b))
-    tag = B.classify(*map(F.col, ("text", "page", "font", "size", "flags", "running")))
-    return own.withColumn("tag", tag).select("doc_id", "page", "ord", "tag", B.keeps(F.col("tag"), F.col("text")).alias("kept"))
+    own = B.tagged(B.mark_running(b, B.running_headers(b)))
+    return own.select("doc_id", "page", "ord", "tag", B.keeps_bare(F.col("tag"), F.col("bare")).alias("kept"))
 
 
 _PLACED = (
