@@ -499,7 +499,8 @@ def index_entries(sessions: DataFrame) -> DataFrame:
 def revise_index(index: DataFrame, instructions: str, make: Make = M.OfflineProvider) -> DataFrame:
     """(book, number, title) as the model changes it by free text; an answer that is no valid index leaves the book as it was."""
     listing = index.groupBy("book").agg(F.to_json(F.array_sort(F.collect_list(F.struct("number", "title")))).alias("j"))
-    answer = listing.select("book", M.ask("revise", F.concat(F.lit(instructions + "\n"), "j"), make)["answer"].alias("a"))
-    new = answer.select("book", F.explode(F.from_json("a", "array<struct<number: int, title: string>>")).alias("n")).select("book", "n.*").filter("number IS NOT NULL AND title IS NOT NULL")
+    said = kept(listing.select("book", M.ask("revise", F.concat(F.lit(instructions + "\n"), "j"), make)["answer"].alias("a")), "revised")
+    listed = F.regexp_extract("a", r"(?s)\[.*\]", 0)  # whatever stands around the list
+    new = said.select("book", F.explode(F.from_json(listed, "array<struct<number: int, title: string>>")).alias("n")).select("book", "n.*").filter("number IS NOT NULL AND title IS NOT NULL")
     old = index.select("book", "number", "title").join(new.select("book").distinct(), "book", "left_anti")
     return old.unionByName(new)

@@ -568,6 +568,13 @@ def test_fenced_answers_count(spark):
         def generate(self, task, prompt):
             return "Here:\n```json\n" + super().generate(task, prompt) + "\n```"
 
+    index = spark.createDataFrame([("b", 1, "A"), ("b", 2, "B")], "book string, number int, title string")
+
+    class Renaming(Fenced):
+        def _revise(self, prompt):
+            return json.dumps([{"number": 1, "title": "New [1]"}, {"number": 2, "title": "B"}])
+
+    assert sorted(map(tuple, N.revise_index(index, "rename", Renaming).collect())) == [("b", 1, "New [1]"), ("b", 2, "B")]
     names = [f"Concept{i}" for i in range(60)] + [f"Word{i}" for i in range(60)] + ["Concept7s"]
     rows = spark.createDataFrame([("b", n, "d", i) for i, n in enumerate(names)], "book string, concept string, description string, ord int")
     assert N.infer_edges(rows, Fenced).count() == N.infer_edges(rows).count() > 0
