@@ -2,8 +2,8 @@
 
 A clip is a RIFF/WAVE file of unsigned 8-bit mono samples. Its features are Arrow fixed-shape
 tensors (an Arrow IPC stream per clip, one record per patch of frames) with their time spans.
-Clips are written to a table in one pass over the rows, and features are computed in a pass over
-what is read back, without a shuffle; a clip is worked off in blocks of frames, so memory depends
+Clips are written to a table in one pass over the rows, features are computed in a pass over
+what is read back, and stored in a table of their own, without a shuffle; a clip is worked off in blocks of frames, so memory depends
 on one batch and not on the longest clip's spectrum.
 """
 
@@ -34,6 +34,8 @@ PATCH = 16
 PHASE_TAPS = 12
 #: Frames whose spectra are held at once.
 BLOCK = 2048
+#: Steps of a unit in the filter's taps and in log-mel values: sums of samples are exact, and hashes of features do not depend on the order of sums.
+TAP_GRID, MEL_GRID = 1 << 20, 1 << 8
 #: Energy thresholds between a clip's quiet (10 %) and loud (90 %) levels: a segment starts at ENTER and lasts above LEAVE.
 ENTER, LEAVE = 0.6, 0.35
 
@@ -77,14 +79,14 @@ def _filter() -> np.ndarray:
     cut = min(1 / UP, 1 / DOWN)
     h = cut * np.sinc(cut * t) * np.hanning(n + 2)[1:-1]
     h *= UP / h.sum()
-    return np.ascontiguousarray(h.reshape(PHASE_TAPS, UP).T.astype(np.float32))
+    return np.ascontiguousarray(np.rint(h.reshape(PHASE_TAPS, UP).T * TAP_GRID) / TAP_GRID)
 
 
 def resample(x: np.ndarray) -> np.ndarray:
     """``x`` at UP/DOWN times its rate. Output n takes phase n*DOWN mod UP and the inputs up to n*DOWN div UP."""
     n_out = -(-len(x) * UP // DOWN)
-    out = np.empty(n_out, np.float32)
-    window = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(PHASE_TAPS - 1, np.float32), x, np.zeros(1, np.float32)]), PHASE_TAPS)
+    out = np.empty(n_out)
+    window = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(PHASE_TAPS - 1), x, np.zeros(1)]), PHASE_TAPS)
     for first in range(UP):
         at = np.arange(first, n_out, UP) * DOWN
         if len(at):
@@ -99,24 +101,24 @@ def _mel_bank() -> np.ndarray:
     edge = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + RATE / 2 / 700), MELS + 2) / 2595) - 1)
     f = np.arange(NFFT // 2 + 1)[:, None] * RATE / NFFT
     rise, fall = (f - edge[:-2]) / (edge[1:-1] - edge[:-2]), (edge[2:] - f) / (edge[2:] - edge[1:-1])
-    return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
+    return np.maximum(0, np.minimum(rise, fall))
 
 
 @functools.cache
 def _window() -> np.ndarray:
-    return np.hanning(FRAME + 1)[:-1].astype(np.float32)
+    return np.hanning(FRAME + 1)[:-1]
 
 
 def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel rows and energies in dB of the overlapped frames; the last frame is filled with zeros."""
+    """Log-mel rows on their grid and energies in dB of the overlapped frames; the last frame is filled with zeros."""
     n = 1 + max(0, -(-(len(y) - FRAME) // HOP))
-    y = np.concatenate([y, np.zeros((n - 1) * HOP + FRAME - len(y), np.float32)])
+    y = np.concatenate([y, np.zeros((n - 1) * HOP + FRAME - len(y))])
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     mel, level = np.empty((n, MELS), np.float32), np.empty(n)
     for at in range(0, n, BLOCK):
         part = frames[at : at + BLOCK]
         spectrum = np.fft.rfft(part * _window(), NFFT)
-        mel[at : at + BLOCK] = np.log(1e-6 + (spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ _mel_bank())
+        mel[at : at + BLOCK] = np.rint(np.log(1e-6 + (spectrum.real**2 + spectrum.imag**2) @ _mel_bank()) * MEL_GRID) / MEL_GRID
         level[at : at + BLOCK] = 10 * np.log10(1e-8 + np.square(part).mean(axis=1))
     return mel, level
 
@@ -155,7 +157,7 @@ def read_tensors(stream: bytes) -> pa.Table:
 def clip_features(media: bytes) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:
     """What a stored clip holds: its payload, its log-mel rows, its active frame spans."""
     payload = from_wave(media)
-    samples = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
+    samples = (np.frombuffer(payload, np.uint8).astype(np.float64) - 128) / 128
     mel, level = log_mel(resample(samples))
     return payload, mel, segments(level)
 
@@ -169,7 +171,10 @@ def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
 
 
 def store_clips(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table (doc_id, n_bytes, media) of one clip for each row of ``docs``, written to ``path`` or the shared folder and read back."""
+    """The table (doc_id, n_bytes, media) of one clip for each row of ``docs``, written to ``path`` or the shared folder and read back.
+
+    A null or empty text is a clip of UNIT samples of 255; repeated rows and null ids are clips like any other; no rows give no clips.
+    """
     narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("data"))
     clips = narrow.mapInArrow(lambda it: trimmed(in_batches(_clips(it), CLIP_SCHEMA)), "doc_id long, n_bytes long, media binary")
     return written(clips, "clips", path, "zstd")
@@ -195,12 +200,20 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return small_batches(store_clips(docs, None, id_col, text_col)).mapInArrow(lambda it: trimmed(in_batches(_rows(it), MEDIA_SCHEMA)), MEDIA_DDL)
 
 
+def store_features(features: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of ``audio_features``, their clips as lengths and digests, written to ``path`` or the shared folder and read back.
+
+    The tensors are stored as they are, an Arrow stream a clip (``read_tensors``), beside the spans of its segments.
+    """
+    clip = [F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")]
+    return written(features.select(*[c for c in features.columns if c != "media"], *clip), "clip-features", path, "zstd")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    """op1: digests of the stored clips and their features, over all documents."""
-    out = audio_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """op1: digests of the stored clips and of their stored features, over all documents."""
+    out = store_features(audio_features(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return out.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
-        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
         F.concat_ws(";", F.format_string("frames=%d", "n_frames"), F.format_string("segments=%d", F.size("segments")),
                     F.format_string("active=%.3f", F.aggregate("segments", F.lit(0.0), lambda s, x: s + x.end_s - x.start_s)),
                     F.concat(F.lit("mel="), F.sha2("tensors", 256))).alias("feature"),

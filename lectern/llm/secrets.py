@@ -74,12 +74,13 @@ def candidates(docs: DataFrame, text: Column, owner: Column, repository: Column,
 
 
 def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all, if None) with ``findings``: array<struct<kind, start, stop>> in order of start, then kind.
+    """The columns ``keep`` of ``docs`` (all, if None) with ``findings``: array<struct<kind, start, stop, owners, repositories>> in order of start, then kind.
 
     Kinds assign, access and hex are the pattern matches. A value's span is added as ``example`` if its
     value occurs with three owners or more, else as ``live`` if it looks like a credential in use (five
-    different characters or more). Offsets are code points, the end is exclusive. A null owner counts as
-    one owner, a null repository as one repository of its owner. Null and empty texts have no findings.
+    different characters or more); these two carry in how many owners, and repositories of owners, the value
+    occurs, so that a value kept in one place can be told from one that its owner has spread. Offsets are
+    code points, the end is exclusive. A null owner counts as one owner, a null repository as one of its owner. Null and empty texts have no findings.
     Repeated rows are kept; an empty table stays empty; an existing column findings is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "findings"]
@@ -99,17 +100,21 @@ def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", rep
     judged = one.join(shared.withColumnRenamed("hash", "hash_"), F.col("s.hash") == F.col("hash_"))
     verdict = F.when(F.col("owners") >= EXAMPLE_OWNERS, NAMES.index("example")).when(F.col("s.varied"), NAMES.index("live"))
     added = judged.withColumn("verdict", verdict).groupBy("row").agg(
-        F.collect_set(F.when(F.col("verdict").isNotNull(), F.struct(F.col("s.value_start").alias("start"), F.col("verdict").alias("rank"), F.col("s.stop").alias("stop")))).alias("more")
+        F.collect_set(F.when(F.col("verdict").isNotNull(), F.struct(F.col("s.value_start").alias("start"), F.col("verdict").alias("rank"), F.col("s.stop").alias("stop"), "owners", "repositories"))).alias("more")
     )
-    named = lambda a: F.transform(a, lambda s: F.struct(F.array(*map(F.lit, NAMES))[s["rank"]].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    base = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop")))
+    named = lambda a: F.transform(a, lambda s: F.struct(F.array(*map(F.lit, NAMES))[s["rank"]].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["owners"].alias("owners"), s["repositories"].alias("repositories")))
+    none = F.lit(None).cast("long")
+    base = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop"), none.alias("owners"), none.alias("repositories")))
     clean = clean.select(*keep, named(base).alias("findings"))
     marked = table.join(added.withColumnRenamed("row", "row_"), F.col(row) == F.col("row_"))
     return clean.unionAll(marked.select(*keep, named(F.array_sort(F.concat(base, "more"))).alias("findings")))
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """The columns of ``docs`` with each live value of a text replaced wherever it stands in that text."""
+    """The columns of ``docs`` with each live value of a text replaced wherever it stands in that text.
+
+    Null and empty texts, and texts without a live value, stay as they are; repeated rows are redacted alike, an empty table stays empty.
+    """
     found = scan(docs, text_col)
     text = F.col(text_col)
     live = F.transform(F.filter("findings", lambda s: s["kind"] == "live"), lambda s: F.substr(text, s["start"] + 1, s["stop"] - s["start"]))
@@ -118,41 +123,45 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]")
     return found.withColumn(text_col, clean).select(*docs.columns)
 
 
-def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+def _joined(spans: Column, *more: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], *[s[c].cast("string") for c in ("start", "stop", *more)])), ",")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op10: counts, digest and spans of every document; its source is the owner, the document the repository."""
+    """op10: counts, digest and spans of every document; its source is the owner, the document the repository.
+
+    ``ownership`` has the spans live and example with the owners and repositories of their values.
+    """
     out = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
-    base = F.filter("findings", lambda s: ~s["kind"].isin(*VERDICTS))
+    base, judged = F.filter("findings", lambda s: ~s["kind"].isin(*VERDICTS)), F.filter("findings", lambda s: s["kind"].isin(*VERDICTS))
     count = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind, *_ in KINDS]
-    return out.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("findings")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("findings")).alias("spans"), _joined(judged, "owners", "repositories").alias("ownership"))
 
 
 def _oracle() -> str:
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     found = " UNION ALL ".join(
-        f"SELECT rid, owner, {k} AS rank, string_split_regex(t, {quoted(p)}) AS gaps, regexp_extract_all(t, {quoted(p)}) AS hits, regexp_extract_all(t, {quoted(p)}, {g}) AS vals, {least} AS least FROM d"
+        f"SELECT rid, owner, repo, {k} AS rank, string_split_regex(t, {quoted(p)}) AS gaps, regexp_extract_all(t, {quoted(p)}) AS hits, regexp_extract_all(t, {quoted(p)}, {g}) AS vals, {least} AS least FROM d"
         for k, (_, p, g, least) in enumerate(KINDS)
     )
     names = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS owner, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS owner, coalesce('=' || doc_id, '') AS repo, coalesce(text, '') AS t FROM documents),
 h AS ({found}),
 i AS (SELECT *, unnest(generate_series(1, len(hits))) AS n FROM h),
-s AS (SELECT rid, owner, rank, vals[n] AS v, least,
+s AS (SELECT rid, owner, repo, rank, vals[n] AS v, least,
   list_sum(list_transform(gaps[1:n], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:n-1], lambda x: length(x))), 0)::BIGINT AS a, length(hits[n]) AS w FROM i),
-c AS (SELECT rid, owner, rank, a, a + w AS z, v FROM s WHERE length(v) >= least),
-o AS (SELECT v, count(DISTINCT owner) AS owners FROM c GROUP BY v),
-e AS (SELECT DISTINCT rid, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 4 WHEN len(list_distinct(string_split(v, ''))) >= {LIVE_CHARACTERS} THEN 3 END AS rank, z - length(v) AS a, z FROM c JOIN o USING (v)),
-x AS (SELECT rid, rank, a, z FROM c UNION ALL SELECT rid, rank, a, z FROM e WHERE rank IS NOT NULL),
+c AS (SELECT rid, owner, repo, rank, a, a + w AS z, v FROM s WHERE length(v) >= least),
+o AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM c GROUP BY v),
+e AS (SELECT DISTINCT rid, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 4 WHEN len(list_distinct(string_split(v, ''))) >= {LIVE_CHARACTERS} THEN 3 END AS rank, z - length(v) AS a, z, owners, repos FROM c JOIN o USING (v)),
+x AS (SELECT rid, rank, a, z, NULL AS owners, NULL AS repos FROM c UNION ALL SELECT rid, rank, a, z, owners, repos FROM e WHERE rank IS NOT NULL),
 f AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   coalesce(string_agg({names}[rank + 1] || ':' || a || ':' || z, ',' ORDER BY a, rank, z) FILTER (rank < 3), '') AS base,
-  string_agg({names}[rank + 1] || ':' || a || ':' || z, ',' ORDER BY a, rank, z) AS spans FROM x GROUP BY rid)
+  string_agg({names}[rank + 1] || ':' || a || ':' || z, ',' ORDER BY a, rank, z) AS spans,
+  string_agg({names}[rank + 1] || ':' || a || ':' || z || ':' || owners || ':' || repos, ',' ORDER BY a, rank, z) FILTER (rank >= 3) AS ownership FROM x GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (rid)"""
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(ownership, '') AS ownership FROM d LEFT JOIN f USING (rid)"""
 
 
 ORACLE = _oracle()

@@ -75,6 +75,23 @@ def test_audio_round_trip_and_features(spark, docs, local):
     same = {r["media"]: r["tensors"] for r in out}
     assert all(same[r["media"]] == r["tensors"] for r in out)
     assert audio.audio_features(empty(docs)).count() == 0
+    stored = audio.store_features(audio.audio_features(docs)).collect()
+    row = lambda r: (r["doc_id"], r["payload_sha256"], bytes(r["tensors"]), str(r["segments"]))
+    assert Counter(map(row, stored)) == Counter(map(row, out)) and all(r["media_bytes"] == r["payload_bytes"] + 44 for r in stored)
+
+
+def test_features_are_on_their_grid_in_any_order_of_sums():
+    rng = np.random.default_rng(3)
+    x = (rng.integers(0, 256, 5000) - 128) / 128
+    y = audio.resample(x)
+    assert (y * 128 * audio.TAP_GRID == np.rint(y * 128 * audio.TAP_GRID)).all()
+    mel, _ = audio.log_mel(y)
+    shuffled = rng.permutation(audio.NFFT // 2 + 1)
+    bank = audio._mel_bank()
+    frames = np.lib.stride_tricks.sliding_window_view(np.concatenate([y, np.zeros(audio.FRAME)]), audio.FRAME)[:: audio.HOP][: len(mel)]
+    power = np.abs(np.fft.rfft(frames * audio._window(), audio.NFFT)) ** 2
+    other = np.rint(np.log(1e-6 + power[:, shuffled] @ bank[shuffled]) * audio.MEL_GRID) / audio.MEL_GRID
+    assert (mel == other.astype(np.float32)).all()
 
 
 def test_resampling_is_the_filter_of_the_zero_stuffed_signal():
@@ -685,6 +702,15 @@ def brute_secrets(rows):
     return Counter(out)
 
 
+def test_ownership_of_secrets(spark):
+    spread, kept, common = "0123456789abcdef" * 2, "fedcba9876543210" * 2, "00112233445566778899aabbccddeeff"
+    rows = [(i, f"a {spread} b {spread}", "x") for i in range(5)] + [(5, kept, None), (5, kept, None), (None, common, "y"), (None, common, "y")] + [(6 + i, common, f"o{i}") for i in range(3)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=["doc_id"]).collect()
+    got = {(r["doc_id"], f["kind"], f["owners"], f["repositories"]) for r in found for f in r["findings"]}
+    judged = {(i, "live", 1, 5) for i in range(5)} | {(5, "live", 1, 1), (None, "example", 4, 4)} | {(6 + i, "example", 4, 4) for i in range(3)}
+    assert got == judged | {(r[0], "hex", None, None) for r in rows}
+
+
 def test_secrets(spark, docs, local):
     rng = random.Random(10)
     hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))

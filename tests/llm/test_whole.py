@@ -81,7 +81,8 @@ def test_blocks_of_frames_change_nothing(monkeypatch):
     y = np.random.default_rng(9).standard_normal(60_000).astype(np.float32)
     whole = audio.log_mel(y)
     monkeypatch.setattr(audio, "BLOCK", 7)
-    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(whole, audio.log_mel(y), strict=True))
+    again = audio.log_mel(y)
+    assert (whole[0] == again[0]).all() and np.allclose(whole[1], again[1], atol=1e-9)
 
 
 # --- lattice -------------------------------------------------------------------------------------------------------------
