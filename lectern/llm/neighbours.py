@@ -51,41 +51,67 @@ def _grams(text: str) -> np.ndarray:
     return out
 
 
-def terms(text: str) -> np.ndarray:
-    """Damped term counts of one text; all zero for one of fewer than three characters without words."""
+def _word_terms(texts: list[str]) -> np.ndarray:
+    """Damped counts of the words and of the distances between equal words, one row a text; all texts' words are numbered at once."""
+    import pandas as pd
     from xxhash import xxh32_intdigest
 
-    out = np.zeros(N_TERMS, np.float32)
-    grams, words = _grams(text), text.split()
-    out[:N_GRAMS] = np.sqrt(grams / max(1, grams.sum()))
-    if words:
-        last: dict[str, int] = {}
-        back = np.zeros(N_BACK, np.int64)
-        counts: dict[str, int] = {}
-        for i, w in enumerate(words):
-            was = last.get(w)
-            last[w] = i
-            if was is None:
-                counts[w] = 1
-                back[0] += 1
-            else:
-                counts[w] += 1
-                back[min(N_BACK - 1, (i - was).bit_length())] += 1  # 1, 2 to 3, 4 to 7 words ago, and so on
-        places = np.fromiter((xxh32_intdigest(w) % N_WORDS for w in counts), np.int64, len(counts))
-        sums = np.bincount(places, np.fromiter(counts.values(), float, len(counts)), N_WORDS)
-        # Relative to the length, so that a text and a longer one of its kind lie near each other.
-        out[N_GRAMS : N_GRAMS + N_WORDS] = np.sqrt(sums / len(words))
-        out[N_GRAMS + N_WORDS :] = np.sqrt(back / (len(words) + 4))  # little is known of a few words
+    split = [t.split() for t in texts]
+    n = np.array([len(w) for w in split], np.int64)
+    out = np.zeros((len(texts), N_WORDS + N_BACK), np.float32)
+    codes, words = pd.factorize(np.array([w for ws in split for w in ws], object))
+    if not len(words):
+        return out
+    row = np.repeat(np.arange(len(texts)), n)
+    place = np.array([xxh32_intdigest(w) % N_WORDS for w in words], np.int64)
+    sums = np.bincount(row * N_WORDS + place[codes], minlength=len(texts) * N_WORDS).reshape(len(texts), N_WORDS)
+    # Equal words of a text side by side, in the order of the text.
+    key = row * len(words) + codes
+    order = np.argsort(key, kind="stable")
+    again = np.diff(key[order], prepend=-1) == 0
+    gap = np.diff(order, prepend=0)
+    step = np.where(again, np.minimum(N_BACK - 1, np.frexp(gap)[1]), 0)  # 1, 2 to 3, 4 to 7 words ago, and so on; 0 if never
+    back = np.bincount(row[order] * N_BACK + step, minlength=len(texts) * N_BACK).reshape(len(texts), N_BACK)
+    # Relative to the length, so that a text and a longer one of its kind lie near each other; little is known of a few words.
+    out[:, :N_WORDS] = np.sqrt(sums / np.maximum(n, 1)[:, None])
+    out[:, N_WORDS:] = np.sqrt(back / (n + 4)[:, None])
     return out
 
 
+def terms_of(texts: list[str]) -> np.ndarray:
+    """Damped term counts, one row a text; all zero for one of fewer than three characters without words."""
+    out = np.zeros((len(texts), N_TERMS), np.float32)
+    at = 0
+    while at < len(texts):  # words of about SLICE characters are held at once, or those of one text
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and end - at < BLOCK and size + len(texts[end]) <= SLICE:
+            size += len(texts[end])
+            end += 1
+        out[at:end, N_GRAMS:] = _word_terms(texts[at:end])
+        at = end
+    for row, text in zip(out, texts, strict=True):
+        grams = _grams(text)
+        row[:N_GRAMS] = np.sqrt(grams / max(1, grams.sum()))
+    return out
+
+
+def terms(text: str) -> np.ndarray:
+    """Damped term counts of one text."""
+    return terms_of([text])[0]
+
+
+def _blocks(texts: list[str]) -> Iterator[np.ndarray]:
+    for at in range(0, len(texts), BLOCK):
+        yield terms_of(texts[at : at + BLOCK])
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a task: documents, and for each term those that have it."""
     n, df = 0, np.zeros(N_TERMS, np.int64)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            n += 1
-            df += terms(text) > 0
+        n += batch.num_rows
+        for x in _blocks(batch.column(0).to_pylist()):
+            df += (x > 0).sum(axis=0)
     yield pa.RecordBatch.from_pydict({"n": [n], "df": [df.tolist()]}, schema=pa.schema([("n", pa.int64()), ("df", pa.list_(pa.int64()))]))
 
 
@@ -93,7 +119,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Terms that a text has, as places and counts, which are far fewer than all."""
     schema = pa.schema([("id", pa.string()), ("label", pa.int32()), ("places", pa.binary()), ("terms", pa.binary())])
     for batch in batches:
-        rows = [terms(x) for x in batch.column(2).to_pylist()]
+        rows = [x for block in _blocks(batch.column(2).to_pylist()) for x in block]
         places = [np.flatnonzero(x).astype("<u2") for x in rows]
         values = [x[p].astype("<f4").tobytes() for x, p in zip(rows, places, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.tobytes() for p in places], pa.binary()), pa.array(values, pa.binary())], schema=schema)
@@ -132,7 +158,7 @@ class Model:
         k = min(NEAREST, len(self.labels))
         known = np.ascontiguousarray((self.known * UNIT_GRID).T)
         for at in range(0, len(texts), BLOCK):
-            cosine = ((self.latent(np.stack([terms(t) for t in texts[at : at + BLOCK]])) * UNIT_GRID) @ known) / UNIT_GRID**2
+            cosine = ((self.latent(terms_of(texts[at : at + BLOCK])) * UNIT_GRID) @ known) / UNIT_GRID**2
             last = np.partition(cosine, len(self.labels) - k, axis=1)[:, -k:].min(axis=1, keepdims=True)
             above, equal = cosine > last, cosine == last
             share = (k - above.sum(axis=1, keepdims=True)) / equal.sum(axis=1, keepdims=True)
@@ -145,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Document frequencies over all of ``docs``; labels of 0 and 1 from the rows of ``labels`` outside the held-out fold.
 
     Of each class the PER_CLASS ids with the smallest hashes are taken. Null and other labels, and null
-    ids, teach nothing; of several labels for an id the smallest holds.
+    ids, teach nothing; of several labels for an id the smallest holds. Without labelled documents, or without any
+    documents, the model knows nothing and scores every text as UNKNOWN. A null text counts as an empty one.
     """
     narrow = small_batches(docs).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     counted = narrow.select("text").mapInArrow(lambda it: trimmed(_frequencies(it)), "n long, df array<long>")
