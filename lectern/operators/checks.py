@@ -170,16 +170,25 @@ def stratified_sample(keys: DataFrame, total: int = 20, seed: int = 42) -> DataF
     return rows.filter(F.col("pick") <= total).select("book", "number", "third", F.when(F.col("first"), "third").otherwise("top-up").alias("taken_by"))
 
 
-def dimension_averages(answers: DataFrame, dimensions: list[str]) -> DataFrame:
+def dimension_averages(answers: DataFrame, dimensions: list[str], per: tuple[str, ...] = ()) -> DataFrame:
+    """The average rating of each dimension over the answers (column answer) of each ``per``, or over all; 0 where nothing was rated."""
     from lectern.functions.jsonx import rating
 
-    return answers.agg(*[F.coalesce(F.round(F.avg(rating(F.col("answer"), d)), 2), F.lit(0.0)).alias(d.lower()) for d in dimensions])
+    return answers.groupBy(*per).agg(*[F.coalesce(F.round(F.avg(rating(F.col("answer"), d)), 2), F.lit(0.0)).alias(d.lower()) for d in dimensions])
 
 
-def report(book: str, audit: list, scores, averages: dict[str, float]) -> str:
-    """A Markdown report from one book's audit rows, score row and averages."""
-    lines = [f"# Quality of {book}", "", "| check | passed | of | failing sessions |", "|-|-|-|-|"]
-    lines += [f"| {r['check']} | {r['n_pass']} | {r['n_total']} | {', '.join(map(str, r['failed'])) or '-'} |" for r in sorted(audit, key=lambda r: r["check"])]
-    lines += ["", f"Structure {scores['structure_score']}, length {scores['length_score']}, coherence {scores['coherence_score']} of 10."]
-    lines += [f"{name}: {value}" for name, value in averages.items()]
-    return "\n".join(lines) + "\n"
+def reports(audit: DataFrame, averages: DataFrame) -> DataFrame:
+    """(book, report): a Markdown report of each audited book, from its audit rows, their scores and its row of ``averages`` (book and a column a dimension).
+
+    Checks are in order of name; a book without averages has none in its report. One row a book travels, made by one grouping and two joins on it.
+    """
+    number = lambda c, digits: F.format_string(f"%.{digits}f", c)
+    cell = F.concat_ws(" | ", F.col("check"), F.col("n_pass").cast("string"), F.col("n_total").cast("string"), F.when(F.size("failed") > 0, F.array_join(F.col("failed").cast("array<string>"), ", ")).otherwise("-"))
+    lines = F.array_sort(F.collect_list(F.struct("check", F.concat(F.lit("| "), cell, F.lit(" |")).alias("line"))))
+    tables = audit.groupBy("book").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("rows"))
+    names = [c for c in averages.columns if c != "book"]
+    rated = averages.select("book", F.array_join(F.array(*[F.concat(F.lit(f"{c}: "), number(F.col(c), 2)) for c in names]), "\n").alias("rated"))
+    scored = F.format_string("Structure %.2f, length %.2f, coherence %.4f of 10.", "structure_score", "length_score", "coherence_score")
+    head = F.concat(F.lit("# Quality of "), F.col("book").cast("string"), F.lit("\n\n| check | passed | of | failing sessions |\n|-|-|-|-|"))
+    text = F.concat(F.concat_ws("\n", head, "rows", F.lit(""), scored, "rated"), F.lit("\n"))
+    return tables.join(audit_scores(audit), "book").join(rated, "book", "left").select("book", text.alias("report"))

@@ -15,6 +15,7 @@ from lectern.operators import model as M
 from lectern.operators import planner as P
 from lectern.operators import progress as R
 from lectern.plans import fixtures as X
+from lectern.plans.catalog import _AUDIT, _CHECKS
 from lectern.plans.catalog import _TAIL as _TAIL_SQL
 from lectern.plans.catalog import docs, query, with_
 from lectern.plans.catalog_graph import _CAND, _PACKED, _SCORE, evaluated, results, scores
@@ -146,13 +147,18 @@ def _(spark, d):
     return M.rate(fixture(spark, d, X.sessions)).select("book", "number", rating(a, "CONCEPT_DEPTH").alias("depth"), remark(a).alias("remark"))
 
 
-@query("audit_report", with_(s=X.sessions, n=r"SELECT book, count(*) AS n, count(*) FILTER (len(regexp_extract_all(content, '\S+')) BETWEEN 1500 AND 2600) AS ok FROM s WHERE book = 0 GROUP BY book") + "SELECT '| length | ' || ok || ' | ' || n AS line FROM n")
+@query("audit_report", with_(s=X.sessions) + ", " + _CHECKS + ", " + _AUDIT + """, t AS (SELECT book, round(sum(n_pass / n_total * 10 * CASE "check" WHEN 'tension' THEN 0.30::DOUBLE WHEN 'length' THEN 0.20::DOUBLE ELSE 0.25::DOUBLE END), 2) AS structure,
+ round(max(CASE WHEN "check" = 'length' THEN n_pass / n_total * 10 END), 2) AS length,
+ string_agg('| ' || "check" || ' | ' || n_pass || ' | ' || n_total || ' | ' || CASE WHEN len(failed) > 0 THEN array_to_string(failed, ', ') ELSE '-' END || ' |', chr(10) ORDER BY "check") AS lines FROM a GROUP BY book),
+ d AS (SELECT book, round(avg(number % 9 + 1.5::DOUBLE), 2) AS depth, round(avg(number % 4 + 6.0::DOUBLE), 2) AS prose FROM s GROUP BY book)
+ SELECT book, '# Quality of ' || book || chr(10) || chr(10) || '| check | passed | of | failing sessions |' || chr(10) || '|-|-|-|-|' || chr(10) || lines || chr(10) || chr(10)
+ || printf('Structure %.2f, length %.2f, coherence %.4f of 10.', structure, length, round(least(10.0::DOUBLE, structure * 1.1::DOUBLE), 4)) || chr(10)
+ || printf('concept_depth: %.2f', depth) || chr(10) || printf('prose_quality: %.2f', prose) || chr(10) AS report FROM t JOIN d USING (book)""")
 def _(spark, d):
-    s = fixture(spark, d, X.sessions).filter("book = 0")
-    audit = C.structural_audit(C.structural_checks(s))
-    text = C.report("0", audit.collect(), C.audit_scores(audit).first(), {"depth": 7.0})  # one book's four rows
-    line = next(x for x in text.split("\n") if x.startswith("| length"))
-    return spark.createDataFrame([(line.rpartition(" | ")[0],)], "line string")
+    s = fixture(spark, d, X.sessions)
+    n = F.col("number")
+    answers = s.select("book", F.concat(F.lit("CONCEPT_DEPTH: "), n % 9 + 1, F.lit(".5\nPROSE_QUALITY: "), n % 4 + 6).alias("answer"))
+    return C.reports(C.structural_audit(C.structural_checks(s)), C.dimension_averages(answers, ["CONCEPT_DEPTH", "PROSE_QUALITY"], ("book",)))
 
 
 # --- index --------------------------------------------------------------------------------------------------------------

@@ -618,3 +618,21 @@ def test_streamed_reports_settle_requests(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch)) and len(got) == 41
     by = {r["request_id"]: r for r in got}
     assert by["r6"]["settled"] and not by["r8"]["settled"] and by["r8"]["tokens"] == 108 and by["r6"]["tokens"] == 1006 and not by["r1"]["settled"]
+
+
+def test_reports_of_all_books(spark):
+    checks = [(b, n, c, (n + len(c)) % b != 0) for b in (1, 2, 5) for n in range(1, 4) for c in ("tension", "length", "anchor", "revisit")]
+    audit = C.structural_audit(spark.createDataFrame(checks, "book long, number long, check string, passed boolean"))
+    averages = spark.createDataFrame([(2, 7.5, 3.0), (9, 1.0, 1.0)], "book long, depth double, prose double")
+    got = {r["book"]: r["report"] for r in C.reports(audit, averages).collect()}
+    scores = {r["book"]: r for r in C.audit_scores(audit).collect()}
+    want = {}
+    for book in (1, 2, 5):
+        lines = [f"# Quality of {book}", "", "| check | passed | of | failing sessions |", "|-|-|-|-|"]
+        for c in sorted({c for b, _, c, _ in checks if b == book}):
+            own = [(n, ok) for b, n, k, ok in checks if (b, k) == (book, c)]
+            lines.append(f"| {c} | {sum(ok for _, ok in own)} | {len(own)} | {', '.join(str(n) for n, ok in own if not ok) or '-'} |")
+        s = scores[book]
+        lines += ["", f"Structure {s['structure_score']:.2f}, length {s['length_score']:.2f}, coherence {s['coherence_score']:.4f} of 10."]
+        want[book] = "\n".join(lines + (["depth: 7.50", "prose: 3.00"] if book == 2 else [])) + "\n"
+    assert got == want and C.reports(audit.limit(0), averages).count() == 0
