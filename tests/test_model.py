@@ -619,3 +619,19 @@ def test_requests_folded_in_order_do_not_grow_with_the_log(spark, monkeypatch):
     assert sorted((str(r["day"]), r["ord"], str(r["tokens"]), str(r["key"])) for r in got) == folded_keys([(at + timedelta(seconds=i), i, 50 if i % 2 == 0 else i % 700) for i in range(n)], 3, 3000)
     assert held["assigned-requests"].count() <= 3 * sum(3000 // t for t in {50, *range(1, 700, 2)}) < n
     assert held["assigned-requests"].filter("tokens = 50").count() == 3 * 3000 // 50
+
+
+def test_a_title_with_a_name_of_stop_words_is_on_its_concepts(spark):
+    rows = [(1, 1, ["When", "Iner"]), (1, 2, ["Iner", "When"]), (1, 3, ["What"]), (2, 1, ["When", "Iner"])]
+    got = N.with_titles(spark.createDataFrame(rows, "book int, number int, concepts array<string>")).collect()
+    assert {(r["book"], r["number"]): r["title"] for r in got} == {(1, 1): "Title and When", (1, 2): "Title and Iner", (1, 3): "Title and What", (2, 1): "Title and When"}
+    got = N.with_titles(spark.createDataFrame(rows[:3], "book int, number int, concepts array<string>"), OffTopic).collect()
+    assert {r["number"]: r["title"] for r in got} == {1: "Asked again for When, Iner", 2: "Asked again for Iner, When", 3: "What it ends"}
+
+
+class OffTopic:
+    """Titles whose only words in common with other concepts are stop words, but for What."""
+
+    def generate(self, task, prompt):
+        again = prompt.removeprefix("Another title, closer to ")
+        return json.dumps({"title": "What it ends" if again == prompt else f"Asked again for {again}"})
