@@ -203,12 +203,26 @@ def _changes(cols: list[np.ndarray]) -> np.ndarray:
     return np.cumsum(new)
 
 
+def _of_other_roots(key: np.ndarray, home: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own, first, stop): each home with the later homes of its key that have another root, and with the other rows before and after those of its root."""
+    own = np.flatnonzero(home)
+    side = 2 * key + ~home
+    values, rank = np.unique(root, return_inverse=True)
+    run = side * len(values) + rank
+    low = lambda of, x: np.searchsorted(of, x, side="left")
+    high = lambda of, x: np.searchsorted(of, x, side="right")
+    others, same = side[own] + 1, run[own] + len(values)
+    first = np.concatenate([high(run, run[own]), low(side, others), high(run, same)])
+    stop = np.concatenate([high(side, side[own]), low(run, same), high(side, others)])
+    return np.tile(own, 3), first, stop
+
+
 def by_key(batches: Iterator[pa.RecordBatch], n_prints: int, distance: int, how: str = "homes") -> Iterator[tuple]:
     """(places, other places, bits, the columns) of near rows; rows (bucket, tile, home, prints, ...) come sorted by bucket and tile.
 
-    ``how`` tells what is compared within a key. "homes": each home with all rows, homes come first. "leaders":
-    the first row with the others. "roots": rows of different roots (the last column), sorted by root. Only
-    what later rows are compared with is held between batches: the homes, the leader, or all rows of the last key.
+    ``how`` tells what is compared within a key. "homes": each home with all rows, homes come first. "roots": each home with
+    the rows of other roots (the last column), two homes once; homes come first, and homes and others are sorted by root. "leaders":
+    the first row with the others. Only what later rows are compared with is held between batches: the homes or the leader of the last key.
     """
     held: list[np.ndarray] = []
     for batch in batches:
@@ -220,7 +234,7 @@ def by_key(batches: Iterator[pa.RecordBatch], n_prints: int, distance: int, how:
             continue
         key = _changes(cols[:2])
         prints = np.stack([c.view(np.uint64) for c in cols[3 : 3 + n_prints]], axis=1)
-        stays = np.ones(len(key), bool) if how == "roots" else cols[2].astype(bool) if how == "homes" else np.diff(key, prepend=-1) > 0
+        stays = np.diff(key, prepend=-1) > 0 if how == "leaders" else cols[2].astype(bool)
         own = np.flatnonzero(stays)
         stop = np.searchsorted(key, key[own], side="right")
         if how == "homes":
@@ -228,8 +242,7 @@ def by_key(batches: Iterator[pa.RecordBatch], n_prints: int, distance: int, how:
         elif how == "leaders":
             first = own + 1
         else:
-            run = _changes([cols[0], cols[1], cols[-1]])
-            first = np.searchsorted(run, run, side="right")
+            own, first, stop = _of_other_roots(key, stays, cols[-1])
         first = np.where(own < old, np.maximum(first, old), first)  # rows that were held have met each other
         for mine, other, bits in near_pairs(prints, own, first, stop, distance):
             yield mine, other, bits, cols

@@ -2,20 +2,21 @@
 
 At a Jaccard similarity of 0.8 about 15 % of a SimHash fingerprint's bits differ, which no 64 bits can
 tell from chance and no radius of a few bits reaches. So a set of word shingles gets a fingerprint of
-``64 * WORDS`` bits, and the anchors are those of many fields of ``bits`` sampled bits each, whose code is
-the whole space (covering radius and threshold 0: a fingerprint has one anchor a field). ``plan`` takes
-bits from the number of sets, so that an anchor has some ``ROOM`` of them, and fields from the
-similarity, so that a pair just at it has no anchor in common with a chance of at most ``MISSED``; the
-fields grow with about the fourth root of the number of sets. (Sets of few shingles differ in up to 19 %
+``64 * WORDS`` bits, and many fields of ``bits`` sampled bits each. The anchors of a field are, as in ``simhash``, the
+words of a covering code: the Hamming (15, 11) code times all words of the other bits, with covering radius 1. A
+fingerprint has one home anchor in each field and is replicated to every anchor within radius plus threshold (2), so it meets
+each one that differs by at most ``THRESHOLD`` bits in the field at that one's home. ``plan`` takes bits from the number of
+sets, so that an anchor has some ``ROOM`` times 16 homes at most, and ``covering`` takes fields from the similarity, so that a pair
+just at it is within the threshold in no field with a chance of at most ``MISSED``. (Sets of few shingles differ in up to 19 %
 of their bits; of those just at the similarity up to 3 % are missed.)
 
-Rows of an anchor are compared by their whole fingerprints, in the streams of ``simhash``. A first pass over
-``FIRST`` fields compares each row with the first of its anchor alone, which joins groups of copies at a cost
-of their size. The second pass, over all fields, compares rows that are still in different components. Each
+Homes are compared with all rows of their anchor by whole fingerprints, in the streams of ``simhash``. A first pass over
+the homes of ``FIRST`` fields compares each with the first of its anchor alone, which joins groups of copies at a cost
+of their size. The second pass, over all fields and anchors, compares homes with rows that are still in other components. Each
 pass runs twice. The first time it only names the rows that have a candidate; their shingle sets are
 written to shared files. The second time, over these rows alone, it checks every candidate on the sets
 themselves, the nearest of a batch first, but for those that links found before join already. So no
-candidate is given up unchecked, a pair is checked in one task (that of the first field where it meets), and only
+candidate is given up unchecked, a pair is checked in one task (that of the smaller one's home in the first field where it is within the threshold), and only
 links that join something leave a task, never all pairs of a group.
 """
 
@@ -34,13 +35,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.llm.common import content_hash, publish, small_batches, text_or_empty, trimmed, work_dir, written
-from lectern.llm.simhash import by_key, components, shingle_hashes
+from lectern.llm.simhash import _masks as code_masks
+from lectern.llm.simhash import _syndrome, by_key, components, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit words of a fingerprint; standard deviations of the differing bits that are allowed beyond their mean.
 WORDS, SPREAD = 4, 3
-#: Chance that a pair just at the similarity has no anchor in common; sets that an anchor has on average.
+#: Chance that a pair just at the similarity is within the threshold in no field; sets that a word of a field has on average.
 MISSED, ROOM = 1e-3, 16
+#: Bits that the code of a field covers, at least; differing bits of a field at which a pair must meet.
+CODE_BITS, THRESHOLD = 15, 1
 #: Fields of the first pass; candidates that are looked at before what they joined counts; rows that a task hands on at once.
 FIRST, STEP, FLUSH = 6, 1 << 12, 1 << 16
 #: Bytes of shingle sets that a task holds, and files that it holds open; bits of an address that tell the place in a file.
@@ -59,7 +63,7 @@ PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def plan(similarity: float, n: int) -> tuple[int, int, int]:
-    """Bits of a field, fields, and the most bits that fingerprints of the similarity differ in (but for SPREAD deviations)."""
+    """Bits of a field, fields if it had to be equal, and the most bits that fingerprints of the similarity differ in (but for SPREAD deviations)."""
     if not 0 < similarity <= 1:
         raise ValueError("the similarity must be over 0 and at most 1")
     differ = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
@@ -70,6 +74,15 @@ def plan(similarity: float, n: int) -> tuple[int, int, int]:
     return bits, fields, math.floor(mean + SPREAD * math.sqrt(mean * (1 - differ)))
 
 
+def covering(similarity: float, n: int) -> tuple[int, int, int]:
+    """Bits of a field that a code covers, fields of which a pair is within the threshold in one at least, and the most differing bits."""
+    bits, _, distance = plan(similarity, n)
+    bits = max(CODE_BITS, bits)
+    differ = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    met = sum(math.comb(bits, k) * differ**k * (1 - differ) ** (bits - k) for k in range(THRESHOLD + 1))
+    return bits, 1 if met == 1 else math.ceil(math.log(MISSED) / math.log1p(-met)), distance
+
+
 def shingle_set(text: str, shingle: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; a text of fewer words has one, one without words none."""
     return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, shingle)]))
@@ -114,19 +127,29 @@ def _masks(positions: np.ndarray) -> np.ndarray:
     return out
 
 
-def _anchors(positions: np.ndarray):
-    """Rows (words, then CARRIED) to one row for each field."""
-    place = np.int64(1) << np.arange(positions.shape[1], dtype=np.int64)
+def _anchors(positions: np.ndarray, homes_alone: bool):
+    """Rows (words, then CARRIED) to one row for each anchor of each field within radius plus threshold, or for each home."""
+    bits = positions.shape[1]
+    place = np.int64(1) << np.arange(bits, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = [m[:1] if homes_alone else m for m in code_masks(bits, THRESHOLD)]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 words = np.ascontiguousarray(np.stack([part.column(i).to_numpy() for i in range(WORDS)], axis=1))
-                bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
-                bucket = np.concatenate([(bits[:, p].astype(np.int64) @ place) | (np.int64(k) << 32) for k, p in enumerate(positions)])
-                again = pa.array(np.tile(np.arange(len(words)), len(positions)))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.ones(len(bucket), bool)), *(c.take(again) for c in part.columns)], names=["bucket", "home", *PRINTS, *CARRIED])
+                set_bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+                field = np.concatenate([(set_bits[:, p].astype(np.int64) @ place) | (np.int64(k) << 32) for k, p in enumerate(positions)])
+                syndrome = _syndrome(field)
+                found = []
+                for s in np.unique(syndrome).tolist():
+                    own, mask = np.flatnonzero(syndrome == s), masks[s]
+                    home = np.zeros((len(own), len(mask)), bool)
+                    home[:, 0] = True
+                    found.append(((field[own][:, None] ^ mask).ravel(), home.ravel(), np.repeat(own % len(words), len(mask))))
+                bucket, home, again = (np.concatenate(x) for x in zip(*found, strict=True))
+                again = pa.array(again)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(home), *(c.take(again) for c in part.columns)], names=["bucket", "home", *PRINTS, *CARRIED])
 
     return run
 
@@ -134,8 +157,8 @@ def _anchors(positions: np.ndarray):
 def _candidates(batches: Iterator[pa.RecordBatch], distance: int, similarity: float, how: str, masks: np.ndarray) -> Iterator[tuple]:
     """(places, other places, the columns) of rows of different roots that may be similar, the nearest of a chunk first.
 
-    In the pass by roots a pair comes once in all tasks: from the first field where both have one anchor, and of a tiled
-    anchor from the tile where the smaller node is the home.
+    In the pass by roots a pair comes once in all tasks: from the first field where it is within the threshold, at the home of
+    the smaller node (of a tiled anchor, from the tile where that one is the home).
     """
     for mine, other, bits, cols in by_key(batches, WORDS, distance, how):
         node, size, _, root = cols[3 + WORDS :]
@@ -143,8 +166,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], distance: int, similarity: fl
         ok = (root[mine] != root[other]) & (np.minimum(size[mine], size[other]) >= np.maximum(size[mine], size[other]) * (similarity * (1 - 1e-9)))
         if how == "roots":
             home = cols[2].astype(bool)
-            smaller = node[mine] < node[other]
-            ok &= (cols[1][mine] < 0) | np.where(smaller, home[mine] & ~home[other], home[other] & ~home[mine])
+            ok &= np.where(home[other], cols[1][mine] < 0, node[mine] < node[other])
         at = np.flatnonzero(ok)
         if how == "roots" and len(at):
             own = [c.view(np.uint64) for c in cols[3 : 3 + WORDS]]
@@ -152,10 +174,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], distance: int, similarity: fl
             first = np.ones(len(at), bool)
             for k in range(0, len(at), chunk):
                 x, y = mine[at[k : k + chunk]], other[at[k : k + chunk]]
-                apart = np.zeros((len(x), len(masks)), bool)
+                apart = np.zeros((len(x), len(masks)), np.uint8)
                 for w, words in enumerate(own):
-                    apart |= ((words[x] ^ words[y])[:, None] & masks[None, :, w]) != 0
-                first[k : k + chunk] = np.argmin(apart, axis=1) == cols[0][x] >> 32
+                    apart += np.bitwise_count((words[x] ^ words[y])[:, None] & masks[None, :, w])
+                first[k : k + chunk] = np.argmin(apart > THRESHOLD, axis=1) == cols[0][x] >> 32
             at = at[first]
         if len(at):
             at = at[np.argsort(bits[at], kind="stable")]
@@ -291,14 +313,16 @@ def _stored(shingle: int, folder: str):
 
 def _hot(rows: DataFrame, how: str) -> DataFrame:
     """(bucket, side) of the anchors that are cut into tiles: those of too many rows, and in the pass by roots those of too many pairs of different roots."""
-    many = rows.groupBy("bucket").count().filter(F.col("count") > min(TILE_ROWS, math.isqrt(TILE_PAIRS)))
+    homes = F.count_if("home").cast("double").alias("homes")
+    many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), homes)
+    many = many.filter((F.col("count") > TILE_ROWS) | (F.col("homes") * F.col("count") > TILE_PAIRS))
     many = written(many, "large-anchors")
     by_rows = F.ceil(F.col("count") / TILE_ROWS)
     if how == "leaders" or many.isEmpty():
         return many.select("bucket", by_rows.cast("int").alias("side")).filter("side > 1")
-    alike = rows.join(many.select("bucket"), "bucket", "left_semi").groupBy("bucket", "root").count()
-    alike = alike.groupBy("bucket").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("alike"))
-    pairs = F.greatest(F.lit(0.0), F.col("count").cast("double") * F.col("count") - F.col("alike"))
+    alike = rows.join(many.select("bucket"), "bucket", "left_semi").groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("count"), homes)
+    alike = alike.groupBy("bucket").agg(F.sum(F.col("homes") * F.col("count")).alias("alike"))
+    pairs = F.greatest(F.lit(0.0), F.col("homes") * F.col("count") - F.col("alike"))
     side = F.greatest(by_rows, F.ceil(F.sqrt(pairs / TILE_PAIRS)), F.lit(1))
     return many.join(alike, "bucket").select("bucket", side.cast("int").alias("side")).filter("side > 1")
 
@@ -307,7 +331,7 @@ def _dealt(rows: DataFrame, how: str, ways: int) -> DataFrame:
     """Anchor rows by bucket and tile, sorted for ``by_key``; each tile of a large anchor is another task's.
 
     For the leaders an anchor's shares have leaders of their own. By roots, tile i * side + j has the homes of share i and the rows
-    of share j; an anchor that is not cut is tile -1, with homes alone.
+    of share j, homes among them; an anchor that is not cut is tile -1, where a home comes once.
     """
     rows = rows.join(written(_hot(rows, how), "hot-anchors"), "bucket", "left").withColumn("side", F.coalesce("side", F.lit(1)))
     share = F.pmod(F.xxhash64("node"), F.col("side")).cast("int")
@@ -315,12 +339,13 @@ def _dealt(rows: DataFrame, how: str, ways: int) -> DataFrame:
         rows = rows.withColumn("tile", share)
     else:
         every = F.sequence(F.lit(0), F.col("side") - 1)
-        own = lambda tile, home: F.struct(tile.alias("tile"), F.lit(home).alias("home"))
-        tiles = F.concat(F.transform(every, lambda i: own(share * F.col("side") + i, True)), F.transform(every, lambda i: own(i * F.col("side") + share, False)))
-        tiles = F.when(F.col("side") == 1, F.array(own(F.lit(-1), True))).otherwise(tiles)
-        rows = rows.drop("home").withColumn("t", F.explode(tiles)).select("*", "t.tile", "t.home")
+        own = lambda tile, home: F.struct(tile.alias("tile"), home.alias("as_home"))
+        met = F.transform(every, lambda i: own(i * F.col("side") + share, F.lit(False)))
+        tiles = F.when(F.col("home"), F.concat(F.transform(every, lambda i: own(share * F.col("side") + i, F.lit(True))), met)).otherwise(met)
+        tiles = F.when(F.col("side") == 1, F.array(own(F.lit(-1), F.col("home")))).otherwise(tiles)
+        rows = rows.withColumn("t", F.explode(tiles)).withColumns({"tile": F.col("t.tile"), "home": F.col("t.as_home")})
     dealt = rows.select("bucket", "tile", "home", *PRINTS, *CARRIED).repartition(ways, "bucket", "tile")
-    return dealt.sortWithinPartitions("bucket", "tile", "node" if how == "leaders" else "root")
+    return dealt.sortWithinPartitions("bucket", "tile", *(["node"] if how == "leaders" else [F.desc("home"), "root"]))
 
 
 def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -345,7 +370,7 @@ def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: in
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
 
     some = sets.filter("size > 0").select(*PRINTS, "node", "size")
-    bits, fields, distance = plan(similarity, some.count())
+    bits, fields, distance = covering(similarity, some.count())
     ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
     positions = _positions(bits, fields)
     known, tree = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
@@ -354,7 +379,7 @@ def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: in
 
         def anchored(rows: DataFrame, how=how, places=places) -> DataFrame:
             rows = rows.select(*PRINTS, *CARRIED).repartition(ways)
-            return _dealt(rows.mapInArrow(lambda it: trimmed(_anchors(places)(it)), ANCHOR_DDL), how, ways)
+            return _dealt(rows.mapInArrow(lambda it: trimmed(_anchors(places, how == "leaders")(it)), ANCHOR_DDL), how, ways)
 
         rows = some.join(tree, "node", "left").withColumns({"root": F.coalesce("root", "node"), "place": F.lit(0).cast("long")})
         met = anchored(rows).mapInArrow(lambda it, how=how, masks=masks: trimmed(_met(distance, similarity, how, masks)(it)), "node long")

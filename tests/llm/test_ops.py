@@ -921,3 +921,46 @@ def test_line_dedup_of_a_very_long_text(spark):
     df = spark.createDataFrame([(i, text if i == 0 else "every second") for i in range(10)], "doc_id long, text string")
     got = linededup.dedup_lines(df).filter("doc_id = 0").select("n_lines", "n_dropped", F.length(linededup.kept_text(F.col("text"), F.col("keep_bitmap")))).first()
     assert tuple(got) == (200_000, 100_000, sum(len(f"own {i}") + 1 for i in range(0, 200_000, 2)) - 1)
+
+
+def test_similar_texts_meet_at_anchors_of_a_covering_code():
+    """A home within radius 1, replicas within radius plus threshold: words of a field that differ in one bit meet at both their homes."""
+    for similarity, n in ((0.6, 10), (0.8, 10_000), (0.8, 10**7)):
+        bits, fields, _ = similar.covering(similarity, n)
+        differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        assert bits >= 15 and (1 - (1 - differ) ** bits - bits * differ * (1 - differ) ** (bits - 1)) ** fields <= similar.MISSED
+    rng = np.random.default_rng(4)
+    places = similar._positions(17, 5)
+    base = rng.integers(0, 1 << 63, (40, similar.WORDS)).astype(np.uint64)
+    near = base.copy()
+    near[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)
+    prints = np.concatenate([base, near]).view(np.int64)
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c) for c in np.ascontiguousarray(prints.T)), *(pa.array(np.arange(80)) for _ in similar.CARRIED)], names=[*similar.PRINTS, *similar.CARRIED])
+    at, homes = {}, {}
+    for out in similar._anchors(places, False)([batch]):
+        for bucket, home, node in zip(*(out.column(c).to_pylist() for c in ("bucket", "home", "node")), strict=True):
+            at.setdefault((node, bucket >> 32), set()).add(bucket)
+            if home:
+                assert homes.setdefault((node, bucket >> 32), bucket) == bucket
+    assert len(homes) == 80 * 5 and all(h in at[k] for k, h in homes.items())
+    assert all(homes[i, k] in at[i + 40, k] and homes[i + 40, k] in at[i, k] for i in range(40) for k in range(5))
+    alone = pa.Table.from_batches(similar._anchors(places, True)([batch]))
+    assert dict(zip(zip(alone["node"].to_pylist(), [b >> 32 for b in alone["bucket"].to_pylist()], strict=True), alone["bucket"].to_pylist(), strict=True)) == homes
+
+
+def test_homes_are_compared_once_with_rows_of_other_roots_whatever_the_batches():
+    rng = np.random.default_rng(6)
+    n = 300
+    bucket, root, home = rng.integers(0, 6, n), rng.integers(0, 9, n), rng.random(n) < 0.3
+    order = np.lexsort((root, ~home, bucket))
+    bucket, root, home, prints = bucket[order], root[order], home[order], rng.integers(0, 4, n).astype(np.int64)
+    cols = [bucket, np.zeros(n, np.int32), home, prints, np.arange(n), root]
+    near = lambda i, j: bucket[i] == bucket[j] and root[i] != root[j] and (int(prints[i]) ^ int(prints[j])).bit_count() <= 1
+    want = {(i, j) for i, j in combinations(range(n), 2) if (home[i] or home[j]) and near(i, j)}
+    for size in (1, 7, 64, 300):
+        found = []
+        batches = (pa.RecordBatch.from_arrays([pa.array(c[at : at + size]) for c in cols], names=list("abcdef")) for at in range(0, n, size))
+        for mine, other, _, held in simhash.by_key(batches, 1, 1, "roots"):
+            found += [tuple(sorted(p)) for p in zip(held[4][mine].tolist(), held[4][other].tolist(), strict=True)]
+            assert held[2][mine].all()
+        assert len(found) == len(set(found)) and set(found) == want
